@@ -8,15 +8,18 @@ from pyspark.sql import functions as F
 _RECORD, _END = "record", "end"
 
 
-def parse_line(line: Column) -> Column:
-    """One JSON value per line as VARIANT, NULL when the line is not exactly that.
+def wrapped_fields(line: Column) -> Column:
+    """The line parsed as one field of a small object, with a sentinel field behind it.
 
-    Spark's JSON functions stop after the first value and ignore what follows. Parsing
-    the line as a field of a small object, with a sentinel field behind it, makes
-    trailing text an error.
+    Spark's JSON functions stop after the first value and ignore what follows; inside an
+    object, trailing text is an error or shows as a further field.
     """
     wrapped = F.concat(F.lit(f'{{"{_RECORD}":'), line, F.lit(f',"{_END}":0}}'))
-    fields = F.try_variant_get(F.try_parse_json(wrapped), "$", "map<string,variant>")
+    return F.try_variant_get(F.try_parse_json(wrapped), "$", "map<string,variant>")
+
+
+def wrapped_value(fields: Column) -> Column:
+    """The line's JSON value as VARIANT, NULL when the line is not exactly one value."""
     whole = (F.size(fields) == 2) & F.map_contains_key(fields, _END)
     return F.when(whole, F.try_element_at(fields, F.lit(_RECORD)))
 

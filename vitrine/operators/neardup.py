@@ -111,11 +111,15 @@ def resolve(members: DataFrame, tail_rows: int = TAIL_ROWS) -> DataFrame:
 
 
 def kept_orders(signatures: DataFrame, tail_rows: int = TAIL_ROWS) -> DataFrame:
-    """Kept order numbers of ``(order, buckets)``; order numbers are unique."""
-    distinct_sets = signatures.withColumn("buckets", F.array_sort(F.array_distinct("buckets")))
-    leaders = stage(
-        distinct_sets.groupBy("buckets").agg(F.min("order").alias("order")), "leaders"
-    )
+    """Kept order numbers of ``(order, buckets)``; order numbers are unique.
+
+    Rows without buckets collide with nobody: each forms a group of its own.
+    """
+    buckets = F.coalesce("buckets", F.array().cast("array<long>"))
+    sets = signatures.select("order", F.array_sort(F.array_distinct(buckets)).alias("buckets"))
+    alone = F.when(F.size("buckets") == 0, F.col("order")).alias("alone")
+    groups = sets.groupBy("buckets", alone).agg(F.min("order").alias("order"))
+    leaders = stage(groups.select("order", "buckets"), "leaders")
     members = leaders.select("order", F.explode("buckets").alias("bucket"))
     crowded = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     crowded = stage(crowded, "crowded")
@@ -147,10 +151,7 @@ def drop_near_dups(
     any key collide with nobody and are kept.
     """
     signatures = df.select(F.col(order).cast("long").alias("order"), buckets.alias("buckets"))
-    signed = signatures.filter(F.size("buckets") > 0)
-    kept = kept_orders(signed, tail_rows)
-    unsigned = signatures.filter(F.coalesce(F.size("buckets"), F.lit(0)) <= 0).select("order")
-    winners = stage(kept.unionByName(unsigned).withColumnRenamed("order", order), "kept")
+    winners = stage(kept_orders(signatures, tail_rows).withColumnRenamed("order", order), "kept")
     return (
         df.join(winners, order, "left_semi"),
         df.join(winners, order, "left_anti"),

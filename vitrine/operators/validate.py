@@ -49,18 +49,24 @@ def vector_rules(vector: Column, dim: int) -> list[tuple[str, Column]]:
     ]
 
 
-def validate(
-    df: DataFrame, rules: list[tuple[str, Column]]
-) -> tuple[DataFrame, DataFrame]:
-    """O-29: ``(good, rejects)``; rejects carry ``reason``. A reason already set is kept."""
+def judge(df: DataFrame, rules: list[tuple[str, Column]]) -> DataFrame:
+    """O-29: set ``reason`` by the first failing rule; a reason already there is kept."""
     reason = first_reason(rules)
     if "reason" in df.columns:
         reason = F.coalesce("reason", reason)
-    checked = df.withColumn("reason", reason)
-    return (
-        checked.filter(F.col("reason").isNull()).drop("reason"),
-        checked.filter(F.col("reason").isNotNull()),
-    )
+    return df.withColumn("reason", reason)
+
+
+def validate(
+    df: DataFrame, rules: list[tuple[str, Column]]
+) -> tuple[DataFrame, DataFrame]:
+    """O-29: ``(good, rejects)``; rejects carry ``reason``.
+
+    Both halves are filters over ``df``, so give it a stored table or cheap columns.
+    """
+    judged = judge(df, rules)
+    good = judged.filter(F.col("reason").isNull()).drop("reason")
+    return good, judged.filter(F.col("reason").isNotNull())
 
 
 def count_by(df: DataFrame, status: Column) -> DataFrame:

@@ -17,12 +17,13 @@ from vitrine.functions.dynamic import (
 from vitrine.functions.text import abbreviate, ascii_id, coalesce_text, year_or_self
 from vitrine.functions.vectors import hybrid
 from vitrine.operators.extract import CATALOGUE_SPEC, extract_records
-from vitrine.operators.joins import attach_embedding, lookup
+from vitrine.operators.joins import lookup
 from vitrine.operators.keyed import keep_last
 from vitrine.operators.neardup import drop_near_dups, signature_buckets
 from vitrine.operators.topk import attach_metadata, present, topk
-from vitrine.operators.validate import record_rules, validate, vector_rules
+from vitrine.operators.validate import judge, record_rules, vector_rules
 from vitrine.operators.vectors import embed
+from vitrine.session import stage
 from vitrine.sources.records import classify_lines
 
 
@@ -49,27 +50,42 @@ def records_from_pages(
     return clean_columns(extract_records(pages, spec, keep))
 
 
-def checked_records(
-    lines: DataFrame, id_field: str = "name", raw: str = "raw"
-) -> tuple[DataFrame, DataFrame]:
-    """Text lines to ``(good, rejects)``: parse, clean, take the id, check id then URL.
+def check_lines(lines: DataFrame, id_field: str = "name", raw: str = "raw") -> DataFrame:
+    """Parse, clean, take the id, then check id before URL.
 
-    Good rows gain ``fields``, ``id`` and ``image_url``; rejects keep the line and a reason.
+    Adds ``fields``, ``id``, ``image_url`` and ``reason``; a good record has no reason.
     """
-    classified = clean_fields(classify_lines(lines, raw))
-    keyed = classified.withColumns(
+    cleaned = clean_fields(classify_lines(lines, raw))
+    keyed = cleaned.withColumns(
         {
             "id": ascii_id(text_field(F.col("fields"), id_field)),
             "image_url": text_field(F.col("fields"), "image_url"),
         }
     )
-    good, rejects = validate(keyed, record_rules(F.col("id"), F.col("image_url")))
-    return good, rejects.select(*lines.columns, "reason")
+    return judge(keyed, record_rules(F.col("id"), F.col("image_url")))
 
 
-def _rejects(*parts: DataFrame) -> DataFrame:
-    columns = ["line_no", "raw", "reason"]
-    return reduce(DataFrame.unionByName, [part.select(*columns) for part in parts])
+def _with_vectors(lines: DataFrame, vectors: DataFrame, dim: int, id_field: str) -> DataFrame:
+    """Checked lines with their vector and final reason, as a written table.
+
+    Both the entries and the rejects are read from it, so nothing is parsed or joined
+    twice. A reject keeps its raw line, a good row its fields.
+    """
+    checked = stage(check_lines(lines, id_field), "checked")
+    joined = lookup(checked, vectors.select("image_url", "embedding"), "image_url")
+    judged = judge(joined, vector_rules(F.col("embedding"), dim))
+    good = F.col("reason").isNull()
+    return stage(
+        judged.select(
+            "line_no",
+            "id",
+            "reason",
+            F.when(~good, F.col("raw")).alias("raw"),
+            F.when(good, F.col("fields")).alias("fields"),
+            F.when(good, F.col("embedding")).alias("embedding"),
+        ),
+        "judged",
+    )
 
 
 def simple_entries(
@@ -78,15 +94,14 @@ def simple_entries(
     """Numbered lines to index entries, last wins: ``(entries, rejects)``.
 
     ``vectors`` maps ``image_url`` to ``embedding``. Metadata keep their scalar fields only.
-    Entries are ``(id, embedding, metadata, line_no)``.
+    Entries are ``(id, embedding, metadata, line_no)``, rejects ``(line_no, raw, reason)``.
     """
-    good, bad = checked_records(lines, id_field)
-    embedded, unembedded = attach_embedding(good, vectors, "image_url")
-    fit, misfit = validate(embedded, vector_rules(F.col("embedding"), dim))
-    entries = fit.select(
+    judged = _with_vectors(lines, vectors, dim, id_field)
+    entries = judged.filter("reason IS NULL").select(
         "id", "embedding", scalar_metadata(F.col("fields")).alias("metadata"), "line_no"
     )
-    return keep_last(entries, "id", "line_no"), _rejects(bad, unembedded, misfit)
+    rejects = judged.filter("reason IS NOT NULL").select("line_no", "raw", "reason")
+    return keep_last(entries, "id", "line_no"), rejects
 
 
 def full_entries(
@@ -101,34 +116,39 @@ def full_entries(
 
     ``image_vectors`` maps ``image_url`` to the mean ``embedding`` of the image's variants.
     Near-duplicates and repeated ids are dropped in line order among rows that passed every
-    check; then the text of ``description`` is embedded and mixed in.
+    check; then the text of ``description`` is embedded and mixed in. Rejects of these
+    later steps carry no raw line.
     """
-    good, bad = checked_records(lines, id_field)
-    embedded, unembedded = attach_embedding(good, image_vectors, "image_url")
-    fit, misfit = validate(embedded, vector_rules(F.col("embedding"), dim))
+    judged = _with_vectors(lines, image_vectors, dim, id_field)
+    bad = judged.filter("reason IS NOT NULL")
+    fit = judged.filter("reason IS NULL").drop("reason")
     # An id already taken by a kept row drops a record just as a shared bucket does, so the
     # id enters the walk as one more bucket.
     buckets = F.concat(
         signature_buckets(F.col("embedding"), top_m), F.array(F.xxhash64(F.lit("id"), "id"))
     )
     kept, dropped = drop_near_dups(fit, "line_no", buckets)
-    taken = lookup(dropped, kept.select("id"), "id")
-    dropped = taken.withColumn(
-        "reason", F.when(F.col("found"), "duplicate_id").otherwise("near_duplicate")
-    )
     described = kept.withColumn(
         "description", coalesce_text(text_field(F.col("fields"), "description"))
     )
     texts = embed(described, "description", make_text_model, dim, out="text_embedding")
-    mixed = texts.withColumn("hybrid", hybrid(F.col("embedding"), F.col("text_embedding")))
-    usable, failed = validate(mixed, [("embedding_failed", F.col("hybrid").isNull())])
-    entries = usable.select(
+    mixed = texts.select(
+        "line_no",
         "id",
-        F.col("hybrid").alias("embedding"),
+        "raw",
+        hybrid(F.col("embedding"), F.col("text_embedding")).alias("embedding"),
         metadata_except(F.col("fields")).alias("metadata"),
-        "line_no",
     )
-    return entries, _rejects(bad, unembedded, misfit, dropped, failed)
+    mixed = stage(mixed, "mixed")
+    taken = lookup(dropped, kept.select("id"), "id")
+    dropped = taken.withColumn(
+        "reason", F.when(F.col("found"), "duplicate_id").otherwise("near_duplicate")
+    )
+    failed = mixed.filter("embedding IS NULL").withColumn("reason", F.lit("embedding_failed"))
+    entries = mixed.filter("embedding IS NOT NULL").drop("raw")
+    columns = ["line_no", "raw", "reason"]
+    rejects = [part.select(*columns) for part in (bad, dropped, failed)]
+    return entries, reduce(DataFrame.unionByName, rejects)
 
 
 def search(

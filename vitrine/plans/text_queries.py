@@ -9,9 +9,9 @@ from vitrine.functions import text as X
 from vitrine.operators.keyed import keep_first, keep_last, upsert
 from vitrine.operators.numbering import with_batch_no, with_line_no
 from vitrine.operators.validate import count_by
-from vitrine.plans.flows import checked_records
+from vitrine.plans.flows import check_lines
 from vitrine.plans.registry import query, table
-from vitrine.session import scratch_path
+from vitrine.session import scratch_path, stage
 from vitrine.sinks.files import land_pages, read_csv, write_csv, write_records, write_rejects
 from vitrine.sources.pages import expand_ranges
 from vitrine.sources.records import classify_lines, read_records
@@ -290,10 +290,8 @@ REASON_SQL = """
 
 @query(f"SELECT doc_id, coalesce(reason, 'ok') AS reason FROM ({REASON_SQL})")
 def validate_reason(spark, sf):
-    good, rejects = checked_records(document_lines(spark, sf))
-    return good.select("doc_id", F.lit("ok").alias("reason")).unionByName(
-        rejects.select("doc_id", "reason")
-    )
+    checked = check_lines(document_lines(spark, sf))
+    return checked.select("doc_id", F.coalesce("reason", F.lit("ok")).alias("reason"))
 
 
 @query(
@@ -301,9 +299,10 @@ def validate_reason(spark, sf):
     "WHERE reason IS NOT NULL GROUP BY reason"
 )
 def reject_tally(spark, sf):
-    _, rejects = checked_records(document_lines(spark, sf))
+    checked = stage(check_lines(document_lines(spark, sf)), "checked")
+    rejects = checked.filter("reason IS NOT NULL")
     path = scratch_path(spark, "rejects")
-    write_rejects(rejects, path)
+    write_rejects(rejects.select("doc_id", "line_no", "raw", "reason"), path)
     written = spark.read.schema("doc_id long, line_no long, raw string, reason string").json(path)
     return written.groupBy("reason").agg(
         F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_id")
@@ -315,11 +314,9 @@ def reject_tally(spark, sf):
     f"FROM ({REASON_SQL}) GROUP BY 1"
 )
 def run_counts(spark, sf):
-    good, rejects = checked_records(document_lines(spark, sf))
-    both = good.select(F.lit("indexed").alias("outcome")).unionByName(
-        rejects.select(F.lit("rejected").alias("outcome"))
-    )
-    return count_by(both, F.col("outcome"))
+    checked = check_lines(document_lines(spark, sf))
+    outcome = F.when(F.col("reason").isNull(), "indexed").otherwise("rejected")
+    return count_by(checked, outcome)
 
 
 @query(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitrine.functions.dynamic import fields_of, is_object, parse_line
+from vitrine.functions.dynamic import fields_of, is_object, wrapped_fields, wrapped_value
 from vitrine.operators.numbering import number_scanned_lines
 
 # The catalogue record (fixed column names).
@@ -44,13 +44,18 @@ def read_records(spark: SparkSession, path: str, schema: str = RECORD_SCHEMA) ->
 
 
 def classify_lines(lines: DataFrame, raw: str = "raw") -> DataFrame:
-    """Add ``fields`` (map of variants) and ``reason`` (NULL when the line is a record)."""
+    """Add ``fields`` (map of variants) and ``reason`` (NULL when the line is a record).
+
+    One parse per line. Filtering on ``reason`` afterwards would push the parse into the
+    filter and repeat it, so flows stage this result before they split it.
+    """
     value = F.col("_value")
-    parsed = lines.withColumn("_value", parse_line(F.col(raw)))
+    parsed = lines.withColumn("_wrapped", wrapped_fields(F.col(raw)))
+    parsed = parsed.withColumn("_value", wrapped_value(F.col("_wrapped")))
     reason = (
         F.when(value.isNull(), "invalid_json").when(~is_object(value), "not_an_object")
     )
-    return parsed.withColumns({"fields": fields_of(value), "reason": reason}).drop("_value")
+    return parsed.withColumns({"fields": fields_of(value), "reason": reason}).drop("_value", "_wrapped")
 
 
 def parse_records(

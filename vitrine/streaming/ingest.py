@@ -3,14 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from vitrine.functions.dynamic import text_field
-from vitrine.functions.text import ascii_id
-from vitrine.operators.validate import first_reason, record_rules
-from vitrine.plans.flows import clean_fields
-from vitrine.sources.records import classify_lines
+from vitrine.plans.flows import check_lines
 
 
 def stream_records(
@@ -26,14 +21,7 @@ def stream_records(
         .text(folder)
         .withColumnRenamed("value", "raw")
     )
-    keyed = clean_fields(classify_lines(lines)).withColumns(
-        {
-            "id": ascii_id(text_field(F.col("fields"), id_field)),
-            "image_url": text_field(F.col("fields"), "image_url"),
-        }
-    )
-    rules = record_rules(F.col("id"), F.col("image_url"))
-    return keyed.withColumn("reason", F.coalesce("reason", first_reason(rules)))
+    return check_lines(lines, id_field)
 
 
 def run_available(stream: DataFrame, checkpoint: str, path: str) -> None:
