@@ -25,7 +25,7 @@ def test_lookup_equals_a_left_join(spark, monkeypatch, hot_floor):
             expected = (None, None, False)
         assert rows[n] == expected
     hot = {r["key"] for r in J.hot_keys(big, "key").collect()}
-    assert hot == (set() if hot_floor == J.HOT_FLOOR else {"hot", "lost"})
+    assert hot == ({"hot", "lost"} if hot_floor == 10 else set())
 
 
 def test_url_rewrite(spark):

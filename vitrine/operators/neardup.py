@@ -105,7 +105,7 @@ def resolve(members: DataFrame, tail_rows: int = TAIL_ROWS) -> DataFrame:
         kept = kept.unionByName(winners)
         number += 1
     if total:
-        rest = current.select("order", "bucket").groupBy(F.lit(0))
+        rest = current.select("order", "bucket", F.lit(0).alias("all")).groupBy("all")
         kept = kept.unionByName(rest.applyInPandas(_walk, "order long"))
     return kept
 

@@ -35,7 +35,10 @@ def classify_assets(df: DataFrame, content: str = "content") -> DataFrame:
 
 
 def read_assets(spark: SparkSession, folder: str, glob: str = "*") -> DataFrame:
-    """O-06: ``(path, length, content, format, ok)`` for every file below ``folder``."""
+    """O-06: ``(path, length, content, format, ok)`` for every file below ``folder``.
+
+    Spark lists no empty files; a record pointing at one finds no asset.
+    """
     files = (
         spark.read.format("binaryFile")
         .option("pathGlobFilter", glob)
