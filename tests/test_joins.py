@@ -5,9 +5,30 @@ from vitrine.operators import joins as J
 from vitrine.operators.keyed import keep_first, keep_last, upsert
 
 
+@pytest.fixture
+def no_broadcast(spark):
+    name = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "-1")
+    yield
+    spark.conf.set(name, before)
+
+
+def test_broadcast_setting(spark, no_broadcast):
+    assert J._broadcast_bytes(spark.range(1)) == -1
+    for text, size in (("10485760b", 10485760), ("5m", 5 * 2**20), ("7", 7), ("1GB", 2**30)):
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", text)
+        assert J._broadcast_bytes(spark.range(1)) == size
+
+
 @pytest.mark.parametrize("hot_floor", [J.HOT_FLOOR, 10])
-def test_lookup_equals_a_left_join(spark, monkeypatch, hot_floor):
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_lookup_equals_a_left_join(spark, monkeypatch, request, hot_floor, broadcast):
     monkeypatch.setattr(J, "HOT_FLOOR", hot_floor)
+    if not broadcast:
+        request.getfixturevalue("no_broadcast")
+    elif hot_floor == 10:
+        monkeypatch.setattr(J, "_broadcast_bytes", lambda df: 10**12)
     keys = ["hot"] * 300 + [f"k{i}" for i in range(200)] + [None] * 100 + ["lost"] * 50
     big = spark.createDataFrame(list(enumerate(keys)), "n int, key string").repartition(4)
     small = spark.createDataFrame(

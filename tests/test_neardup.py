@@ -4,7 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from vitrine.functions.minhash import band_keys
+from vitrine.functions.minhash import band_keys, vector_band_keys
+from vitrine.functions.vectors import top_dims
 from vitrine.operators import neardup as N
 
 SCHEMA = "order_no long, buckets array<long>"
@@ -99,3 +100,14 @@ def test_band_keys_of_no_tokens(spark):
     assert b is None and c is None and a == d and len(a) == 5
     with pytest.raises(ValueError):
         band_keys(F.col("t"), 10, 5, 3)
+
+
+def test_vector_keys_equal_token_keys(spark):
+    rng = np.random.default_rng(2)
+    rows = [(rng.normal(size=30).round(1).tolist(),) for _ in range(200)] + [(None,), ([],)]
+    df = spark.createDataFrame(rows, "v array<float>").coalesce(1)
+    found = df.select(
+        vector_band_keys(F.col("v"), 9).alias("a"), band_keys(top_dims(F.col("v"), 9)).alias("b")
+    ).collect()
+    assert all(r["a"] == r["b"] for r in found)
+    assert sum(r["a"] is None for r in found) == 2

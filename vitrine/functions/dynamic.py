@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from vitrine.functions.binding import let
+
 _RECORD, _END = "record", "end"
 
 
@@ -35,14 +37,14 @@ def fields_of(value: Column) -> Column:
 
 def kind(value: Column) -> Column:
     """JSON kind: string, number, boolean, null, array or object."""
-    name = F.schema_of_variant(value)
-    return (
-        F.when(name == "STRING", "string")
+    return let(
+        F.schema_of_variant(value),
+        lambda name: F.when(name == "STRING", "string")
         .when(name == "BOOLEAN", "boolean")
         .when(name.startswith("ARRAY"), "array")
         .when(name.startswith("OBJECT"), "object")
         .when(name == "VOID", "null")
-        .when(name.isNotNull(), "number")
+        .when(name.isNotNull(), "number"),
     )
 
 

@@ -15,6 +15,7 @@ from html.entities import name2codepoint
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from vitrine.functions.binding import let
 from vitrine.functions.text import strip, text_lines
 
 # The rest of an opening tag; quoted attribute values may contain '>'.
@@ -49,9 +50,14 @@ def _decode_piece(piece: Column) -> Column:
 
 def unescape(text: Column) -> Column:
     """Decode character references in one pass; text without an ampersand is left alone."""
-    pieces = F.regexp_extract_all(text, F.lit(_PIECES), 1)
-    decoded = F.array_join(F.transform(pieces, _decode_piece), "")
-    return F.when(text.contains("&"), decoded).otherwise(text)
+
+
+    def decode(bound: Column) -> Column:
+        pieces = F.regexp_extract_all(bound, F.lit(_PIECES), 1)
+        decoded = F.array_join(F.transform(pieces, _decode_piece), "")
+        return F.when(bound.contains("&"), decoded).otherwise(bound)
+
+    return let(text, decode)
 
 
 def inner_text(element: Column) -> Column:

@@ -1,4 +1,7 @@
-"""MinHash band keys of token sets (part of O-39)."""
+"""MinHash band keys of token sets (part of O-39).
+
+Tokens are integers, such as dimension numbers; texts can be hashed to 64 bits first.
+"""
 
 from __future__ import annotations
 
@@ -7,14 +10,51 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from vitrine.functions.vectors import matrix
+
 # The permutation count, and the bands and rows per band that balance
 # false positives against false negatives at threshold 0.9.
 PERMUTATIONS, BANDS, ROWS = 128, 5, 25
+_ROWS_AT_ONCE = 2000
+
+
+class BandHasher:
+    """Seeded permutations of 64-bit values and the keys of the signature's bands."""
+
+    def __init__(self, permutations: int, bands: int, rows: int, seed: int):
+        if bands * rows > permutations:
+            raise ValueError("bands * rows must not exceed the number of permutations")
+        draw = np.random.default_rng(seed).integers(0, 2**64, (2, permutations), dtype=np.uint64)
+        self.factors, self.offsets = draw[0] | np.uint64(1), draw[1]
+        self.bands, self.rows = bands, rows
+
+    def permuted(self, tokens: np.ndarray, p: int) -> np.ndarray:
+        """Token hashes under permutation ``p``."""
+        x = tokens.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x ^= x >> np.uint64(27)
+        return x * self.factors[p] + self.offsets[p]
 
+    def combine(self, lowest_of, count: int) -> np.ndarray:
+        """``count`` rows of band keys; ``lowest_of(p)`` gives the minima of permutation ``p``.
 
-def token_hashes(tokens: Column) -> Column:
-    """64-bit hash of the text form of every token."""
-    return F.transform(tokens, lambda t: F.xxhash64(t.cast("string")))
+        The band number is hashed in, so keys of different bands never meet.
+        """
+        keys = np.empty((count, self.bands), dtype=np.uint64)
+        for band in range(self.bands):
+            key = np.full(count, band + 1, dtype=np.uint64)
+            for p in range(band * self.rows, (band + 1) * self.rows):
+                key = (key ^ lowest_of(p)) * np.uint64(0x94D049BB133111EB)
+                key ^= key >> np.uint64(29)
+            keys[:, band] = key
+        return keys.view(np.int64)
+
+
+def _list_array(keys: np.ndarray, filled: np.ndarray) -> pa.Array:
+    """Rows of keys as an Arrow list array, NULL where ``filled`` is false."""
+    offsets = np.concatenate(([0], np.cumsum(filled) * keys.shape[1])).astype(np.int32)
+    lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.ravel()))
+    return pa.compute.if_else(pa.array(filled), lists, pa.scalar(None, lists.type))
 
 
 def band_keys(
@@ -24,34 +64,59 @@ def band_keys(
     rows: int = ROWS,
     seed: int = 1,
 ) -> Column:
-    """One 64-bit key per band of the MinHash signature of a non-empty token set.
+    """One 64-bit key per band of the MinHash signature of an integer token set.
 
-    Two rows share the key of a band when all ``rows`` minima of that band agree. Keys of
-    different bands never meet, as the band number is hashed in. NULL for no tokens.
+    Two rows share the key of a band when all ``rows`` minima of that band agree. NULL for
+    no tokens.
     """
-    if bands * rows > permutations:
-        raise ValueError("bands * rows must not exceed the number of permutations")
-    rng = np.random.default_rng(seed)
-    draw = rng.integers(0, 2**64, size=(2, permutations), dtype=np.uint64)
-    factors, offsets = draw[0] | np.uint64(1), draw[1]
-    mixer = np.uint64(0x9E3779B97F4A7C15)
+    hasher = BandHasher(permutations, bands, rows, seed)
 
     @F.arrow_udf("array<long>")
-    def keys(hashes: pa.Array) -> pa.Array:
-        lengths = pa.compute.list_value_length(hashes).fill_null(0).to_numpy()
-        filled = np.flatnonzero(lengths)
-        flat = hashes.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-        out = np.zeros((len(filled), bands), dtype=np.uint64)
-        if len(filled):
-            starts = np.concatenate(([0], np.cumsum(lengths[filled])[:-1]))
-            for band in range(bands):
-                key = np.full(len(filled), band + 1, dtype=np.uint64)
-                for p in range(band * rows, (band + 1) * rows):
-                    lowest = np.minimum.reduceat(flat * factors[p] + offsets[p], starts)
-                    key = (key ^ lowest) * mixer
-                    key ^= key >> np.uint64(29)
-                out[:, band] = key
-        values = iter(out.view(np.int64).tolist())
-        return pa.array([next(values) if n else None for n in lengths], pa.list_(pa.int64()))
-
-    return keys(token_hashes(tokens))
+    def keys(sets: pa.Array) -> pa.Array:
+        lengths = pa.compute.list_value_length(sets).fill_null(0).to_numpy()
+        filled = lengths > 0
+        flat = sets.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+        starts = np.cumsum(lengths[filled]) - lengths[filled]
+
+        def lowest_of(p):
+            return np.minimum.reduceat(hasher.permuted(flat, p), starts)
+
+        count = int(filled.sum())
+        found = hasher.combine(lowest_of, count) if count else np.empty((0, bands), np.int64)
+        return _list_array(found, filled)
+
+    return keys(tokens.cast("array<long>"))
+
+
+def vector_band_keys(
+    vector: Column,
+    top_m: int,
+    permutations: int = PERMUTATIONS,
+    bands: int = BANDS,
+    rows: int = ROWS,
+    seed: int = 1,
+) -> Column:
+    """``band_keys(top_dims(vector, top_m))`` in one Arrow step.
+
+    Dimension numbers are few, so every permutation is a table lookup. All vectors of a
+    batch must have one length; NULL for a NULL or empty vector.
+    """
+    hasher = BandHasher(permutations, bands, rows, seed)
+
+    @F.arrow_udf("array<long>")
+    def keys(vectors: pa.Array) -> pa.Array:
+        lengths = pa.compute.list_value_length(vectors).fill_null(0).to_numpy()
+        filled = lengths > 0
+        m = matrix(vectors.filter(pa.array(filled)))
+        width = m.shape[1]
+        tables = [hasher.permuted(np.arange(width), p) for p in range(bands * rows)]
+        parts = [np.empty((0, bands), np.int64)]
+        for start in range(0, len(m), _ROWS_AT_ONCE):
+            chunk = m[start : start + _ROWS_AT_ONCE]
+            # Stable order of the reversed columns: largest first, ties to the higher index.
+            order = np.argsort(-chunk[:, ::-1], axis=1, kind="stable")[:, :top_m]
+            dims = np.ascontiguousarray((width - 1 - order).T)
+            parts.append(hasher.combine(lambda p: tables[p][dims].min(axis=0), len(chunk)))
+        return _list_array(np.concatenate(parts), filled)
+
+    return keys(vector)

@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from vitrine.functions.binding import let
+
 
 def _sum(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda acc, x: acc + x)
@@ -29,8 +31,12 @@ def norm(v: Column) -> Column:
 
 def l2_normalize(v: Column) -> Column:
     """O-37: scale to unit length; NULL for a vector without direction."""
-    length = norm(v)
-    return F.when(length > 0, F.transform(v, lambda x: x.cast("double") / length))
+    return let(
+        F.struct(v.alias("v"), norm(v).alias("length")),
+        lambda s: F.when(
+            s["length"] > 0, F.transform(s["v"], lambda x: x.cast("double") / s["length"])
+        ),
+    )
 
 
 def hybrid(a: Column, b: Column, wa: float = 0.7, wb: float = 0.3) -> Column:
@@ -43,14 +49,23 @@ def hybrid(a: Column, b: Column, wa: float = 0.7, wb: float = 0.3) -> Column:
 
 def mean_of_variants(variants: Column) -> Column:
     """O-36, row-local form: elementwise mean of an array of equally long vectors."""
-    first = F.try_element_at(variants, F.lit(1))
-    total = F.aggregate(
-        variants,
-        F.transform(first, lambda _: F.lit(0.0)),
-        lambda acc, v: F.zip_with(acc, v, lambda x, y: x + y.cast("double")),
+
+    def add(acc: Column, v: Column) -> Column:
+        # A shorter side is padded with NULL, which then stays in the sum.
+        total = F.zip_with(acc["total"], v, lambda x, y: x + y.cast("double"))
+        return F.struct(
+            F.when(acc["n"] == 0, v.cast("array<double>")).otherwise(total).alias("total"),
+            (acc["n"] + 1).alias("n"),
+        )
+
+    def divide(acc: Column) -> Column:
+        complete = ~F.exists(acc["total"], lambda x: x.isNull())
+        return F.when(complete, F.transform(acc["total"], lambda x: x / acc["n"]))
+
+    nothing = F.struct(
+        F.lit(None).cast("array<double>").alias("total"), F.lit(0.0).alias("n")
     )
-    same_length = F.forall(variants, lambda v: F.size(v) == F.size(first))
-    return F.when(same_length, F.transform(total, lambda x: x / F.size(variants)))
+    return F.aggregate(variants, nothing, add, divide)
 
 
 def top_dims(v: Column, m: int) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from vitrine.functions import html as H
 from vitrine.functions.text import strip
+from vitrine.operators.partitioning import spread_small
 
 # Elements that never have a closing tag, and those whose content is not text.
 VOID_TAGS = "area base br col embed hr img input link meta source track wbr".split()
@@ -160,7 +161,7 @@ def listing_links(
         if path is None
         else descendant_hrefs(F.col("html"), path)
     )
-    return pages.select(page, F.posexplode(hrefs).alias("item", "href"))
+    return spread_small(pages).select(page, F.posexplode(hrefs).alias("item", "href"))
 
 
 def _field(rule: tuple, markup: Column, html: Column) -> Column:
@@ -190,7 +191,7 @@ def extract_records(
     """
     tables = {rule[1] for rule in spec.values() if rule[0] == "table"}
     lines = {cls: f"_lines_{n}" for n, cls in enumerate(sorted(tables))}
-    staged = pages.withColumn("_markup", H.markup_only(F.col("html")))
+    staged = spread_small(pages).withColumn("_markup", H.markup_only(F.col("html")))
     staged = staged.withColumns(
         {name: H.table_lines(F.col("_markup"), cls) for cls, name in lines.items()}
     )

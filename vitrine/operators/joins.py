@@ -5,48 +5,50 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vitrine.operators.partitioning import planned_bytes
+
 # A key is hot above this share of the rows, so there are at most 1/HOT_SHARE hot keys.
 HOT_SHARE = 0.001
 # Below this row count a key is never worth separate treatment.
 HOT_FLOOR = 100_000
-_SPREAD = 4096
 
 
 def hot_keys(df: DataFrame, key: str) -> DataFrame:
     """Keys holding more than ``HOT_SHARE`` of the rows: a bounded set, safe to broadcast."""
     counts = df.filter(F.col(key).isNotNull()).groupBy(key).count()
-    total = counts.agg(F.coalesce(F.sum("count"), F.lit(0)) * HOT_SHARE).scalar()
-    return counts.filter((F.col("count") > HOT_FLOOR) & (F.col("count") > total)).select(key)
+    limit = df.agg(F.count(key) * HOT_SHARE).scalar()
+    return counts.filter((F.col("count") > HOT_FLOOR) & (F.col("count") > limit)).select(key)
+
+
+def _broadcast_bytes(df: DataFrame) -> int:
+    """Size up to which Spark broadcasts a join side of its own accord; -1 when switched off."""
+    setting = df.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    digits = setting.lower().rstrip("b")
+    units = {"k": 2**10, "m": 2**20, "g": 2**30}
+    if digits[-1] in units:
+        return int(digits[:-1]) * units[digits[-1]]
+    return int(digits)
 
 
 def lookup(big: DataFrame, small: DataFrame, key: str) -> DataFrame:
     """Left join to ``small``, which has one row per ``key``, plus a ``found`` flag.
 
-    Rows of hot keys meet their match by broadcast: at most ``1/HOT_SHARE`` rows of
-    ``small``. In the shuffle join that serves all other keys they, and rows without a
-    key, are spread by a salt no row of ``small`` carries.
+    A ``small`` that Spark will broadcast needs nothing else. Otherwise rows of hot keys
+    meet their match by broadcast, at most ``1/HOT_SHARE`` rows of it, and are not shuffled,
+    nor are rows without a key; the shuffle join serves the rest, where no key is large.
+    ``big`` is read once per branch, so give it a stored table.
     """
     values = [c for c in small.columns if c != key]
-    hot = small.join(F.broadcast(hot_keys(big, key)), key, "left_semi")
-    packed = F.struct(*[F.col(c) for c in values], F.lit(True).alias("found"))
-    spread = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(_SPREAD)) + 1
-    tagged = (
-        big.join(F.broadcast(hot.select(key, packed.alias("_hot"))), key, "left")
-        .withColumn(
-            "_salt",
-            F.when(F.col("_hot").isNull() & F.col(key).isNotNull(), F.lit(0).cast("long")).otherwise(
-                spread
-            ),
-        )
-    )
-    cold = small.select(key, packed.alias("_cold"), F.lit(0).cast("long").alias("_salt"))
-    joined = tagged.join(cold, [key, "_salt"], "left")
-    match = F.coalesce("_hot", "_cold")
-    return joined.select(
-        *[F.col(c) for c in big.columns],
-        *[match[c].alias(c) for c in values],
-        F.coalesce(match["found"], F.lit(False)).alias("found"),
-    )
+    flagged = small.withColumn("found", F.lit(True))
+    found = F.coalesce("found", F.lit(False)).alias("found")
+    columns = [F.col(c) for c in [*big.columns, *values]] + [found]
+    if planned_bytes(small) <= _broadcast_bytes(big):
+        return big.join(flagged, key, "left").select(*columns)
+    hot = hot_keys(big, key).join(flagged, key, "left").withColumn("_hot", F.lit(True))
+    hot = F.broadcast(hot)
+    spared = big.join(hot, key, "left").filter(F.col("_hot").isNotNull() | F.col(key).isNull())
+    cold = big.filter(F.col(key).isNotNull()).join(hot.select(key), key, "left_anti")
+    return spared.select(*columns).unionByName(cold.join(flagged, key, "left").select(*columns))
 
 
 def rewrite_urls(

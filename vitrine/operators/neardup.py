@@ -21,8 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vitrine.functions.minhash import BANDS, PERMUTATIONS, ROWS, band_keys
-from vitrine.functions.vectors import top_dims
+from vitrine.functions.minhash import BANDS, PERMUTATIONS, ROWS, vector_band_keys
 from vitrine.operators.joins import HOT_FLOOR, HOT_SHARE
 from vitrine.session import delete_path, scratch_path, stage, write_table
 
@@ -43,7 +42,7 @@ def signature_buckets(
 
     ``top_m`` must stay below the dimension: with all indices every row looks the same.
     """
-    return band_keys(top_dims(vector, top_m), permutations, bands, rows, seed)
+    return vector_band_keys(vector, top_m, permutations, bands, rows, seed)
 
 
 def _walk(rows: pd.DataFrame) -> pd.DataFrame:

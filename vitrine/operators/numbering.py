@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vitrine.operators.partitioning import MIN_SPLIT_BYTES, planned_bytes
 from vitrine.session import stage
 
 BATCH_SIZE = 128
@@ -34,9 +35,7 @@ def _with_offsets(df: DataFrame, chunk: list[str], within: Window, n_chunks: int
 
 def _expected_splits(scan: DataFrame) -> int:
     """Upper estimate of the file splits of a scan, from its planned size."""
-    size = int(str(scan._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    smallest_split = 4 * 1024 * 1024  # spark.sql.files.openCostInBytes, the floor Spark uses
-    return len(scan.inputFiles()) + size // smallest_split
+    return len(scan.inputFiles()) + planned_bytes(scan) // MIN_SPLIT_BYTES
 
 
 def number_scanned_lines(scan: DataFrame) -> DataFrame:

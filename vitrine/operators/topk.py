@@ -12,17 +12,20 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vitrine.functions.vectors import l2_normalize, matrix, score
+from vitrine.operators.partitioning import planned_bytes
 from vitrine.operators.validate import compile_filter
 from vitrine.session import stage
 
 # Query vectors held by one task at a time; more are searched block after block.
 BLOCK_BYTES = 8 * 1024 * 1024
+# From this input size on, a search uses the matrix kernel.
+ARROW_FROM_BYTES = 256 * 1024 * 1024
 # Score cells a task computes in one matrix product.
 _CELLS = 4_000_000
 
 
 def _nearest_first(metric: str) -> Column:
-    return F.col("score").desc() if metric == "cosine" else F.col("score").asc()
+    return F.desc_nulls_last("score") if metric == "cosine" else F.asc_nulls_last("score")
 
 
 def topk(
@@ -34,23 +37,26 @@ def topk(
     id_col: str = "id",
     vec_col: str = "embedding",
     metadata: Sequence[str] = (),
-    kernel: str = "jvm",
+    kernel: str = "auto",
 ) -> DataFrame:
     """O-45, O-46: the ``k`` nearest entries to one vector: ``(id, score, *metadata)``.
 
     Conditions apply before the search. Ties go to the smaller id. Every task keeps its
     own ``k`` best rows, so only those are shuffled. ``metadata`` columns ride along;
-    :func:`attach_metadata` fetches wide ones after the limit instead.
+    :func:`attach_metadata` fetches wide ones after the limit instead. The matrix kernel is
+    three times as fast per row but starts Python workers, so ``auto`` takes it for large
+    inputs only.
     """
     candidates = index.filter(compile_filter(conditions, index.columns))
+    if kernel == "auto":
+        kernel = "jvm" if planned_bytes(index) < ARROW_FROM_BYTES else "arrow"
     scored = candidates.select(
         id_col, score(F.col(vec_col), query, metric, kernel).alias("score"), *metadata
     )
-    return (
-        scored.filter(F.col("score").isNotNull())
-        .orderBy(_nearest_first(metric), F.col(id_col))
-        .limit(k)
-    )
+    best = scored.orderBy(_nearest_first(metric), F.col(id_col)).limit(k)
+    # Undefined scores sort last and go only now: below the limit, this filter would be
+    # pushed into the scan and every score computed twice.
+    return best.filter(F.col("score").isNotNull())
 
 
 def attach_metadata(results: DataFrame, index: DataFrame, id_col: str = "id") -> DataFrame:
@@ -64,63 +70,84 @@ def attach_metadata(results: DataFrame, index: DataFrame, id_col: str = "id") ->
 
 
 class _BlockSearch:
-    """Per-task search of one block of queries: a matrix product and a running top-k.
+    """Per-task search of one block of queries: matrix products and a running top-k.
 
-    Only ``k`` rows per query leave the task, never the scores of all pairs.
+    Both metrics become an inner product where higher is nearer: cosine of unit vectors,
+    or ``2qm - |m|^2`` for the Euclidean distance. A cell survives only when it can still
+    enter its query's current best, so after the first rows a product and one comparison
+    is all there is per cell, and only ``k`` rows per query leave the task.
     """
 
-    def __init__(self, queries: np.ndarray, query_ids: pa.Array, k: int, metric: str):
-        self.queries, self.query_ids, self.k, self.metric = queries, query_ids, k, metric
+    tolerance = 1e-12
 
-    def scores(self, m: np.ndarray) -> np.ndarray:
-        """Query-by-row matrix where a higher value is nearer; NaN where undefined."""
-        products = self.queries @ m.T
-        row_squares = np.einsum("ij,ij->i", m, m)
-        query_squares = np.einsum("ij,ij->i", self.queries, self.queries)[:, None]
-        if self.metric == "cosine":
-            lengths = np.sqrt(query_squares * row_squares)
-            return np.divide(products, lengths, out=np.full_like(products, np.nan), where=lengths > 0)
-        return -np.sqrt(np.maximum(row_squares + query_squares - 2 * products, 0.0))
-
-    def best(self, scores: np.ndarray, ids: np.ndarray):
-        """Flat (query, id, score) arrays of the ``k`` best columns per query, ties by id."""
-        scores = np.where(np.isnan(scores), -np.inf, scores)
-        if scores.shape[1] > self.k:
-            kth = np.partition(scores, -self.k, axis=1)[:, -self.k][:, None]
-            picked = (scores >= kth - 1e-12) & np.isfinite(scores)
+    def __init__(self, queries: np.ndarray, query_ids: pa.Array, k: int, metric: str):
+        self.query_ids, self.k, self.metric = query_ids, k, metric
+        self.squares = np.einsum("ij,ij->i", queries, queries)
+        if metric == "cosine":
+            lengths = np.sqrt(self.squares)[:, None]
+            unit = np.divide(queries, lengths, out=np.full_like(queries, np.nan), where=lengths > 0)
+            self.left = unit
         else:
-            picked = np.isfinite(scores)
-        q, column = np.nonzero(picked)
-        return self.cut(q, ids[column], scores[q, column])
-
-    def cut(self, q, ids, values):
+            self.left = np.hstack([2 * queries, np.full((len(queries), 1), -1.0)])
+        self.width = queries.shape[1]
+        self.best = (np.empty(0, np.int64), None, np.empty(0))
+        self.bar = np.full(len(queries), -np.inf)  # score of the k-th best so far
+        self.last = None  # id of the k-th best so far
+
+    def prepare(self, m: np.ndarray, ids: np.ndarray):
+        squares = np.einsum("ij,ij->i", m, m)
+        if self.metric == "cosine":
+            usable = squares > 0
+            return m[usable] / np.sqrt(squares[usable])[:, None], ids[usable]
+        usable = ~np.isnan(squares)
+        return np.hstack([m, squares[:, None]])[usable], ids[usable]
+
+    def offer(self, rows: np.ndarray, ids: np.ndarray) -> None:
+        scores = self.left @ rows.T
+        bar = self.bar
+        if np.isneginf(bar).any() and scores.shape[1] > self.k:
+            bar = np.maximum(bar, np.partition(scores, -self.k, axis=1)[:, -self.k])
+        q, column = np.nonzero(scores >= (bar - self.tolerance)[:, None])
+        values, found = scores[q, column], ids[column]
+        if self.last is not None:
+            improves = (values > self.bar[q] + self.tolerance) | (found < self.last[q])
+            q, values, found = q[improves], values[improves], found[improves]
+        if len(q):
+            self.merge(q, found, values)
+
+    def merge(self, q, ids, values) -> None:
+        held_q, held_ids, held_values = self.best
+        if held_ids is not None:
+            q, values = np.concatenate([held_q, q]), np.concatenate([held_values, values])
+            ids = np.concatenate([held_ids, ids])
         order = np.lexsort((ids, -np.round(values, 12), q))
         q, ids, values = q[order], ids[order], values[order]
-        starts = np.searchsorted(q, q, side="left")
-        keep = np.arange(len(q)) - starts < self.k
-        return q[keep], ids[keep], values[keep]
+        place = np.arange(len(q)) - np.searchsorted(q, q, side="left")
+        keep = place < self.k
+        self.best = q[keep], ids[keep], values[keep]
+        full = place == self.k - 1
+        self.bar[q[full]] = values[full]
+        if len(q[full]) == len(self.bar):
+            self.last = ids[full]
 
     def run(self, batches):
-        step = max(1, _CELLS // max(1, len(self.queries)))
-        held, id_type = None, None
+        step = max(1, _CELLS // max(1, len(self.bar)))
+        id_type = None
         for batch in batches:
             ids_arrow, vectors = batch.column(0), batch.column(1)
             id_type = ids_arrow.type
             width = pa.compute.list_value_length(vectors).fill_null(-1).to_numpy()
-            fits = pa.array(width == self.queries.shape[1])
+            fits = pa.array(width == self.width)
             ids = ids_arrow.filter(fits).to_numpy(zero_copy_only=False)
             if ids.dtype == object:
                 ids = ids.astype(str)
-            m = matrix(vectors.filter(fits))
-            for start in range(0, len(m), step):
-                found = self.best(self.scores(m[start : start + step]), ids[start : start + step])
-                if held is not None:
-                    found = self.cut(*[np.concatenate(pair) for pair in zip(held, found)])
-                held = found
-        if held is not None:
-            q, ids, values = held
+            rows, ids = self.prepare(matrix(vectors.filter(fits)), ids)
+            for start in range(0, len(rows), step):
+                self.offer(rows[start : start + step], ids[start : start + step])
+        q, ids, values = self.best
+        if ids is not None:
             if self.metric != "cosine":
-                values = -values
+                values = np.sqrt(np.maximum(self.squares[q] - values, 0.0))
             yield pa.RecordBatch.from_arrays(
                 [
                     self.query_ids.take(pa.array(q)),
@@ -168,6 +195,7 @@ def topk_batch(
     queries = queries.select("query_id", F.col("query").cast("array<double>").alias("query"))
     id_type = rows.schema["id"].dataType.simpleString()
     query_type = queries.schema["query_id"].dataType.simpleString()
+    queries = stage(queries, "queries")  # measured, then read once per block
     size = queries.agg(
         F.coalesce(F.sum(F.size("query").cast("long") * 8 + 64), F.lit(0)).alias("bytes")
     ).first()["bytes"]

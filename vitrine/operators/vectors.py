@@ -11,6 +11,8 @@ from pyspark.ml.model_cache import ModelCache
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vitrine.operators.partitioning import spread_small
+
 BATCH_SIZE = 128
 
 
@@ -76,7 +78,7 @@ def embed(
                 results.extend(_mean_or_none(vectors, dim) for vectors in zip(*runs))
             yield pd.Series(results, index=series.index, dtype=object)
 
-    return df.withColumn(out, run(F.col(col)))
+    return spread_small(df).withColumn(out, run(F.col(col)))
 
 
 def _mean_or_none(vectors, dim: int):

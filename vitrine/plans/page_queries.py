@@ -9,13 +9,14 @@ from vitrine.functions.text import text_lines
 from vitrine.operators.extract import block_under_heading, extract_records, listing_links
 from vitrine.operators.joins import asset_manifest as manifest
 from vitrine.operators.joins import rewrite_urls
+from vitrine.operators.partitioning import spread_small
 from vitrine.plans.flows import records_from_pages
 from vitrine.plans.registry import query, table
 from vitrine.sources.assets import classify_assets
 
 
 def _markup(spark, sf):
-    return table(spark, sf, "pages").withColumn("markup", H.markup_only(F.col("html")))
+    return spread_small(table(spark, sf, "pages")).withColumn("markup", H.markup_only(F.col("html")))
 
 
 def _text_sql(element: str) -> str:
@@ -109,7 +110,7 @@ _H1 = "regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1)"
 )
 def page_block(spark, sf):
     block = block_under_heading(F.col("html"), ("article", None), "h1", "the")
-    return table(spark, sf, "pages").select("page_id", block.alias("block"))
+    return spread_small(table(spark, sf, "pages")).select("page_id", block.alias("block"))
 
 
 def catalogue_pages(spark, sf):
@@ -169,7 +170,7 @@ _EDITION = """CASE p_type WHEN 'PROMO' THEN NULL WHEN 'LARGE' THEN 'Release Date
 )
 def kv_lines(spark, sf):
     lines = H.table_lines(H.markup_only(F.col("html")), "table table-bordered")
-    pages = catalogue_pages(spark, sf).withColumn("lines", lines)
+    pages = spread_small(catalogue_pages(spark, sf)).withColumn("lines", lines)
     keys = {"edition": "Edition", "release_date": "Release Date", "original_price": "Original Price", "sku": "SKU"}
     values = [H.value_after(F.col("lines"), key).alias(name) for name, key in keys.items()]
     last = H.value_after(F.col("lines"), F.concat(F.lit("S"), F.col("p_partkey")))
@@ -185,7 +186,7 @@ def kv_lines(spark, sf):
               FROM documents)) WHERE l.next IS NOT NULL"""
 )
 def line_pairs(spark, sf):
-    docs = table(spark, sf, "documents").withColumn("lines", text_lines(F.col("text")))
+    docs = spread_small(table(spark, sf, "documents")).withColumn("lines", text_lines(F.col("text")))
     pairs = docs.select("doc_id", F.posexplode(H.line_pairs(F.col("lines"))).alias("pos", "pair"))
     return pairs.select(
         "doc_id",

@@ -270,7 +270,9 @@ def hashing_model():
     """Test model: token counts in 64 buckets, by the first four hex digits of the MD5."""
     import hashlib
     import re
+    from functools import lru_cache
 
+    @lru_cache(maxsize=100_000)
     def bucket(token):
         return int(hashlib.md5(token.encode()).hexdigest()[:4], 16) % DIM
 

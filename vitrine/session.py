@@ -26,9 +26,19 @@ def shared_root(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
+def scratch_root(spark: SparkSession) -> str:
+    """Folder below the shared one that holds this application's intermediate tables."""
+    return f"{shared_root(spark)}/vitrine-{spark.sparkContext.applicationId}"
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh, unused path below the shared folder."""
-    return f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
+    """A fresh, unused path for an intermediate table."""
+    return f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete this application's intermediate tables, once its results are written."""
+    delete_path(spark, scratch_root(spark))
 
 
 def write_table(df: DataFrame, path: str) -> DataFrame:
