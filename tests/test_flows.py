@@ -4,7 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from vitrine.functions.dynamic import text_field
-from vitrine.plans.flows import check_lines, full_entries, records_from_pages, search, simple_entries
+from vitrine.plans.flows import check_lines, full_entries, records_from_pages, search, search_index, simple_entries
+from vitrine.sources.index_store import ensure_index
 
 LINES = [
     '{"name":"A é’","edition":"Limited Edition  750","release_date":"2023-05-16","image_url":"http://h/a.jpg","tags":["x"]}',
@@ -104,3 +105,14 @@ def test_id_field_is_a_parameter(spark):
     lines = spark.createDataFrame([(1, '{"id":"k","image_url":"u"}')], "line_no long, raw string")
     assert check_lines(lines, id_field="id").select("id", "reason").first() == ("k", None)
     assert lines.select(text_field(F.from_json("raw", "map<string,variant>"), "id")).first()[0] == "k"
+
+
+def test_search_of_a_stored_index(spark, inputs, tmp_path):
+    entries, _ = simple_entries(*inputs, dim=4)
+    index = ensure_index(spark, str(tmp_path), "idx", 4, buckets=8)
+    index.upsert(entries, "line_no")
+    for conditions in (None, {"release_date": "Unknown"}):
+        stored = search_index(index, [0.0, 0.0, 2.0, 1.0], 3, conditions).orderBy("rank").collect()
+        assert stored == search(entries, [0.0, 0.0, 2.0, 1.0], 3, conditions=conditions).orderBy("rank").collect()
+    with pytest.raises(ValueError):
+        search_index(index, [1.0])

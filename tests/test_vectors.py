@@ -30,7 +30,19 @@ def test_top_dims_ties_take_the_higher_index(values):
 def test_means(spark):
     rows = [("a", [1.0, 2.0]), ("a", [3.0, 6.0]), ("b", [0.0, 1.0])]
     df = spark.createDataFrame(rows, "id string, embedding array<float>")
-    assert {r["id"]: r["embedding"] for r in vec_mean(df, "id").collect()} == {"a": [2.0, 4.0], "b": [0.0, 1.0]}
+    for dim in (None, 2):
+        means = {r["id"]: r["embedding"] for r in vec_mean(df, "id", dim=dim).collect()}
+        assert means == {"a": [2.0, 4.0], "b": [0.0, 1.0]}
+    ragged = spark.createDataFrame([("a", [1.0, 2.0]), ("a", [1.0])], "id string, embedding array<float>")
+    assert vec_mean(ragged, "id", dim=2).first()["embedding"] is None
+
+
+def test_mean_of_wide_vectors(spark):
+    df = spark.range(60).select(
+        (F.col("id") % 20).alias("k"), F.transform(F.sequence(F.lit(1), F.lit(768)), lambda n: n * F.col("id")).alias("embedding")
+    )
+    means = {r["k"]: r["embedding"] for r in vec_mean(df, "k", dim=768).collect()}
+    assert all(means[k] == [n * (k + 20.0) for n in range(1, 769)] for k in range(20))
 
 
 def test_mean_of_variants(values):

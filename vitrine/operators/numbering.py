@@ -58,8 +58,9 @@ def number_scanned_lines(scan: DataFrame) -> DataFrame:
 def with_line_no(df: DataFrame, *order: str) -> DataFrame:
     """O-03 for a table: add ``line_no``, counting from 1 along ``order``.
 
-    Rows are range-partitioned, so no task sees more than its share; the sorted table is
-    written once because range bounds are sampled and must not be drawn twice.
+    The order columns together must be unique. Rows are range-partitioned on all of them,
+    so no task sees more than its share; the sorted table is written once because range
+    bounds are sampled and must not be drawn twice.
     """
     columns = [*order] or df.columns
     ordered = (

@@ -13,6 +13,13 @@ def planned_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
+def input_bytes(df: DataFrame) -> int:
+    """Bytes a plan reads, summed over its scans; joins do not multiply it."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [leaves.apply(n).stats().sizeInBytes() for n in range(leaves.size())]
+    return sum(int(str(size)) for size in sizes)
+
+
 def spread_small(df: DataFrame) -> DataFrame:
     """Deal rows out to all cores when the input is below one smallest split per core.
 
@@ -23,4 +30,4 @@ def spread_small(df: DataFrame) -> DataFrame:
     if df.isStreaming:
         return df
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if planned_bytes(df) < cores * MIN_SPLIT_BYTES else df
+    return df.repartition(cores) if input_bytes(df) < cores * MIN_SPLIT_BYTES else df

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vitrine.functions.vectors import l2_normalize, matrix, score
-from vitrine.operators.partitioning import planned_bytes
+from vitrine.operators.partitioning import input_bytes
 from vitrine.operators.validate import compile_filter
 from vitrine.session import stage
 
@@ -49,7 +49,7 @@ def topk(
     """
     candidates = index.filter(compile_filter(conditions, index.columns))
     if kernel == "auto":
-        kernel = "jvm" if planned_bytes(index) < ARROW_FROM_BYTES else "arrow"
+        kernel = "jvm" if input_bytes(index) < ARROW_FROM_BYTES else "arrow"
     scored = candidates.select(
         id_col, score(F.col(vec_col), query, metric, kernel).alias("score"), *metadata
     )

@@ -24,6 +24,7 @@ from vitrine.operators.topk import attach_metadata, present, topk
 from vitrine.operators.validate import judge, record_rules, vector_rules
 from vitrine.operators.vectors import embed
 from vitrine.session import stage
+from vitrine.sources.index_store import VectorIndex
 from vitrine.sources.records import classify_lines
 
 
@@ -151,6 +152,25 @@ def full_entries(
     return entries, reduce(DataFrame.unionByName, rejects)
 
 
+def _shown(results: DataFrame, entries: DataFrame, metric: str) -> DataFrame:
+    """Results with their metadata as text, ranked for display."""
+    wide = attach_metadata(results, entries.select("id", "metadata"))
+    texts = wide.withColumn(
+        "metadata", F.transform_values("metadata", lambda _, v: F.try_variant_get(v, "$", "string"))
+    )
+    return present(texts, metric=metric)
+
+
+def search_index(
+    index: VectorIndex, query: Sequence[float], k: int = 5, conditions: Mapping | None = None
+) -> DataFrame:
+    """Search of a stored index: filter, top-k, then metadata from the hit buckets only."""
+    if len(query) != index.dim:
+        raise ValueError(f"index holds {index.dim} dimensions, the query has {len(query)}")
+    results = stage(topk(index.read(), query, k, index.metric, conditions), "results")
+    return _shown(results, index.entries_of(results), index.metric)
+
+
 def search(
     index: DataFrame,
     query: Sequence[float],
@@ -162,9 +182,4 @@ def search(
 
     ``index`` has ``(id, embedding, metadata)`` with a map of variants.
     """
-    results = topk(index, query, k, metric, conditions)
-    wide = attach_metadata(results, index.select("id", "metadata"))
-    texts = wide.withColumn(
-        "metadata", F.transform_values("metadata", lambda _, v: F.try_variant_get(v, "$", "string"))
-    )
-    return present(texts, metric=metric)
+    return _shown(topk(index, query, k, metric, conditions), index, metric)

@@ -8,6 +8,7 @@ from vitrine.functions import dynamic as D
 from vitrine.functions import text as X
 from vitrine.operators.keyed import keep_first, keep_last, upsert
 from vitrine.operators.numbering import with_batch_no, with_line_no
+from vitrine.operators.partitioning import spread_small
 from vitrine.operators.validate import count_by
 from vitrine.plans.flows import check_lines
 from vitrine.plans.registry import query, table
@@ -256,7 +257,7 @@ def land_raw_pages(spark, sf):
 
 def document_lines(spark, sf):
     """Every document as a numbered catalogue line; labels and language decide what is wrong."""
-    docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
+    docs, labels = spread_small(table(spark, sf, "documents")), table(spark, sf, "labels")
     record = F.struct(
         F.when(F.col("lang") != "de", F.concat_ws("-", "source", F.col("doc_id"))).alias("name"),
         F.when(F.col("lang") == "fr", "")

@@ -11,7 +11,7 @@ from vitrine.operators.joins import attach_embedding
 from vitrine.operators.neardup import drop_near_dups, signature_buckets
 from vitrine.operators import topk as K
 from vitrine.operators.vectors import embed, fan_out, vec_mean
-from vitrine.plans.flows import full_entries, search, simple_entries
+from vitrine.plans.flows import full_entries, search_index, simple_entries
 from vitrine.plans.registry import fixed_point, query, table
 from vitrine.plans.text_queries import REASON_SQL, document_lines
 from vitrine.session import scratch_path
@@ -346,7 +346,8 @@ def _image_vectors(spark, sf) -> DataFrame:
         "embedding", lambda x: x.cast("double") * (1 + F.col("variant_no") * F.lit(0.1))
     )
     url = F.concat(F.lit("http://host.example/"), F.col("vec_id"), F.lit(".jpg"))
-    return vec_mean(variants.select(url.alias("image_url"), shifted.alias("embedding")), "image_url")
+    images = variants.select(url.alias("image_url"), shifted.alias("embedding"))
+    return vec_mean(images, "image_url", dim=DIM)
 
 
 _SQL_ENTRIES = f"""WITH {_SQL_BASE}, r AS (
@@ -458,7 +459,7 @@ def search_shown(spark, sf):
     index = ensure_index(spark, root, "parts", DIM, buckets=16)
     index.upsert(_part_entries(spark, sf), "vec_id")
     conditions = {"category": {"$eq": "SMALL"}, "price": {"$lt": 950}}
-    shown = search(index.read(), _label_mean(spark, sf), 5, index.metric, conditions)
+    shown = search_index(index, _label_mean(spark, sf), 5, conditions)
     return shown.select(
         "rank",
         "id",
@@ -497,24 +498,25 @@ def _in_arrivals(spark, df: DataFrame, order: str, schema: str, run, arrivals: i
 
 
 @query(
-    """SELECT CAST(vec_id % 100 AS VARCHAR) AS id, max(vec_id) AS vec_id FROM embeddings GROUP BY 1"""
+    "SELECT CAST(label AS VARCHAR) AS id, max(vec_id) AS vec_id FROM embeddings GROUP BY 1"
 )
 def stream_index_upsert(spark, sf):
-    vectors = _embeddings(spark, sf).select("vec_id", "embedding")
+    vectors = _embeddings(spark, sf)
     index = ensure_index(spark, scratch_path(spark, "indexes"), "stream", DIM, buckets=8)
     checkpoint = scratch_path(spark, "stream-state")
 
     def run(stream):
         metadata = F.to_variant_object(F.struct("vec_id"))
         entries = stream.select(
-            (F.col("vec_id") % 100).cast("string").alias("id"),
+            F.col("label").cast("string").alias("id"),
             "embedding",
             F.try_variant_get(metadata, "$", "map<string,variant>").alias("metadata"),
             "vec_id",
         )
         stream_upsert(entries, index, "vec_id", checkpoint)
 
-    _in_arrivals(spark, vectors, "vec_id", "vec_id long, embedding array<double>", run)
+    schema = "vec_id long, embedding array<double>, label int"
+    _in_arrivals(spark, vectors, "vec_id", schema, run)
     latest = F.try_variant_get(F.try_element_at("metadata", F.lit("vec_id")), "$", "long")
     return index.read().select("id", latest.alias("vec_id"))
 

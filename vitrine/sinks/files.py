@@ -45,9 +45,8 @@ def land_pages(df: DataFrame, path: str, order: str, pages_per_folder: int = 100
     """
     latest = keep_last(df, ["page", "item"], order)
     folder = F.floor(F.col("page") / pages_per_folder).cast("long")
-    latest.withColumn("page_range", folder).write.mode("overwrite").partitionBy(
-        "page_range"
-    ).parquet(path)
+    ranged = latest.withColumn("page_range", folder).hint("rebalance", "page_range")
+    ranged.write.mode("overwrite").partitionBy("page_range").parquet(path)
 
 
 def write_rejects(df: DataFrame, path: str, mode: str = "overwrite") -> None:

@@ -74,6 +74,16 @@ class VectorIndex:
         placed = self._placement(self.generation())
         return self._scan(placed).select("id", "embedding", "metadata")
 
+    def entries_of(self, ids: DataFrame) -> DataFrame:
+        """Entries of a few ids, such as a top-k result, from the buckets that hold them.
+
+        At most one bucket per id is read, however large the index is.
+        """
+        wanted = {r["bucket"] for r in ids.select(self._bucket().alias("bucket")).distinct().collect()}
+        placed = [r for r in self._placement(self.generation()) if r["bucket"] in wanted]
+        entries = self._scan(placed).select("id", "embedding", "metadata")
+        return entries.join(F.broadcast(ids.select("id")), "id", "left_semi")
+
     def last_batch(self) -> int | None:
         """Streaming batch recorded by the latest commit, None when there is none."""
         placed = self._placement(self.generation())
