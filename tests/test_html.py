@@ -116,3 +116,22 @@ def test_listing(spark, values):
     assert listing_links(df, "page").count() == 2
     inner = H.all_hrefs(F.col("v"), "h5", "card-title")
     assert values(inner, [page]) == [["/p/1"]]
+
+
+def test_broken_pages_take_linear_time(spark):
+    pages = [
+        "<!-- " * 20000,
+        '<a href="/series/1">' * 20000,
+        '<a title="' + '<b class="x">t</b>' * 5000,
+        '<h1 class="h3">a' + " " * 200000 + "x</h1>",
+        "<script>" * 20000,
+        "<" * 100000,
+    ]
+    rows = records(spark, *pages)
+    assert [r["name"] for r in rows] == [None, None, None, "a" + " " * 200000 + "x", None, None]
+    assert rows[1]["series"] == ""
+
+
+def test_text_that_looks_like_a_tag(values):
+    pages = ["<h1>a < b > c</h1>", "<h1 title='x > y'>t<!DOCTYPE z></h1>", "<h1 title=don't>u</h1>", "<h1>open <p>end"]
+    assert values(H.first_text(F.col("v"), "h1"), pages) == ["a < b > c", "t", "u", "open end"]

@@ -46,7 +46,8 @@ def test_price(values):
 @given(st.lists(st.text(max_size=20), min_size=20, max_size=60))
 def test_ascii_and_strip_equal_python(values, rows):
     rows = [r.replace("\x00", "") for r in rows]
-    rows = [r for r in rows if not any(0xD800 <= ord(c) <= 0xDFFF for c in r)]
+    # Characters newer than Python's Unicode tables may already be known to Arrow.
+    rows = [r for r in rows if not any(unicodedata.category(c) in ("Cn", "Cs") for c in r)]
     expected = [unicodedata.normalize("NFKD", r).encode("ascii", "ignore").decode() for r in rows]
     assert values(X.ascii_id(F.col("v")), rows) == expected
     assert values(X.strip(F.col("v")), rows) == [r.strip() for r in rows]

@@ -3,8 +3,8 @@
 Pages are not well-formed XML, so Spark's XPath functions do not apply. Every function
 takes markup that went through :func:`markup_only` once; callers keep that in its own
 column so the clean-up is not repeated per field. The text of an element ends at the
-first closing tag of the same name; nested containers are the business of
-``operators.extract.block_under_heading``.
+first closing tag of its name, or where the next element of that name opens; nested
+containers are the business of ``operators.extract.block_under_heading``.
 """
 
 from __future__ import annotations
@@ -18,8 +18,9 @@ from pyspark.sql import functions as F
 from vitrine.functions.binding import let
 from vitrine.functions.text import strip, text_lines
 
-# The rest of an opening tag; quoted attribute values may contain '>'.
-_TAG_REST = r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+"""
+# The rest of a tag; a quoted attribute value may contain '>'.
+_TAG_REST = r"""(?:[^>=]++|=\s*"[^"]*+"|=\s*'[^']*+'|=)*+"""
+_ANY_TAG = rf"(?s)</?[a-zA-Z]{_TAG_REST}>|<[!?][^>]*+>"
 
 # Named entities as a JSON map, from the standard library's HTML 4 table.
 _NAMED = json.dumps({f"&{n};": chr(c) for n, c in name2codepoint.items()} | {"&apos;": "'"})
@@ -27,9 +28,12 @@ _PIECES = r"(?s)(&#[xX]?[0-9a-fA-F]{1,6};|&[a-zA-Z][a-zA-Z0-9]{1,31};|[^&]+|&)"
 
 
 def markup_only(html: Column) -> Column:
-    """Drop comments and the bodies of script and style, where tags are not markup."""
-    opaque = r"(?is)<!--.*?-->|(<(?:script|style)\b[^>]*>).*?(</(?:script|style)\s*>)"
-    return F.regexp_replace(html, opaque, "$1$2")
+    """Drop comments and the bodies of script and style, where tags are not markup.
+
+    One that is never closed reaches to the end of the page.
+    """
+    opaque = r"(?is)<!--.*?(?:-->|\z)|(<(script|style)\b[^>]*>).*?(</\2\s*>|\z)"
+    return F.regexp_replace(html, opaque, "$1$3")
 
 
 def _decode_piece(piece: Column) -> Column:
@@ -62,7 +66,7 @@ def unescape(text: Column) -> Column:
 
 def inner_text(element: Column) -> Column:
     """All text below an element, decoded and stripped."""
-    return strip(unescape(F.regexp_replace(element, r"(?s)<[^>]*>", "")))
+    return strip(unescape(F.regexp_replace(element, _ANY_TAG, "")))
 
 
 def attribute(element: Column, name: str) -> Column:
@@ -75,9 +79,13 @@ def attribute(element: Column, name: str) -> Column:
 
 
 def elements(markup: Column, tag: str) -> Column:
-    """Every ``<tag …>…</tag>`` in document order, nested openings included."""
-    pattern = rf"(?is)(?=(<{tag}(?=[\s>/]){_TAG_REST}>.*?</{tag}\s*>))<{tag}"
-    return F.regexp_extract_all(markup, F.lit(pattern), 1)
+    """Every ``<tag …`` in document order, up to its closing tag or the next such opening.
+
+    The pieces partition the page, so the work stays linear however broken the page is.
+    """
+    pieces = F.split(markup, rf"(?i)(?=<{tag}[\s>/])")
+    opened = F.filter(pieces, lambda piece: piece.rlike(rf"(?i)^<{tag}[\s>/]"))
+    return F.transform(opened, lambda piece: F.split(piece, rf"(?i)</{tag}\s*>", 2)[0])
 
 
 def opening_tags(markup: Column, tag: str) -> Column:
@@ -139,7 +147,7 @@ def all_texts(markup: Column, tag: str, cls: str | None = None) -> Column:
 def table_lines(markup: Column, cls: str) -> Column:
     """O-15: non-blank text lines of the first table with this class; NULL without one."""
     table = _first(F.filter(elements(markup, "table"), lambda e: has_class(e, cls)))
-    return text_lines(unescape(F.regexp_replace(table, r"(?s)<[^>]*>", "\n")))
+    return text_lines(unescape(F.regexp_replace(table, _ANY_TAG, "\n")))
 
 
 def line_pairs(lines: Column) -> Column:

@@ -204,7 +204,8 @@ def line_pairs(spark, sf):
         CASE WHEN p_type <> 'PROMO' THEN 'S' || p_partkey END AS sku,
         'About ' || p_name || ' and more' AS description,
         'http://host.example/' || p_partkey || '.jpg' AS image_url,
-        p_brand || '|' || p_type AS tags FROM part"""
+        p_brand || '|' || p_type AS tags FROM part""",
+    name="extract_records",
 )
 def extracted_records(spark, sf):
     records = extract_records(catalogue_pages(spark, sf), keep=("p_partkey",))
