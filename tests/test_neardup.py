@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from vitrine.functions.minhash import band_keys, vector_band_keys
+from vitrine.functions.minhash import BANDS, ROWS, band_keys, band_layout, vector_band_keys
 from vitrine.functions.vectors import top_dims
 from vitrine.operators import neardup as N
 
@@ -111,3 +111,9 @@ def test_vector_keys_equal_token_keys(spark):
     ).collect()
     assert all(r["a"] == r["b"] for r in found)
     assert sum(r["a"] is None for r in found) == 2
+
+
+def test_band_layout():
+    assert band_layout(0.9, 128) == (BANDS, ROWS)
+    bands, rows = band_layout(0.5, 128)
+    assert bands * rows <= 128 and (1 / bands) ** (1 / rows) == pytest.approx(0.5, abs=0.1)

@@ -117,11 +117,11 @@ class _Blocks(_Nesting):
 
 
 def block_under_heading(
-    html: Column, container: tuple[str, str | None], heading: str, label: str
+    markup: Column, container: tuple[str, str | None], heading: str, label: str
 ) -> Column:
     """O-18: text of the first container whose first heading contains ``label``.
 
-    All copies of the label are removed. Nesting decides what belongs to a container,
+    Takes markup from ``html.markup_only``. All copies of the label are removed. Nesting decides what belongs to a container,
     which a regular expression cannot tell, so this runs over a parser in Arrow batches.
     NULL when no container qualifies.
     """
@@ -136,17 +136,17 @@ def block_under_heading(
 
         return pages.map(block, na_action="ignore").astype(object)
 
-    return strip(F.replace(find(html), F.lit(label), F.lit("")))
+    return strip(F.replace(find(markup), F.lit(label), F.lit("")))
 
 
-def descendant_hrefs(html: Column, path: list[tuple[str, str | None]]) -> Column:
+def descendant_hrefs(markup: Column, path: list[tuple[str, str | None]]) -> Column:
     """O-19: hrefs of anchors below a chain of ancestors, outermost first."""
 
     @F.pandas_udf("array<string>")
     def find(pages: pd.Series) -> pd.Series:
         return pages.map(lambda p: _Links(p, path).hrefs, na_action="ignore").astype(object)
 
-    return find(html)
+    return find(markup)
 
 
 def listing_links(
@@ -156,15 +156,12 @@ def listing_links(
 
     With no ``path`` every anchor counts and the extraction stays in the JVM.
     """
-    hrefs = (
-        H.all_hrefs(H.markup_only(F.col("html")))
-        if path is None
-        else descendant_hrefs(F.col("html"), path)
-    )
+    markup = H.markup_only(F.col("html"))
+    hrefs = H.all_hrefs(markup) if path is None else descendant_hrefs(markup, path)
     return spread_small(pages).select(page, F.posexplode(hrefs).alias("item", "href"))
 
 
-def _field(rule: tuple, markup: Column, html: Column) -> Column:
+def _field(rule: tuple, markup: Column) -> Column:
     how, *args = rule
     if how == "text":
         return H.first_text(markup, *args)
@@ -177,7 +174,7 @@ def _field(rule: tuple, markup: Column, html: Column) -> Column:
     if how == "texts":
         return H.all_texts(markup, *args)
     if how == "block":
-        return block_under_heading(html, *args)
+        return block_under_heading(markup, *args)
     raise ValueError(f"unknown rule {how!r}")
 
 
@@ -199,7 +196,7 @@ def extract_records(
         (
             H.value_after(F.col(lines[rule[1]]), rule[2])
             if rule[0] == "table"
-            else _field(rule, F.col("_markup"), F.col("html"))
+            else _field(rule, F.col("_markup"))
         ).alias(name)
         for name, rule in spec.items()
     ]

@@ -109,8 +109,8 @@ _H1 = "regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1)"
     FROM pages"""
 )
 def page_block(spark, sf):
-    block = block_under_heading(F.col("html"), ("article", None), "h1", "the")
-    return spread_small(table(spark, sf, "pages")).select("page_id", block.alias("block"))
+    block = block_under_heading(F.col("markup"), ("article", None), "h1", "the")
+    return _markup(spark, sf).select("page_id", block.alias("block"))
 
 
 def catalogue_pages(spark, sf):
