@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from test_flows import LINES
 from vitrine.operators.neardup import drop_near_dups
 from vitrine.plans.flows import check_lines
+from vitrine.session import list_children, scratch_root
 from vitrine.sources.index_store import ensure_index
 from vitrine.streaming.ingest import run_available, stream_records
 from vitrine.streaming.upsert import drop_near_dups_in_batch, stream_drop_near_dups, stream_upsert
@@ -59,6 +60,7 @@ def test_stream_near_dups_equal_the_batch_operator(spark, tmp_path):
         spark.createDataFrame(part, schema).write.mode("append").json(folder)
         stream = spark.readStream.schema(schema).json(folder)
         stream_drop_near_dups(stream, "n", F.col("b"), state, out, str(tmp_path / "state"))
+    assert not [p for p in list_children(spark, scratch_root(spark)) if p.startswith("scope")]
     streamed = {r["n"] for r in spark.read.schema(schema).parquet(f"{out}/*").collect()}
     kept, _ = drop_near_dups(spark.createDataFrame(rows, schema), "n", F.col("b"))
     assert streamed == {r["n"] for r in kept.collect()}

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from vitrine.functions.minhash import BANDS, PERMUTATIONS, ROWS, vector_band_keys
 from vitrine.operators.joins import HOT_FLOOR, HOT_SHARE
-from vitrine.session import delete_path, scratch_path, stage, write_table
+from vitrine.session import delete_path, scratch_path, scratch_scope, stage, write_table
 
 # With no more contested memberships than this (16 bytes each) one task finishes the walk
 # in order; long chains of tiny steps would otherwise cost a round per link.
@@ -149,8 +149,12 @@ def drop_near_dups(
     ``buckets`` is an array of 64-bit keys, such as :func:`signature_buckets`. Rows without
     any key collide with nobody and are kept.
     """
+    spark = df.sparkSession
     signatures = df.select(F.col(order).cast("long").alias("order"), buckets.alias("buckets"))
-    winners = stage(kept_orders(signatures, tail_rows).withColumnRenamed("order", order), "kept")
+    path = scratch_path(spark, "kept")
+    with scratch_scope(spark):
+        kept = kept_orders(signatures, tail_rows).withColumnRenamed("order", order)
+        winners = write_table(kept, path)
     return (
         df.join(winners, order, "left_semi"),
         df.join(winners, order, "left_anti"),

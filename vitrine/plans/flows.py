@@ -23,7 +23,7 @@ from vitrine.operators.neardup import drop_near_dups, signature_buckets
 from vitrine.operators.topk import attach_metadata, present, topk
 from vitrine.operators.validate import judge, record_rules, vector_rules
 from vitrine.operators.vectors import embed
-from vitrine.session import stage
+from vitrine.session import scratch_path, scratch_scope, stage, write_table
 from vitrine.sources.index_store import VectorIndex
 from vitrine.sources.records import classify_lines
 
@@ -72,21 +72,24 @@ def _with_vectors(lines: DataFrame, vectors: DataFrame, dim: int, id_field: str)
     Both the entries and the rejects are read from it, so nothing is parsed or joined
     twice. A reject keeps its raw line, a good row its fields.
     """
-    checked = stage(check_lines(lines, id_field), "checked")
-    joined = lookup(checked, vectors.select("image_url", "embedding"), "image_url")
-    judged = judge(joined, vector_rules(F.col("embedding"), dim))
-    good = F.col("reason").isNull()
-    return stage(
-        judged.select(
-            "line_no",
-            "id",
-            "reason",
-            F.when(~good, F.col("raw")).alias("raw"),
-            F.when(good, F.col("fields")).alias("fields"),
-            F.when(good, F.col("embedding")).alias("embedding"),
-        ),
-        "judged",
-    )
+    spark = lines.sparkSession
+    path = scratch_path(spark, "judged")
+    with scratch_scope(spark):
+        checked = stage(check_lines(lines, id_field), "checked")
+        joined = lookup(checked, vectors.select("image_url", "embedding"), "image_url")
+        judged = judge(joined, vector_rules(F.col("embedding"), dim))
+        good = F.col("reason").isNull()
+        return write_table(
+            judged.select(
+                "line_no",
+                "id",
+                "reason",
+                F.when(~good, F.col("raw")).alias("raw"),
+                F.when(good, F.col("fields")).alias("fields"),
+                F.when(good, F.col("embedding")).alias("embedding"),
+            ),
+            path,
+        )
 
 
 def simple_entries(

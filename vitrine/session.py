@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,9 +33,27 @@ def scratch_root(spark: SparkSession) -> str:
     return f"{shared_root(spark)}/vitrine-{spark.sparkContext.applicationId}"
 
 
+_scope: ContextVar[str | None] = ContextVar("vitrine_scratch_scope", default=None)
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh, unused path for an intermediate table."""
-    return f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
+    """A fresh, unused path for an intermediate table, inside the current scope if any."""
+    return f"{_scope.get() or scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession):
+    """Tables staged inside this block are deleted at its end.
+
+    Whatever is to outlive the block must be written inside it, to a path taken before.
+    """
+    folder = scratch_path(spark, "scope")
+    token = _scope.set(folder)
+    try:
+        yield
+    finally:
+        _scope.reset(token)
+        delete_path(spark, folder)
 
 
 def clear_scratch(spark: SparkSession) -> None:

@@ -3,17 +3,19 @@
 Layout below ``root/name``::
 
     properties/              one JSON row: dimension, metric, number of buckets
-    data/gen=G/bucket=B/     entries, B = hash(id) modulo the number of buckets
-    commits/G/               one JSON row per bucket: the generation that holds it
+    data/gen=G-x/bucket=B/   entries, B = hash(id) modulo the number of buckets
+    commits/G/               one JSON row per bucket: the data folder that holds it
 
-An upsert rewrites only the buckets its ids fall into, as a new generation, and becomes
+An upsert rewrites only the buckets its ids fall into, in a folder of its own, and becomes
 visible when its commit folder is complete. Readers never see a half-written state and no
 path is read and overwritten at once. The commit has one row per bucket, whatever the size
-of the index.
+of the index. One writer at a time: of two that start from the same generation, the later
+commit fails.
 """
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -28,6 +30,7 @@ from vitrine.session import (
     write_table,
 )
 
+_COMMIT_SCHEMA = "bucket int, gen string, batch_id long"
 ENTRY_SCHEMA = "id string, embedding array<double>, metadata map<string,variant>"
 
 
@@ -56,13 +59,13 @@ class VectorIndex:
         """Rows ``(bucket, gen, batch_id)`` of a commit: at most one per bucket."""
         if generation == 0:
             return []
-        commit = self.spark.read.schema("bucket int, gen long, batch_id long").json(
+        commit = self.spark.read.schema(_COMMIT_SCHEMA).json(
             f"{self.path}/commits/{generation}"
         )
         return commit.collect()
 
     def _scan(self, placed: list) -> DataFrame:
-        schema = f"{ENTRY_SCHEMA}, gen long, bucket int"
+        schema = f"{ENTRY_SCHEMA}, gen string, bucket int"
         folders = [f"{self.path}/data/gen={r['gen']}/bucket={r['bucket']}" for r in placed]
         if not folders:
             return self.spark.createDataFrame([], schema)
@@ -110,21 +113,22 @@ class VectorIndex:
         touched = {r["bucket"] for r in latest.select("bucket").distinct().collect()}
         before = self.generation()
         placed = self._placement(before)
+        folder = f"{before + 1}-{uuid.uuid4().hex}"
         if touched:
             base = self._scan([r for r in placed if r["bucket"] in touched]).drop("gen")
             merged = base.join(latest, ["bucket", "id"], "left_anti").unionByName(latest)
             # Rebalancing lets adaptive execution size the files and split a large bucket.
-            merged.hint("rebalance", "bucket").write.mode("overwrite").partitionBy(
-                "bucket"
-            ).parquet(f"{self.path}/data/gen={before + 1}")
+            merged.hint("rebalance", "bucket").write.partitionBy("bucket").parquet(
+                f"{self.path}/data/gen={folder}"
+            )
         if batch_id is None and placed:
             batch_id = placed[0]["batch_id"]
         if batch_id is None and placed:
             batch_id = placed[0]["batch_id"]
         kept = [(r["bucket"], r["gen"], batch_id) for r in placed if r["bucket"] not in touched]
-        rows = kept + [(b, before + 1, batch_id) for b in sorted(touched)]
+        rows = kept + [(b, folder, batch_id) for b in sorted(touched)]
         if rows:
-            commit = self.spark.createDataFrame(rows, "bucket int, gen long, batch_id long")
+            commit = self.spark.createDataFrame(rows, _COMMIT_SCHEMA)
             commit.coalesce(1).write.mode("errorifexists").json(f"{self.path}/commits/{before + 1}")
         delete_path(self.spark, staging)
         return self.generation()
@@ -137,10 +141,11 @@ class VectorIndex:
             if int(name) < current:
                 delete_path(self.spark, f"{self.path}/commits/{name}")
         for gen in list_children(self.spark, f"{self.path}/data"):
-            number = int(gen.split("=")[1])
+            folder = gen.split("=")[1]
+            if int(folder.split("-")[0]) > current:
+                continue  # an upsert that has not committed yet
             for bucket in list_children(self.spark, f"{self.path}/data/{gen}"):
-                is_bucket = bucket.startswith("bucket=")
-                if is_bucket and number <= current and (number, int(bucket[7:])) not in live:
+                if bucket.startswith("bucket=") and (folder, int(bucket[7:])) not in live:
                     delete_path(self.spark, f"{self.path}/data/{gen}/{bucket}")
 
 

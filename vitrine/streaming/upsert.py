@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from vitrine.operators.joins import lookup
 from vitrine.operators.neardup import drop_near_dups
-from vitrine.session import list_children, stage
+from vitrine.session import list_children, scratch_scope, stage
 from vitrine.sources.index_store import VectorIndex
 from vitrine.streaming.ingest import start_batches
 
@@ -68,7 +68,8 @@ def stream_drop_near_dups(
     """
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        kept = drop_near_dups_in_batch(batch, order, buckets, state, batch_id)
-        kept.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        with scratch_scope(batch.sparkSession):
+            kept = drop_near_dups_in_batch(batch, order, buckets, state, batch_id)
+            kept.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
     start_batches(stream, checkpoint, apply).awaitTermination()
