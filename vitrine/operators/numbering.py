@@ -15,22 +15,27 @@ BATCH_SIZE = 128
 MAX_BROADCAST_CHUNKS = 1_000_000
 
 
-def _with_offsets(df: DataFrame, chunk: list[str], within: Window, n_chunks: int) -> DataFrame:
+def _with_offsets(df: DataFrame, chunk: list[str], place: list[str], n_chunks: int) -> DataFrame:
     """Number rows from per-chunk counts.
 
-    ``_seq`` rises by one inside a chunk. Only one row per chunk (a file split or a task's
-    output) reaches the window that sums the counts.
+    ``_seq`` rises by one inside a chunk and chunks follow each other along ``place``. Only
+    one row per chunk (a file split or a task's output) reaches the window that sums the
+    counts.
     """
     counts = df.groupBy(*chunk).agg(
-        F.count(F.lit(1)).alias("_rows"), F.min("_seq").alias("_first")
+        F.count(F.lit(1)).alias("_rows"),
+        F.min("_seq").alias("_first"),
+        F.min(F.struct(*place)).alias("_place"),
     )
-    before = F.sum("_rows").over(within) - F.col("_rows")
+    before = F.sum("_rows").over(Window.orderBy("_place")) - F.col("_rows")
     offsets = counts.select(*chunk, "_first", before.alias("_before"))
     if n_chunks <= MAX_BROADCAST_CHUNKS:
         offsets = F.broadcast(offsets)
     numbered = df.join(offsets, chunk)
     line_no = F.col("_before") + F.col("_seq") - F.col("_first") + 1
-    return numbered.withColumn("line_no", line_no).drop(*chunk, "_seq", "_first", "_before")
+    return numbered.withColumn("line_no", line_no).drop(
+        *chunk, *place, "_seq", "_first", "_before"
+    )
 
 
 def _expected_splits(scan: DataFrame) -> int:
@@ -39,20 +44,21 @@ def _expected_splits(scan: DataFrame) -> int:
 
 
 def number_scanned_lines(scan: DataFrame) -> DataFrame:
-    """O-03 for a file scan: add ``line_no``, counting from 1 inside each file.
+    """O-03 for a file scan: add ``line_no``, counting from 1 through all files by path.
 
     Each file split keeps its rows in order, so numbering needs the row count of every
     split and no shuffle of the lines. Apply directly to the scan.
     """
     located = scan.withColumns(
         {
+            "_path": F.col("_metadata.file_path"),
             "_file": F.xxhash64("_metadata.file_path"),
             "_split": F.col("_metadata.file_block_start"),
             "_seq": F.monotonically_increasing_id(),
         }
     )
-    by_file = Window.partitionBy("_file").orderBy("_split")
-    return _with_offsets(located, ["_file", "_split"], by_file, _expected_splits(scan))
+    splits = _expected_splits(scan)
+    return _with_offsets(located, ["_file", "_split"], ["_path", "_split"], splits)
 
 
 def with_line_no(df: DataFrame, *order: str) -> DataFrame:
@@ -68,9 +74,8 @@ def with_line_no(df: DataFrame, *order: str) -> DataFrame:
         .sortWithinPartitions(*columns)
         .withColumns({"_task": F.spark_partition_id(), "_seq": F.monotonically_increasing_id()})
     )
-    by_task = Window.orderBy("_task")
     n_tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return _with_offsets(stage(ordered, "ordered"), ["_task"], by_task, n_tasks)
+    return _with_offsets(stage(ordered, "ordered"), ["_task"], ["_task"], n_tasks)
 
 
 def batch_no(line_no: Column, size: int = BATCH_SIZE) -> Column:

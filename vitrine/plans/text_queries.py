@@ -15,7 +15,7 @@ from vitrine.plans.registry import query, table
 from vitrine.session import scratch_path, stage
 from vitrine.sinks.files import land_pages, read_csv, write_csv, write_records, write_rejects
 from vitrine.sources.pages import expand_ranges
-from vitrine.sources.records import classify_lines, read_records
+from vitrine.sources.records import classify_lines, read_lines, read_records
 
 _SPACE = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
@@ -211,6 +211,15 @@ def line_number(spark, sf):
     return with_line_no(table(spark, sf, "events").select("event_id"), "event_id")
 
 
+@query("SELECT event_id, row_number() OVER (ORDER BY event_id) AS line_no FROM events")
+def line_number_files(spark, sf):
+    events = table(spark, sf, "events").select("event_id", "props")
+    path = scratch_path(spark, "ordered-jsonl")
+    write_records(events.repartitionByRange("event_id").sortWithinPartitions("event_id"), path)
+    lines = read_lines(spark, path)
+    return lines.select(F.from_json("raw", "event_id long")["event_id"].alias("event_id"), "line_no")
+
+
 @query(
     """
     SELECT (line_no - 1) // 128 AS batch_no, count(*) AS n, min(event_id) AS first_id

@@ -28,7 +28,10 @@ RECORD_SCHEMA = ", ".join(
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """O-01: ``(line_no, raw)``, one row per text line, numbered within its file."""
+    """O-01: ``(line_no, raw)``, one row per text line, numbered through the files by path.
+
+    The number is unique over the whole input and serves as the record order.
+    """
     scan = spark.read.text(path).withColumnRenamed("value", "raw")
     return number_scanned_lines(scan).withColumn("raw", F.rtrim(F.col("raw"), F.lit("\r")))
 
