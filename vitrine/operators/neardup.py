@@ -138,24 +138,26 @@ def kept_orders(signatures: DataFrame, tail_rows: int = TAIL_ROWS) -> DataFrame:
     return free.unionByName(winners)
 
 
+def near_dup_winners(
+    df: DataFrame, order: str, buckets: Column, tail_rows: int = TAIL_ROWS
+) -> DataFrame:
+    """Order numbers of the rows of ``df`` that stay, as a written one-column table."""
+    spark = df.sparkSession
+    signatures = df.select(F.col(order).cast("long").alias("order"), buckets.alias("buckets"))
+    path = scratch_path(spark, "kept")
+    with scratch_scope(spark):
+        kept = kept_orders(signatures, tail_rows).withColumnRenamed("order", order)
+        return write_table(kept, path)
+
+
 def drop_near_dups(
-    df: DataFrame,
-    order: str,
-    buckets: Column,
-    tail_rows: int = TAIL_ROWS,
+    df: DataFrame, order: str, buckets: Column, tail_rows: int = TAIL_ROWS
 ) -> tuple[DataFrame, DataFrame]:
     """O-39: ``(kept, dropped)`` of ``df`` walked along the unique integer column ``order``.
 
     ``buckets`` is an array of 64-bit keys, such as :func:`signature_buckets`. Rows without
-    any key collide with nobody and are kept.
+    any key collide with nobody and are kept. ``df`` is read again for the result, so give
+    it a stored table.
     """
-    spark = df.sparkSession
-    signatures = df.select(F.col(order).cast("long").alias("order"), buckets.alias("buckets"))
-    path = scratch_path(spark, "kept")
-    with scratch_scope(spark):
-        kept = kept_orders(signatures, tail_rows).withColumnRenamed("order", order)
-        winners = write_table(kept, path)
-    return (
-        df.join(winners, order, "left_semi"),
-        df.join(winners, order, "left_anti"),
-    )
+    winners = near_dup_winners(df, order, buckets, tail_rows)
+    return df.join(winners, order, "left_semi"), df.join(winners, order, "left_anti")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vitrine.operators.joins import lookup
-from vitrine.operators.neardup import drop_near_dups
+from vitrine.operators.neardup import near_dup_winners
 from vitrine.session import list_children, scratch_scope, stage
 from vitrine.sources.index_store import VectorIndex
 from vitrine.streaming.ingest import start_batches
@@ -26,15 +26,14 @@ def stream_upsert(stream: DataFrame, index: VectorIndex, order: str, checkpoint:
     start_batches(stream, checkpoint, apply).awaitTermination()
 
 
-def _stored_buckets(spark: SparkSession, state: str, batch_id: int) -> DataFrame:
+def _stored_buckets(spark: SparkSession, state: str, batch_id: int) -> DataFrame | None:
     """Buckets held by rows kept in earlier batches; each bucket has one holder."""
     earlier = [
         f"{state}/{name}"
         for name in list_children(spark, state)
         if name.startswith("batch=") and int(name[6:]) < batch_id
     ]
-    reader = spark.read.schema("bucket long")
-    return reader.parquet(*earlier) if earlier else spark.createDataFrame([], "bucket long")
+    return spark.read.schema("bucket long").parquet(*earlier) if earlier else None
 
 
 def drop_near_dups_in_batch(
@@ -48,12 +47,13 @@ def drop_near_dups_in_batch(
     """
     spark = batch.sparkSession
     signed = stage(batch.withColumn("_buckets", buckets), "signed")
-    members = signed.select(order, F.explode("_buckets").alias("bucket"))
-    known = lookup(members, _stored_buckets(spark, state, batch_id), "bucket")
-    seen = known.filter("found").select(order).distinct()
-    fresh = signed.join(seen, order, "left_anti")
-    kept, _ = drop_near_dups(fresh, order, F.col("_buckets"))
-    kept = stage(kept, "batch-kept")
+    fresh = signed
+    stored = _stored_buckets(spark, state, batch_id)
+    if stored is not None:
+        members = signed.select(order, F.explode("_buckets").alias("bucket"))
+        seen = lookup(members, stored, "bucket").filter("found").select(order).distinct()
+        fresh = signed.join(seen, order, "left_anti")
+    kept = signed.join(near_dup_winners(fresh, order, F.col("_buckets")), order, "left_semi")
     held = kept.select(F.explode("_buckets").alias("bucket")).distinct()
     held.write.mode("overwrite").parquet(f"{state}/batch={batch_id}")
     return kept.drop("_buckets")
