@@ -14,17 +14,17 @@ def test_year(values):
 
 
 def test_abbreviate(values):
-    rows = ["Limited Edition  750", "Limited Edition 750", "Open Edition", "Limited Edition", None]
+    rows = ["Limited Edition  750", "Limited Edition\u00a0750", "Open Edition", "Limited Edition", None]
     assert values(X.abbreviate(F.col("v")), rows) == ["LE 750", "LE 750", "Open Edition", "Limited Edition", None]
 
 
 def test_ascii_id(values):
-    rows = ["Disney’s", "cloisonné", "ﬁ½²™ß", "plain", "", None, "日本"]
-    assert values(X.ascii_id(F.col("v")), rows) == ["Disneys", "cloisonne", "fi122TM", "plain", "", None, ""]
+    rows = ["Children’s", "cloisonné", "ﬁ½²™ß", "plain", "", None, "日本"]
+    assert values(X.ascii_id(F.col("v")), rows) == ["Childrens", "cloisonne", "fi122TM", "plain", "", None, ""]
 
 
 def test_strip(values):
-    rows = [" \n\ta\x1c ", "a b", " \n ", "", None]
+    rows = ["\u00a0\n\ta\x1c ", "a b", " \n ", "", None]
     assert values(X.strip(F.col("v")), rows) == ["a", "a b", "", "", None]
 
 
@@ -38,7 +38,7 @@ def test_basename(values):
 
 
 def test_price(values):
-    rows = ["$19.99 / 3 pins", "18.99", "Unknown", "$8", None]
+    rows = ["$19.99 / 3 pieces", "18.99", "Unknown", "$8", None]
     assert values(X.price_or_null(F.col("v")), rows) == [19.99, 18.99, None, 8.0, None]
 
 

@@ -121,9 +121,9 @@ def block_under_heading(
 ) -> Column:
     """O-18: text of the first container whose first heading contains ``label``.
 
-    Takes markup from ``html.markup_only``. All copies of the label are removed. Nesting decides what belongs to a container,
-    which a regular expression cannot tell, so this runs over a parser in Arrow batches.
-    NULL when no container qualifies.
+    Takes markup from ``html.markup_only``. All copies of the label are removed. Nesting
+    decides what belongs to a container, which a regular expression cannot tell, so this
+    runs over a parser in Arrow batches. NULL when no container qualifies.
     """
 
     @F.pandas_udf("string")

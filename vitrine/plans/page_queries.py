@@ -144,13 +144,15 @@ def catalogue_pages(spark, sf):
         F.lower("p_type"),
         F.lit("</span>"),
         F.when(F.col("p_type") == "PROMO", "").otherwise(cells),
-        F.lit('<img class="m-auto img-fluid" src="no"><img class="img-fluid m-auto" src=" http://host.example/'),
+        F.lit('<img class="m-auto img-fluid" src="no">'),
+        F.lit('<img class="img-fluid m-auto" src=" http://host.example/'),
         F.col("p_partkey"),
         F.lit('.jpg "><a class="badge rounded-pill bg-secondary">'),
         "p_brand",
         F.lit('</a><a class="badge rounded-pill bg-secondary"> '),
         "p_type",
-        F.lit(' </a><div class="card-body"><h5>Other</h5>no</div><div class="card-body"><h5>Pin Description:</h5><div> About '),
+        F.lit(' </a><div class="card-body"><h5>Other</h5>no</div>'),
+        F.lit('<div class="card-body"><h5>Pin Description:</h5><div> About '),
         "p_name",
         F.lit("</div> and more </div></body></html>"),
     )
@@ -171,8 +173,10 @@ _EDITION = """CASE p_type WHEN 'PROMO' THEN NULL WHEN 'LARGE' THEN 'Release Date
 def kv_lines(spark, sf):
     lines = H.table_lines(H.markup_only(F.col("html")), "table table-bordered")
     pages = spread_small(catalogue_pages(spark, sf)).withColumn("lines", lines)
-    keys = {"edition": "Edition", "release_date": "Release Date", "original_price": "Original Price", "sku": "SKU"}
-    values = [H.value_after(F.col("lines"), key).alias(name) for name, key in keys.items()]
+    keys = ["Edition", "Release Date", "Original Price", "SKU"]
+    values = [
+        H.value_after(F.col("lines"), key).alias(key.lower().replace(" ", "_")) for key in keys
+    ]
     last = H.value_after(F.col("lines"), F.concat(F.lit("S"), F.col("p_partkey")))
     return pages.select("p_partkey", *values, last.alias("last_line"))
 

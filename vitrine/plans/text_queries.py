@@ -34,7 +34,7 @@ def year_extract(spark, sf):
     f"'^{_SPACE}+|{_SPACE}+$', '', 'g') AS stripped FROM conversations"
 )
 def strip_text(spark, sf):
-    padded = F.concat(F.lit(" \t"), "text", F.lit(" \n"))
+    padded = F.concat(F.lit("\u00a0\t"), "text", F.lit(" \n"))
     return table(spark, sf, "conversations").select(
         "conv_id", "turn", X.strip(padded).alias("stripped")
     )
@@ -45,7 +45,7 @@ def strip_text(spark, sf):
 )
 def abbreviate(spark, sf):
     spaced = F.concat(F.lit("Limited Edition  "), F.col("p_size").cast("string"))
-    joined = F.concat(F.lit("Limited Edition "), "p_name")
+    joined = F.concat(F.lit("Limited Edition\u00a0"), "p_name")
     return table(spark, sf, "part").select(
         "p_partkey",
         X.abbreviate(spaced).alias("edition"),

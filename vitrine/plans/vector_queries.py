@@ -436,11 +436,18 @@ def index_upsert(spark, sf):
     root = scratch_path(spark, "indexes")
     index = ensure_index(spark, root, "parts", DIM, buckets=16)
     index.upsert(entries, "vec_id")
-    changed = entries.filter("label < 5").withColumn("sequence", F.explode(F.array(F.lit(3), F.lit(2))))
+    twice = F.explode(F.array(F.lit(3), F.lit(2)))
+    changed = entries.filter("label < 5").withColumn("sequence", twice)
     grown = F.transform("embedding", lambda x: x * F.col("sequence"))
     index.upsert(changed.withColumn("embedding", grown), "sequence")
-    return open_index(spark, root, "parts").read().select(
-        "id", text_field(F.col("metadata"), "name").alias("name"), fixed_point(F.col("embedding")).alias("vector")
+    return (
+        open_index(spark, root, "parts")
+        .read()
+        .select(
+            "id",
+            text_field(F.col("metadata"), "name").alias("name"),
+            fixed_point(F.col("embedding")).alias("vector"),
+        )
     )
 
 
@@ -474,8 +481,8 @@ def stream_clean(spark, sf):
     """The lines of ``validate_reason`` as files of a stream; the id travels in the record."""
     folder, out = scratch_path(spark, "arrivals"), scratch_path(spark, "arrived")
     lines = document_lines(spark, sf)
-    tagged = lines.select(F.regexp_replace("raw", r'\{"name"', F.concat(F.lit('{"doc_id":'), "doc_id", F.lit(',"name"'))).alias("value"))
-    tagged.write.text(folder)
+    with_id = F.concat(F.lit('{"doc_id":'), "doc_id", F.lit(',"name"'))
+    lines.select(F.regexp_replace("raw", r'\{"name"', with_id).alias("value")).write.text(folder)
     stream = stream_records(spark, folder).select(
         F.regexp_extract("raw", r'"doc_id":(\d+)', 1).cast("long").alias("doc_id"),
         F.coalesce("reason", F.lit("ok")).alias("reason"),
