@@ -1,3 +1,5 @@
+import html
+
 from pyspark.sql import functions as F
 
 from vitrine.functions import html as H
@@ -80,14 +82,20 @@ def test_nested_same_tag_is_reached(values):
 
 
 def test_unescape(values):
-    texts = ["a &amp;lt; b", "&#39;&#x27;&quot;", "caf&eacute; &copy;", "&bogus; & &#xD800;", "plain", "&nbsp;"]
-    expected = ["a &lt; b", "''\"", "café ©", "&bogus; & &#xD800;", "plain", "\u00a0"]
+    texts = ["a &amp;lt; b", "&#39;&#x27;&quot;", "caf&eacute; &copy;", "&bogus; & &#xD800;", "plain", "&nbsp;",
+             "&ampThe &amp &AMP; &notit; &copy=1 &#39a &#x41"]
+    expected = ["a &lt; b", "''\"", "café ©", "&bogus; & &#xD800;", "plain", "\u00a0",
+                "&The & & ¬it; ©=1 'a A"]
     assert values(H.unescape(F.col("v")), texts) == expected
+    known = [t for t in texts if "D800" not in t]
+    assert values(H.unescape(F.col("v")), known) == [html.unescape(t) for t in known]
 
 
 def test_attribute_quoting(values):
-    tags = ["<a href='x>y'>", "<a HREF=plain>", '<a data-href="no">', '<a title=">" href = "z">']
-    assert values(H.attribute(F.col("v"), "href"), tags) == ["x>y", "plain", None, "z"]
+    tags = ["<a href='x>y'>", "<a HREF=plain>", '<a data-href="no">', '<a title=">" href = "z">',
+            '<a href="?a=1&copy=2&amp;b">']
+    found = ["x>y", "plain", None, "z", "?a=1&copy=2&b"]
+    assert values(H.attribute(F.col("v"), "href"), tags) == found
 
 
 def test_value_after(values):

@@ -10,7 +10,7 @@ containers are the business of ``operators.extract.block_under_heading``.
 from __future__ import annotations
 
 import json
-from html.entities import name2codepoint
+from html.entities import html5, name2codepoint
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -22,9 +22,18 @@ from vitrine.functions.text import strip, text_lines
 _TAG_REST = r"""(?:[^>=]++|=\s*"[^"]*+"|=\s*'[^']*+'|=)*+"""
 _ANY_TAG = rf"(?s)</?[a-zA-Z]{_TAG_REST}>|<[!?][^>]*+>"
 
-# Named entities as a JSON map, from the standard library's HTML 4 table.
-_NAMED = json.dumps({f"&{n};": chr(c) for n, c in name2codepoint.items()} | {"&apos;": "'"})
-_PIECES = r"(?s)(&#[xX]?[0-9a-fA-F]{1,6};|&[a-zA-Z][a-zA-Z0-9]{1,31};|[^&]+|&)"
+# Entities from the standard library's tables: all of HTML 4, plus the old ones that browsers
+# also accept without a semicolon, as a JSON map and as a pattern (longest first).
+_BARE = sorted((n for n in html5 if not n.endswith(";")), key=len, reverse=True)
+_NAMED = json.dumps(
+    {f"&{n};": chr(c) for n, c in name2codepoint.items()}
+    | {"&apos;": "'"}
+    | {f"&{n}{end}": html5[n] for n in _BARE for end in ("", ";")}
+)
+_BARE_PATTERN = f"^&(?:{'|'.join(_BARE)})"
+_PIECES = (
+    r"(?s)(&#[0-9]{1,7};?|&#[xX][0-9a-fA-F]{1,6};?|&[a-zA-Z][a-zA-Z0-9]{1,31};?|[^&]+|&)"
+)
 
 
 def markup_only(html: Column) -> Column:
@@ -36,15 +45,20 @@ def markup_only(html: Column) -> Column:
     return F.regexp_replace(html, opaque, "$1$3")
 
 
-def _decode_piece(piece: Column) -> Column:
+def _decode_piece(piece: Column, bare: bool) -> Column:
     """A named entity, ``&#NN;`` or ``&#xHH;`` as its character; other text unchanged."""
     code = F.when(
-        piece.rlike("^&#[xX]"), F.conv(F.regexp_extract(piece, "([0-9a-fA-F]+);", 1), 16, 10)
-    ).otherwise(F.regexp_extract(piece, "^&#([0-9]+);", 1))
+        piece.rlike("^&#[xX]"), F.conv(F.regexp_extract(piece, "^&#.([0-9a-fA-F]+)", 1), 16, 10)
+    ).otherwise(F.regexp_extract(piece, "^&#([0-9]+)", 1))
     number = code.try_cast("long")
     usable = number.between(1, 0xD7FF) | number.between(0xE000, 0x10FFFF)
     utf32 = F.unhex(F.lpad(F.hex(number), 8, "0"))
-    named = F.try_element_at(F.from_json(F.lit(_NAMED), "map<string,string>"), piece)
+    entities = F.from_json(F.lit(_NAMED), "map<string,string>")
+    named = F.when(piece.endswith(";"), F.try_element_at(entities, piece))
+    if bare:
+        prefix = F.regexp_extract(piece, _BARE_PATTERN, 0)
+        rest = F.substring(piece, F.length(prefix) + 1, F.length(piece))
+        named = F.coalesce(named, F.concat(F.try_element_at(entities, prefix), rest))
     return (
         F.when(piece.startswith("&#") & usable, F.decode(utf32, "UTF-32"))
         .when(piece.startswith("&"), F.coalesce(named, piece))
@@ -52,13 +66,16 @@ def _decode_piece(piece: Column) -> Column:
     )
 
 
-def unescape(text: Column) -> Column:
-    """Decode character references in one pass; text without an ampersand is left alone."""
+def unescape(text: Column, bare: bool = True) -> Column:
+    """Decode character references in one pass; text without an ampersand is left alone.
 
+    ``bare`` also accepts old entities without a semicolon, which holds for text but not
+    for attribute values, where ``&copy=`` is a query parameter.
+    """
 
     def decode(bound: Column) -> Column:
         pieces = F.regexp_extract_all(bound, F.lit(_PIECES), 1)
-        decoded = F.array_join(F.transform(pieces, _decode_piece), "")
+        decoded = F.array_join(F.transform(pieces, lambda p: _decode_piece(p, bare)), "")
         return F.when(bound.contains("&"), decoded).otherwise(bound)
 
     return let(text, decode)
@@ -75,7 +92,8 @@ def attribute(element: Column, name: str) -> Column:
     quoted = F.regexp_extract_all(
         head, F.lit(rf"""(?is)\s{name}\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+)"""), 1
     )
-    return unescape(F.regexp_replace(F.try_element_at(quoted, F.lit(1)), r"""^["']|["']$""", ""))
+    value = F.regexp_replace(F.try_element_at(quoted, F.lit(1)), r"""^["']|["']$""", "")
+    return unescape(value, bare=False)
 
 
 def elements(markup: Column, tag: str) -> Column:

@@ -22,8 +22,8 @@ def _markup(spark, sf):
 def _text_sql(element: str) -> str:
     """SQL for the text of an element: tags out, entities decoded, white space trimmed."""
     text = f"regexp_replace({element}, '<[^>]*>', '', 'g')"
-    for entity, literal in [("&quot;", '"'), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")]:
-        text = f"replace({text}, '{entity}', '{literal}')"
+    for entity, literal in [("quot", '"'), ("copy", "©"), ("middot", "·"), ("amp", "&")]:
+        text = f"regexp_replace({text}, '&{entity};?', '{literal}', 'g')"
     return rf"regexp_replace({text}, '^\s+|\s+$', '', 'g')"
 
 
