@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from vitrine.operators.partitioning import planned_bytes
 
-# A key is hot above this share of the rows, so there are at most 1/HOT_SHARE hot keys.
-HOT_SHARE = 0.001
+# A key is hot above this share of the rows, so there are at most 1/HOT_SHARE hot keys: 10,000
+# rows of the other side, some 60 MB with the widest vectors. Adaptive execution splits what
+# is left of large partitions.
+HOT_SHARE = 0.0001
 # Below this row count a key is never worth separate treatment.
 HOT_FLOOR = 100_000
 
