@@ -4,20 +4,51 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from vitrine.llm.bpe import encode_documents
 from vitrine.llm.decontam import drop_contaminated
+from vitrine.llm.neardup import drop_near_duplicates
+from vitrine.llm.pii import pseudonymized
 from vitrine.llm.tables import table
+from vitrine.llm.toxicity import drop_toxic
 from vitrine.session import stage
 
 
+def detoxify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose toxicity score reaches one half go."""
+    return drop_toxic(docs, table(spark, sf_dir, "labels"))
+
+
+def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates the document with the smallest id stays."""
+    return drop_near_duplicates(docs)
+
+
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark window go."""
     return drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
+def pseudonymize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal values in the texts become pseudonyms, and ``n_chars`` follows the text."""
+    hidden = pseudonymized(docs)
+    return hidden.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else hidden
+
+
+def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents with their token ids."""
+    return encode_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("toxicity", detoxify),
+    ("near_dedup", deduplicate),
     ("decontamination", decontaminate),
+    ("pii", pseudonymize),
+    ("bpe", tokenize),
 ]
 
 #: The first stage is a trained model, which SQL cannot state.

@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import public_tokenizers
+
+from vitrine.llm import bpe, langid, licenses, pii, tokencount, topk_va, toxicity
 from vitrine.llm.decontam import contamination
+from vitrine.llm.neardup import near_duplicates
 from vitrine.llm.substring import remove_repeats
 from vitrine.llm.tables import table
 
@@ -72,3 +76,97 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
     )
+
+
+def _values(pairs: list[tuple[str, str]]) -> str:
+    def quoted(text: str) -> str:
+        return "'" + text.replace("'", "''") + "'"
+
+    return ", ".join(f"({quoted(a)}, {quoted(b)})" for a, b in pairs)
+
+
+@llm_query(rf"""
+WITH l AS (SELECT sha256({licenses.canonical_sql("t")}) AS digest, min(n) AS license
+           FROM (VALUES {_values(licenses.LICENSES)}) AS v(n, t) GROUP BY 1),
+     n AS (SELECT sha256({licenses.canonical_sql("t")}) AS digest, min(n) AS notice
+           FROM (VALUES {_values(licenses.NOTICES)}) AS v(n, t) GROUP BY 1),
+     d AS (SELECT doc_id, sha256({licenses.canonical_sql("text")}) AS digest FROM documents),
+     lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents),
+     said AS (SELECT doc_id, string_agg(DISTINCT notice, ',' ORDER BY notice) AS notices
+              FROM lines JOIN n ON sha256({licenses.canonical_sql("line")}) = n.digest GROUP BY doc_id)
+SELECT d.doc_id, d.digest, l.license, coalesce(said.notices, '') AS notices
+FROM d LEFT JOIN l USING (digest) LEFT JOIN said USING (doc_id)
+""")
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_scan(table(spark, sf_dir, "documents")).withColumn("notices", F.array_join("notices", ","))
+
+
+@llm_query()
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return langid.identify(docs, langid.fit(docs))
+
+
+@llm_query()
+def op3_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.pseudonymized(docs, count="n_replaced").select("doc_id", "text", "n_replaced")
+
+
+@llm_query("""
+WITH x AS (SELECT vec_id, list_transform(embedding, lambda e: floor(256 * e::DOUBLE)) AS v FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0),
+     s AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v)::BIGINT AS score
+           FROM x q, x c WHERE q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id),
+     r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS n, vec_id, score FROM s)
+SELECT query_id, n::INTEGER AS rank, vec_id, score FROM r WHERE n <= 5
+""")
+def op4_vector_approximation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = topk_va.whole_vectors(table(spark, sf_dir, "embeddings"))
+    return topk_va.top_products(vectors, vectors.filter("vec_id % 50 = 0"), 5)
+
+
+@llm_query()
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = toxicity.with_toxicity(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+    held = F.coalesce(toxicity.fold("doc_id", toxicity.FOLDS) == toxicity.HELD_FOLD, F.lit(False))
+    return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@llm_query(rf"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, {_SPACED}) AS ws FROM documents),
+     s AS (SELECT DISTINCT doc_id, array_to_string(ws[p:p + 4], ' ') AS g
+           FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS p FROM w WHERE len(ws) > 0)),
+     n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+     common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b USING (g) WHERE a.doc_id < b.doc_id GROUP BY 1, 2),
+     links AS (SELECT a, b FROM common JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+     edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+     reach(a, b) AS (SELECT a, b FROM edges UNION SELECT r.a, e.b FROM reach r JOIN edges e ON r.b = e.a),
+     least AS (SELECT a, min(b) AS m FROM reach GROUP BY a)
+SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, least(w.doc_id, coalesce(m, w.doc_id)) AS component_id,
+       w.doc_id <= coalesce(m, w.doc_id) AS kept
+FROM w LEFT JOIN n USING (doc_id) LEFT JOIN least ON a = w.doc_id
+""")
+def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), (85, 100))
+
+
+TOKEN_LIMIT = 2048
+
+
+@llm_query()
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = tokencount.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return counted.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
+
+
+@llm_query()
+def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    ids = bpe.encoded(docs, path, pattern).drop("text")
+    digest = F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256)
+    return bpe.decoded(ids, path, pattern).select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), digest.alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
+    )

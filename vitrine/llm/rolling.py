@@ -99,6 +99,15 @@ class Words:
         at = np.flatnonzero(owner[:n] == owner[width - 1 :])
         return at, span_hashes(self.hashes, _WORDS[which], at, at + width)
 
+    def prefixes(self, lengths: range) -> tuple[np.ndarray, np.ndarray]:
+        """Word number and hash of the first bytes of each word that has more of them."""
+        size = self.ends - self.starts
+        number = np.concatenate([np.flatnonzero(size > n) for n in lengths])
+        cut = np.repeat(np.array(lengths), [int((size > n).sum()) for n in lengths])
+        values = np.frombuffer(self.data, np.uint8).astype(np.uint64) + np.uint64(1)
+        starts = self.starts[number]
+        return number, mix(span_hashes(values, _BYTES, starts, starts + cut) + np.uint64(1))
+
     def whole(self, which: int = 0) -> np.ndarray:
         """Hash of each text's whole word sequence."""
         return span_hashes(self.hashes, _WORDS[which], self.first[:-1], self.first[1:])
