@@ -233,11 +233,12 @@ def _candidate_clusters(reps: DataFrame, bands: int, similarity: tuple[int, int]
     """Components of the pairs that share a band and have near sketches."""
     limit = sketch_limit(similarity, bands * ROWS)
     buckets = reps.select("node", F.explode("bands").alias("band"))
-    shared = (
+    shared = stage(
         buckets.groupBy("band").agg(F.min("node").alias("head"), F.max("node").alias("last"), F.count("*").alias("n"))
-        .filter("head <> last").drop("last")
+        .filter("head <> last").drop("last"),
+        "shared-bands",
     )
-    members = stage(buckets.join(shared, "band"), "bucket-members")
+    members = stage(buckets.join(few_rows(shared), "band"), "bucket-members")
     pairs = members.filter("node <> head").select("node", "head").distinct()
     sketches = reps.select("node", "sketch")
     judged = stage(
@@ -262,8 +263,9 @@ def near_duplicates(docs: DataFrame, similarity: tuple[int, int] = SIMILARITY) -
     a null or empty text has an empty set and is linked with nothing. Texts are linked if
     the intersection is at least ``similarity`` of the union, confirmed on whole sets.
     ``component_id`` is the smallest ``doc_id`` that links reach, ``kept`` marks it. Rows that
-    share a ``doc_id`` count as one document with the links of all of them. A row
-    without an id takes no part: its component is null and it is kept.
+    share a ``doc_id`` are judged by their texts; where such an id is the smallest of two
+    groups, these count as one. A row without an id takes no part: its component is null and it
+    is kept.
     """
     bands = band_count(similarity)
     signed = stage(signatures(docs, bands), "signatures")

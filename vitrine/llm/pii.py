@@ -18,13 +18,16 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vitrine.functions.binding import let
+from vitrine.llm.tables import fresh
+
 ROUNDS = 10
 #: Stands in where no key is configured, as in tests.
 TEST_KEY = "vitrine-test-key"
 KEY_SETTING = "spark.vitrine.pii.key"
 
 EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}"
-SECRET = r"(?<![0-9A-Za-z])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})(?![0-9A-Za-z])"
+SECRET = r"(?<![0-9A-Za-z])(?=[0-9A-Fa-f]{32})(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})(?![0-9A-Za-z])"
 IP = r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])"
 ISO_DATE = r"(?<![0-9-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9-])"
 DOT_DATE = r"(?<![0-9.])[0-9]{2}\.[0-9]{2}\.[0-9]{4}(?![0-9]|\.[0-9])"
@@ -32,7 +35,11 @@ SLASH_DATE = r"(?<![0-9/])[0-9]{2}/[0-9]{2}/[0-9]{4}(?![0-9/])"
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 PHONE = r"(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\)|(?<![0-9.-])[0-9]{3})[ .-]?[0-9]{3}[ .-][0-9]{4}(?![0-9-])"
 CARD = r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{1,7}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})(?![0-9])"
-PATTERN = "|".join((EMAIL, SECRET, IP, ISO_DATE, DOT_DATE, SLASH_DATE, SSN, PHONE, CARD))
+# most places are told from a number's beginning by one look
+NUMBERS = f"{SECRET}|(?=[0-9+(])(?:{'|'.join((IP, ISO_DATE, DOT_DATE, SLASH_DATE, SSN, PHONE, CARD))})"
+PATTERN = f"{EMAIL}|{NUMBERS}"
+#: What a text without any candidate lacks.
+TRACE = "[0-9@]|[a-fA-F]{32}"
 
 FIRST_DAY, DAYS = "1900-01-01", (17, 4297)  # 17 * 4297 days end on 2099-12-31
 AREAS, SERIALS = 898, 99 * 9999
@@ -43,21 +50,31 @@ def _round(key: str, kind: Column, turn: Column, half: Column) -> Column:
     return F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
 
 
+def bound(body: Callable[..., Column], /, **values: Column) -> Column:
+    """``body`` of named values, each evaluated once per candidate and not at every use."""
+    whole = F.struct(*(v.alias(name) for name, v in values.items()))
+    return let(whole, lambda s: body(**{name: s[name] for name in values}))
+
+
 def feistel(value: Column, left: Column, right: Column, kind: Column, key: str, back: bool = False) -> Column:
     """``value`` below ``left * right`` permuted within that range; ``back`` reverses it."""
-    half = F.struct(F.floor(value / right).cast("long").alias("a"), F.pmod(value, right).alias("b"))
+    turns = F.sequence(F.lit(ROUNDS - 1), F.lit(0), F.lit(-1)) if back else F.sequence(F.lit(0), F.lit(ROUNDS - 1))
 
-    def size(turn: Column) -> Column:
-        return F.when(turn % 2 == 0, left).otherwise(right)
+    def run(value: Column, left: Column, right: Column, kind: Column) -> Column:
+        half = F.struct(F.floor(value / right).cast("long").alias("a"), F.pmod(value, right).alias("b"))
 
-    def ahead(s: Column, i: Column) -> Column:
-        return F.struct(s["b"].alias("a"), F.pmod(s["a"] + _round(key, kind, i, s["b"]) % size(i), size(i)).alias("b"))
+        def size(turn: Column) -> Column:
+            return F.when(turn % 2 == 0, left).otherwise(right)
 
-    def behind(s: Column, i: Column) -> Column:
-        return F.struct(F.pmod(s["b"] - _round(key, kind, i, s["a"]) % size(i), size(i)).alias("a"), s["a"].alias("b"))
+        def ahead(s: Column, i: Column) -> Column:
+            return F.struct(s["b"].alias("a"), F.pmod(s["a"] + _round(key, kind, i, s["b"]) % size(i), size(i)).alias("b"))
 
-    turns = F.sequence(F.lit(ROUNDS - 1), F.lit(0), F.lit(-1)) if back else F.sequence(F.lit(0), F.lit(ROUNDS - 1))
-    return F.aggregate(turns, half, behind if back else ahead, lambda s: s["a"] * right + s["b"])
+        def behind(s: Column, i: Column) -> Column:
+            return F.struct(F.pmod(s["b"] - _round(key, kind, i, s["a"]) % size(i), size(i)).alias("a"), s["a"].alias("b"))
+
+        return F.aggregate(turns, half, behind if back else ahead, lambda s: s["a"] * right + s["b"])
+
+    return bound(run, value=value, left=left.cast("long"), right=right.cast("long"), kind=kind)
 
 
 def _digits(text: Column) -> Column:
@@ -66,77 +83,100 @@ def _digits(text: Column) -> Column:
 
 def _permute_digits(digits: Column, kind: str, key: str, back: bool) -> Column:
     """A string of at most 18 digits, permuted among those of its length."""
-    n = F.length(digits)
-    head = F.floor(n / 2).cast("int")
 
     def power(size: Column) -> Column:
         return F.rpad(F.lit("1"), size + 1, "0").cast("long")
 
-    moved = feistel(digits.cast("long"), power(head), power(n - head), F.concat(F.lit(kind), n.cast("string")), key, back)
-    return F.lpad(moved.cast("string"), n, "0")
+    def run(digits: Column, n: Column) -> Column:
+        head = F.floor(n / 2).cast("int")
+        moved = feistel(digits.cast("long"), power(head), power(n - head), F.concat(F.lit(kind), n.cast("string")), key, back)
+        return F.lpad(moved.cast("string"), n, "0")
+
+    return bound(run, digits=digits, n=F.length(digits))
 
 
 def _refill(shape: Column, digits: Column) -> Column:
     """``shape`` with its digits replaced in order."""
-    chars = F.transform(
-        F.sequence(F.lit(1), F.length(shape)),
-        lambda i: F.when(
-            F.substring(shape, i, F.lit(1)).rlike("[0-9]"),
-            F.substring(digits, F.length(_digits(F.substring(shape, F.lit(1), i))), F.lit(1)),
-        ).otherwise(F.substring(shape, i, F.lit(1))),
-    )
-    return F.array_join(chars, "")
+
+    def run(shape: Column, digits: Column) -> Column:
+        filled = F.aggregate(
+            F.split(shape, ""),
+            F.struct(F.lit("").alias("out"), F.lit(1).alias("at")),
+            lambda s, c: F.when(
+                c.rlike("[0-9]"), F.struct(F.concat(s["out"], F.substring(digits, s["at"], F.lit(1))).alias("out"), (s["at"] + 1).alias("at"))
+            ).otherwise(F.struct(F.concat(s["out"], c).alias("out"), s["at"].alias("at"))),
+        )
+        return filled["out"]
+
+    return bound(run, shape=shape, digits=digits)
 
 
 def luhn_sum(digits: Column) -> Column:
     """Luhn sum of a digit string, whose last digit counts once."""
-    def weigh(i: Column) -> Column:
-        d = F.substring(digits, F.length(digits) - i, F.lit(1)).cast("int")
-        return F.when(i % 2 == 0, d).when(d > 4, 2 * d - 9).otherwise(2 * d)
 
-    return F.aggregate(F.sequence(F.lit(0), F.length(digits) - 1), F.lit(0), lambda s, i: s + weigh(i))
+    def add(s: Column, c: Column) -> Column:
+        d = c.cast("int")
+        doubled = F.when(d > 4, 2 * d - 9).otherwise(2 * d)
+        return F.struct((s["sum"] + F.when(s["once"], d).otherwise(doubled)).alias("sum"), (~s["once"]).alias("once"))
+
+    start = F.struct(F.lit(0).alias("sum"), F.lit(True).alias("once"))
+    return F.aggregate(F.split(F.reverse(digits), ""), start, add)["sum"]
 
 
 def _card(m: Column, key: str, back: bool) -> Column:
-    digits = _digits(m)
-    body = _permute_digits(F.substring(digits, F.lit(1), F.length(digits) - 1), "card", key, back)
-    check = F.pmod(-luhn_sum(F.concat(body, F.lit("0"))), F.lit(10))
-    return F.when(luhn_sum(digits) % 10 == 0, _refill(m, F.concat(body, check.cast("string"))))
+    def checked(m: Column, body: Column) -> Column:
+        check = F.pmod(-luhn_sum(F.concat(body, F.lit("0"))), F.lit(10))
+        return _refill(m, F.concat(body, check.cast("string")))
+
+    def run(m: Column, digits: Column) -> Column:
+        body = _permute_digits(F.substring(digits, F.lit(1), F.length(digits) - 1), "card", key, back)
+        return F.when(luhn_sum(digits) % 10 == 0, bound(checked, m=m, body=body))
+
+    return bound(run, m=m, digits=_digits(m))
 
 
 def _phone(m: Column, key: str, back: bool) -> Column:
-    digits = _digits(m)
-    code = F.substring(digits, F.lit(1), F.length(digits) - 10)
-    return _refill(m, F.concat(code, _permute_digits(F.substring(digits, F.length(digits) - 9, F.lit(10)), "phone", key, back)))
+    def run(m: Column, digits: Column) -> Column:
+        code = F.substring(digits, F.lit(1), F.length(digits) - 10)
+        return _refill(m, F.concat(code, _permute_digits(F.substring(digits, F.length(digits) - 9, F.lit(10)), "phone", key, back)))
+
+    return bound(run, m=m, digits=_digits(m))
 
 
 def _ssn(m: Column, key: str, back: bool) -> Column:
     area, group, serial = (F.substring(m, a, n).cast("long") for a, n in ((1, 3), (5, 2), (8, 4)))
     number = (area - 1 - F.when(area > 666, 1).otherwise(0)) * SERIALS + (group - 1) * 9999 + serial - 1
-    moved = feistel(number, F.lit(AREAS).cast("long"), F.lit(SERIALS).cast("long"), F.lit("ssn"), key, back)
-    rank = F.floor(moved / SERIALS) + 1
-    rest = F.pmod(moved, F.lit(SERIALS))
-    parts = ((rank + F.when(rank >= 666, 1).otherwise(0), 3), (F.floor(rest / 9999) + 1, 2), (F.pmod(rest, F.lit(9999)) + 1, 4))
     fine = area.between(1, 899) & (area != 666) & (group > 0) & (serial > 0)
-    return F.when(fine, F.concat_ws("-", *(F.lpad(p.cast("string"), n, "0") for p, n in parts)))
+
+    def shown(moved: Column) -> Column:
+        rank, rest = F.floor(moved / SERIALS) + 1, F.pmod(moved, F.lit(SERIALS))
+        parts = ((rank + F.when(rank >= 666, 1).otherwise(0), 3), (F.floor(rest / 9999) + 1, 2), (F.pmod(rest, F.lit(9999)) + 1, 4))
+        return F.concat_ws("-", *(F.lpad(p.cast("string"), n, "0") for p, n in parts))
+
+    return F.when(fine, bound(shown, moved=feistel(number, F.lit(AREAS), F.lit(SERIALS), F.lit("ssn"), key, back)))
 
 
 def _ip(m: Column, key: str, back: bool) -> Column:
-    octets = F.split(m, r"\.")
-    number = F.aggregate(octets, F.lit(0).cast("long"), lambda s, o: s * 256 + o.cast("long"))
-    moved = feistel(number, F.lit(1 << 16).cast("long"), F.lit(1 << 16).cast("long"), F.lit("ip"), key, back)
-    parts = [F.pmod(F.shiftright(moved, s), F.lit(256)).cast("string") for s in (24, 16, 8, 0)]
-    fine = F.forall(octets, lambda o: (o.cast("int") < 256) & ((F.length(o) == 1) | ~o.startswith("0")))
-    return F.when(fine, F.concat_ws(".", *parts))
+    def shown(moved: Column) -> Column:
+        return F.concat_ws(".", *(F.pmod(F.shiftright(moved, s), F.lit(256)).cast("string") for s in (24, 16, 8, 0)))
+
+    def run(octets: Column) -> Column:
+        number = F.aggregate(octets, F.lit(0).cast("long"), lambda s, o: s * 256 + o.cast("long"))
+        fine = F.forall(octets, lambda o: (o.cast("int") < 256) & ((F.length(o) == 1) | ~o.startswith("0")))
+        return F.when(fine, bound(shown, moved=feistel(number, F.lit(1 << 16), F.lit(1 << 16), F.lit("ip"), key, back)))
+
+    return bound(run, octets=F.split(m, r"\."))
 
 
 def _date(form: str) -> Callable[[Column, str, bool], Column]:
     def apply(m: Column, key: str, back: bool) -> Column:
+        def run(number: Column) -> Column:
+            moved = feistel(number, *(F.lit(n) for n in DAYS), F.lit("date"), key, back)
+            fine = number.between(0, DAYS[0] * DAYS[1] - 1)
+            return F.when(fine, F.date_format(F.date_add(F.lit(FIRST_DAY).cast("date"), moved.cast("int")), form))
+
         day = F.try_to_timestamp(m, F.lit(form)).cast("date")
-        number = F.datediff(day, F.lit(FIRST_DAY).cast("date")).cast("long")
-        moved = feistel(number, *(F.lit(n).cast("long") for n in DAYS), F.lit("date"), key, back)
-        fine = number.between(0, DAYS[0] * DAYS[1] - 1)
-        return F.when(fine, F.date_format(F.date_add(F.lit(FIRST_DAY).cast("date"), moved.cast("int")), form))
+        return bound(run, number=F.datediff(day, F.lit(FIRST_DAY).cast("date")).cast("long"))
 
     return apply
 
@@ -171,23 +211,40 @@ KINDS: list[tuple[str, str, Callable[[Column, str, bool], Column]]] = [
 
 def _replacement(m: Column, key: str, back: bool) -> Column:
     """The pseudonym of one candidate, or null if it is not valid."""
-    found = None
+    found = F
     for _, shape, apply in KINDS:
-        found = F.when(m.rlike(shape), apply(m, key, back)) if found is None else found.when(m.rlike(shape), apply(m, key, back))
+        found = found.when(m.rlike(shape), apply(m, key, back))
     return found
 
 
 def _rewritten(text: Column, key: str, back: bool) -> Column:
-    """Text and number of replaced candidates of a text that has candidates."""
-    found = F.transform(F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)), lambda m: F.struct(m.alias("m"), _replacement(m, key, back).alias("to")))
-    pieces = F.split(text, PATTERN, -1)
-    joined = F.aggregate(
-        found,
-        F.struct(F.array().cast("array<string>").alias("out"), F.lit(0).alias("n")),
-        lambda s, e: F.struct(F.concat(s["out"], F.array(F.coalesce(e["to"], e["m"]))).alias("out"), (s["n"] + F.when(e["to"].isNull(), 0).otherwise(1)).alias("n")),
+    """``text`` and ``n``, the number of replacements, of a text that has candidates.
+
+    The pieces between candidates and the candidates alternate in one array, which keeps every
+    expression of weight in one place.
+    """
+    found = F.transform(
+        F.regexp_extract_all(text, _pattern(text), F.lit(0)), lambda m: F.struct(m.alias("m"), _replacement(m, key, back).alias("to"))
+    )
+    pieces = F.split(text, _pattern(text), -1)
+    return let(
+        F.struct(found.alias("found"), pieces.alias("pieces")),
+        lambda s: F.struct(
+            F.array_join(
+                F.flatten(F.transform(s["pieces"], lambda p, i: F.array(p, _shown(F.get(s["found"], i))))), ""
+            ).alias("text"),
+            F.size(F.filter(s["found"], lambda e: e["to"].isNotNull())).cast("long").alias("n"),
+        ),
     )
-    whole = F.transform(F.arrays_zip(pieces.alias("p"), joined["out"].alias("t")), lambda e: F.concat(e["p"], F.coalesce(e["t"], F.lit(""))))
-    return F.struct(F.array_join(whole, "").alias("text"), joined["n"].alias("n"))
+
+
+def _pattern(text: Column) -> Column:
+    """The pattern a text needs: looking for mail addresses costs most, and few texts have one."""
+    return F.when(text.contains("@"), F.lit(PATTERN)).otherwise(F.lit(NUMBERS))
+
+
+def _shown(e: Column) -> Column:
+    return F.coalesce(e["to"], e["m"], F.lit(""))
 
 
 def configured_key(docs: DataFrame) -> str:
@@ -195,11 +252,14 @@ def configured_key(docs: DataFrame) -> str:
     return docs.sparkSession.conf.get(KEY_SETTING, TEST_KEY)
 
 
-def _apply(docs: DataFrame, key: str, back: bool) -> tuple[Column, Column]:
-    text = F.col("text")
-    hit = text.rlike("[0-9@]") & text.rlike(PATTERN)
-    done = F.when(hit, _rewritten(text, key, back))
-    return F.coalesce(done["text"], text), F.coalesce(done["n"], F.lit(0)).cast("long")
+def _applied(docs: DataFrame, key: str, back: bool, count: str | None) -> DataFrame:
+    text, done = F.col("text"), fresh(docs, "rewritten")
+    hit = text.rlike(TRACE) & F.rlike(text, _pattern(text))
+    out = docs.withColumn(done, F.when(hit, _rewritten(text, key, back)))
+    changes = {"text": F.coalesce(F.col(done)["text"], text)}
+    if count:
+        changes[count] = F.coalesce(F.col(done)["n"], F.lit(0).cast("long"))
+    return out.withColumns(changes).drop(done)
 
 
 def pseudonymized(docs: DataFrame, key: str | None = None, count: str | None = None) -> DataFrame:
@@ -208,11 +268,9 @@ def pseudonymized(docs: DataFrame, key: str | None = None, count: str | None = N
     All other columns stay as they are; a null or empty text stays so, and rows are rewritten
     one by one, whatever their ids. Overlapping candidates are taken from left to right.
     """
-    text, n = _apply(docs, key or configured_key(docs), False)
-    out = docs.withColumn(count, n) if count else docs
-    return out.withColumn("text", text)
+    return _applied(docs, key or configured_key(docs), False, count)
 
 
 def revealed(docs: DataFrame, key: str | None = None) -> DataFrame:
     """``docs`` with the permuted values restored; digests of addresses and secrets remain."""
-    return docs.withColumn("text", _apply(docs, key or configured_key(docs), True)[0])
+    return _applied(docs, key or configured_key(docs), True, None)
