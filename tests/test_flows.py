@@ -72,7 +72,7 @@ def test_full(inputs):
     assert rows["C"]["embedding"] == pytest.approx([0.3, 0.3, 1.7, 1.0])
     assert sorted(rows["A e"]["metadata"]) == ["edition", "name", "release_date", "tags"]
     reasons = {r["line_no"]: r["reason"] for r in rejects.collect()}
-    assert reasons == REJECTS | {9: "near_duplicate", 10: "near_duplicate", 11: "duplicate_id"}
+    assert reasons == REJECTS | {9: "near_duplicate", 10: "near_duplicate", 11: "near_duplicate"}
 
 
 def test_repeated_id_of_a_kept_row(spark):
@@ -109,7 +109,7 @@ def test_id_field_is_a_parameter(spark):
 
 def test_search_of_a_stored_index(spark, inputs, tmp_path):
     entries, _ = simple_entries(*inputs, dim=4)
-    index = ensure_index(spark, str(tmp_path), "idx", 4, buckets=8)
+    index = ensure_index(spark, str(tmp_path), "idx", 4)
     index.upsert(entries, "line_no")
     for conditions in (None, {"release_date": "Unknown"}):
         stored = search_index(index, [0.0, 0.0, 2.0, 1.0], 3, conditions).orderBy("rank").collect()

@@ -3,13 +3,7 @@ import html
 from pyspark.sql import functions as F
 
 from vitrine.functions import html as H
-from vitrine.operators.extract import (
-    LISTING_PATH,
-    block_under_heading,
-    descendant_hrefs,
-    extract_records,
-    listing_links,
-)
+from vitrine.operators.extract import LISTING_PATH, extract_records, listing_counts, listing_links
 
 DETAIL = """<h1 class="h3"> Title </h1>
 <a href="/series/9">Series X</a><a href="/origin/2">Origin Y</a>
@@ -67,13 +61,13 @@ def test_page_variants(spark):
 
 def test_first_text_null_and_empty(values):
     pages = ["<h1>a</h1>", "<h1 class='h3'></h1>", '<!--<h1 class="h3">no</h1>--><h1 class="x h3">b<i>c</i></h1>']
-    found = H.first_text(H.markup_only(F.col("v")), "h1", "h3")
+    found = H.first_text(F.col("v"), "h1", "h3")
     assert values(found, pages) == [None, "", "bc"]
 
 
 def test_script_bodies_are_not_markup(values):
     page = '<script>var t="<h1>no</h1>";</script><h1>yes</h1>'
-    assert values(H.first_text(H.markup_only(F.col("v")), "h1"), [page]) == ["yes"]
+    assert values(H.first_text(F.col("v"), "h1"), [page]) == ["yes"]
 
 
 def test_nested_same_tag_is_reached(values):
@@ -81,21 +75,46 @@ def test_nested_same_tag_is_reached(values):
     assert values(H.first_by_classes(F.col("v"), "span", ["badge", "rarity"]), [page]) == ["epic"]
 
 
-def test_unescape(values):
+def test_all_descendant_text(values):
+    pages = [
+        '<span class="badge rarity">epic <span>rare</span> tail</span>',
+        '<span class="badge rarity">a<b>b<span>c</span></b>d<br>e<img src="x">f</span>no',
+        '<span class="badge rarity">it&#146;s &check; &lbrace; &#150; x</span>',
+        '<span class="badge rarity">open <i>to the end',
+        '<div><span class="badge rarity">ends with</div> its container',
+        '<span class="badge rarity">a</b></i>b</span>c',
+    ]
+    found = ["epic rare tail", "abcdef", "it\u2019s \u2713 { \u2013 x", "open to the end", "ends with", "ab"]
+    assert values(H.first_by_classes(F.col("v"), "span", ["badge", "rarity"]), pages) == found
+    table = '<table class="t"><tr><td>k<td><table><tr><td>in</table><tr><td>SKU</td><td>S1</td></tr></table>'
+    assert values(H.table_lines(F.col("v"), "t"), [table]) == [["k", "in", "SKU", "S1"]]
+    nested = '<ul><li class="x">a<ul><li class="x">b</li></ul></li></ul>'
+    assert values(H.all_texts(F.col("v"), "li", "x"), [nested]) == [["ab", "b"]]
+
+
+def test_character_references():
     texts = ["a &amp;lt; b", "&#39;&#x27;&quot;", "caf&eacute; &copy;", "&bogus; & &#xD800;", "plain", "&nbsp;",
-             "&ampThe &amp &AMP; &notit; &copy=1 &#39a &#x41"]
-    expected = ["a &lt; b", "''\"", "café ©", "&bogus; & &#xD800;", "plain", "\u00a0",
-                "&The & & ¬it; ©=1 'a A"]
-    assert values(H.unescape(F.col("v")), texts) == expected
-    known = [t for t in texts if "D800" not in t]
-    assert values(H.unescape(F.col("v")), known) == [html.unescape(t) for t in known]
+             "&ampThe &amp &AMP; &notit; &copy=1 &#39a &#x41", "&check;&lbrace;&#146;&#150;"]
+    assert [H.decode_text(t) for t in texts] == [html.unescape(t) for t in texts]
+    assert H.decode_value("?a=1&copy=2&amp;b&lt&gt;&#65") == "?a=1&copy=2&b<>A"
 
 
 def test_attribute_quoting(values):
     tags = ["<a href='x>y'>", "<a HREF=plain>", '<a data-href="no">', '<a title=">" href = "z">',
-            '<a href="?a=1&copy=2&amp;b">']
-    found = ["x>y", "plain", None, "z", "?a=1&copy=2&b"]
-    assert values(H.attribute(F.col("v"), "href"), tags) == found
+            '<a href="?a=1&copy=2&amp;b">', "<a href>", "<a href=''>"]
+    found = ["x>y", "plain", None, "z", "?a=1&copy=2&b", "", ""]
+    assert values(H.first_attr(F.col("v"), "a", "href"), tags) == found
+
+
+def test_fields_share_one_parse(spark):
+    rules = {"a": ("text", "h1", None), "b": ("links", [("li", None)], None), "c": ("links", [], "http://h/x/")}
+    page = '<h1>t</h1><li><a href="u">1</a></li><a href="/v">2</a>'
+    df = spark.createDataFrame([(page,), (None,), ("",)], "v string")
+    found = df.select(H.fields(F.col("v"), rules).alias("f")).select("f.*")
+    assert [tuple(r) for r in found.collect()] == [
+        ("t", ["u"], ["http://h/x/u", "http://h/v"]), (None, None, None), (None, [], [])
+    ]
+    assert found._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
 
 
 def test_value_after(values):
@@ -111,19 +130,22 @@ def test_block_nesting(values):
         '<div class="card-body"><h5>Pin Description:</h5>x<script>no</script>Pin Description:',
         None,
     ]
-    found = block_under_heading(F.col("v"), ("div", "card-body"), "h5", "Pin Description:")
+    found = H.block_under_heading(F.col("v"), ("div", "card-body"), "h5", "Pin Description:")
     assert values(found, pages) == ["inout", None, "oi", "x", None]
 
 
 def test_listing(spark, values):
     card = '<div class="pin-card"><img><div class="card-body"><h5 class="card-title">{}</h5></div></div>'
     page = card.format('<a href="/p/1">one</a>') + card.format("<a>none</a>") + '<a href="/other">x</a>'
-    assert values(descendant_hrefs(F.col("v"), LISTING_PATH), [page]) == [["/p/1"]]
+    assert values(H.hrefs_below(F.col("v"), LISTING_PATH), [page]) == [["/p/1"]]
     df = spark.createDataFrame([(7, page)], "page int, html string")
     assert [tuple(r) for r in listing_links(df, "page", LISTING_PATH).collect()] == [(7, 0, "/p/1")]
     assert listing_links(df, "page").count() == 2
-    inner = H.all_hrefs(F.col("v"), "h5", "card-title")
-    assert values(inner, [page]) == [["/p/1"]]
+    assert values(H.hrefs_below(F.col("v"), [("h5", "card-title")]), [page]) == [["/p/1"]]
+    both = spark.createDataFrame([(7, page), (8, "<p>none</p>"), (9, None)], "page int, html string")
+    assert {r.page: r.n_links for r in listing_counts(both, "page", LISTING_PATH).collect()} == {7: 1, 8: 0, 9: 0}
+    resolved = listing_links(df, "page", LISTING_PATH, "https://h.example/list?page=2")
+    assert [r.href for r in resolved.collect()] == ["https://h.example/p/1"]
 
 
 def test_broken_pages_take_linear_time(spark):

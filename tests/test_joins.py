@@ -14,11 +14,31 @@ def no_broadcast(spark):
     spark.conf.set(name, before)
 
 
-def test_broadcast_setting(spark, no_broadcast):
-    assert J._broadcast_bytes(spark.range(1)) == -1
-    for text, size in (("10485760b", 10485760), ("5m", 5 * 2**20), ("7", 7), ("1GB", 2**30)):
-        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", text)
-        assert J._broadcast_bytes(spark.range(1)) == size
+def test_a_repeated_key_of_the_lookup_side_raises(spark):
+    big = spark.createDataFrame([(1, "a")], "n int, key string")
+    small = spark.createDataFrame([("a", 1), ("a", 2), (None, 3), (None, 4)], "key string, v int")
+    with pytest.raises(ValueError, match="'a' occurs 2 times"):
+        J.lookup(big, small, "key")
+    assert J.lookup(big, small.filter("v <> 2"), "key").first()["v"] == 1
+
+
+def test_wide_hot_matches_are_not_broadcast(spark, monkeypatch, no_broadcast):
+    monkeypatch.setattr(J, "HOT_FLOOR", 10)
+    big = spark.createDataFrame([(i, "hot") for i in range(300)], "n int, key string")
+    small = spark.createDataFrame([("hot", "x" * 1000)], "key string, v string")
+    assert "BroadcastHashJoin" in J.lookup(big, small, "key")._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(J, "HOT_BYTES", 10)
+    wide = J.lookup(big, small, "key")
+    assert "BroadcastHashJoin" not in wide._jdf.queryExecution().executedPlan().toString()
+    assert wide.filter("found").count() == 300
+
+
+def test_failed_copies(spark):
+    records = spark.createDataFrame([(1, "a"), (2, "b"), (3, None), (4, "c"), (5, "b")], "line_no int, image_url string")
+    copies = spark.createDataFrame([("a", False, None), ("a", True, "A"), ("b", False, "B"), (None, False, "x"), ("b", None, None)],
+                                   "src_url string, ok boolean, new_url string")
+    found = J.failed_copies(records, copies).collect()
+    assert sorted((r["line_no"], r["image_url"], r["reason"]) for r in found) == [(2, "b", "asset_unavailable"), (5, "b", "asset_unavailable")]
 
 
 @pytest.mark.parametrize("hot_floor", [J.HOT_FLOOR, 10])
@@ -27,8 +47,6 @@ def test_lookup_equals_a_left_join(spark, monkeypatch, request, hot_floor, broad
     monkeypatch.setattr(J, "HOT_FLOOR", hot_floor)
     if not broadcast:
         request.getfixturevalue("no_broadcast")
-    elif hot_floor == 10:
-        monkeypatch.setattr(J, "_broadcast_bytes", lambda df: 10**12)
     keys = ["hot"] * 300 + [f"k{i}" for i in range(200)] + [None] * 100 + ["lost"] * 50
     big = spark.createDataFrame(list(enumerate(keys)), "n int, key string").repartition(4)
     small = spark.createDataFrame(
@@ -92,9 +110,20 @@ def test_upsert(spark):
     assert sorted(tuple(r) for r in again.collect()) == [("a", 1), ("b", 9), ("c", 7)]
 
 
-def test_partial_aggregate_before_the_shuffle(spark, tmp_path):
-    """A hot key leaves every task as one row: the reduction runs on both sides of the exchange."""
+def test_only_keys_and_order_are_aggregated(spark, tmp_path):
+    """Wide columns reach no aggregate and no sort-based one is needed."""
     path = str(tmp_path / "t")
-    spark.range(100).select((F.col("id") % 3).alias("k"), "id").write.parquet(path)
+    spark.range(100).select((F.col("id") % 3).alias("k"), "id", F.array("id").alias("wide")).write.parquet(path)
     plan = keep_last(spark.read.parquet(path), "k", "id")._jdf.queryExecution().executedPlan().toString()
-    assert "partial_max_by" in plan and plan.count("Exchange hashpartitioning") == 1
+    assert "partial_max(id" in plan and "SortAggregate" not in plan
+    assert all("wide" not in line for line in plan.splitlines() if "Aggregate" in line)
+
+
+def test_null_order_loses(spark):
+    rows = [("a", None, "null"), ("a", 1, "x"), ("a", 3, "z"), ("b", None, "only"), (None, 2, "no key"), (None, 5, "no key 5")]
+    df = spark.createDataFrame(rows, "id string, n int, s string")
+    assert {r["s"] for r in keep_last(df, "id", "n").collect()} == {"z", "only", "no key 5"}
+    assert {r["s"] for r in keep_first(df, "id", "n").collect()} == {"x", "only", "no key"}
+    pairs = df.withColumn("m", F.lit(1))
+    assert {r["s"] for r in keep_last(pairs, "id", "n", "m").collect()} == {"z", "only", "no key 5"}
+    assert {r["s"] for r in keep_first(pairs, "id", "n", "m").collect()} == {"x", "only", "no key"}

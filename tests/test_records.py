@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vitrine.functions import dynamic as D
-from vitrine.operators.numbering import with_batch_no, with_line_no
+from vitrine.operators.numbering import MAX_BROADCAST_CHUNKS, expected_splits, split_bytes, with_batch_no, with_line_no
 from vitrine.sources.pages import expand_ranges, listing_urls, read_pages
 from vitrine.sources.records import classify_lines, parse_records, read_lines, read_records
 
@@ -125,3 +125,11 @@ def test_read_pages(spark, tmp_path):
     assert pages.first()["html"] == "<h1>a\nb</h1>"
     spark.range(2).withColumn("html", F.lit("x")).write.parquet(str(tmp_path / "t"))
     assert read_pages(spark, str(tmp_path / "t")).count() == 2
+
+
+def test_offsets_of_a_large_scan_are_broadcast(spark):
+    assert split_bytes(spark.range(1)) == 128 * 2**20
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16m")
+    assert split_bytes(spark.range(1)) == 16 * 2**20
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert expected_splits(50_000, 100 * 2**40, 128 * 2**20) == 869_200 <= MAX_BROADCAST_CHUNKS

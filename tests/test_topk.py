@@ -117,7 +117,7 @@ def test_plans(spark, corpus, tmp_path):
     path = str(tmp_path / "t")
     index.write.parquet(path)
     stored = spark.read.parquet(path)
-    plan = K.topk(stored, vectors[0].tolist(), 5, conditions={"price": {"$lt": 10}})
+    plan = K.topk(stored, vectors[0].tolist(), 5, conditions={"price": {"$lt": 10}}, kernel="jvm")
     text = plan._jdf.queryExecution().executedPlan().toString()
     assert "TakeOrderedAndProject" in text and "Python" not in text
     assert "LessThan(price,10.0)" in text and "name:string" not in text
@@ -140,3 +140,65 @@ def test_attach_metadata(corpus):
     found = K.topk(index, vectors[7].tolist(), 3)
     rows = K.attach_metadata(found, index.drop("embedding"), "id").collect()
     assert len(rows) == 3 and all(r["name"] == f"id{r['id']:04d}" for r in rows)
+
+
+@pytest.mark.parametrize("metric", ["cosine", "euclidean"])
+@pytest.mark.parametrize("k", [2, 3, 10])
+def test_odd_vectors_get_one_answer_from_every_kernel(spark, metric, k):
+    nan, inf = float("nan"), float("inf")
+    rows = [(0, [1.0, 0.5]), (1, [0.2, -1.0]), (2, [0.9, 0.6]), (3, [3.0, 1.0]), (4, [inf, 1.0]), (5, [nan, 1.0]), (6, [-inf, inf]),
+            (7, [0.0, 0.0]), (8, [1.0]), (9, None), (10, [None, 1.0]), (11, [1e200, 1e200]), (12, [])]
+    index = spark.createDataFrame(rows, "id long, embedding array<double>").repartition(3)
+    q = [1.0, 0.4]
+    usable = {i: np.array(rows[i][1]) for i in ((0, 1, 2, 3) if metric == "cosine" else (0, 1, 2, 3, 7))}
+    if metric == "cosine":
+        order = sorted(usable, key=lambda i: -float(usable[i] @ q) / np.linalg.norm(usable[i]))
+    else:
+        order = sorted(usable, key=lambda i: np.linalg.norm(usable[i] - q))
+    for kernel in ("jvm", "arrow"):
+        assert [r["id"] for r in K.topk(index, q, k, metric, kernel=kernel).collect()] == order[:k]
+    queries = spark.createDataFrame([(1, q), (2, [nan, 1.0]), (3, None)], "query_id int, query array<double>")
+    found = K.topk_batch(index, queries, k, metric).orderBy("query_id", "rank").collect()
+    assert [(r["query_id"], r["id"]) for r in found] == [(1, i) for i in order[:k]]
+
+
+@pytest.mark.parametrize(("scale", "shift"), [(1e-7, 0.0), (1.0, 1e6), (1e90, 0.0)])
+@pytest.mark.parametrize("block_bytes", [K.BLOCK_BYTES, 500])
+def test_batch_distances_of_any_size(spark, monkeypatch, scale, shift, block_bytes):
+    monkeypatch.setattr(K, "BLOCK_BYTES", block_bytes)
+    rng = np.random.default_rng(3)
+    vectors = rng.normal(size=(200, 8)) * scale + shift
+    queries = rng.normal(size=(6, 8)) * scale + shift
+    index = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "id long, embedding array<double>")
+    df = spark.createDataFrame([(i, q.tolist()) for i, q in enumerate(queries)], "query_id int, query array<double>")
+    found = K.topk_batch(index, df, 5, "euclidean").orderBy("query_id", "rank").collect()
+    for i, q in enumerate(queries):
+        distances = np.sqrt(np.square(vectors - q).sum(axis=1))
+        best = np.lexsort((np.arange(200), distances))[:5]
+        mine = [r for r in found if r["query_id"] == i]
+        assert [r["id"] for r in mine] == best.tolist()
+        assert [r["score"] for r in mine] == distances[best].tolist()
+        single = K.topk(index, q.tolist(), 5, "euclidean").collect()
+        assert [(r["id"], r["score"]) for r in single] == [(r["id"], r["score"]) for r in mine]
+
+
+def test_blocks_meet_in_one_job(spark, corpus, monkeypatch):
+    monkeypatch.setattr(K, "BLOCK_BYTES", 400)
+    monkeypatch.setattr(K, "PART_BYTES", 10_000)
+    index, vectors = corpus
+    df = spark.createDataFrame([(i, vectors[i].tolist()) for i in range(40)], "query_id int, query array<double>")
+    rows = K.topk_batch(index, df, 3)
+    assert rows._jdf.queryExecution().executedPlan().toString().count("FlatMapCoGroupsInArrow") == 1
+    best = {r["query_id"]: r["id"] for r in rows.filter("rank = 1").collect()}
+    assert best == {i: i for i in range(40)}
+
+
+def test_empty_lists_and_own_names_in_filters(spark):
+    df = spark.createDataFrame([(1, "a"), (2, "b")], "n int, t string")
+    count = lambda c: df.filter(compile_filter(c, df.columns)).count()
+    assert (count({"t": {"$in": []}}), count({"t": {"$nin": []}})) == (0, 2)
+    index = spark.createDataFrame([("x", [1.0])], "id string, embedding array<double>").withColumn(
+        "metadata", F.expr("try_variant_get(to_variant_object(named_struct('id', 'inner', 'n', 1)), '$', 'map<string,variant>')"))
+    found = lambda c: index.filter(compile_filter(c, index.columns)).count()
+    assert (found({"id": {"$eq": "inner"}}), found({"id": {"$eq": "x"}})) == (1, 0)
+    assert (found({"n": {"$in": []}}), found({"n": {"$nin": []}})) == (0, 1)

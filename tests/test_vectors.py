@@ -33,8 +33,15 @@ def test_means(spark):
     for dim in (None, 2):
         means = {r["id"]: r["embedding"] for r in vec_mean(df, "id", dim=dim).collect()}
         assert means == {"a": [2.0, 4.0], "b": [0.0, 1.0]}
-    ragged = spark.createDataFrame([("a", [1.0, 2.0]), ("a", [1.0])], "id string, embedding array<float>")
-    assert vec_mean(ragged, "id", dim=2).first()["embedding"] is None
+
+
+@pytest.mark.parametrize("dim", [None, 2])
+def test_one_rule_for_odd_means(spark, dim):
+    rows = [("short", [1.0, 2.0]), ("short", [1.0]), ("hole", [1.0, None]), ("hole", [1.0, 2.0]), ("holes", [None, 1.0]), ("holes", [None, 1.0]),
+            ("empty", []), ("empty", [1.0, 2.0]), ("null", None), ("some", None), ("some", [1.0, 2.0]), ("some", [3.0, 2.0])]
+    df = spark.createDataFrame(rows, "id string, embedding array<float>")
+    means = {r["id"]: r["embedding"] for r in vec_mean(df, "id", dim=dim).collect()}
+    assert means == dict.fromkeys(("short", "hole", "holes", "empty", "null")) | {"some": [2.0, 2.0]}
 
 
 def test_mean_of_wide_vectors(spark):
@@ -43,6 +50,9 @@ def test_mean_of_wide_vectors(spark):
     )
     means = {r["k"]: r["embedding"] for r in vec_mean(df, "k", dim=768).collect()}
     assert all(means[k] == [n * (k + 20.0) for n in range(1, 769)] for k in range(20))
+    cut = df.withColumn("embedding", F.slice("embedding", 1, 100))
+    assert {r["k"]: r["embedding"] for r in vec_mean(cut, "k", dim=100).collect()} == {k: m[:100] for k, m in means.items()}
+    assert {r["embedding"] for r in vec_mean(cut, "k", dim=768).collect()} == {None}
 
 
 def test_mean_of_variants(values):

@@ -17,6 +17,10 @@ def _sum(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda acc, x: acc + x)
 
 
+def _finite(x: Column) -> Column:
+    return ~F.isnan(x) & (F.abs(x) < F.lit(math.inf))
+
+
 def dot(a: Column, b: Column) -> Column:
     """Inner product; NULL when the lengths differ."""
     products = F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double"))
@@ -81,6 +85,19 @@ def matrix(vectors: pa.Array) -> np.ndarray:
     return flat.astype(np.float64, copy=False).reshape(len(vectors), width)
 
 
+def pair_cosine(m: np.ndarray, q: np.ndarray, m_squares: np.ndarray, q_squares) -> np.ndarray:
+    """Cosine of each row of ``m`` with ``q`` or its row; the same bits however rows are grouped."""
+    lengths = np.sqrt(m_squares) * np.sqrt(q_squares)
+    products = (m * q).sum(axis=1)
+    return np.divide(products, lengths, out=np.full(len(m), np.nan), where=lengths > 0)
+
+
+def pair_distance(m: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Euclidean distance of each row of ``m`` from ``q`` or its row, from the differences."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        return np.sqrt(np.square(m - q).sum(axis=1))
+
+
 def _arrow_scorer(query: Sequence[float], metric: str):
     """Matrix-product scorer; measured at twice the speed of the JVM lambdas."""
     q = np.asarray(query, dtype=np.float64)
@@ -93,13 +110,14 @@ def _arrow_scorer(query: Sequence[float], metric: str):
         )
         if fits.any():
             m = matrix(vectors.filter(pa.array(fits)))
-            if metric == "cosine":
-                lengths = np.sqrt(np.einsum("ij,ij->i", m, m)) * math.sqrt(float(q @ q))
-                values = np.divide(m @ q, lengths, out=np.full(len(m), np.nan), where=lengths > 0)
-            else:
-                values = np.sqrt(np.square(m - q).sum(axis=1))
-            out[fits] = values
-        return pa.array(out, mask=np.isnan(out))
+            with np.errstate(over="ignore", invalid="ignore"):
+                squares = np.square(m).sum(axis=1)
+                if metric == "cosine":
+                    values = pair_cosine(m, q, squares, np.square(q).sum())
+                else:
+                    values = pair_distance(m, q)
+            out[fits] = np.where(np.isfinite(squares), values, np.nan)
+        return pa.array(out, mask=~np.isfinite(out))
 
     return score
 
@@ -108,7 +126,8 @@ def score(v: Column, query: Sequence[float], metric: str = "cosine", kernel: str
     """O-34: score a vector column against one query vector.
 
     ``cosine`` gives a similarity (higher is nearer), ``euclidean`` a distance (lower is
-    nearer). NULL for a wrong length or, with cosine, a zero vector.
+    nearer). NULL for a vector of another length, one with a NULL, NaN or infinite element or
+    an infinite length and, with cosine, a zero vector.
     """
     if metric not in ("cosine", "euclidean"):
         raise ValueError(f"unknown metric {metric!r}")
@@ -117,6 +136,11 @@ def score(v: Column, query: Sequence[float], metric: str = "cosine", kernel: str
     q = F.lit([float(x) for x in query])
     if metric == "euclidean":
         squares = F.zip_with(v, q, lambda x, y: F.pow(x.cast("double") - y, F.lit(2.0)))
-        return F.when(F.size(v) == len(query), F.sqrt(_sum(squares)))
-    lengths = norm(v) * math.sqrt(sum(float(x) ** 2 for x in query))
-    return F.try_divide(dot(v, q), lengths)
+        value = F.when(F.size(v) == len(query), F.sqrt(_sum(squares)))
+    else:
+        lengths = norm(v) * math.sqrt(sum(float(x) ** 2 for x in query))
+        value = F.try_divide(dot(v, q), lengths)
+    return let(
+        F.struct(value.alias("value"), norm(v).alias("length")),
+        lambda s: F.when(_finite(s["length"]), F.when(_finite(s["value"]), s["value"])),
+    )

@@ -1,21 +1,13 @@
-"""Structured records from raw pages (O-18 to O-20)."""
+"""Structured records and links from raw pages (O-19, O-20)."""
 
 from __future__ import annotations
 
-from html.parser import HTMLParser
-
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vitrine.functions import html as H
-from vitrine.functions.text import strip
 from vitrine.operators.partitioning import spread_small
 
-# Elements that never have a closing tag, and those whose content is not text.
-VOID_TAGS = "area base br col embed hr img input link meta source track wbr".split()
-OPAQUE_TAGS = ("script", "style", "template")
-
 # The selectors of a catalogue detail page (fixed values).
 CATALOGUE_SPEC = {
     "name": ("text", "h1", "h3"),
@@ -34,170 +26,35 @@ CATALOGUE_SPEC = {
 LISTING_PATH = [("div", "pin-card"), ("div", "card-body"), ("h5", "card-title")]
 
 
-class _Nesting(HTMLParser):
-    """Keeps the stack of open elements; subclasses react to opening, text and closing."""
-
-    def __init__(self, page: str):
-        super().__init__(convert_charrefs=True)
-        self.stack = []
-        self.feed(page)
-        self.close()
-        while self.stack:
-            self.closed(self.stack.pop())
-
-    def handle_starttag(self, tag, attrs):
-        values = {k: v or "" for k, v in attrs}
-        frame = {"tag": tag, "attrs": values, "classes": values.get("class", "").split()}
-        self.opened(frame)
-        if tag not in VOID_TAGS:
-            self.stack.append(frame)
-
-    def handle_startendtag(self, tag, attrs):
-        self.handle_starttag(tag, attrs)
-        self.handle_endtag(tag)
-
-    def handle_endtag(self, tag):
-        if any(frame["tag"] == tag for frame in self.stack):
-            while True:
-                frame = self.stack.pop()
-                self.closed(frame)
-                if frame["tag"] == tag:
-                    break
-
-    def opened(self, frame):
-        pass
-
-    def closed(self, frame):
-        pass
-
-
-class _Links(_Nesting):
-    """Hrefs of anchors below a chain of ancestors."""
-
-    def __init__(self, page, path):
-        self.path, self.hrefs = path, []
-        super().__init__(page)
-
-    def opened(self, frame):
-        if frame["tag"] != "a" or not frame["attrs"].get("href"):
-            return
-        ancestors = iter(self.stack)
-        if all(
-            any(f["tag"] == tag and (not cls or cls in f["classes"]) for f in ancestors)
-            for tag, cls in self.path
-        ):
-            self.hrefs.append(frame["attrs"]["href"])
-
-
-class _Blocks(_Nesting):
-    """Containers in document order with their text and the text of their first heading."""
-
-    def __init__(self, page, container, heading):
-        self.container, self.heading, self.blocks = container, heading, []
-        super().__init__(page)
-
-    def opened(self, frame):
-        tag, cls = self.container
-        if frame["tag"] == tag and (not cls or cls in frame["classes"]):
-            frame["block"] = {"text": [], "heading": None}
-            self.blocks.append(frame["block"])
-        if frame["tag"] == self.heading:
-            for outer in self.stack:
-                if "block" in outer and outer["block"]["heading"] is None:
-                    outer["block"]["heading"] = frame.setdefault("heading_of", [])
-
-    def handle_data(self, data):
-        if any(frame["tag"] in OPAQUE_TAGS for frame in self.stack):
-            return
-        for frame in self.stack:
-            if "block" in frame:
-                frame["block"]["text"].append(data)
-            if "heading_of" in frame:
-                frame["heading_of"].append(data)
-
-
-def block_under_heading(
-    markup: Column, container: tuple[str, str | None], heading: str, label: str
-) -> Column:
-    """O-18: text of the first container whose first heading contains ``label``.
-
-    Takes markup from ``html.markup_only``. All copies of the label are removed. Nesting
-    decides what belongs to a container, which a regular expression cannot tell, so this
-    runs over a parser in Arrow batches. NULL when no container qualifies.
-    """
-
-    @F.pandas_udf("string")
-    def find(pages: pd.Series) -> pd.Series:
-        def block(page):
-            for found in _Blocks(page, container, heading).blocks:
-                if found["heading"] is not None and label in "".join(found["heading"]):
-                    return "".join(found["text"])
-            return None
-
-        return pages.map(block, na_action="ignore").astype(object)
-
-    return strip(F.replace(find(markup), F.lit(label), F.lit("")))
-
-
-def descendant_hrefs(markup: Column, path: list[tuple[str, str | None]]) -> Column:
-    """O-19: hrefs of anchors below a chain of ancestors, outermost first."""
-
-    @F.pandas_udf("array<string>")
-    def find(pages: pd.Series) -> pd.Series:
-        return pages.map(lambda p: _Links(p, path).hrefs, na_action="ignore").astype(object)
-
-    return find(markup)
-
-
 def listing_links(
-    pages: DataFrame, page: str, path: list[tuple[str, str | None]] | None = None
+    pages: DataFrame,
+    page: str,
+    path: list[tuple[str, str | None]] = (),
+    base: str | None = None,
 ) -> DataFrame:
     """O-19: ``(page, item, href)``, one row per link; anchors without href are skipped.
 
-    With no ``path`` every anchor counts and the extraction stays in the JVM.
+    With no ``path`` every anchor counts; with ``base`` hrefs are resolved against it.
     """
-    markup = H.markup_only(F.col("html"))
-    hrefs = H.all_hrefs(markup) if path is None else descendant_hrefs(markup, path)
+    hrefs = H.hrefs_below(F.col("html"), list(path), base)
     return spread_small(pages).select(page, F.posexplode(hrefs).alias("item", "href"))
 
 
-def _field(rule: tuple, markup: Column) -> Column:
-    how, *args = rule
-    if how == "text":
-        return H.first_text(markup, *args)
-    if how == "anchor":
-        return H.first_anchor_text(markup, *args)
-    if how == "classes":
-        return H.first_by_classes(markup, *args)
-    if how == "attr":
-        return H.first_attr(markup, *args)
-    if how == "texts":
-        return H.all_texts(markup, *args)
-    if how == "block":
-        return block_under_heading(markup, *args)
-    raise ValueError(f"unknown rule {how!r}")
+def listing_counts(
+    pages: DataFrame, page: str, path: list[tuple[str, str | None]] = ()
+) -> DataFrame:
+    """O-19, O-41: ``(page, n_links)`` for every page, 0 where it lists nothing."""
+    found = F.size(F.coalesce(H.hrefs_below(F.col("html"), list(path)), F.array()))
+    return spread_small(pages).select(page, found.cast("long").alias("n_links"))
 
 
 def extract_records(
     pages: DataFrame, spec: dict[str, tuple] = CATALOGUE_SPEC, keep: tuple[str, ...] = ()
 ) -> DataFrame:
-    """O-20: one record per page from a mapping of column name to selector rule.
+    """O-20: one record per page from a mapping of column name to a rule of ``html.fields``.
 
-    Expressions give NULL where a page lacks a field, so no page can fail another.
-    Clean-up and each table are evaluated once per page.
+    All fields come from one parse of the page. A page that lacks a field gives NULL there,
+    so no page can fail another.
     """
-    tables = {rule[1] for rule in spec.values() if rule[0] == "table"}
-    lines = {cls: f"_lines_{n}" for n, cls in enumerate(sorted(tables))}
-    staged = spread_small(pages).withColumn("_markup", H.markup_only(F.col("html")))
-    staged = staged.withColumns(
-        {name: H.table_lines(F.col("_markup"), cls) for cls, name in lines.items()}
-    )
-    fields = [
-        (
-            H.value_after(F.col(lines[rule[1]]), rule[2])
-            if rule[0] == "table"
-            else _field(rule, F.col("_markup"))
-        ).alias(name)
-        for name, rule in spec.items()
-    ]
-    return staged.select(*keep, *fields)
+    found = spread_small(pages).select(*keep, H.fields(F.col("html"), spec).alias("_fields"))
+    return found.select(*keep, *(F.col(f"_fields.`{name}`").alias(name) for name in spec))

@@ -5,52 +5,50 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vitrine.operators.partitioning import planned_bytes
+from vitrine.session import stage, stored_bytes
 
-# A key is hot above this share of the rows, so there are at most 1/HOT_SHARE hot keys: 10,000
-# rows of the other side, some 60 MB with the widest vectors. Adaptive execution splits what
-# is left of large partitions.
+# A key is hot above this share of the rows, so there are at most 1/HOT_SHARE hot keys. Adaptive
+# execution splits what is left of large partitions.
 HOT_SHARE = 0.0001
+# Stored size up to which the hot keys' rows of the other side are broadcast.
+HOT_BYTES = 32 * 1024 * 1024
 # Below this row count a key is never worth separate treatment.
 HOT_FLOOR = 100_000
 
 
 def hot_keys(df: DataFrame, key: str) -> DataFrame:
     """Keys holding more than ``HOT_SHARE`` of the rows: a bounded set, safe to broadcast."""
+    limit = max(HOT_FLOOR, df.agg(F.count(key)).first()[0] * HOT_SHARE)
     counts = df.filter(F.col(key).isNotNull()).groupBy(key).count()
-    limit = df.agg(F.count(key) * HOT_SHARE).scalar()
-    return counts.filter((F.col("count") > HOT_FLOOR) & (F.col("count") > limit)).select(key)
+    return counts.filter(F.col("count") > limit).select(key)
 
 
-def _broadcast_bytes(df: DataFrame) -> int:
-    """Size up to which Spark broadcasts a join side of its own accord; -1 when switched off."""
-    setting = df.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold")
-    digits = setting.lower().rstrip("b")
-    units = {"k": 2**10, "m": 2**20, "g": 2**30}
-    if digits[-1] in units:
-        return int(digits[:-1]) * units[digits[-1]]
-    return int(digits)
-
-
-def lookup(big: DataFrame, small: DataFrame, key: str) -> DataFrame:
+def lookup(big: DataFrame, small: DataFrame, key: str, unique: bool = False) -> DataFrame:
     """Left join to ``small``, which has one row per ``key``, plus a ``found`` flag.
 
-    A ``small`` that Spark will broadcast needs nothing else. Otherwise rows of hot keys
-    meet their match by broadcast, at most ``1/HOT_SHARE`` rows of it, and are not shuffled,
-    nor are rows without a key; the shuffle join serves the rest, where no key is large.
-    ``big`` is read once per branch, so give it a stored table.
+    A repeated key raises; ``unique`` says that there is none and spares the check. Rows of hot
+    keys meet their match by broadcast and are not shuffled, if those matches are small as
+    stored; nor are rows without a key. The shuffle join, which Spark turns into a broadcast where
+    ``small`` is small, serves the rest, where no key is large. ``big`` is read once per
+    branch, so give it a stored table.
     """
+    if not unique:
+        repeated = small.filter(F.col(key).isNotNull()).groupBy(key).count().filter("count > 1").limit(1).collect()
+        if repeated:
+            raise ValueError(f"{key} {repeated[0][key]!r} occurs {repeated[0]['count']} times where one is allowed")
     values = [c for c in small.columns if c != key]
     flagged = small.withColumn("found", F.lit(True))
     found = F.coalesce("found", F.lit(False)).alias("found")
     columns = [F.col(c) for c in [*big.columns, *values]] + [found]
-    if planned_bytes(small) <= _broadcast_bytes(big):
+    large = big.limit(HOT_FLOOR + 1).count() > HOT_FLOOR
+    keys = hot_keys(big, key).collect() if large else []
+    hot = stage(flagged.join(F.broadcast(big.sparkSession.createDataFrame(keys, small.select(key).schema)), key), "hot") if keys else None
+    if hot is None or stored_bytes(hot) > HOT_BYTES:
         return big.join(flagged, key, "left").select(*columns)
-    hot = hot_keys(big, key).join(flagged, key, "left").withColumn("_hot", F.lit(True))
-    hot = F.broadcast(hot)
-    spared = big.join(hot, key, "left").filter(F.col("_hot").isNotNull() | F.col(key).isNull())
-    cold = big.filter(F.col(key).isNotNull()).join(hot.select(key), key, "left_anti")
-    return spared.select(*columns).unionByName(cold.join(flagged, key, "left").select(*columns))
+    is_hot = F.col(key).isin([r[key] for r in keys])
+    spared = big.filter(F.coalesce(is_hot, F.lit(True))).join(F.broadcast(hot), key, "left")
+    cold = big.filter(~is_hot).join(flagged, key, "left")
+    return spared.select(*columns).unionByName(cold.select(*columns))
 
 
 def rewrite_urls(
@@ -66,10 +64,26 @@ def rewrite_urls(
         .groupBy(F.col("src_url").alias(url))
         .agg(F.max("new_url").alias("_new_url"))
     )
-    joined = lookup(records, done, url)
+    joined = lookup(records, done, url, unique=True)
     return joined.withColumn(url, F.coalesce("_new_url", url)).select(*records.columns)
 
 
+def failed_copies(
+    records: DataFrame, copies: DataFrame, url: str = "image_url"
+) -> DataFrame:
+    """O-31: the records whose URL was tried and never copied, ``reason`` ``asset_unavailable``.
+
+    A URL that no copy names was not tried; a record without a URL has nothing to copy.
+    """
+    tried = (
+        copies.filter(F.col("src_url").isNotNull())
+        .groupBy(F.col("src_url").alias(url))
+        .agg(F.bool_or(F.coalesce("ok", F.lit(False))).alias("_copied"))
+    )
+    joined = lookup(records, tried, url, unique=True).filter("found AND NOT _copied")
+    return joined.select(*records.columns, F.lit("asset_unavailable").alias("reason"))
+
+
 def asset_manifest(
     records: DataFrame, folder: str, order: str, url: str = "image_url"
 ) -> DataFrame:
@@ -101,7 +115,7 @@ def attach_embedding(
 
     ``vectors`` has one row per ``key`` and an ``embedding`` column.
     """
-    joined = lookup(records, vectors.select(key, "embedding"), key)
+    joined = stage(lookup(records, vectors.select(key, "embedding"), key), "looked-up")
     has_vector = F.col("embedding").isNotNull()
     good = joined.filter(has_vector).drop("found")
     rejects = joined.filter(~has_vector).select(

@@ -25,9 +25,9 @@ from vitrine.functions.minhash import BANDS, PERMUTATIONS, ROWS, vector_band_key
 from vitrine.operators.joins import HOT_FLOOR, HOT_SHARE
 from vitrine.session import delete_path, scratch_path, scratch_scope, stage, write_table
 
-# With no more contested memberships than this (16 bytes each) one task finishes the walk
-# in order; long chains of tiny steps would otherwise cost a round per link.
-TAIL_ROWS = 500_000
+# Rounds decide by default. With a figure above 0, one task finishes the walk in order once no
+# more contested memberships (16 bytes each) are left; a long chain costs a round per link.
+TAIL_ROWS = 0
 
 
 def signature_buckets(

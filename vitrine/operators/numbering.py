@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vitrine.operators.partitioning import MIN_SPLIT_BYTES, planned_bytes
+from vitrine.operators.partitioning import planned_bytes
 from vitrine.session import stage
 
 BATCH_SIZE = 128
@@ -38,9 +40,16 @@ def _with_offsets(df: DataFrame, chunk: list[str], place: list[str], n_chunks: i
     )
 
 
-def _expected_splits(scan: DataFrame) -> int:
-    """Upper estimate of the file splits of a scan, from its planned size."""
-    return len(scan.inputFiles()) + planned_bytes(scan) // MIN_SPLIT_BYTES
+def split_bytes(df: DataFrame) -> int:
+    """Size Spark cuts files into, from ``spark.sql.files.maxPartitionBytes``."""
+    setting = df.sparkSession.conf.get("spark.sql.files.maxPartitionBytes")
+    number, unit = re.fullmatch(r"(\d+)\s*([kmgt]?)i?b?", setting.strip().lower()).groups()
+    return int(number) << {"": 0, "k": 10, "m": 20, "g": 30, "t": 40}[unit]
+
+
+def expected_splits(n_files: int, n_bytes: int, split: int) -> int:
+    """Upper estimate of the file splits of a scan: one end per file, the rest full."""
+    return n_files + n_bytes // split
 
 
 def number_scanned_lines(scan: DataFrame) -> DataFrame:
@@ -57,7 +66,7 @@ def number_scanned_lines(scan: DataFrame) -> DataFrame:
             "_seq": F.monotonically_increasing_id(),
         }
     )
-    splits = _expected_splits(scan)
+    splits = expected_splits(len(scan.inputFiles()), planned_bytes(scan), split_bytes(scan))
     return _with_offsets(located, ["_file", "_split"], ["_path", "_split"], splits)
 
 

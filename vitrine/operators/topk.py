@@ -11,16 +11,15 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vitrine.functions.vectors import l2_normalize, matrix, score
-from vitrine.operators.partitioning import input_bytes
+from vitrine.functions.vectors import l2_normalize, matrix, pair_cosine, pair_distance, score
 from vitrine.operators.validate import compile_filter
 from vitrine.session import stage
 
-# Query vectors held by one task at a time; more are searched block after block.
+# Query vectors held by one task at a time; more are searched block by block.
 BLOCK_BYTES = 8 * 1024 * 1024
-# From this input size on, a search uses the matrix kernel.
-ARROW_FROM_BYTES = 256 * 1024 * 1024
-# Score cells a task computes in one matrix product.
+# Vectors of the index that meet one block of queries, where there are several blocks.
+PART_BYTES = 64 * 1024 * 1024
+# Score cells a task computes in one matrix product, and elements it takes for exact scores at once.
 _CELLS = 4_000_000
 
 
@@ -37,19 +36,17 @@ def topk(
     id_col: str = "id",
     vec_col: str = "embedding",
     metadata: Sequence[str] = (),
-    kernel: str = "auto",
+    kernel: str = "arrow",
 ) -> DataFrame:
     """O-45, O-46: the ``k`` nearest entries to one vector: ``(id, score, *metadata)``.
 
     Conditions apply before the search. Ties go to the smaller id. Every task keeps its
     own ``k`` best rows, so only those are shuffled. ``metadata`` columns ride along;
-    :func:`attach_metadata` fetches wide ones after the limit instead. The matrix kernel is
-    three times as fast per row but starts Python workers, so ``auto`` takes it for large
-    inputs only.
+    :func:`attach_metadata` fetches wide ones after the limit instead. Vectors of another
+    length, without a finite length and, with cosine, without direction have no score. The
+    ``jvm`` kernel needs no Python workers but three times as long per row.
     """
     candidates = index.filter(compile_filter(conditions, index.columns))
-    if kernel == "auto":
-        kernel = "jvm" if input_bytes(index) < ARROW_FROM_BYTES else "arrow"
     scored = candidates.select(
         id_col, score(F.col(vec_col), query, metric, kernel).alias("score"), *metadata
     )
@@ -70,65 +67,77 @@ def attach_metadata(results: DataFrame, index: DataFrame, id_col: str = "id") ->
 
 
 class _BlockSearch:
-    """Per-task search of one block of queries: matrix products and a running top-k.
+    """Per-task search of one block of queries: matrix products, exact scores, a running top-k.
 
-    Both metrics become an inner product where higher is nearer: cosine of unit vectors,
-    or ``2qm - |m|^2`` for the Euclidean distance. A cell survives only when it can still
-    enter its query's current best, so after the first rows a product and one comparison
-    is all there is per cell, and only ``k`` rows per query leave the task.
+    A matrix product scores every cell up to a rounding error that is bounded by the lengths of
+    the two vectors. Cells that may still enter their query's best ``k`` within that bound
+    are scored again pair by pair, by the formula of the single search, and only those exact
+    scores are compared, ties going to the smaller id. Higher is nearer for both metrics inside.
     """
 
-    tolerance = 1e-12
-
     def __init__(self, queries: np.ndarray, query_ids: pa.Array, k: int, metric: str):
-        self.query_ids, self.k, self.metric = query_ids, k, metric
-        self.squares = np.einsum("ij,ij->i", queries, queries)
-        if metric == "cosine":
-            lengths = np.sqrt(self.squares)[:, None]
-            unit = np.divide(queries, lengths, out=np.full_like(queries, np.nan), where=lengths > 0)
-            self.left = unit
-        else:
-            self.left = np.hstack([2 * queries, np.full((len(queries), 1), -1.0)])
+        squares = np.square(queries).sum(axis=1)
+        usable = np.isfinite(squares) & ((squares > 0) | (metric != "cosine"))
         self.width = queries.shape[1]
+        self.queries, self.squares = queries[usable], squares[usable]
+        self.query_ids = query_ids.filter(pa.array(usable))
+        self.k, self.metric = k, metric
+        self.unit = 4 * (self.width + 8) * np.finfo(float).eps
         self.best = (np.empty(0, np.int64), None, np.empty(0))
-        self.bar = np.full(len(queries), -np.inf)  # score of the k-th best so far
-        self.last = None  # id of the k-th best so far
+        self.bar = np.full(len(self.queries), -np.inf)  # exact score of the k-th best so far
 
     def prepare(self, m: np.ndarray, ids: np.ndarray):
-        squares = np.einsum("ij,ij->i", m, m)
+        squares = np.square(m).sum(axis=1)
+        usable = np.isfinite(squares) & ((squares > 0) | (self.metric != "cosine"))
+        return m[usable], squares[usable], ids[usable]
+
+    def rough(self, m: np.ndarray, squares: np.ndarray):
+        """Cells in the order of nearness, the error of each, and the bar on the same scale."""
+        if self.metric == "cosine":
+            left = self.queries / np.sqrt(self.squares)[:, None]
+            cells = left @ (m / np.sqrt(squares)[:, None]).T
+            return cells, np.full((1, 1), self.unit), self.bar
+        cells = 2 * (self.queries @ m.T) - squares[None, :] - self.squares[:, None]
+        error = self.unit * (squares[None, :] + self.squares[:, None])
+        bar = -np.square(self.bar) * (1 + self.unit)
+        return cells, error, bar
+
+    def exact(self, q: np.ndarray, m: np.ndarray, squares: np.ndarray) -> np.ndarray:
         if self.metric == "cosine":
-            usable = squares > 0
-            return m[usable] / np.sqrt(squares[usable])[:, None], ids[usable]
-        usable = ~np.isnan(squares)
-        return np.hstack([m, squares[:, None]])[usable], ids[usable]
-
-    def offer(self, rows: np.ndarray, ids: np.ndarray) -> None:
-        scores = self.left @ rows.T
-        bar = self.bar
-        if np.isneginf(bar).any() and scores.shape[1] > self.k:
-            bar = np.maximum(bar, np.partition(scores, -self.k, axis=1)[:, -self.k])
-        q, column = np.nonzero(scores >= (bar - self.tolerance)[:, None])
-        values, found = scores[q, column], ids[column]
-        if self.last is not None:
-            improves = (values > self.bar[q] + self.tolerance) | (found < self.last[q])
-            q, values, found = q[improves], values[improves], found[improves]
-        if len(q):
-            self.merge(q, found, values)
+            return pair_cosine(m, self.queries[q], squares, self.squares[q])
+        return -pair_distance(m, self.queries[q])
+
+    def offer(self, m: np.ndarray, squares: np.ndarray, ids: np.ndarray) -> None:
+        with np.errstate(over="ignore", invalid="ignore"):
+            cells, error, bar = self.rough(m, squares)
+            sure = np.isneginf(self.bar)
+            if sure.any() and cells.shape[1] > self.k:
+                least = np.nan_to_num(cells[sure] - (error if error.shape[0] == 1 else error[sure]), nan=-np.inf)
+                bar = bar.copy()
+                bar[sure] = np.partition(least, -self.k, axis=1)[:, -self.k]
+            q, column = np.nonzero(~(cells + error < bar[:, None]))
+        if not len(q):
+            return
+        step = max(1, _CELLS // max(1, self.width))
+        values = np.concatenate([
+            self.exact(q[s : s + step], m[column[s : s + step]], squares[column[s : s + step]])
+            for s in range(0, len(q), step)
+        ])
+        good = np.isfinite(values) & (values >= self.bar[q])
+        self.merge(q[good], ids[column[good]], values[good])
 
     def merge(self, q, ids, values) -> None:
         held_q, held_ids, held_values = self.best
         if held_ids is not None:
             q, values = np.concatenate([held_q, q]), np.concatenate([held_values, values])
             ids = np.concatenate([held_ids, ids])
-        order = np.lexsort((ids, -np.round(values, 12), q))
+        order = np.lexsort((ids, -values, q))
         q, ids, values = q[order], ids[order], values[order]
         place = np.arange(len(q)) - np.searchsorted(q, q, side="left")
         keep = place < self.k
         self.best = q[keep], ids[keep], values[keep]
         full = place == self.k - 1
         self.bar[q[full]] = values[full]
-        if len(q[full]) == len(self.bar):
-            self.last = ids[full]
 
     def run(self, batches):
         step = max(1, _CELLS // max(1, len(self.bar)))
@@ -141,33 +150,42 @@ class _BlockSearch:
             ids = ids_arrow.filter(fits).to_numpy(zero_copy_only=False)
             if ids.dtype == object:
                 ids = ids.astype(str)
-            rows, ids = self.prepare(matrix(vectors.filter(fits)), ids)
-            for start in range(0, len(rows), step):
-                self.offer(rows[start : start + step], ids[start : start + step])
+            m, squares, ids = self.prepare(matrix(vectors.filter(fits)), ids)
+            for s in range(0, len(m) if len(self.bar) else 0, step):
+                self.offer(m[s : s + step], squares[s : s + step], ids[s : s + step])
         q, ids, values = self.best
-        if ids is not None:
-            if self.metric != "cosine":
-                values = np.sqrt(np.maximum(self.squares[q] - values, 0.0))
+        if ids is not None and len(q):
             yield pa.RecordBatch.from_arrays(
                 [
                     self.query_ids.take(pa.array(q)),
                     pa.array(ids, id_type),
-                    pa.array(values, pa.float64()),
+                    pa.array(values if self.metric == "cosine" else -values, pa.float64()),
                 ],
                 names=["query_id", "id", "score"],
             )
 
 
-def _search_block(
-    index: DataFrame, queries: DataFrame, k: int, metric: str, id_type: str, query_type: str
-) -> DataFrame:
-    block = queries.toArrow()
-    search = _BlockSearch(
-        matrix(block["query"].combine_chunks()), block["query_id"].combine_chunks(), k, metric
+def _found_by_blocks(rows: DataFrame, queries: DataFrame, n_blocks: int, k: int, metric: str, out: str) -> DataFrame:
+    """Every block of queries meets every part of the index in a task of its own, in one job."""
+    dim = F.coalesce(F.size("embedding"), F.lit(0)).cast("long")
+    size = rows.agg(F.coalesce(F.sum(dim * 8 + 64), F.lit(0)).alias("bytes")).first()["bytes"]
+    n_parts = 2 * (-(-size // PART_BYTES) or 1)
+    asked = queries.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(n_blocks))).withColumn(
+        "part", F.explode(F.expr(f"sequence(0L, {n_parts - 1}L)"))
     )
-    found = index.mapInArrow(search.run, f"query_id {query_type}, id {id_type}, score double")
-    per_query = Window.partitionBy("query_id").orderBy(_nearest_first(metric), F.col("id"))
-    return found.withColumn("rank", F.row_number().over(per_query)).filter(F.col("rank") <= k)
+    held = rows.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(n_parts))).withColumn(
+        "block", F.explode(F.expr(f"sequence(0L, {n_blocks - 1}L)"))
+    )
+
+    def search(block: pa.Table, part: pa.Table) -> pa.Table:
+        schema = pa.schema([("query_id", block["query_id"].type), ("id", part["id"].type), ("score", pa.float64())])
+        if not len(block) or not len(part):
+            return schema.empty_table()
+        found = _BlockSearch(matrix(block["query"].combine_chunks()), block["query_id"].combine_chunks(), k, metric)
+        return pa.Table.from_batches(list(found.run(part.select(["id", "embedding"]).to_batches())), schema)
+
+    pairs = asked.groupBy("block", "part").cogroup(held.groupBy("block", "part"))
+    return pairs.applyInArrow(search, out)
 
 
 def topk_batch(
@@ -181,11 +199,10 @@ def topk_batch(
 ) -> DataFrame:
     """O-47: the ``k`` nearest entries to each of many vectors: ``(query_id, rank, id, score)``.
 
-    ``queries`` has ``(query_id, query)``, ids unique and vectors of one length. A block of
-    at most ``BLOCK_BYTES`` of query vectors goes to every task, which multiplies it with
-    its rows and keeps ``k`` per query. More queries are split into blocks by hash; each
-    block is one more pass over the index and its result is written before the next, so
-    neither driver nor tasks ever hold more than one block.
+    ``queries`` has ``(query_id, query)``, ids unique and vectors of one length. Up to
+    ``BLOCK_BYTES`` of queries go to every task, which multiplies them with its rows and keeps
+    ``k`` per query, so the index is neither shuffled nor read twice. More queries form blocks
+    that meet the parts of the index in one shuffle. Both give the same rows.
     """
     if metric not in ("cosine", "euclidean"):
         raise ValueError(f"unknown metric {metric!r}")
@@ -193,24 +210,25 @@ def topk_batch(
         F.col(id_col).alias("id"), F.col(vec_col).alias("embedding")
     )
     queries = queries.select("query_id", F.col("query").cast("array<double>").alias("query"))
-    id_type = rows.schema["id"].dataType.simpleString()
-    query_type = queries.schema["query_id"].dataType.simpleString()
-    queries = stage(queries, "queries")  # measured, then read once per block
+    queries = stage(queries.filter("query_id IS NOT NULL AND query IS NOT NULL"), "queries")
     size = queries.agg(
         F.coalesce(F.sum(F.size("query").cast("long") * 8 + 64), F.lit(0)).alias("bytes")
     ).first()["bytes"]
+    out = (
+        f"query_id {queries.schema['query_id'].dataType.simpleString()}, "
+        f"id {rows.schema['id'].dataType.simpleString()}, score double"
+    )
     n_blocks = -(-size // BLOCK_BYTES) or 1
-    # Twice the minimum, so that an uneven hash still keeps every block within bounds.
-    n_blocks = n_blocks if n_blocks == 1 else 2 * n_blocks
-
-    result = None
-    for number in range(n_blocks):
-        block = queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)) == number)
-        found = _search_block(rows, block, k, metric, id_type, query_type)
-        if n_blocks > 1:
-            found = stage(found, "topk-block")
-        result = found if result is None else result.unionByName(found)
-    return result.select("query_id", "rank", "id", "score")
+    if n_blocks == 1:
+        block = queries.toArrow()
+        search = _BlockSearch(matrix(block["query"].combine_chunks()), block["query_id"].combine_chunks(), k, metric)
+        found = rows.mapInArrow(search.run, out)
+    else:
+        # Twice the minimum, so that an uneven hash still keeps every block within bounds.
+        found = _found_by_blocks(rows, queries, 2 * n_blocks, k, metric, out)
+    per_query = Window.partitionBy("query_id").orderBy(_nearest_first(metric), F.col("id"))
+    ranked = found.withColumn("rank", F.row_number().over(per_query)).filter(F.col("rank") <= k)
+    return ranked.select("query_id", "rank", "id", "score")
 
 
 def topk_ann(

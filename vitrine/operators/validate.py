@@ -19,6 +19,7 @@ REASONS = [
     "asset_unavailable",
     "embedding_failed",
     "bad_dimension",
+    "not_finite",
     "zero_norm",
     "duplicate_id",
     "near_duplicate",
@@ -45,6 +46,7 @@ def vector_rules(vector: Column, dim: int) -> list[tuple[str, Column]]:
     return [
         ("embedding_failed", vector.isNull()),
         ("bad_dimension", F.size(vector) != dim),
+        ("not_finite", F.isnan(norm(vector)) | (norm(vector) == float("inf"))),
         ("zero_norm", norm(vector) == 0),
     ]
 
@@ -81,16 +83,19 @@ _COMPARE = {
     "$gte": lambda c, v: c >= v,
     "$lt": lambda c, v: c < v,
     "$lte": lambda c, v: c <= v,
-    "$in": lambda c, v: c.isin(*v),
-    "$nin": lambda c, v: ~c.isin(*v),
+    "$in": lambda c, v: c.isin(*v) if v else F.lit(False),
+    "$nin": lambda c, v: ~c.isin(*v) if v else F.lit(True),
 }
 
 
 def _operand(field: str, value, columns: list[str], metadata: str) -> Column:
-    """A typed column where the field has one, else the metadata entry of the same kind."""
-    if field in columns:
+    """A typed column where the field has one, else the metadata entry of the same kind.
+
+    Beside metadata, ``id`` and ``embedding`` name entries of it and not the index's own columns.
+    """
+    if field in columns and not (metadata in columns and field in ("id", "embedding", metadata)):
         return F.col(field)
-    sample = value[0] if isinstance(value, (list, tuple)) else value
+    sample = next(iter(value), None) if isinstance(value, (list, tuple)) else value
     entry = F.try_element_at(F.col(metadata), F.lit(field))
     if isinstance(sample, bool):
         wanted, spark_type = "boolean", "boolean"

@@ -16,33 +16,60 @@ from vitrine.operators.partitioning import spread_small
 BATCH_SIZE = 128
 
 
+# Sums of one aggregate; more would leave code generation.
+BLOCK = 64
+
+
 def vec_mean(df: DataFrame, key: str, col: str = "embedding", dim: int | None = None) -> DataFrame:
     """O-36: elementwise mean of all vectors of a key: ``(key, embedding)``.
 
-    Sums are combined before the shuffle, so a key with a third of the rows costs no more
-    than any other. With ``dim`` given, a key is one row of ``dim`` running sums and a
-    vector of another length makes the mean NULL; take this for many keys, such as the
-    variants of every record. Without it every element becomes a row of the aggregate:
-    as fast for few keys and free of the code generation for ``dim`` sums, but six times
-    slower with four vectors per key.
+    Null vectors do not count; a null element, vectors of different lengths, another length
+    than ``dim``, or no vector at all make the mean NULL. Sums are combined before the
+    shuffle, so a key with a third of the rows costs no more than any other. With ``dim``, a
+    key is one row of running sums for every 64 elements; take this for many keys, such as the
+    variants of every record. Without it every element becomes a row of the aggregate: as
+    fast for few keys, but six times slower with four vectors per key.
     """
+    v = F.col(col)
     if dim is None:
-        elements = df.select(key, F.posexplode(col).alias("pos", "x"))
-        means = elements.groupBy(key, "pos").agg(F.avg(F.col("x").cast("double")).alias("x"))
-        packed = means.groupBy(key).agg(
-            F.array_sort(F.collect_list(F.struct("pos", "x"))).alias("e")
+        elements = df.select(key, v.isNotNull().alias("real"), F.posexplode_outer(col).alias("pos", "x"))
+        means = elements.groupBy(key, "pos").agg(
+            F.avg(F.col("x").cast("double")).alias("x"),
+            F.count_if("real").alias("n"),
+            F.count("x").alias("whole"),
         )
-        return packed.select(key, F.transform("e", lambda e: e["x"]).alias(col))
-    v = F.col(col)
-    unfit = (F.size(v) != dim) | F.exists(v, lambda x: x.isNull())
-    # SQL text, because building thousands of column objects takes longer than the query.
-    sums = df.groupBy(key).agg(
-        F.count(v).alias("_n"),
-        F.count_if(unfit).alias("_unfit"),
-        *[F.expr(f"sum(CAST(get(`{col}`, {n}) AS DOUBLE)) AS _{n}") for n in range(dim)],
+        means = means.filter("n > 0 OR pos IS NULL")
+        packed = means.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "x", "n", "whole"))).alias("e"))
+        # an entry without a position stands for null vectors (n = 0) or empty ones
+        real = F.filter("e", lambda e: e["pos"].isNotNull())
+        fine = (
+            (F.size(real) > 0)
+            & F.forall(real, lambda e: (e["n"] == real[0]["n"]) & (e["whole"] == e["n"]))
+            & ~F.exists("e", lambda e: e["pos"].isNull() & (e["n"] > 0))
+        )
+        return packed.select(key, F.when(fine, F.transform(real, lambda e: e["x"])).alias(col))
+    unfit = F.coalesce((F.size(v) != dim) | F.exists(v, lambda x: x.isNull()), F.lit(False))
+    rows = df.select(key, v.alias("_v"), unfit.alias("_unfit"), F.lit(0).alias("_block"))
+    blocks = -(-dim // BLOCK)
+    if blocks > 1:
+        parts = F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda b: F.struct(b.alias("b"), F.slice("_v", b * BLOCK + 1, BLOCK).alias("p")))
+        rows = rows.select(key, "_unfit", F.explode(parts).alias("_e")).select(key, "_unfit", F.col("_e.b").alias("_block"), F.col("_e.p").alias("_v"))
+    width = min(dim, BLOCK)
+    # SQL text, because building many column objects takes longer than the query.
+    sums = rows.groupBy(key, "_block").agg(
+        F.count("_v").alias("_n"),
+        F.count_if("_unfit").alias("_bad"),
+        *[F.expr(f"sum(CAST(get(_v, {n}) AS DOUBLE)) AS _{n}") for n in range(width)],
+    )
+    mean = F.expr("array(" + ", ".join(f"_{n} / _n" for n in range(width)) + ")")
+    fine = (F.col("_bad") == 0) & (F.col("_n") > 0)
+    if blocks == 1:
+        return sums.select(key, F.when(fine, mean).alias(col))
+    merged = sums.select(key, "_block", F.when(fine, mean).alias("_mean")).groupBy(key).agg(
+        F.array_sort(F.collect_list(F.struct("_block", "_mean"))).alias("_e")
     )
-    mean = F.expr("array(" + ", ".join(f"_{n} / _n" for n in range(dim)) + ")")
-    return sums.select(key, F.when((F.col("_unfit") == 0) & (F.col("_n") > 0), mean).alias(col))
+    whole = F.slice(F.flatten(F.transform("_e", lambda e: e["_mean"])), 1, dim)
+    return merged.select(key, whole.alias(col))
 
 
 def fan_out(df: DataFrame, variants: int) -> DataFrame:

@@ -15,12 +15,13 @@ from vitrine.functions.dynamic import (
     text_field,
 )
 from vitrine.functions.text import abbreviate, ascii_id, coalesce_text, year_or_self
-from vitrine.functions.vectors import hybrid
+from vitrine.functions.vectors import hybrid, l2_normalize
 from vitrine.operators.extract import CATALOGUE_SPEC, extract_records
 from vitrine.operators.joins import lookup
 from vitrine.operators.keyed import keep_last
 from vitrine.operators.neardup import drop_near_dups, signature_buckets
-from vitrine.operators.topk import attach_metadata, present, topk
+from vitrine.operators.numbering import BATCH_SIZE, batch_no
+from vitrine.operators.topk import attach_metadata, present, topk, topk_batch
 from vitrine.operators.validate import judge, record_rules, vector_rules
 from vitrine.operators.vectors import embed
 from vitrine.session import scratch_path, scratch_scope, stage, write_table
@@ -120,17 +121,16 @@ def full_entries(
 
     ``image_vectors`` maps ``image_url`` to the mean ``embedding`` of the image's variants.
     Near-duplicates and repeated ids are dropped in line order among rows that passed every
-    check; then the text of ``description`` is embedded and mixed in. Rejects of these
-    later steps carry no raw line.
+    check, and a row that is both counts as a near-duplicate; then the text of ``description``
+    is embedded and mixed in. Rejects of these later steps carry no raw line.
     """
     judged = _with_vectors(lines, image_vectors, dim, id_field)
     bad = judged.filter("reason IS NOT NULL")
     fit = judged.filter("reason IS NULL").drop("reason")
+    fit = stage(fit.withColumn("signature", signature_buckets(F.col("embedding"), top_m)), "signed")
     # An id already taken by a kept row drops a record just as a shared bucket does, so the
     # id enters the walk as one more bucket.
-    buckets = F.concat(
-        signature_buckets(F.col("embedding"), top_m), F.array(F.xxhash64(F.lit("id"), "id"))
-    )
+    buckets = F.concat("signature", F.array(F.xxhash64(F.lit("id"), "id")))
     kept, dropped = drop_near_dups(fit, "line_no", buckets)
     described = kept.withColumn(
         "description", coalesce_text(text_field(F.col("fields"), "description"))
@@ -144,9 +144,14 @@ def full_entries(
         metadata_except(F.col("fields")).alias("metadata"),
     )
     mixed = stage(mixed, "mixed")
-    taken = lookup(dropped, kept.select("id"), "id")
-    dropped = taken.withColumn(
-        "reason", F.when(F.col("found"), "duplicate_id").otherwise("near_duplicate")
+    # kept rows share no bucket, so each has one holder
+    holders = kept.select(F.explode("signature").alias("bucket"), F.col("line_no").alias("holder"))
+    near = (
+        lookup(dropped.select("line_no", F.explode("signature").alias("bucket")), holders, "bucket", unique=True)
+        .filter("holder < line_no").select("line_no").distinct().withColumn("near", F.lit(True))
+    )
+    dropped = dropped.join(near, "line_no", "left").withColumn(
+        "reason", F.when(F.col("near"), "near_duplicate").otherwise("duplicate_id")
     )
     failed = mixed.filter("embedding IS NULL").withColumn("reason", F.lit("embedding_failed"))
     entries = mixed.filter("embedding IS NOT NULL").drop("raw")
@@ -155,6 +160,35 @@ def full_entries(
     return entries, reduce(DataFrame.unionByName, rejects)
 
 
+def indexed_per_batch(lines: DataFrame, entries: DataFrame, size: int = BATCH_SIZE) -> DataFrame:
+    """O-41, O-50: ``(batch_no, n_lines, n_indexed)`` of every micro-batch, 0 where none was."""
+    marked = lines.select("line_no", F.lit(0).alias("indexed")).unionByName(
+        entries.select("line_no", F.lit(1).alias("indexed"))
+    )
+    return marked.groupBy(batch_no(F.col("line_no"), size).alias("batch_no")).agg(
+        F.count_if(F.col("indexed") == 0).alias("n_lines"), F.sum("indexed").alias("n_indexed")
+    )
+
+
+def search_values(
+    index: VectorIndex,
+    values: DataFrame,
+    make_model: Callable,
+    k: int = 5,
+    variants: int = 1,
+    conditions: Mapping | None = None,
+) -> DataFrame:
+    """Search by assets or texts instead of vectors: ``(query_id, rank, id, score)``.
+
+    ``values`` has ``(query_id, value)``. Every value is embedded as ``variants`` variants, the
+    mean of which is brought to unit length and searched for among the entries that fulfil
+    the conditions (O-51, O-36, O-37, O-47). A value that cannot be embedded finds nothing.
+    """
+    embedded = embed(values.select("query_id", "value"), "value", make_model, index.dim, variants, out="mean")
+    queries = embedded.select("query_id", l2_normalize(F.col("mean")).alias("query"))
+    return topk_batch(index.read(), queries, k, index.metric, conditions)
+
+
 def _shown(results: DataFrame, entries: DataFrame, metric: str) -> DataFrame:
     """Results with their metadata as text, ranked for display."""
     wide = attach_metadata(results, entries.select("id", "metadata"))

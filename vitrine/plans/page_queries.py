@@ -6,17 +6,21 @@ from pyspark.sql import functions as F
 
 from vitrine.functions import html as H
 from vitrine.functions.text import text_lines
-from vitrine.operators.extract import block_under_heading, extract_records, listing_links
+from vitrine.operators.extract import extract_records, listing_counts, listing_links
 from vitrine.operators.joins import asset_manifest as manifest
-from vitrine.operators.joins import rewrite_urls
+from vitrine.operators.joins import failed_copies, rewrite_urls
 from vitrine.operators.partitioning import spread_small
+from vitrine.operators.validate import count_by
 from vitrine.plans.flows import records_from_pages
 from vitrine.plans.registry import query, table
-from vitrine.sources.assets import classify_assets
+from vitrine.session import scratch_path
+from vitrine.sinks.files import land_pages, write_rejects
+from vitrine.sources.assets import classify_assets, read_assets
+from vitrine.sources.pages import read_pages
 
 
 def _markup(spark, sf):
-    return spread_small(table(spark, sf, "pages")).withColumn("markup", H.markup_only(F.col("html")))
+    return spread_small(table(spark, sf, "pages")).withColumnRenamed("html", "markup")
 
 
 def _text_sql(element: str) -> str:
@@ -56,13 +60,13 @@ def page_class_text(spark, sf):
         CAST(NULL AS VARCHAR) AS image FROM pages"""
 )
 def page_attr(spark, sf):
-    markup = F.col("markup")
-    return _markup(spark, sf).select(
-        "page_id",
-        H.first_attr(markup, "html", "lang").alias("lang"),
-        H.first_attr(markup, "a", "href").alias("href"),
-        H.first_attr(markup, "img", "src", "img-fluid m-auto").alias("image"),
-    )
+    rules = {
+        "lang": ("attr", "html", "lang", None),
+        "href": ("attr", "a", "href", None),
+        "image": ("attr", "img", "src", "img-fluid m-auto"),
+    }
+    found = _markup(spark, sf).select("page_id", H.fields(F.col("markup"), rules).alias("found"))
+    return found.select("page_id", "found.*")
 
 
 @query(
@@ -90,13 +94,23 @@ def page_links(spark, sf):
 
 
 @query(
-    """SELECT page_id, len(regexp_extract_all(html, '<li><a href="([^"]+)"', 1)) AS n_links
-    FROM pages WHERE html LIKE '%<li><a href=%'"""
+    """SELECT page_id, len(regexp_extract_all(html, '<li><a href="([^"]+)"', 1))::BIGINT AS n_links
+    FROM pages"""
 )
 def page_link_counts(spark, sf):
     path = [("nav", None), ("ul", None), ("li", None)]
-    links = listing_links(table(spark, sf, "pages"), "page_id", path)
-    return links.groupBy("page_id").agg(F.count(F.lit(1)).alias("n_links"))
+    return listing_counts(table(spark, sf, "pages"), "page_id", path)
+
+
+@query(
+    """SELECT page_id, unnest(range(len(hrefs))) AS item,
+        unnest(list_transform(hrefs, lambda h: CASE WHEN h LIKE 'http%' THEN h
+            WHEN h LIKE '/%' THEN 'https://shop.example' || h ELSE 'https://shop.example/list/' || h END)) AS href
+    FROM (SELECT page_id, regexp_extract_all(html, '<a href="([^"]+)"', 1) AS hrefs FROM pages)"""
+)
+def page_links_resolved(spark, sf):
+    links = listing_links(table(spark, sf, "pages"), "page_id", base="https://shop.example/list/")
+    return links.withColumn("item", F.col("item").cast("long"))
 
 
 _ARTICLE = "regexp_extract(html, '(?s)<article>(.*?)</article>', 1)"
@@ -109,7 +123,7 @@ _H1 = "regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1)"
     FROM pages"""
 )
 def page_block(spark, sf):
-    block = block_under_heading(F.col("markup"), ("article", None), "h1", "the")
+    block = H.block_under_heading(F.col("markup"), ("article", None), "h1", "the")
     return _markup(spark, sf).select("page_id", block.alias("block"))
 
 
@@ -117,7 +131,8 @@ def catalogue_pages(spark, sf):
     """A detail page for every part, in the shape the extraction rules expect.
 
     Promotional parts have no table, large ones an empty edition cell, and a commented-out
-    heading precedes the real one.
+    heading precedes the real one. The badge holds an element of its own name, the table a
+    table, and references outside the old set occur.
     """
     cells = F.concat(
         F.lit('<table class="table table-bordered"><tr><td>Edition</td><td>'),
@@ -127,7 +142,7 @@ def catalogue_pages(spark, sf):
         F.lit("</td></tr><tr><td>Release Date</td><td>May 5, 2003 or 2004</td></tr>\n<tr><td>"),
         F.lit("Original Price</td><td> $"),
         F.col("p_retailprice"),
-        F.lit(" </td></tr><tr><td>SKU</td><td>S"),
+        F.lit(" </td></tr><tr><td>More</td><td><table class='x'><tr><td>in</td></tr></table></td></tr><tr><td>SKU</td><td>S"),
         F.col("p_partkey"),
         F.lit("</td></tr></table>"),
     )
@@ -142,7 +157,7 @@ def catalogue_pages(spark, sf):
         "p_type",
         F.lit('</a><span class="rarity badge big">'),
         F.lower("p_type"),
-        F.lit("</span>"),
+        F.lit(" <span>rare</span> it&#146;s &check;</span>"),
         F.when(F.col("p_type") == "PROMO", "").otherwise(cells),
         F.lit('<img class="m-auto img-fluid" src="no">'),
         F.lit('<img class="img-fluid m-auto" src=" http://host.example/'),
@@ -171,7 +186,7 @@ _EDITION = """CASE p_type WHEN 'PROMO' THEN NULL WHEN 'LARGE' THEN 'Release Date
         CAST(NULL AS VARCHAR) AS last_line FROM part"""
 )
 def kv_lines(spark, sf):
-    lines = H.table_lines(H.markup_only(F.col("html")), "table table-bordered")
+    lines = H.table_lines(F.col("html"), "table table-bordered")
     pages = spread_small(catalogue_pages(spark, sf)).withColumn("lines", lines)
     keys = ["Edition", "Release Date", "Original Price", "SKU"]
     values = [
@@ -202,7 +217,7 @@ def line_pairs(spark, sf):
 
 @query(
     f"""SELECT p_partkey, p_name || ' & ''co''' AS name, 'Series ' || p_brand AS series,
-        lower(p_type) AS rarity, 'Made by ' || p_type AS origin, {_EDITION} AS edition,
+        lower(p_type) || ' rare it’s ✓' AS rarity, 'Made by ' || p_type AS origin, {_EDITION} AS edition,
         CASE WHEN p_type <> 'PROMO' THEN 'May 5, 2003 or 2004' END AS release_date,
         CASE WHEN p_type <> 'PROMO' THEN '$' || p_retailprice END AS original_price,
         CASE WHEN p_type <> 'PROMO' THEN 'S' || p_partkey END AS sku,
@@ -247,14 +262,61 @@ def asset_manifest(spark, sf):
 )
 def url_rewrite(spark, sf):
     pages = table(spark, sf, "pages").select("page_id", F.col("url").alias("image_url"))
-    copies = pages.select(
+    return rewrite_urls(pages, _copies(pages))
+
+
+def _copies(pages):
+    """Copies of which those of unencrypted addresses failed."""
+    return pages.select(
         F.col("image_url").alias("src_url"),
         F.col("image_url").startswith("https").alias("ok"),
         F.concat(
             F.lit("https://store.example/images/"), F.substring_index("image_url", "/", -1)
         ).alias("new_url"),
     )
-    return rewrite_urls(pages, copies)
+
+
+@query(
+    """SELECT page_id + 1 AS line_no, reason, count(*) OVER (PARTITION BY reason) AS n
+    FROM (SELECT page_id, 'asset_unavailable' AS reason FROM pages WHERE url NOT LIKE 'https%')"""
+)
+def copy_rejects(spark, sf):
+    """Records whose copy failed, as written to the reject sink."""
+    pages = table(spark, sf, "pages").select(
+        (F.col("page_id") + 1).alias("line_no"), F.col("url").alias("image_url")
+    )
+    failed = failed_copies(pages, _copies(pages)).withColumn("raw", F.col("image_url"))
+    path = scratch_path(spark, "copy-rejects")
+    write_rejects(failed.select("line_no", "raw", "reason"), path)
+    written = spark.read.schema("line_no long, raw string, reason string").json(path)
+    tally = count_by(written, F.col("reason")).withColumnRenamed("status", "reason")
+    return written.join(tally, "reason").select("line_no", "reason", "n")
+
+
+@query("SELECT page_id, url, html FROM pages")
+def landed_pages(spark, sf):
+    path = scratch_path(spark, "landed-pages")
+    pages = table(spark, sf, "pages").withColumnRenamed("page_id", "page")
+    land_pages(pages.withColumn("item", F.lit(0)), path, "page")
+    return read_pages(spark, path).select(F.col("page").alias("page_id"), "url", "html")
+
+
+@query(
+    """SELECT item_id, octet_length(encode(text)) + 5 AS length, 'gif' AS format, true AS ok,
+        sha256('GIF8' || text || chr(10)) AS body FROM benchmark"""
+)
+def asset_files(spark, sf):
+    """Every benchmark text as a file of its own behind the first bytes of an image."""
+    folder = scratch_path(spark, "assets")
+    items = table(spark, sf, "benchmark").select("item_id", F.concat(F.lit("GIF8"), "text").alias("value"))
+    items.repartition("item_id").write.partitionBy("item_id").text(folder)
+    return read_assets(spark, folder, "*.txt").select(
+        F.regexp_extract("path", r"item_id=(\d+)", 1).cast("long").alias("item_id"),
+        "length",
+        "format",
+        "ok",
+        F.sha2("content", 256).alias("body"),
+    )
 
 
 @query(

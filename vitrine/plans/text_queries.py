@@ -67,14 +67,17 @@ def url_basename(spark, sf):
 
 
 @query(
-    "SELECT d.doc_id, CASE WHEN l.doc_id IS NULL THEN '' ELSE d.text END AS description "
+    "SELECT d.doc_id, CASE WHEN l.doc_id IS NULL THEN '' ELSE d.text END AS description, "
+    "CASE WHEN l.doc_id IS NULL THEN d.text ELSE '' END AS unlabelled "
     "FROM documents d LEFT JOIN labels l USING (doc_id)"
 )
 def default_text(spark, sf):
     docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
     described = docs.join(labels.select("doc_id", F.lit(True).alias("known")), "doc_id", "left")
-    text = F.when(F.col("known"), F.col("text"))
-    return described.select("doc_id", X.coalesce_text(text).alias("description"))
+    text, other = F.when(F.col("known"), F.col("text")), F.when(F.col("known").isNull(), F.col("text"))
+    return described.select(
+        "doc_id", X.coalesce_text(text).alias("description"), X.coalesce_text(other).alias("unlabelled")
+    )
 
 
 @query(
@@ -331,9 +334,9 @@ def run_counts(spark, sf):
 
 @query(
     """
-    WITH base AS (SELECT * FROM events WHERE event_type = 'signup'
+    WITH base AS (SELECT * FROM events WHERE event_type <> 'purchase'
         QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1),
-    updates AS (SELECT * FROM events WHERE event_type = 'purchase' AND value > 20
+    updates AS (SELECT * FROM events WHERE event_type = 'purchase'
         QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1)
     SELECT user_id, event_id, event_type, value FROM updates
     UNION ALL SELECT user_id, event_id, event_type, value FROM base
@@ -342,8 +345,8 @@ def run_counts(spark, sf):
 )
 def upsert_latest(spark, sf):
     events = table(spark, sf, "events").select("user_id", "event_id", "event_type", "value")
-    base = keep_last(events.filter("event_type = 'signup'"), "user_id", "event_id")
-    updates = events.filter("event_type = 'purchase' AND value > 20")
+    base = keep_last(events.filter("event_type <> 'purchase'"), "user_id", "event_id")
+    updates = events.filter("event_type = 'purchase'")
     return upsert(base, updates, "user_id", "event_id")
 
 

@@ -11,10 +11,16 @@ from vitrine.operators.joins import attach_embedding
 from vitrine.operators.neardup import drop_near_dups, signature_buckets
 from vitrine.operators import topk as K
 from vitrine.operators.vectors import embed, fan_out, vec_mean
-from vitrine.plans.flows import full_entries, search_index, simple_entries
+from vitrine.plans.flows import (
+    full_entries,
+    indexed_per_batch,
+    search_index,
+    search_values,
+    simple_entries,
+)
 from vitrine.plans.registry import fixed_point, query, table
 from vitrine.plans.text_queries import REASON_SQL, document_lines
-from vitrine.session import scratch_path
+from vitrine.session import scratch_path, stage
 from vitrine.sinks.files import write_records
 from vitrine.sources.index_store import ensure_index, open_index
 from vitrine.streaming.ingest import run_available, stream_records
@@ -122,7 +128,9 @@ def top_dims(spark, sf):
     ORDER BY list_cosine_similarity(v, q) DESC, vec_id LIMIT 10"""
 )
 def topk_cosine(spark, sf):
-    found = K.topk(_embeddings(spark, sf), _label_mean(spark, sf), 10, id_col="vec_id")
+    found = K.topk(
+        _embeddings(spark, sf), _label_mean(spark, sf), 10, id_col="vec_id", kernel="jvm"
+    )
     return found.withColumn("score", F.round("score", 6))
 
 
@@ -155,7 +163,7 @@ PART_FILTER = {"p_type": {"$eq": "SMALL"}, "p_retailprice": {"$lt": 950}}
 
 def _with_part(spark, sf) -> DataFrame:
     part = table(spark, sf, "part").withColumnRenamed("p_partkey", "vec_id")
-    return _embeddings(spark, sf).join(part, "vec_id")
+    return _embeddings(spark, sf).join(part, "vec_id", "left")
 
 
 @query(
@@ -244,6 +252,29 @@ def topk_batch_euclid(spark, sf):
     return found.withColumn("score", F.round("score", 6))
 
 
+def _moved_sql(moved: str, scale: str) -> str:
+    """The batch search over vectors whose elements are ``moved``, scores times ``scale``."""
+    base = f"e AS (SELECT vec_id, label, list_transform(CAST(embedding AS DOUBLE[]), lambda x: {moved}) AS v FROM embeddings)"
+    return _batch_sql("list_distance(v, q)", "").replace(_SQL_BASE, base).replace("round(score, 6)", f"round(score * {scale}, 4)")
+
+
+def _moved_batch(spark, sf, moved, scale: float) -> DataFrame:
+    rows = _embeddings(spark, sf).withColumn("embedding", F.transform("embedding", lambda x: moved(x.cast("double"))))
+    means = vec_mean(rows, "label").select(F.col("label").alias("query_id"), F.col("embedding").alias("query"))
+    found = K.topk_batch(rows, means, 5, "euclidean", id_col="vec_id")
+    return found.withColumn("score", F.round(F.col("score") * scale, 4))
+
+
+@query(_moved_sql("x * 1e-7::DOUBLE", "1e7::DOUBLE"))
+def topk_batch_euclid_small(spark, sf):
+    return _moved_batch(spark, sf, lambda x: x * 1e-7, 1e7)
+
+
+@query(_moved_sql("x + 1e6::DOUBLE", "1::DOUBLE"))
+def topk_batch_euclid_offset(spark, sf):
+    return _moved_batch(spark, sf, lambda x: x + 1e6, 1.0)
+
+
 @query()
 def topk_ann(spark, sf):
     found = K.topk_ann(_embeddings(spark, sf), _label_mean(spark, sf), 10, id_col="vec_id")
@@ -339,6 +370,36 @@ def near_dup_drop(spark, sf):
     )
 
 
+_ENDS = """[left(text, 30), right(text, 30), substr(text, 101, 30), lang || n_chars // 100]"""
+
+
+@query(
+    f"""WITH RECURSIVE d AS (
+        SELECT doc_id, {_ENDS} AS b, row_number() OVER (ORDER BY doc_id) AS n FROM documents),
+    walk(n, taken, kept) AS (
+        SELECT 0::BIGINT, []::VARCHAR[], false
+        UNION ALL
+        SELECT d.n, CASE WHEN list_has_any(taken, b) THEN taken ELSE list_concat(taken, b) END,
+               NOT list_has_any(taken, b)
+        FROM walk JOIN d ON d.n = walk.n + 1)
+    SELECT doc_id, kept FROM walk JOIN d USING (n)"""
+)
+def near_dup_documents(spark, sf):
+    """The greedy walk where buckets overlap in part, decided by rounds alone."""
+    text = F.col("text")
+    ends = (
+        F.expr("left(text, 30)"),
+        F.expr("right(text, 30)"),
+        F.substring(text, 101, 30),
+        F.concat("lang", F.floor(F.col("n_chars") / 100).cast("string")),
+    )
+    docs = table(spark, sf, "documents").select("doc_id", F.array(*(F.xxhash64(e) for e in ends)).alias("buckets"))
+    kept, dropped = drop_near_dups(stage(docs, "signed"), "doc_id", F.col("buckets"), tail_rows=0)
+    return kept.select("doc_id", F.lit(True).alias("kept")).unionByName(
+        dropped.select("doc_id", F.lit(False).alias("kept"))
+    )
+
+
 def _image_vectors(spark, sf) -> DataFrame:
     """Mean vector per image URL over four variants of every embedding."""
     variants = fan_out(_embeddings(spark, sf), 4)
@@ -392,21 +453,105 @@ def index_simple(spark, sf):
     {_TOKEN_COUNTS}
     SELECT doc_id + 1 AS line_no, id, {_fixed(
         "list_transform(range(1, 65), lambda i: v[i] * 1.15::DOUBLE * 0.7::DOUBLE + t[i] * 0.3::DOUBLE)"
-    )} AS vector, 'n_chars,name' AS keys
-    FROM ok JOIN first_of USING (doc_id) JOIN text_vectors USING (doc_id)"""
+    )} AS vector, 'n_chars,name' AS keys, 'ok' AS status
+    FROM ok JOIN first_of USING (doc_id) JOIN text_vectors USING (doc_id)
+    UNION ALL
+    SELECT doc_id + 1, NULL, NULL, NULL,
+        CASE WHEN reason IS NOT NULL THEN reason WHEN v IS NULL THEN 'embedding_failed'
+             ELSE 'near_duplicate' END
+    FROM r WHERE doc_id NOT IN (SELECT doc_id FROM first_of)"""
 )
 def index_full(spark, sf):
-    entries, _ = full_entries(
+    entries, rejects = full_entries(
         document_lines(spark, sf), _image_vectors(spark, sf), hashing_model, DIM, TOP_M
     )
-    return entries.select(
+    null = F.lit(None).cast("string")
+    done = entries.select(
         "line_no",
         "id",
         fixed_point(F.col("embedding")).alias("vector"),
         F.array_join(F.array_sort(F.map_keys("metadata")), ",").alias("keys"),
+        F.lit("ok").alias("status"),
+    )
+    return done.unionByName(
+        rejects.select(
+            "line_no", null.alias("id"), null.alias("vector"), null.alias("keys"), F.col("reason").alias("status")
+        )
     )
 
 
+@query(
+    f"""WITH {_SQL_BASE}, f AS (
+        SELECT doc_id, v, 'p-' || doc_id // 3 AS id, list_sort({_TOP_DIMS}) AS dims
+        FROM documents JOIN e ON vec_id = doc_id % (SELECT count(*) - 100 FROM e)),
+    a AS (SELECT *, row_number() OVER (ORDER BY doc_id) AS n FROM f),
+    walk AS (
+        WITH RECURSIVE w(n, taken, ids, reason) AS (
+            SELECT 0::BIGINT, []::INTEGER[][], []::VARCHAR[], ''
+            UNION ALL
+            SELECT a.n,
+                CASE WHEN list_contains(taken, dims) OR list_contains(ids, id) THEN taken
+                     ELSE list_append(taken, dims::INTEGER[]) END,
+                CASE WHEN list_contains(taken, dims) OR list_contains(ids, id) THEN ids
+                     ELSE list_append(ids, id) END,
+                CASE WHEN list_contains(taken, dims::INTEGER[]) THEN 'near_duplicate'
+                     WHEN list_contains(ids, id) THEN 'duplicate_id' ELSE 'ok' END
+            FROM w JOIN a ON a.n = w.n + 1)
+        SELECT * FROM w)
+    SELECT doc_id + 1 AS line_no, reason AS status FROM walk JOIN a USING (n)"""
+)
+def index_full_reasons(spark, sf):
+    """The full flow over lines of which many repeat a vector or an id; reasons in its order."""
+    docs = table(spark, sf, "documents").select("doc_id")
+    n_vectors = _embeddings(spark, sf).count() - 100
+    url = F.concat(F.lit("u"), (F.col("doc_id") % n_vectors))
+    record = F.struct(
+        F.concat(F.lit("p-"), F.floor(F.col("doc_id") / 3)).alias("name"),
+        url.alias("image_url"),
+        F.lit("t").alias("description"),
+    )
+    lines = docs.select((F.col("doc_id") + 1).alias("line_no"), F.to_json(record).alias("raw"))
+    vectors = _embeddings(spark, sf).select(
+        F.concat(F.lit("u"), "vec_id").alias("image_url"), F.col("embedding").cast("array<double>").alias("embedding")
+    )
+    entries, rejects = full_entries(lines, vectors, hashing_model, DIM, TOP_M)
+    return entries.select("line_no", F.lit("ok").alias("status")).unionByName(
+        rejects.select("line_no", F.col("reason").alias("status"))
+    )
+
+
+@query(
+    f"""{_SQL_ENTRIES}
+    SELECT doc_id // 128 AS batch_no, count(*) AS n_lines,
+        count(*) FILTER (reason IS NULL AND v IS NOT NULL) AS n_indexed
+    FROM r GROUP BY 1"""
+)
+def index_batch_counts(spark, sf):
+    lines = stage(document_lines(spark, sf), "lines")
+    entries, _ = simple_entries(lines, _image_vectors(spark, sf), DIM)
+    return indexed_per_batch(lines, entries)
+
+
+@query(
+    f"""WITH {_SQL_BASE}, {_TOKEN_COUNTS},
+    s AS (SELECT doc_id AS query_id, vec_id, list_cosine_similarity(v, t) AS score
+          FROM text_vectors, e JOIN part ON p_partkey = vec_id
+          WHERE p_type = 'SMALL' AND p_retailprice < 950 AND list_dot_product(t, t) > 0)
+    SELECT query_id, CAST(rank AS INTEGER) AS rank, CAST(vec_id AS VARCHAR) AS id, round(score, 6) AS score
+    FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, CAST(vec_id AS VARCHAR)) AS rank
+          FROM s) WHERE rank <= 3"""
+)
+def search_variants(spark, sf):
+    """Every document as a query of four variants against the stored parts."""
+    filters = {"category": "string", "price": "double"}
+    index = ensure_index(spark, scratch_path(spark, "indexes"), "parts", DIM, filters=filters)
+    index.upsert(_part_entries(spark, sf), "vec_id")
+    values = table(spark, sf, "documents").select(F.col("doc_id").alias("query_id"), F.col("text").alias("value"))
+    conditions = {"category": {"$eq": "SMALL"}, "price": {"$lt": 950}}
+    found = search_values(index, values, hashing_model, 3, 4, conditions)
+    return found.withColumn("score", F.round("score", 6))
+
+
 def _part_entries(spark, sf) -> DataFrame:
     """Index entries from embeddings with part attributes as dynamic metadata."""
     metadata = F.to_variant_object(
@@ -429,12 +574,12 @@ def _part_entries(spark, sf) -> DataFrame:
     f"""WITH {_SQL_BASE}
     SELECT CAST(vec_id AS VARCHAR) AS id, p_name AS name,
         {_fixed("list_transform(v, lambda x: CASE WHEN label < 5 THEN x * 3 ELSE x END)")} AS vector
-    FROM e JOIN part ON p_partkey = vec_id"""
+    FROM e LEFT JOIN part ON p_partkey = vec_id"""
 )
 def index_upsert(spark, sf):
     entries = _part_entries(spark, sf)
     root = scratch_path(spark, "indexes")
-    index = ensure_index(spark, root, "parts", DIM, buckets=16)
+    index = ensure_index(spark, root, "parts", DIM)
     index.upsert(entries, "vec_id")
     twice = F.explode(F.array(F.lit(3), F.lit(2)))
     changed = entries.filter("label < 5").withColumn("sequence", twice)
@@ -463,7 +608,8 @@ def index_upsert(spark, sf):
 )
 def search_shown(spark, sf):
     root = scratch_path(spark, "indexes")
-    index = ensure_index(spark, root, "parts", DIM, buckets=16)
+    filters = {"category": "string", "price": "double"}
+    index = ensure_index(spark, root, "parts", DIM, filters=filters)
     index.upsert(_part_entries(spark, sf), "vec_id")
     conditions = {"category": {"$eq": "SMALL"}, "price": {"$lt": 950}}
     shown = search_index(index, _label_mean(spark, sf), 5, conditions)
@@ -509,7 +655,7 @@ def _in_arrivals(spark, df: DataFrame, order: str, schema: str, run, arrivals: i
 )
 def stream_index_upsert(spark, sf):
     vectors = _embeddings(spark, sf)
-    index = ensure_index(spark, scratch_path(spark, "indexes"), "stream", DIM, buckets=8)
+    index = ensure_index(spark, scratch_path(spark, "indexes"), "stream", DIM)
     checkpoint = scratch_path(spark, "stream-state")
 
     def run(stream):
@@ -538,4 +684,57 @@ def stream_near_dups(spark, sf):
         spark, rows, "vec_id", "vec_id long, embedding array<double>",
         lambda stream: stream_drop_near_dups(stream, "vec_id", buckets, state, out, checkpoint),
     )
-    return spark.read.schema("vec_id long").parquet(f"{out}/*").select("vec_id")
+    return spark.read.schema("vec_id long").parquet(out).select("vec_id")
+
+
+def _two_streams(spark, rows: DataFrame, order: str, schema: str, run) -> None:
+    """Feed even and odd ``order`` as two streams in turn, each with its own checkpoint."""
+    parts = [(rows.filter(F.col(order) % 2 == n), scratch_path(spark, "stream-state")) for n in (0, 1)]
+    folders = [scratch_path(spark, "arrivals") for _ in parts]
+    middle = rows.agg(F.max(order)).first()[0] // 2
+    for late in (False, True):
+        for (part, checkpoint), folder in zip(parts, folders):
+            write_records(part.filter((F.col(order) > middle) == F.lit(late)), folder)
+            run(spark.readStream.schema(schema).json(folder), checkpoint)
+
+
+@query(
+    "SELECT label || '-' || vec_id % 7 AS id, max(vec_id) AS vec_id FROM embeddings GROUP BY 1"
+)
+def stream_two_writers(spark, sf):
+    """Two streams into one index; an older batch arriving later replaces nothing newer."""
+    index = ensure_index(spark, scratch_path(spark, "indexes"), "stream", DIM)
+
+    def run(stream, checkpoint):
+        metadata = F.to_variant_object(F.struct("vec_id"))
+        entries = stream.select(
+            F.concat_ws("-", "label", (F.col("vec_id") % 7).cast("string")).alias("id"),
+            "embedding",
+            F.try_variant_get(metadata, "$", "map<string,variant>").alias("metadata"),
+            "vec_id",
+        )
+        stream_upsert(entries, index, "vec_id", checkpoint)
+
+    vectors = _embeddings(spark, sf)
+    _two_streams(spark, vectors, "vec_id", "vec_id long, embedding array<double>, label int", run)
+    latest = F.try_variant_get(F.try_element_at("metadata", F.lit("vec_id")), "$", "long")
+    return index.read().select("id", latest.alias("vec_id"))
+
+
+@query(
+    f"""WITH {_SQL_BASE}, a AS (
+        SELECT vec_id, list_sort({_TOP_DIMS}) AS dims FROM e
+        UNION ALL SELECT vec_id + {COPY_OFFSET}, list_sort({_TOP_DIMS}) FROM e),
+    m AS (SELECT max(vec_id) // 2 AS middle FROM a)
+    SELECT vec_id FROM a, m QUALIFY row_number() OVER (
+        PARTITION BY dims ORDER BY vec_id > middle, vec_id % 2, vec_id) = 1"""
+)
+def stream_near_dups_two(spark, sf):
+    """Two streams that share one bucket state and one output; both keep their own rows."""
+    state, out = scratch_path(spark, "bucket-state"), scratch_path(spark, "survivors")
+    buckets = signature_buckets(F.col("embedding"), TOP_M)
+    _two_streams(
+        spark, _with_copies(spark, sf), "vec_id", "vec_id long, embedding array<double>",
+        lambda stream, checkpoint: stream_drop_near_dups(stream, "vec_id", buckets, state, out, checkpoint),
+    )
+    return spark.read.schema("vec_id long").parquet(out).select("vec_id")

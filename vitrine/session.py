@@ -99,3 +99,12 @@ def list_children(spark: SparkSession, path: str) -> list[str]:
 def delete_path(spark: SparkSession, path: str) -> None:
     fs, handle = hadoop_path(spark, path)
     fs.delete(handle, True)
+
+
+def stored_bytes(df: DataFrame) -> int:
+    """Bytes of the files a stored table consists of."""
+    total = 0
+    for file in df.inputFiles():
+        fs, handle = hadoop_path(df.sparkSession, file)
+        total += fs.getFileStatus(handle).getLen()
+    return total
