@@ -83,33 +83,58 @@ def sentences(texts: list[bytes]) -> Sentences:
     return Sentences(np.r_[words.hashes, stems], np.r_[number, number[at]], owner, words.starts[new] - bounds[owner])
 
 
-def train(texts: list[bytes], labels: np.ndarray, class_weight: dict[int, float]) -> Model:
-    """Fit the noisy-or of sentence scores to the labels of the documents."""
-    parts = [(s, sentences(texts[s:e])) for s, e in chunks(texts)]
-    hashes = np.concatenate([p.hashes for _, p in parts])
-    shifts = np.cumsum([0, *[len(p.text) for _, p in parts]])
-    sentence = np.concatenate([p.sentence + s for (_, p), s in zip(parts, shifts)])
-    doc = np.concatenate([p.text + s for s, p in parts])
-    toxic = int(labels[np.unique(doc)].sum()) if len(doc) else 0
+def _per_text(texts: list[bytes], known: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """Features, or those in ``known``, and how many of the texts hold each."""
+    found = []
+    for s, e in chunks(texts):
+        own = sentences(texts[s:e])
+        hashes, text = own.hashes, own.text[own.sentence]
+        if known is not None:
+            held = np.flatnonzero(np.isin(hashes, known))
+            hashes, text = hashes[held], text[held]
+        order = np.lexsort((text, hashes))
+        h, t = hashes[order], text[order]
+        new = np.ones(len(h), bool)
+        new[1:] = (h[1:] != h[:-1]) | (t[1:] != t[:-1])
+        found.append(h[new])
+    return np.unique(np.concatenate(found), return_counts=True) if found else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+
+
+def _candidates(texts: list[bytes], labels: np.ndarray) -> np.ndarray:
+    """Features that more toxic documents hold than chance would have it.
+
+    Only features of enough toxic documents are counted in the others, which keeps this small.
+    """
+    filled = np.array([bool(t.strip()) for t in texts])
+    toxic = int(labels[filled].sum())
     if not toxic:
-        return NOTHING
-    # which features more toxic documents hold than chance would have it
-    order = np.argsort(hashes, kind="stable")
-    h, d = hashes[order], doc[sentence[order]]
-    run = np.r_[True, h[1:] != h[:-1]]
-    new = run | np.r_[True, d[1:] != d[:-1]]
-    number = np.cumsum(run[new]) - 1
-    known = h[run]
-    held = np.bincount(number)
-    by_toxic = np.bincount(number, labels[d[new]])
-    base = toxic / len(np.unique(doc))
+        return np.zeros(0, np.uint64)
+    known, by_toxic = _per_text([t for t, y in zip(texts, labels) if y], None)
+    enough = by_toxic >= max(LEAST_DOCS, LEAST_SHARE * toxic)
+    known, by_toxic = known[enough], by_toxic[enough]
+    clean, by_clean = _per_text([t for t, y in zip(texts, labels) if not y], known)
+    held = by_toxic.astype(float)
+    held[np.searchsorted(known, clean)] += by_clean
+    base = toxic / filled.sum()
     lift = (by_toxic - held * base) / np.sqrt(held * base * (1 - base) + 1e-9)
-    known = known[(by_toxic >= max(LEAST_DOCS, LEAST_SHARE * toxic)) & (lift >= LEAST_LIFT)]
+    return known[lift >= LEAST_LIFT]
+
+
+def train(texts: list[bytes], labels: np.ndarray, class_weight: dict[int, float]) -> Model:
+    """Fit the noisy-or of sentence scores to the labels of the documents."""
+    known = _candidates(texts, labels)
     if not len(known):
         return NOTHING
-    near = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
-    present = np.flatnonzero(known[near] == hashes)
-    sentence, column = sentence[present], near[present]
+    docs, sentence, column, n = [], [], [], 0
+    for s, e in chunks(texts):
+        own = sentences(texts[s:e])
+        near = np.minimum(np.searchsorted(known, own.hashes), len(known) - 1)
+        present = np.flatnonzero(known[near] == own.hashes)
+        docs.append(own.text + s)
+        sentence.append((own.sentence[present] + n).astype(np.int32))
+        column.append(near[present].astype(np.int32))
+        n += len(own.text)
+    doc, sentence, column = (np.concatenate(x) for x in (docs, sentence, column))
     first = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
     per_doc = np.diff(np.r_[first, len(doc)])
     y = labels[doc[first]]
