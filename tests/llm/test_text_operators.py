@@ -223,7 +223,7 @@ def test_exact_links_count_blocks(spark):
 def test_sketch_and_bands_are_set_for_the_threshold():
     for num in (60, 80, 85, 95):
         bands = band_count((num, 100))
-        assert (1 - (num / 100) ** 4) ** bands <= 1e-6
+        assert (1 - (num / 100) ** 4) ** bands <= 1e-8
         assert 0 < sketch_limit((num, 100), 4 * bands) < 256
 
 

@@ -3,7 +3,7 @@
 A text's set holds the hashes of its distinct runs of five words. Texts with equal sets form a
 class, and only one text of each class goes on. Its MinHash samples are cut into bands; texts
 that share a band are candidates, and at the threshold a pair shares none with a chance below
-one in a million. The samples are also folded into an odd sketch, a bitmap that keeps the
+one in a hundred million. The samples are also folded into an odd sketch, a bitmap that keeps the
 parity of the samples falling on each bit: the set bits of two sketches' XOR tell how many
 samples differ, so a few machine words decide whether a candidate pair is worth an exact look.
 
@@ -34,7 +34,7 @@ SHINGLE = 5
 SIMILARITY = (80, 100)
 ROWS = 4
 #: Chance that a pair at the threshold shares no band.
-MISS = 1e-6
+MISS = 1e-8
 SKETCH_BITS = 512
 #: Standard deviations of the sample that the sketch test allows for.
 SLACK = 5.5

@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 
 from vitrine.session import stage
 
-#: Cells of a dimension; vectors and queries of a block.
-CELLS = 64
+#: Cells of a dimension, as many as a byte tells apart; vectors and queries of a block.
+CELLS = 256
 BLOCK_VECTORS = 4096
 BLOCK_QUERIES = 1024
 LEAST_BLOCKS = 48
