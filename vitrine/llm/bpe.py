@@ -18,6 +18,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
+import pyarrow.compute
 import regex
 from pyspark.sql import DataFrame
 
@@ -168,10 +169,20 @@ def codec(path: str, pattern: str) -> Codec:
     return Codec(path, pattern)
 
 
-def _split(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """Slices of few rows, so that the lists of one slice stay small."""
-    for s in range(0, len(batch), 256):
-        yield batch.slice(s, 256)
+#: Bytes of text, or token ids, whose lists are held at once; a longer text is handled alone.
+SLICE = 1 << 20
+
+
+def _slices(sizes: list[int]) -> Iterator[tuple[int, int]]:
+    """Ranges of consecutive rows with about ``SLICE`` in all."""
+    start, total = 0, 0
+    for i, size in enumerate(sizes):
+        if total and total + size > SLICE:
+            yield start, i
+            start, total = i, 0
+        total += size + 1
+    if start < len(sizes):
+        yield start, len(sizes)
 
 
 def encoded(docs: DataFrame, path: str, pattern: str, ids: str = "ids") -> DataFrame:
@@ -186,8 +197,9 @@ def encoded(docs: DataFrame, path: str, pattern: str, ids: str = "ids") -> DataF
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern)
         for batch in batches:
-            for part in _split(batch):
-                found = [own.encode(t.decode()) for t in raw_texts(part.column(place))]
+            texts = raw_texts(batch.column(place))
+            for s, e in _slices([len(t) for t in texts]):
+                part, found = batch.slice(s, e - s), [own.encode(t.decode()) for t in texts[s:e]]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found, pa.list_(pa.int32()))], names=[*batch.schema.names, ids])
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType()))]))
@@ -202,7 +214,9 @@ def decoded(docs: DataFrame, path: str, pattern: str, ids: str = "ids", out: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern)
         for batch in batches:
-            for part in _split(batch):
+            sizes = pa.compute.list_value_length(batch.column(place)).fill_null(0).to_pylist()
+            for s, e in _slices(sizes):
+                part = batch.slice(s, e - s)
                 found = [own.decode(x or []) for x in part.column(place).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found, pa.binary())], names=[*batch.schema.names, out])
 
