@@ -8,7 +8,7 @@ from vitrine.plans.flows import check_lines, full_entries, records_from_pages, s
 from vitrine.sources.index_store import ensure_index
 
 LINES = [
-    '{"name":"A é’","edition":"Limited Edition  750","release_date":"2023-05-16","image_url":"http://h/a.jpg","tags":["x"]}',
+    '{"name":"A é’","edition":"Limited Edition  418","release_date":"2011-11-02","image_url":"http://h/a.jpg","tags":["x"]}',
     '{"name":null,"image_url":null}',
     '{"image_url":"http://h/a.jpg"}',
     '{"name":"B","image_url":""}',
@@ -48,7 +48,7 @@ def test_check_lines(inputs):
     rows = {r["line_no"]: r for r in check_lines(inputs[0]).withColumn("j", F.to_json("fields")).collect()}
     assert rows[1]["id"] == "A e"
     first = json.loads(rows[1]["j"])
-    assert (first["edition"], first["release_date"]) == ("LE 750", "2023")
+    assert (first["edition"], first["release_date"]) == ("LE 418", "2011")
     assert json.loads(rows[8]["j"])["release_date"] == 20201234
     assert json.loads(rows[9]["j"])["release_date"] == "Unknown"
 

@@ -9,7 +9,7 @@ DETAIL = """<h1 class="h3"> Title </h1>
 <a href="/series/9">Series X</a><a href="/origin/2">Origin Y</a>
 <span class="rarity badge big">epic</span>
 <table class="table table-bordered">
-  <tr><td>Edition</td><td>Limited Edition  750</td></tr>
+  <tr><td>Edition</td><td>Limited Edition  418</td></tr>
   <tr><td>Release Date</td><td>2003-10-17</td></tr>
   <tr><td>Original Price</td><td>$8.50</td></tr>
   <tr><td>SKU</td><td>S1</td></tr></table>
@@ -18,7 +18,7 @@ DETAIL = """<h1 class="h3"> Title </h1>
 <div class="card-body"><h5>Other</h5>no</div>
 <div class="card-body"><h5>Pin Description:</h5> Text &amp; more </div>
 """
-EXPECTED = ("Title", "Series X", "epic", "Origin Y", "Limited Edition  750", "2003-10-17", "$8.50",
+EXPECTED = ("Title", "Series X", "epic", "Origin Y", "Limited Edition  418", "2003-10-17", "$8.50",
             "S1", "Text & more", "http://h/p/1.jpg", ["t1", "t2"])
 NAMES = ("name", "series", "rarity", "origin", "edition", "release_date", "original_price", "sku",
          "description", "image_url", "tags")
@@ -39,7 +39,7 @@ def test_page_variants(spark):
     variants = [
         DETAIL,
         no_table,
-        DETAIL.replace("Limited Edition  750", ""),
+        DETAIL.replace("Limited Edition  418", ""),
         DETAIL.replace("<td>S1</td></tr>", "<td>S1</td></tr><tr><td>SKU</td><td>S2</td></tr>"),
         DETAIL.replace("<td>S1</td>", "<td></td>"),
         DETAIL.replace("img-fluid m-auto", "m-auto img-fluid"),

@@ -9,7 +9,7 @@ from vitrine.sources.pages import expand_ranges, listing_urls, read_pages
 from vitrine.sources.records import classify_lines, parse_records, read_lines, read_records
 
 LINES = [
-    '{"name":"A é’","edition":"Limited Edition  750","release_date":"2023-05-16","image_url":"http://h/a.jpg","tags":["x"]}',
+    '{"name":"A é’","edition":"Limited Edition  418","release_date":"2011-11-02","image_url":"http://h/a.jpg","tags":["x"]}',
     '{"name":null,"image_url":null}',
     "not json",
     "",

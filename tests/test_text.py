@@ -14,8 +14,8 @@ def test_year(values):
 
 
 def test_abbreviate(values):
-    rows = ["Limited Edition  750", "Limited Edition\u00a0750", "Open Edition", "Limited Edition", None]
-    assert values(X.abbreviate(F.col("v")), rows) == ["LE 750", "LE 750", "Open Edition", "Limited Edition", None]
+    rows = ["Limited Edition  418", "Limited Edition\u00a0418", "Open Edition", "Limited Edition", None]
+    assert values(X.abbreviate(F.col("v")), rows) == ["LE 418", "LE 418", "Open Edition", "Limited Edition", None]
 
 
 def test_ascii_id(values):

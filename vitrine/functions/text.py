@@ -11,7 +11,6 @@ import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql import types as T
 
 SPACE = r"[\s\x1c-\x1f]"
 WHITE_SPACE = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
