@@ -26,7 +26,8 @@ from vitrine.llm.rolling import raw_texts
 from vitrine.llm.tables import fresh
 
 LEAF = 32
-REMEMBERED = 300_000
+#: Words, and neighbours of tokens, that a task remembers before it starts anew.
+REMEMBERED, REMEMBERED_PAIRS = 150_000, 200_000
 
 _LETTER = "a-zA-Z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
 _NUMBER = "0-9\u00b2\u00b3\u00b9\u00bc-\u00be"
@@ -112,7 +113,7 @@ class Codec:
         """Whether two tokens are the encoding of their joined bytes."""
         key = (left, right)
         if (known := self._fits.get(key)) is None:
-            if len(self._fits) > 1_000_000:
+            if len(self._fits) >= REMEMBERED_PAIRS:
                 self._fits.clear()
             known = self._fits[key] = self.leaf(self.bytes[left] + self.bytes[right]) == [left, right]
         return known
@@ -160,6 +161,11 @@ class Codec:
             out += ids
         return out
 
+    def forget(self) -> None:
+        """Let go of the words met: between tasks a worker only waits."""
+        self._words.clear()
+        self._fits.clear()
+
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes.__getitem__, ids))
 
@@ -201,6 +207,7 @@ def encoded(docs: DataFrame, path: str, pattern: str, ids: str = "ids") -> DataF
             for s, e in _slices([len(t) for t in texts]):
                 part, found = batch.slice(s, e - s), [own.encode(t.decode()) for t in texts[s:e]]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found, pa.list_(pa.int32()))], names=[*batch.schema.names, ids])
+        own.forget()
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType()))]))
 
