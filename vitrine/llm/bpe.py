@@ -17,6 +17,7 @@ import re
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute
 import regex
@@ -27,7 +28,7 @@ from vitrine.llm.tables import fresh
 
 LEAF = 32
 #: Words, and neighbours of tokens, that a task remembers before it starts anew.
-REMEMBERED, REMEMBERED_PAIRS = 150_000, 200_000
+REMEMBERED, REMEMBERED_PAIRS = 300_000, 200_000
 
 _LETTER = "a-zA-Z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
 _NUMBER = "0-9\u00b2\u00b3\u00b9\u00bc-\u00be"
@@ -48,6 +49,22 @@ def _latin(pattern: str) -> str:
     return "".join(out)
 
 
+class _Words(dict):
+    """Packed ids of the words met so far; a new word is encoded when it is asked for."""
+
+    def __init__(self, reduce) -> None:
+        super().__init__()
+        self._reduce = reduce
+
+    def __missing__(self, word: str) -> bytes:
+        ids = np.array(self._reduce(word.encode()), np.int32).tobytes()
+        if len(word) <= 4 * LEAF:
+            if len(self) >= REMEMBERED:
+                self.clear()
+            self[word] = ids
+        return ids
+
+
 class Codec:
     """Ranks of byte strings, and the encodings of the words met so far."""
 
@@ -55,10 +72,11 @@ class Codec:
         with open(path, "rb") as source:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, source)}
         self.bytes = {rank: token for token, rank in self.ranks.items()}
+        self.tokens = pa.array([self.bytes.get(i) for i in range(max(self.bytes) + 1)], pa.binary())
         self._pattern = regex.compile(pattern)
         self._latin = re.compile(_latin(pattern))
         self._fits: dict[tuple[int, int], bool] = {}
-        self._words: dict[str, list[int]] = {}
+        self._words = _Words(self.reduce)
 
     def leaf(self, raw: bytes) -> list[int]:
         """Merge the neighbours of lowest rank, the leftmost first, until none can be merged."""
@@ -143,23 +161,17 @@ class Codec:
         half = len(raw) // 2
         return self.join(self.reduce(raw[:half]), self.reduce(raw[half:]))
 
-    def encode(self, text: str) -> list[int]:
+    def packed(self, text: str) -> bytes:
+        """Ids of a text as consecutive 32-bit numbers."""
         try:
             text.encode("latin-1")
             words = self._latin.findall(text)
         except UnicodeEncodeError:
             words = self._pattern.findall(text)
-        known, out = self._words, []
-        for word in words:
-            ids = known.get(word)
-            if ids is None:
-                ids = self.reduce(word.encode())
-                if len(word) <= 4 * LEAF:
-                    if len(known) >= REMEMBERED:
-                        known.clear()
-                    known[word] = ids
-            out += ids
-        return out
+        return b"".join(map(self._words.__getitem__, words))
+
+    def encode(self, text: str) -> list[int]:
+        return np.frombuffer(self.packed(text), np.int32).tolist()
 
     def forget(self) -> None:
         """Let go of the words met: between tasks a worker only waits."""
@@ -205,8 +217,11 @@ def encoded(docs: DataFrame, path: str, pattern: str, ids: str = "ids") -> DataF
         for batch in batches:
             texts = raw_texts(batch.column(place))
             for s, e in _slices([len(t) for t in texts]):
-                part, found = batch.slice(s, e - s), [own.encode(t.decode()) for t in texts[s:e]]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found, pa.list_(pa.int32()))], names=[*batch.schema.names, ids])
+                part, found = batch.slice(s, e - s), [own.packed(t.decode()) for t in texts[s:e]]
+                offsets = np.cumsum([0, *map(len, found)], dtype=np.int32) // 4
+                flat = np.frombuffer(b"".join(found), np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
+                yield pa.RecordBatch.from_arrays([*part.columns, lists], names=[*batch.schema.names, ids])
         own.forget()
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType()))]))
@@ -224,8 +239,17 @@ def decoded(docs: DataFrame, path: str, pattern: str, ids: str = "ids", out: str
             sizes = pa.compute.list_value_length(batch.column(place)).fill_null(0).to_pylist()
             for s, e in _slices(sizes):
                 part = batch.slice(s, e - s)
-                found = [own.decode(x or []) for x in part.column(place).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found, pa.binary())], names=[*batch.schema.names, out])
+                counts = np.cumsum([0, *sizes[s:e]])
+                if not counts[-1]:
+                    none = pa.array([b""] * (e - s), pa.binary())
+                    yield pa.RecordBatch.from_arrays([*part.columns, none], names=[*batch.schema.names, out])
+                    continue
+                # the tokens' bytes lie one after the other, so a text is a stretch of them
+                tokens = own.tokens.take(part.column(place).flatten())
+                ends = np.frombuffer(tokens.buffers()[1], np.int32)[: counts[-1] + 1]
+                offsets = pa.py_buffer(np.ascontiguousarray(ends[counts]))
+                found = pa.Array.from_buffers(pa.binary(), e - s, [None, offsets, tokens.buffers()[2]])
+                yield pa.RecordBatch.from_arrays([*part.columns, found], names=[*batch.schema.names, out])
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(out, T.BinaryType())]))
 
