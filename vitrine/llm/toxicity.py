@@ -105,7 +105,7 @@ def _candidates(texts: list[bytes], labels: np.ndarray) -> np.ndarray:
 
     Only features of enough toxic documents are counted in the others, which keeps this small.
     """
-    filled = np.array([bool(t.strip()) for t in texts])
+    filled = np.array([bool(t.strip()) for t in texts], bool)
     toxic = int(labels[filled].sum())
     if not toxic:
         return np.zeros(0, np.uint64)
@@ -193,7 +193,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model
     return train(raw_texts(rows["text"].combine_chunks()), y, weights)
 
 
-def _score(model: Model, place: int):
+def _score(model: Model, place: int, added: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = raw_texts(batch.column(place))
@@ -207,7 +207,7 @@ def _score(model: Model, place: int):
                     end = min([p for c in b".!?\n" if (p := text.find(bytes([c]), at)) >= 0], default=len(text))
                     found[s + own.text[i]].append(text[at:end])
             named = pa.array(found, pa.list_(pa.binary())).cast(pa.list_(pa.string()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores), named], names=[*batch.schema.names, "score", "sentences"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores), named], names=[*batch.schema.names, *added])
 
     return run
 
@@ -219,7 +219,7 @@ def with_toxicity(docs: DataFrame, model: Model, score: str = "score", found: st
     text, having no sentence, scores 0. Rows are scored one by one, whatever their ids.
     """
     out = T.StructType([*docs.schema.fields, T.StructField(score, T.DoubleType()), T.StructField(found, T.ArrayType(T.StringType()))])
-    return docs.mapInArrow(_score(model, docs.columns.index("text")), out)
+    return docs.mapInArrow(_score(model, docs.columns.index("text"), [score, found]), out)
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
