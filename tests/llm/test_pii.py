@@ -122,3 +122,44 @@ def test_plan_holds_no_python(spark):
 def test_permutations_cover_their_range():
     assert len({permute(v, *DAYS, "date") for v in range(DAYS[0] * DAYS[1])}) == DAYS[0] * DAYS[1] == 73049
     assert all(permute(permute(v, 7, 10, "x"), 7, 10, "x", True) == v for v in range(70))
+
+
+WRITTEN = ["+1-555-123-4567", "+1.555.123.4567", "1-800-555-1234", "+15551234567", "5551234567", "+44 20 7946 0958", "+49 30 1234567",
+           "+442079460958", "+33 6 12 34 56 78", "+44 (0)20 7946 0958", "(555) 1234567", "25/12/1999", "31/01/1900", "31/12/2099",
+           "9233a8ECF7c5b09fe5949719b6b82bc4", "DE89 3704 0044 0532 0130 00", "DE89370400440532013000", "GB82 WEST 1234 5698 7654 32",
+           "FR14 2004 1010 0505 0001 3M02 606", "BE68 5390 0754 7034"]
+
+
+def test_other_ways_to_write_them(spark):
+    docs = spark.createDataFrame(list(enumerate(f"Call {v}, or {v}." for v in WRITTEN)), "doc_id long, text string")
+    hidden = pseudonymized(docs, KEY, "n")
+    found = {r.doc_id: r for r in hidden.collect()}
+    for i, v in enumerate(WRITTEN):
+        a, b = re.fullmatch("Call (.*), or (.*)[.]", found[i].text).groups()
+        assert a == b != v and found[i].n == 2, v
+        assert re.sub("[0-9a-fA-F]" if i == 14 else "[0-9]", "#", a) == re.sub("[0-9a-fA-F]" if i == 14 else "[0-9]", "#", v)
+        if v[:2].isalpha():
+            turned = re.sub(" ", "", a)[4:] + a[:4]
+            assert int("".join(str(int(c, 36)) for c in turned)) % 97 == 1
+    back = {r.doc_id: r.text for r in revealed(hidden.select("doc_id", "text"), KEY).collect()}
+    assert all(back[i] == f"Call {v}, or {v}." for i, v in enumerate(WRITTEN) if i != 14)
+
+
+def test_what_stands_beside_a_telephone_number(spark):
+    kept = ["1700000000", "DE88 3704 0044 0532 0130 00", "32/12/1999", "31/02/1999", "+1 apple", "id_5551234567", "3.5551234567"]
+    docs = spark.createDataFrame(list(enumerate([*kept, "+49 30 1234567 4539 1488 0343 6467", "+49 30 1234567 24 hours"])), "doc_id long, text string")
+    found = {r.doc_id: r.text for r in pseudonymized(docs, KEY).collect()}
+    assert [found[i] for i in range(len(kept))] == kept
+    alone = spark.createDataFrame([(0, "+49 30 1234567"), (1, "4539 1488 0343 6467")], "doc_id long, text string")
+    phone, card = (r.text for r in pseudonymized(alone, KEY).orderBy("doc_id").collect())
+    assert found[len(kept)] == f"{phone} {card}" and found[len(kept) + 1] == f"{phone} 24 hours"
+
+
+def test_late_days_are_permuted(spark):
+    days = [datetime.date(1900, 1, 1) + datetime.timedelta(n) for n in range(73049)]
+    late = [(i, d.strftime("%d/%m/%Y")) for i, d in enumerate(days) if d.day > 12]
+    docs = spark.createDataFrame(late, "doc_id long, text string")
+    hidden = pseudonymized(docs, KEY)
+    rows = hidden.collect()
+    assert {r.text for r in rows} == {t for _, t in late} and len(rows) == len(late) == 44249
+    assert revealed(hidden, KEY).exceptAll(docs).count() == 0
