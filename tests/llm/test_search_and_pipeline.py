@@ -48,6 +48,44 @@ def test_top_products_of_odd_rows(spark):
     assert top_products(whole, whole.limit(0), 2).count() == 0
 
 
+@pytest.mark.parametrize("cells", [4, 256])
+def test_ties_do_not_pile_up(spark, monkeypatch, cells):
+    import vitrine.llm.topk_va as module
+
+    counts = {}
+
+    def counted(possible, k, run=module._still_possible):
+        left = run(possible, k)
+        for name, rows in (("blocks", possible), ("all", left)):
+            counts[name] = {r.query_id: r["count"] for r in rows.groupBy("query_id").count().collect()}
+        return left
+
+    monkeypatch.setattr(module, "LEAST_BLOCKS", 3)
+    monkeypatch.setattr(module, "_still_possible", counted)
+    rng = np.random.default_rng(5)
+    rows = [(i, [0] * 6 if i % 3 == 0 else [int(x) for x in rng.integers(-90, 90, 6)]) for i in range(900)]
+    vectors = spark.createDataFrame(rows, "vec_id long, v array<long>").repartition(3)
+    found = top_products(vectors, vectors.filter("vec_id % 50 = 0"), 5, cells)
+    asked = [(i, v) for i, v in rows if i % 50 == 0]
+    assert sorted(tuple(r) for r in found.collect()) == best_by_hand(rows, asked, 5)
+    for i, v in asked:
+        if not any(v):
+            assert counts["blocks"][i] <= 5 * 3 and counts["all"][i] == 5
+
+
+def test_a_zero_query_keeps_k_of_a_block():
+    import pyarrow as pa
+
+    from vitrine.llm.topk_va import _scan
+
+    rows = [[i % 11, i % 7] for i in range(200)]
+    queries = pa.table({"query_id": pa.array([3]), "v": pa.array([[0, 0]])})
+    cells = pa.array([bytes(r) for r in rows])
+    fixed = {c: pa.array([v] * 200) for c, v in (("low", [0, 0]), ("width", [1, 1]))}
+    found = _scan(5)(queries, pa.table({"vec_id": pa.array(range(200))[::-1], "cells": cells, **fixed}))
+    assert sorted(found["vec_id"].to_pylist()) == [0, 1, 2, 4, 5]
+
+
 def test_components(spark):
     rng = random.Random(3)
     edges = [(i, i + 1) for i in range(0, 90)] + [(500, x) for x in range(400, 480)] + [(rng.randrange(1000, 1100), rng.randrange(1000, 1100)) for _ in range(60)]

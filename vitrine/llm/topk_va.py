@@ -5,7 +5,8 @@ dimension, and the cell numbers, a byte a component, are what is scanned: from a
 follow a least and a greatest possible product with the query. In each block of vectors the
 products still possible for the best k are kept with their bounds; over all blocks, the k-th
 best lower bound discards most of these; the exact vectors of the rest are read in the order
-of their upper bounds until the k-th result beats every bound that is left.
+of their upper bounds until the k-th result beats every bound that is left. A bound that equals
+the k-th is decided by the ids, as results are, so vectors whose products tie do not pile up.
 
 Queries and vectors meet in blocks of bounded size, one task each, in one shuffle.
 Equal vectors score alike, so only the k + 1 smallest ids of each are scanned.
@@ -22,8 +23,8 @@ from pyspark.sql import functions as F
 
 from vitrine.session import stage
 
-#: Cells of a dimension, as many as a byte tells apart; vectors and queries of a block.
-CELLS = 256
+#: Cells of a dimension, fewer than it has values as a rule; vectors and queries of a block.
+CELLS = 128
 BLOCK_VECTORS = 4096
 BLOCK_QUERIES = 1024
 LEAST_BLOCKS = 48
@@ -60,9 +61,10 @@ def _product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _scan(k: int):
-    """Candidates of one block: products whose upper bound reaches the block's k-th lower bound."""
+    """Candidates of one block: those that no k others beat, by their bounds and at a tie by id."""
 
     def run(queries: pa.Table, vectors: pa.Table) -> pa.Table:
+        vectors = vectors.sort_by("vec_id")
         none = pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "least": pa.array([], pa.int64()), "most": pa.array([], pa.int64())})
         if not len(queries) or not len(vectors):
             return none
@@ -79,13 +81,18 @@ def _scan(k: int):
         floor = np.iinfo(np.int64).min
         least = np.where(own, floor, base + down[:, None])
         others = len(ids) - own.sum(axis=1)
-        bar = np.full(len(q), floor)
-        enough = others >= k
-        if enough.any():
-            bar[enough] = np.partition(least[enough], len(ids) - k, axis=1)[:, len(ids) - k]
-        keep = (base + up[:, None] >= bar[:, None]) & ~own
+        bar, last = np.full(len(q), floor), np.zeros(len(q), np.int64)
+        enough = np.flatnonzero(others >= k)
+        if len(enough):
+            held = least[enough]
+            bar[enough] = np.partition(held, len(ids) - k, axis=1)[:, len(ids) - k]
+            # of those at the bar, the smallest ids fill the k
+            ties = np.cumsum(held == bar[enough, None], axis=1, dtype=np.int32)
+            last[enough] = ids[(ties >= (k - (held > bar[enough, None]).sum(axis=1))[:, None]).argmax(axis=1)]
+        most = base + up[:, None]
+        keep = ((most > bar[:, None]) | ((most == bar[:, None]) & (ids <= last[:, None])) | (others < k)[:, None]) & ~own
         i, j = np.nonzero(keep)
-        return pa.table({"query_id": pa.array(query_ids[i]), "vec_id": pa.array(ids[j]), "least": pa.array(least[i, j]), "most": pa.array(base[i, j] + up[i])})
+        return pa.table({"query_id": pa.array(query_ids[i]), "vec_id": pa.array(ids[j]), "least": pa.array(least[i, j]), "most": pa.array(most[i, j])})
 
     return run
 
@@ -115,6 +122,15 @@ def _refine(k: int):
     return run
 
 
+def _still_possible(possible: DataFrame, k: int) -> DataFrame:
+    """The candidates that no k others beat, over all blocks."""
+    nth = Window.partitionBy("query_id").orderBy(F.desc("least"), "vec_id")
+    numbered = possible.select("query_id", F.col("least").alias("bar"), F.col("vec_id").alias("last"), F.row_number().over(nth).alias("n"))
+    bars = numbered.filter(F.col("n") == k).drop("n")
+    kept = F.expr("bar IS NULL OR most > bar OR (most = bar AND vec_id <= last)")
+    return possible.join(bars, "query_id", "left").filter(kept).select("query_id", "vec_id", "most")
+
+
 def top_products(vectors: DataFrame, queries: DataFrame, k: int, cells: int = CELLS) -> DataFrame:
     """``query_id, rank, vec_id, score``: each query's ``k`` greatest inner products.
 
@@ -150,11 +166,7 @@ def top_products(vectors: DataFrame, queries: DataFrame, k: int, cells: int = CE
         posed.groupBy(*place).cogroup(data.groupBy(*place)).applyInArrow(_scan(k), "query_id long, vec_id long, least long, most long"),
         "candidates",
     )
-    nth = Window.partitionBy("query_id").orderBy(F.desc("least"))
-    bars = possible.select("query_id", "least", F.row_number().over(nth).alias("n")).filter(F.col("n") <= k).groupBy("query_id").agg(
-        F.when(F.count("*") == k, F.min("least")).alias("bar")
-    )
-    left = possible.join(bars, "query_id").filter("bar IS NULL OR most >= bar").select("query_id", "vec_id", "most")
+    left = _still_possible(possible, k)
     read = left.join(distinct.select("vec_id", "v"), "vec_id")
     listed = F.array_sort(F.collect_list(F.struct((-F.col("most")).alias("order"), "vec_id", "most", "v")))
     exact = read.groupBy("query_id").agg(listed.alias("found")).join(asked.select("query_id", F.col("v").alias("query")), "query_id")
