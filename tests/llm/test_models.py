@@ -116,6 +116,27 @@ def test_toxicity_without_labels(spark):
     assert toxicity.with_toxicity(docs.limit(0), toxicity.fit(docs, marks)).count() == 0
 
 
+def test_toxicity_of_a_long_clean_text(spark):
+    rows, labels = toxic_corpus()
+    clean = "w1 w2. w3 w4\n" * 100_000
+    rows += [(6000, clean), (6001, clean + "you vile w3! w4")]
+    docs, marks = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    long = docs.filter("doc_id >= 6000")
+    found = {r.doc_id: r.score for r in toxicity.with_toxicity(long, toxicity.fit(docs, marks, per_class=200)).collect()}
+    assert found[6000] == 0 and found[6001] >= 0.5
+    assert {r.score for r in toxicity.with_toxicity(long, toxicity.NOTHING).collect()} == {0.0}
+
+
+def test_a_rare_insult_is_learned():
+    """Half a per cent of many toxic documents are as good a reason as the whole of few."""
+    common = [f"w{i % 97} vile".encode() for i in range(4000)]
+    texts = common + [f"w{i % 97} scum".encode() for i in range(30)] + [f"w{i % 97} w{i % 89}".encode() for i in range(4030)]
+    labels = np.repeat([1, 0], 4030)
+    model = toxicity.train(texts, labels, {0: 1.0, 1: 1.0})
+    scores, _ = toxicity.sentences([b"you scum", b"w1 w2", b"vile"]).scored(model, 3)
+    assert scores[0] > 0.5 > scores[1] and scores[2] > 0.5
+
+
 def test_noisy_or_of_sentences():
     model = toxicity.Model(*_sorted([b"vile", b"nasty"], [4.0, 5.0]), -3.0)
     own = toxicity.sentences([b"a VILE b. nasty! c d", b"", b"vile nasty"])

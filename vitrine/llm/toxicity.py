@@ -1,7 +1,9 @@
 """Toxicity by multiple-instance learning: documents are labelled, sentences are found.
 
 A sentence's score is a logistic function of the weights of its words, and a document is toxic
-unless none of its sentences is: ``1 - prod(1 - p)``, the noisy-or. The weights are trained
+unless none of its sentences is: ``1 - prod(1 - p)``, the noisy-or. Sentences without any word
+that was learned are left out of it, or else every text would be toxic once long enough. The
+weights are trained
 on document labels alone; as a clean document pushes down all its sentences and a toxic one
 pulls up those that explain the label, the sentences at fault can then be named.
 """
@@ -26,9 +28,11 @@ PER_CLASS = 3_000
 SAMPLE_BYTES = 1 << 16
 #: Beginnings of words, in bytes, that are features beside the whole words: insults inflect.
 STEMS = range(4, 9)
-#: A feature is a candidate if so many toxic documents of the sample, or this share of them, hold
-#: it, and if it is so many standard deviations more frequent there than chance would have it.
-LEAST_DOCS, LEAST_SHARE, LEAST_LIFT = 4, 0.01, 4.0
+#: A feature is a candidate if so many toxic documents of the sample hold it, and if it is so many
+#: standard deviations more frequent there than chance would have it.
+LEAST_DOCS, LEAST_LIFT = 4, 4.0
+#: The weight every sentence starts from; those that could teach it are left out of the noisy-or.
+BIAS = -6.0
 EPOCHS = 150
 RATE = 0.1
 #: Weights of the sum of feature weights in the loss, a mean over documents: to choose features,
@@ -51,7 +55,7 @@ class Model:
 
 
 #: What a sample without toxic documents teaches.
-NOTHING = Model(np.zeros(1, np.uint64), np.zeros(1), -10.0)
+NOTHING = Model(np.zeros(0, np.uint64), np.zeros(0), BIAS)
 
 
 @dataclass
@@ -63,10 +67,23 @@ class Sentences:
     text: np.ndarray
     start: np.ndarray
 
+    def held(self, features: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places among the hashes of those in ``features``, which are sorted, and places there."""
+        if not len(features):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        near = np.minimum(np.searchsorted(features, self.hashes), len(features) - 1)
+        held = np.flatnonzero(features[near] == self.hashes)
+        return held, near[held]
+
     def margins(self, model: Model) -> np.ndarray:
-        near = np.minimum(np.searchsorted(model.features, self.hashes), len(model.features) - 1)
-        held = np.flatnonzero(model.features[near] == self.hashes)
-        return np.bincount(self.sentence[held], model.weights[near[held]], len(self.text)) + model.bias
+        held, column = self.held(model.features)
+        return np.bincount(self.sentence[held], model.weights[column], len(self.text)) + model.bias
+
+    def scored(self, model: Model, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Scores of the ``n`` texts, and the sentences that alone reach one half."""
+        z = self.margins(model)
+        some = np.unique(self.sentence[self.held(model.features)[0]])
+        return -np.expm1(-np.bincount(self.text[some], np.logaddexp(0, z[some]), n)), some[z[some] >= 0]
 
 
 def sentences(texts: list[bytes]) -> Sentences:
@@ -110,7 +127,7 @@ def _candidates(texts: list[bytes], labels: np.ndarray) -> np.ndarray:
     if not toxic:
         return np.zeros(0, np.uint64)
     known, by_toxic = _per_text([t for t, y in zip(texts, labels) if y], None)
-    enough = by_toxic >= max(LEAST_DOCS, LEAST_SHARE * toxic)
+    enough = by_toxic >= LEAST_DOCS
     known, by_toxic = known[enough], by_toxic[enough]
     clean, by_clean = _per_text([t for t, y in zip(texts, labels) if not y], known)
     held = by_toxic.astype(float)
@@ -128,49 +145,49 @@ def train(texts: list[bytes], labels: np.ndarray, class_weight: dict[int, float]
     docs, sentence, column, n = [], [], [], 0
     for s, e in chunks(texts):
         own = sentences(texts[s:e])
-        near = np.minimum(np.searchsorted(known, own.hashes), len(known) - 1)
-        present = np.flatnonzero(known[near] == own.hashes)
+        present, places = own.held(known)
         docs.append(own.text + s)
         sentence.append((own.sentence[present] + n).astype(np.int32))
-        column.append(near[present].astype(np.int32))
+        column.append(places.astype(np.int32))
         n += len(own.text)
     doc, sentence, column = (np.concatenate(x) for x in (docs, sentence, column))
-    first = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
-    per_doc = np.diff(np.r_[first, len(doc)])
-    y = labels[doc[first]]
+    held = np.unique(doc)
+    doc, y = np.searchsorted(held, doc), labels[held]
     weight = np.array([class_weight[int(v)] for v in y])
     weight = weight / weight.sum()
     # chosen under a strong penalty, then fitted anew under a weak one
-    theta, bias = np.zeros(len(known)), -6.0
+    theta = np.zeros(len(known))
     for penalty in SPARSE:
-        theta, bias = _descend(theta, bias, sentence, column, y, weight, first, per_doc, penalty)
+        some, place = np.unique(sentence, return_inverse=True)
+        theta = _descend(theta, place, column, doc[some], y, weight, penalty)
         keep = theta > LEAST_WEIGHT
         if not keep.any():
-            keep[theta.argmax()] = True
+            return NOTHING
         place = np.cumsum(keep) - 1
         some = keep[column]
         sentence, column = sentence[some], place[column[some]]
         known, theta = known[keep], theta[keep]
-    return Model(known, theta, float(bias))
+    return Model(known, theta, BIAS)
 
 
-def _descend(theta, bias, sentence, column, y, weight, doc_first, per_doc, penalty):
-    """Proximal Adam on the noisy-or's log-loss with weights of at least zero."""
-    m, v = np.zeros(len(theta) + 1), np.zeros(len(theta) + 1)
+def _descend(theta, sentence, column, doc, y, weight, penalty):
+    """Proximal Adam on the noisy-or's log-loss with weights of at least zero.
+
+    ``doc`` are the documents of the sentences that have a feature; others teach nothing.
+    """
+    m, v = np.zeros(len(theta)), np.zeros(len(theta))
     for step in range(1, EPOCHS + 1):
-        z = np.bincount(sentence, theta[column], per_doc.sum()) + bias
+        z = np.bincount(sentence, theta[column], len(doc)) + BIAS
         soft = np.logaddexp(0, z)
-        total = np.maximum(np.add.reduceat(soft, doc_first), 1e-12)
+        total = np.maximum(np.bincount(doc, soft, len(y)), 1e-12)
         slope = np.where(y == 1, -1 / np.expm1(np.minimum(total, 50)), 1.0) * weight
-        dz = np.repeat(slope, per_doc) * np.exp(z - soft)
-        grad = np.r_[np.bincount(column, dz[sentence], len(theta)), dz.sum()]
+        dz = slope[doc] * np.exp(z - soft)
+        grad = np.bincount(column, dz[sentence], len(theta))
         m = 0.8 * m + 0.2 * grad
         v = 0.98 * v + 0.02 * grad * grad
         rate = RATE / (np.sqrt(v / (1 - 0.98**step)) + 1e-6)
-        move = rate * m / (1 - 0.8**step)
-        theta = np.maximum(theta - move[:-1] - penalty * rate[:-1], 0)
-        bias -= move[-1]
-    return theta, bias
+        theta = np.maximum(theta - rate * m / (1 - 0.8**step) - penalty * rate, 0)
+    return theta
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model:
@@ -200,9 +217,8 @@ def _score(model: Model, place: int, added: list[str]):
             scores, found = np.zeros(len(texts)), [[] for _ in texts]
             for s, e in chunks(texts):
                 own = sentences(texts[s:e])
-                z = own.margins(model)
-                scores[s:e] = -np.expm1(-np.bincount(own.text, np.logaddexp(0, z), e - s))
-                for i in np.flatnonzero(z >= 0):
+                scores[s:e], reached = own.scored(model, e - s)
+                for i in reached:
                     text, at = texts[s + own.text[i]], own.start[i]
                     end = min([p for c in b".!?\n" if (p := text.find(bytes([c]), at)) >= 0], default=len(text))
                     found[s + own.text[i]].append(text[at:end])
@@ -215,8 +231,8 @@ def _score(model: Model, place: int, added: list[str]):
 def with_toxicity(docs: DataFrame, model: Model, score: str = "score", found: str = "sentences") -> DataFrame:
     """``docs`` with the score of each whole text and the sentences that alone reach one half.
 
-    Sentences end at full stops, exclamation and question marks and line ends. A null or empty
-    text, having no sentence, scores 0. Rows are scored one by one, whatever their ids.
+    Sentences end at full stops, exclamation and question marks and line ends. A text without
+    a learned feature, as a null or empty one, scores 0. Rows are scored one by one, whatever their ids.
     """
     out = T.StructType([*docs.schema.fields, T.StructField(score, T.DoubleType()), T.StructField(found, T.ArrayType(T.StringType()))])
     return docs.mapInArrow(_score(model, docs.columns.index("text"), [score, found]), out)
