@@ -239,3 +239,13 @@ def test_license_scan(spark):
     clash = spark.createDataFrame(rows, SCHEMA).selectExpr("doc_id", "text", "1 AS digest", "2 AS license", "3 AS notices")
     assert license_scan(clash).count() == 6
     assert license_scan(clash.limit(0)).count() == 0
+
+
+def test_licenses_of_any_width(spark):
+    import textwrap
+
+    head = "Copyright (c) 2020 Some One\nCopyright The Authors\n© 2021 B\nCopyright holders: 2019 C\n"
+    rows = [(1000 * n + width, head + textwrap.fill(text, width, break_long_words=False, break_on_hyphens=False))
+            for n, (_, text) in enumerate(LICENSES) for width in range(40, 101)]
+    found = {r.doc_id: r.license for r in license_scan(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert found == {i: LICENSES[i // 1000][0] for i, _ in rows}

@@ -16,7 +16,15 @@ from pyspark.sql import functions as F
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Characters outside ASCII that count as punctuation.
 MARKS = "‘’“”«»–—…•·\u00a0\u202f"
+#: As the SQL has it: whatever begins with the mark, also a body line.
 COPYRIGHT_LINE = r"(^|\n)[^a-z0-9\n]*(copyright|\(c\)|©)[^\n]*"
+#: Words that follow in the body of a licence and not in a notice, unless a year or sign does too.
+_BODY = "(?:holder|owner|notice|law|licen[sc]e|statement|interest|protection|permission|treat(?:y|ie))s?|and|or|in|to"
+#: A notice: its mark, then a year, a sign or a name. A wrapped body line may begin with the same word.
+NOTICE_LINE = (
+    r"(^|\n)[^a-z0-9\n]*(?:copyright(?![a-z])"
+    rf"(?:(?=[^\n]*(?:\b(?:19|20)[0-9]{{2}}\b|©|\(c\)))|(?![^a-z0-9\n]*(?:{_BODY})\b))|\(c\)|©)[^\n]*"
+)
 RIGHTS_LINE = r"(^|\n)[^a-z0-9\n]*all rights reserved[^a-z0-9\n]*(\n|$)"
 NOT_WORD = r"[^a-z0-9\x{80}-\x{10FFFF}]+"
 
@@ -128,7 +136,7 @@ NOTICES = [
 def canonical(text: Column) -> Column:
     """The canonical form of a text; null stays null."""
     low = F.translate(text, UPPER, LOWER)
-    low = F.when(low.rlike("copyright|©|\\(c\\)"), F.regexp_replace(low, COPYRIGHT_LINE, "$1")).otherwise(low)
+    low = F.when(low.rlike("copyright|©|\\(c\\)"), F.regexp_replace(low, NOTICE_LINE, "$1")).otherwise(low)
     low = F.when(F.contains(low, F.lit("all rights reserved")), F.regexp_replace(low, RIGHTS_LINE, "$1$2")).otherwise(low)
     plain = F.trim(F.regexp_replace(F.translate(low, MARKS, " " * len(MARKS)), NOT_WORD, " "))
     spelled = plain
