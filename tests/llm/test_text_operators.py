@@ -249,3 +249,13 @@ def test_licenses_of_any_width(spark):
             for n, (_, text) in enumerate(LICENSES) for width in range(40, 101)]
     found = {r.doc_id: r.license for r in license_scan(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert found == {i: LICENSES[i // 1000][0] for i, _ in rows}
+
+
+def test_contaminated_rows_go_one_by_one(spark):
+    named, unnamed = " ".join(f"a{i}" for i in range(10)), " ".join(f"b{i}" for i in range(10))
+    rows = [(1, f"x {named} y"), (1, "clean text"), (2, f"{unnamed} z"), (3, "clean too"), (3, "clean too")]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    bench = spark.createDataFrame([("i", named), (None, unnamed)], "item_id string, text string")
+    found = sorted((r.doc_id, r.n_hit, r["items"]) for r in contamination(docs, bench).collect())
+    assert found == [(1, 0, []), (1, 10, ["i"]), (2, 10, []), (3, 0, []), (3, 0, [])]
+    assert sorted(tuple(r) for r in drop_contaminated(docs, bench).collect()) == [rows[1], rows[3], rows[3]]

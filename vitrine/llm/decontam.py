@@ -27,6 +27,8 @@ GRAM = 5
 #: Up to so many distinct benchmark fingerprints (8 bytes each) tasks carry them and send hits
 #: only; beyond, all fingerprints of the documents are sent to the same join.
 FEW_PRINTS = 1_000_000
+#: Begins what stands for the id of an item without one.
+NO_ID = "\x01no id "
 
 _PRINTS = "n_words long, prints array<long>"
 
@@ -134,10 +136,16 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, gra
     Words are runs of digits, letters a-z (A-Z lower-cased first) and characters outside ASCII.
     A window is ``width`` consecutive words of an item, or all words of a shorter one. ``items``
     lists the distinct ids, as sorted strings, of items with a window in the document. A null
-    or empty text has no words; items without words or without an id are left out. Rows with the
-    same ``doc_id`` are judged by their own text each.
+    or empty text has no words; items without words are left out. An item without an id counts
+    for ``n_hit`` and is not listed. Rows with the same ``doc_id`` are judged by their own text each.
     """
-    items = benchmark.select(F.col("item_id").cast("string").alias("item"), "text").filter("item IS NOT NULL AND text IS NOT NULL")
+    return _judged(docs, benchmark, width, gram).drop("row")
+
+
+def _judged(docs: DataFrame, benchmark: DataFrame, width: int, gram: int) -> DataFrame:
+    """``contamination`` with the ``row`` of each id and text."""
+    unnamed = F.concat(F.lit(NO_ID), F.xxhash64("text").cast("string"))
+    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), unnamed).alias("item"), "text").filter("text IS NOT NULL")
     prints = stage(items.mapInArrow(_prints(width, gram, [], True, None), f"item string, {_PRINTS}"), "item-prints")
     lengths = [r[0] for r in prints.filter((F.col("n_words") > 0) & (F.col("n_words") < width)).select("n_words").distinct().collect()]
     wanted = prints.select("item", F.explode("prints").alias("print")).distinct()
@@ -152,14 +160,16 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, gra
     texts = keyed.select("row", "text").join(few_rows(pairs.select("row").distinct()), "row", "left_semi").dropDuplicates(["row"])
     listed = pairs.join(items, "item").groupBy("row").agg(F.collect_set(F.struct("item", "text")).alias("met"))
     found = texts.join(listed, "row").select("row", "text", "met").mapInArrow(_extend(width), "row long, n_hit long, items array<string>")
+    named = F.filter("items", lambda i: ~i.startswith(NO_ID))
     return own.select("doc_id", "row", "n_words").join(found, "row", "left").select(
-        "doc_id", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"),
-        F.coalesce("items", F.array().cast("array<string>")).alias("items"),
+        "doc_id", "row", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"),
+        F.coalesce(named, F.array().cast("array<string>")).alias("items"),
     )
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
     """The documents without any benchmark window, with all their columns; a null id stays."""
-    name = fresh(docs, "found_id")
-    bad = contamination(docs, benchmark, width).filter("n_hit > 0").select(F.col("doc_id").alias(name)).distinct()
-    return docs.join(few_rows(stage(bad, "contaminated")), docs["doc_id"] == F.col(name), "left_anti")
+    name, row = fresh(docs, "found_id"), fresh(docs, "found_row")
+    bad = _judged(docs, benchmark, width, GRAM).filter("n_hit > 0").select(F.col("doc_id").alias(name), F.col("row").alias(row)).distinct()
+    same = (docs["doc_id"] == F.col(name)) & (F.xxhash64(docs["doc_id"], docs["text"]) == F.col(row))
+    return docs.join(few_rows(stage(bad, "contaminated")), same, "left_anti")
