@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from vitrine.llm import bpe, langid, licenses, pii, tokencount, topk_va, toxicity
+from vitrine.llm import alignment, bpe, langid, licenses, pii, tokencount, topk_va, toxicity
 from vitrine.llm.decontam import contamination
 from vitrine.llm.neardup import near_duplicates
 from vitrine.llm.substring import remove_repeats
@@ -170,3 +170,9 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.decoded(ids, path, pattern).select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"), digest.alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
     )
+
+
+@llm_query()
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    return alignment.align(table(spark, sf_dir, "documents"), *paths).documents
