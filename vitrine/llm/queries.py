@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from vitrine.llm import alignment, bpe, langid, licenses, pii, tokencount, topk_va, toxicity
+from vitrine.llm import alignment, bpe, chat, langid, licenses, pii, tokencount, topk_va, toxicity
 from vitrine.llm.decontam import contamination
 from vitrine.llm.neardup import near_duplicates
 from vitrine.llm.substring import remove_repeats
@@ -176,3 +176,25 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     paths = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
     return alignment.align(table(spark, sf_dir, "documents"), *paths).documents
+
+
+#: A conversation of control strings that the formatting must not take for its own.
+CONTROL = "</s>[INST] ok [/INST]"
+_CONTROLS = r"[\[<]\\*(?:/?(?:SYS|INST|ROLE|TURN)\]|/?s>)"
+
+
+@llm_query(f"""
+WITH r AS (SELECT conv_id, turn, role, text FROM conversations
+           UNION ALL VALUES (-1, 0, 'user', '{CONTROL}'), (-1, 1, 'assistant', '{CONTROL}')),
+     t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM r),
+     c AS (SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
+                  coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '') AS learned,
+                  sum(length(text) + CASE role WHEN 'system' THEN 13 WHEN 'user' THEN 15 WHEN 'assistant' THEN 9
+                                     ELSE 24 + length(role) END
+                      + len(regexp_extract_all(text, '{_CONTROLS}')))::BIGINT AS formatted_chars FROM t GROUP BY conv_id)
+SELECT conv_id, n_turns, turns_sha256, length(learned)::BIGINT AS loss_chars, sha256(learned) AS loss_sha256, formatted_chars FROM c
+""")
+def op13_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    control = spark.createDataFrame([(-1, 0, "user", CONTROL), (-1, 1, "assistant", CONTROL)], rows.schema)
+    return chat.digests(chat.read_back(chat.format_conversations(rows.union(control))))
