@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from vitrine.llm import alignment, bpe, chat, langid, licenses, pii, tokencount, topk_va, toxicity
+from vitrine.llm import alignment, bpe, chat, collocations, langid, licenses, pii, tokencount, topk_va, toxicity
 from vitrine.llm.decontam import contamination
 from vitrine.llm.neardup import near_duplicates
 from vitrine.llm.substring import remove_repeats
@@ -178,6 +178,33 @@ def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align(table(spark, sf_dir, "documents"), *paths).documents
 
 
+PHRASES_OF_LANG = 2000
+
+
+@llm_query(rf"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang,
+                  unnest(string_split_regex({_LOWER.format("coalesce(text, '')")}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+     w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p),
+     ph AS (SELECT lang, ws[i:i + size - 1] AS words
+            FROM (SELECT lang, ws, size, unnest(range(1, len(ws) - size + 2)) AS i FROM w, (VALUES (1), (2), (3)) AS s(size))),
+     f AS (SELECT lang, words, count(*) AS a FROM ph GROUP BY ALL),
+     n AS (SELECT lang, sum(a)::BIGINT AS n FROM f WHERE len(words) = 1 GROUP BY lang),
+     c AS (SELECT * FROM f WHERE len(words) > 1 AND a >= 10),
+     cuts AS (SELECT c.lang, c.words, c.a, k, x.a AS l, y.a AS r, (1000000::HUGEINT * c.a * c.a) // (x.a::HUGEINT * y.a) AS score
+              FROM (SELECT *, unnest(range(1, len(words))) AS k FROM c) c
+              JOIN f x ON x.lang = c.lang AND x.words = c.words[1:k] JOIN f y ON y.lang = c.lang AND y.words = c.words[k + 1:]),
+     cut AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, words ORDER BY score, k) = 1),
+     inside AS (SELECT lang, unnest([words[1:2], words[2:3]]) AS words, a FROM c WHERE len(words) = 3),
+     gone AS (SELECT DISTINCT c.lang, c.words FROM c JOIN inside i USING (lang, words) WHERE 100 * i.a >= 50 * c.a),
+     kept AS (SELECT lang, array_to_string(words, ' ') AS phrase, a, l, r, score FROM cut ANTI JOIN gone USING (lang, words)),
+     ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT lang, rank, phrase, a, l, r, n, score::BIGINT AS score FROM ranked JOIN n USING (lang) WHERE rank <= {PHRASES_OF_LANG}
+""")
+def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    best = collocations.best_of_each(collocations.collocations(table(spark, sf_dir, "documents")), PHRASES_OF_LANG)
+    return best.select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+
+
 #: A conversation of control strings that the formatting must not take for its own.
 CONTROL = "</s>[INST] ok [/INST]"
 _CONTROLS = r"[\[<]\\*(?:/?(?:SYS|INST|ROLE|TURN)\]|/?s>)"
