@@ -187,16 +187,18 @@ WITH p AS (SELECT coalesce(lang, 'und') AS lang,
      w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p),
      ph AS (SELECT lang, ws[i:i + size - 1] AS words
             FROM (SELECT lang, ws, size, unnest(range(1, len(ws) - size + 2)) AS i FROM w, (VALUES (1), (2), (3)) AS s(size))),
-     f AS (SELECT lang, words, count(*) AS a FROM ph GROUP BY ALL),
-     n AS (SELECT lang, sum(a)::BIGINT AS n FROM f WHERE len(words) = 1 GROUP BY lang),
-     c AS (SELECT * FROM f WHERE len(words) > 1 AND a >= 10),
-     cuts AS (SELECT c.lang, c.words, c.a, k, x.a AS l, y.a AS r, (1000000::HUGEINT * c.a * c.a) // (x.a::HUGEINT * y.a) AS score
-              FROM (SELECT *, unnest(range(1, len(words))) AS k FROM c) c
-              JOIN f x ON x.lang = c.lang AND x.words = c.words[1:k] JOIN f y ON y.lang = c.lang AND y.words = c.words[k + 1:]),
-     cut AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, words ORDER BY score, k) = 1),
-     inside AS (SELECT lang, unnest([words[1:2], words[2:3]]) AS words, a FROM c WHERE len(words) = 3),
-     gone AS (SELECT DISTINCT c.lang, c.words FROM c JOIN inside i USING (lang, words) WHERE 100 * i.a >= 50 * c.a),
-     kept AS (SELECT lang, array_to_string(words, ' ') AS phrase, a, l, r, score FROM cut ANTI JOIN gone USING (lang, words)),
+     f AS MATERIALIZED (SELECT lang, array_to_string(words, ' ') AS phrase, count(*) AS a, len(any_value(words)) AS size,
+                               any_value(words) AS words FROM ph GROUP BY 1, 2),
+     n AS (SELECT lang, sum(a)::BIGINT AS n FROM f WHERE size = 1 GROUP BY lang),
+     c AS MATERIALIZED (SELECT * FROM f WHERE size > 1 AND a >= 10),
+     parts AS (SELECT lang, phrase, a, k, array_to_string(words[1:k], ' ') AS x, array_to_string(words[k + 1:], ' ') AS y
+               FROM (SELECT *, unnest(range(1, size)) AS k FROM c)),
+     cuts AS (SELECT p.lang, p.phrase, p.a, k, x.a AS l, y.a AS r, (1000000::HUGEINT * p.a * p.a) // (x.a::HUGEINT * y.a) AS score
+              FROM parts p JOIN f x ON x.lang = p.lang AND x.phrase = p.x JOIN f y ON y.lang = p.lang AND y.phrase = p.y),
+     cut AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+     inside AS (SELECT lang, unnest([array_to_string(words[1:2], ' '), array_to_string(words[2:3], ' ')]) AS phrase, a FROM c WHERE size = 3),
+     gone AS (SELECT DISTINCT c.lang, c.phrase FROM c JOIN inside i USING (lang, phrase) WHERE 100 * i.a >= 50 * c.a),
+     kept AS (SELECT * FROM cut ANTI JOIN gone USING (lang, phrase)),
      ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
 SELECT lang, rank, phrase, a, l, r, n, score::BIGINT AS score FROM ranked JOIN n USING (lang) WHERE rank <= {PHRASES_OF_LANG}
 """)
