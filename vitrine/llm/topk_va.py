@@ -31,11 +31,34 @@ LEAST_BLOCKS = 48
 
 
 def whole_vectors(vectors: DataFrame, scale: int = 256) -> DataFrame:
-    """``vec_id, v``: components as ``floor(scale * x)``, rows with an undefined one left out."""
+    """``vec_id, v``: components as ``floor(scale * x)``, rows with an undefined one left out.
+
+    A component beyond 64 bits raises an error that names its vector.
+    """
     x = F.transform("embedding", lambda e: e.cast("double"))
     fine = F.coalesce(F.forall(x, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf"))), F.lit(False))
     rows = vectors.filter("vec_id IS NOT NULL").filter(fine)
-    return rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.transform(x, lambda e: F.floor(e * scale)).alias("v"))
+    lost = F.raise_error(F.concat(F.lit("a component leaves 64 bits in vector "), F.col("vec_id").cast("string"))).cast("long")
+    whole = F.transform(x, lambda e: F.when(F.abs(e * scale) < 2.0**63, F.floor(e * scale)).otherwise(lost))
+    return rows.select(F.col("vec_id").cast("long").alias("vec_id"), whole.alias("v"))
+
+
+def _check_reach(vectors: DataFrame, queries: DataFrame) -> None:
+    """Raise, naming vectors, if a product or a bound could leave 64 bits.
+
+    A bound is at most three times the sum of the greatest products of each dimension.
+    """
+
+    def tops(rows: DataFrame, name: str) -> DataFrame:
+        x = rows.select(F.size("v").alias("dim"), F.posexplode("v"))
+        return x.groupBy("dim", "pos").agg(F.max(F.abs(F.col("col").cast("double"))).alias(name))
+
+    far = tops(vectors, "a").join(tops(queries, "b"), ["dim", "pos"]).groupBy("dim").agg(F.sum(F.col("a") * F.col("b")).alias("reach"))
+    wide = far.filter(F.col("reach") >= 2.0**61).select("dim")
+    size = F.array_max(F.transform("v", lambda e: F.abs(e.cast("double"))))
+    named = vectors.join(F.broadcast(wide), "dim", "left_semi").orderBy(size.desc(), "vec_id").limit(5)
+    if ids := [r["vec_id"] for r in named.select("vec_id").collect()]:
+        raise ValueError(f"products may leave 64 bits; the vectors with the greatest components are {ids}")
 
 
 def _cell_ends(vectors: DataFrame, cells: int) -> DataFrame:
@@ -136,7 +159,8 @@ def top_products(vectors: DataFrame, queries: DataFrame, k: int, cells: int = CE
 
     ``vectors`` and ``queries`` hold ``vec_id, v`` with whole components, as ``whole_vectors``
     gives them. A query meets every vector of its own length but those with its own id; ties go
-    to the smaller id, and fewer vectors give fewer rows. Products beyond 64 bits are undefined.
+    to the smaller id, and fewer vectors give fewer rows. Components so great that a product could
+    leave 64 bits raise an error that names their vectors.
     Of several vectors under one id the smallest, by component, counts.
     """
     dims = F.size("v").alias("dim")
@@ -144,6 +168,7 @@ def top_products(vectors: DataFrame, queries: DataFrame, k: int, cells: int = CE
     few = Window.partitionBy("v").orderBy("vec_id")
     distinct = stage(stored.withColumn("n", F.row_number().over(few)).filter(F.col("n") <= k + 1).drop("n"), "distinct-vectors")
     asked = stage(queries.groupBy(F.col("vec_id").alias("query_id")).agg(F.min("v").alias("v")).select("query_id", "v", dims), "queries")
+    _check_reach(distinct, asked)
     n, n_queries = distinct.count(), asked.count()
     blocks = max(LEAST_BLOCKS, -(-n // BLOCK_VECTORS))
     query_blocks = max(1, -(-n_queries // BLOCK_QUERIES))
