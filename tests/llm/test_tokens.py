@@ -12,7 +12,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from vitrine.llm.bpe import codec, decoded, encode_documents, encoded
-from vitrine.llm.tokencount import counter, prefix_counts, token_counts, truncated
+from vitrine.llm.tokencount import _WORDS, counter, prefix_counts, token_counts, truncated
 
 WORDS = public_tokenizers.path("word_bpe_49k.json")
 RANKS, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
@@ -40,13 +40,31 @@ def test_total_is_the_librarys(text):
     assert counter(WORDS).total(text) == count(text)
 
 
+def test_every_character_counts_as_in_the_library():
+    """Alone and behind a letter; among them are letters newer than Python's tables."""
+    chars = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    own = counter(WORDS)
+    for start in range(0, len(chars), 100_000):
+        part = [form for c in chars[start : start + 100_000] for form in (c, f"a{c}")]
+        found = library.encode_batch_fast(part, add_special_tokens=False)
+        assert [own.total(t) for t in part] == [len(e.ids) for e in found]
+
+
+def test_a_very_long_text():
+    text = "Ωmega wörd 12 " * 40_000 + "x" * 100_000
+    assert counter(WORDS).total(text) == count(text)
+    assert codec(RANKS, PATTERN).encode(text) == tik.encode_ordinary(text)
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.text(alphabet="abcdefghinorstu é'1!ßΩ", max_size=30))
 def test_every_prefix_has_its_own_count(text):
     counts = counter(WORDS)
     whole, ends, totals = counts.prefixes(text)
     assert [count(whole[:e]) for e in ends] == totals
-    for m in regex.finditer(r"\p{L}+", whole):
+    for m in _WORDS.finditer(whole):
+        if not regex.fullmatch(r"\p{L}+", m.group()):
+            continue
         before = count(whole[: m.start()])
         for n in range(1, len(m.group()) + 1):
             assert before + counts.inside(m.group(), n) == count(whole[: m.start() + n])

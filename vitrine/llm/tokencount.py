@@ -13,7 +13,6 @@ from __future__ import annotations
 
 import json
 import re
-import unicodedata
 from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
@@ -22,6 +21,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import normalizers
 
 from vitrine.llm.rolling import raw_texts
 
@@ -199,10 +199,16 @@ class Counter:
         return whole[: start + skipped], before
 
 
+#: The library's own rules, for characters that Python's tables know otherwise or not yet.
+_NORMAL = normalizers.Sequence([normalizers.NFC(), normalizers.Lowercase()])
+
+
 def normal(text: str) -> str:
     """NFC and small letters, character by character; white space needs no change to be dropped."""
-    if not text.isascii():
-        text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return _NORMAL.normalize_str(text)
     return text.lower()
 
 
