@@ -18,7 +18,7 @@ def best_by_hand(rows, queries, k):
     return sorted(out)
 
 
-@pytest.mark.parametrize(("scale", "cells", "copies"), [(300, 64, 0), (300, 4, 200), (3, 64, 50), (2**40, 16, 0)])
+@pytest.mark.parametrize(("scale", "cells", "copies"), [(300, 64, 0), (300, 4, 200), (3, 64, 50), (2**28, 16, 0)])
 def test_top_products(spark, monkeypatch, scale, cells, copies):
     import vitrine.llm.topk_va as module
 
@@ -35,6 +35,18 @@ def test_top_products(spark, monkeypatch, scale, cells, copies):
     assert sorted(tuple(r) for r in found.collect()) == best_by_hand(rows, asked, 5)
 
 
+def test_products_beyond_64_bits_raise(spark):
+    far = spark.createDataFrame([(1, [2.0e8] * 4), (2, [1.0] * 4), (3, [2.0e8, 0.0, 0.0, 1.0])], "vec_id long, embedding array<double>")
+    whole = whole_vectors(far)
+    with pytest.raises(ValueError, match=r"\[1, 3, 2\]"):
+        top_products(whole, whole, 2)
+    near = whole_vectors(far.filter("vec_id > 1"))
+    found = top_products(near, near.filter("vec_id = 2"), 2)  # the wide vector's product fits
+    assert [tuple(r) for r in found.collect()] == [(2, 1, 3, 256 * (256 * 200_000_000 + 256))]
+    with pytest.raises(Exception, match="leaves 64 bits in vector 9"):
+        whole_vectors(spark.createDataFrame([(9, [1.0e30])], "vec_id long, embedding array<double>")).collect()
+
+
 def test_top_products_of_odd_rows(spark):
     nan, inf = math.nan, math.inf
     rows = [(0, [0.5, -0.25]), (1, [0.5, 0.001]), (2, [nan, 1.0]), (3, [inf, 0.0]), (4, None), (5, [None, 1.0]), (None, [1.0, 1.0]),
@@ -107,6 +119,26 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_pipeline_stages_on_odd_rows(spark):
+    """Nulls, repeated ids and rows, empty tables and columns with clashing names."""
+    import corpus_pipeline
+
+    folder = "/root/testdata/sf0.001"
+    text = " ".join(f"word{i}" for i in range(30))
+    rows = [(3, text), (3, text), (5, "only here " * 8), (5, text), (None, None), (None, text), (6, ""), (6, ""), (7, None)]
+    docs = spark.createDataFrame([(d, t, None, "s", None, 1, 2) for d, t in rows],
+                                 "doc_id long, text string, lang string, source string, n_chars long, row int, kept int")
+    want = sorted([(3, text), (5, "only here " * 8), (None, None), (None, text), (6, ""), (6, ""), (7, None)], key=str)
+    for given in (docs, docs.limit(0)):
+        seen = given
+        for name, apply in corpus_pipeline.STAGES:
+            seen = apply(spark, seen, folder)
+            assert set(docs.columns) <= set(seen.columns)
+            if name == "near_dedup" and given is docs:
+                assert sorted(((r.doc_id, r.text) for r in seen.collect()), key=str) == want
+        assert seen.count() == (len(want) if given is docs else 0)
+
+
 def test_pipeline(spark):
     import corpus_pipeline
     from vitrine.llm.queries import QUERIES

@@ -112,19 +112,19 @@ def _signatures(bands: int):
                     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
 
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(s, e - s), pa.array(size), pa.array(set_key[0]), pa.array(set_key[1]),
+                    [batch.column(0).slice(s, e - s), batch.column(2).slice(s, e - s), pa.array(size), pa.array(set_key[0]), pa.array(set_key[1]),
                      lists(np.ascontiguousarray(grouped).ravel().view(np.int64), bands), lists(sketch, SKETCH_BITS // 64)],
-                    names=["doc_id", "n_shingles", "key1", "key2", "bands", "sketch"],
+                    names=["doc_id", "mark", "n_shingles", "key1", "key2", "bands", "sketch"],
                 )
 
     return run
 
 
 def signatures(docs: DataFrame, bands: int) -> DataFrame:
-    """Set size, set hash, band keys and odd sketch of every text."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
+    """Text hash, set size, set hash, band keys and odd sketch of every text."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("mark")).mapInArrow(
         _signatures(bands),
-        "doc_id long, n_shingles long, key1 long, key2 long, bands array<long>, sketch array<long>",
+        "doc_id long, mark long, n_shingles long, key1 long, key2 long, bands array<long>, sketch array<long>",
     )
 
 
@@ -267,6 +267,11 @@ def near_duplicates(docs: DataFrame, similarity: tuple[int, int] = SIMILARITY) -
     groups, these count as one. A row without an id takes no part: its component is null and it
     is kept.
     """
+    return _judged(docs, similarity).drop("mark")
+
+
+def _judged(docs: DataFrame, similarity: tuple[int, int]) -> DataFrame:
+    """``near_duplicates`` with the hash of each row's text, ``mark``."""
     bands = band_count(similarity)
     signed = stage(signatures(docs, bands), "signatures")
     classes = stage(
@@ -291,15 +296,27 @@ def near_duplicates(docs: DataFrame, similarity: tuple[int, int] = SIMILARITY) -
     found = stage(
         classes.join(linked, "node", "left").select("key1", "key2", F.coalesce("component", "node").alias("component_id")), "class-components"
     )
-    named = signed.select("doc_id", "n_shingles", "key1", "key2").join(found, ["key1", "key2"], "left")
+    named = signed.select("doc_id", "mark", "n_shingles", "key1", "key2").join(found, ["key1", "key2"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return named.select("doc_id", "n_shingles", component.alias("component_id")).withColumn(
+    return named.select("doc_id", "mark", "n_shingles", component.alias("component_id")).withColumn(
         "kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))
     )
 
 
 def drop_near_duplicates(docs: DataFrame, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
-    """The documents of ``docs`` that are the smallest of their group, with all columns."""
-    name = fresh(docs, "copy_id")
-    gone = near_duplicates(docs, similarity).filter("NOT kept").select(F.col("doc_id").alias(name)).distinct()
-    return docs.join(few_rows(stage(gone, "copies")), docs["doc_id"].cast("long") == F.col(name), "left_anti")
+    """The documents of ``docs`` that are the smallest of their group, with all columns.
+
+    A row goes by its id and its text together, so another text under the same id stays. Of rows
+    that repeat both, one stays, unless the text has no words or the id is null.
+    """
+    name, mark = fresh(docs, "copy_id"), fresh(docs, "copy_mark")
+    judged = stage(_judged(docs, similarity).filter("n_shingles > 0 AND doc_id IS NOT NULL").select("doc_id", "mark", "kept"), "judged")
+    keys = [F.col("doc_id").alias(name), F.col("mark").alias(mark)]
+    same = (docs["doc_id"].cast("long") == F.col(name)) & (F.xxhash64(docs["text"]) == F.col(mark))
+    left = docs.join(few_rows(stage(judged.filter("NOT kept").select(*keys).distinct(), "copies")), same, "left_anti")
+    repeated = stage(judged.filter("kept").groupBy("doc_id", "mark").count().filter("count > 1").select(*keys), "repeated")
+    if repeated.isEmpty():
+        return left
+    same = (left["doc_id"].cast("long") == F.col(name)) & (F.xxhash64(left["text"]) == F.col(mark))
+    once = left.join(few_rows(repeated), same, "left_semi").dropDuplicates(["doc_id", "text"])
+    return left.join(few_rows(repeated), same, "left_anti").unionByName(once)
