@@ -116,3 +116,22 @@ def test_search_of_a_stored_index(spark, inputs, tmp_path):
         assert stored == search(entries, [0.0, 0.0, 2.0, 1.0], 3, conditions=conditions).orderBy("rank").collect()
     with pytest.raises(ValueError):
         search_index(index, [1.0])
+
+
+def test_counts_of_the_job_that_writes(spark, tmp_path):
+    """Good, rejected and strange rows in one job; equal to an aggregate over what was written."""
+    from vitrine.operators.validate import count_by, write_judged
+
+    rows = [(i, [None, "missing_id", "invalid_json", "odd reason"][i % 4]) for i in range(103)]
+    judged = spark.createDataFrame(rows, "n int, reason string").repartition(4)
+    context = spark.sparkContext
+    context.setJobGroup("judged", "write")
+    counts = write_judged(judged, str(tmp_path / "j"))
+    jobs = context.statusTracker().getJobIdsForGroup("judged")
+    context.setLocalProperty("spark.jobGroup.id", None)
+    written = spark.read.parquet(str(tmp_path / "j"))
+    again = {r["status"]: r["n"] for r in count_by(written, F.coalesce("reason", F.lit("good"))).collect()}
+    assert {k: n for k, n in counts.items() if n} == {("other" if k == "odd reason" else k): n for k, n in again.items()}
+    assert len(jobs) <= 2  # with adaptive execution the shuffle of the input is a job of its own
+    assert {r["rejected"] for r in written.filter("reason IS NULL").collect()} == {"false"}
+    assert set(write_judged(judged.limit(0), str(tmp_path / "none")).values()) == {0}

@@ -22,15 +22,26 @@ def test_a_repeated_key_of_the_lookup_side_raises(spark):
     assert J.lookup(big, small.filter("v <> 2"), "key").first()["v"] == 1
 
 
-def test_wide_hot_matches_are_not_broadcast(spark, monkeypatch, no_broadcast):
+def test_wide_hot_matches_are_dealt_over_salts(spark, monkeypatch, no_broadcast):
+    """A key with a third of the rows and a match too wide to broadcast: no task gets twice the median."""
     monkeypatch.setattr(J, "HOT_FLOOR", 10)
-    big = spark.createDataFrame([(i, "hot") for i in range(300)], "n int, key string")
-    small = spark.createDataFrame([("hot", "x" * 1000)], "key string, v string")
-    assert "BroadcastHashJoin" in J.lookup(big, small, "key")._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(J, "HOT_SHARE", 0.01)
+    keys = ["hot"] * 1000 + ["warm"] * 300 + [f"k{i}" for i in range(1700)] + [None] * 50
+    big = spark.createDataFrame(list(enumerate(keys)), "n int, key string")
+    small = spark.createDataFrame([("hot", "x" * 1000), ("warm", "y"), ("k5", "z"), ("idle", "w")], "key string, v string")
+    narrow = J.lookup(big, small, "key")
     monkeypatch.setattr(J, "HOT_BYTES", 10)
-    wide = J.lookup(big, small, "key")
-    assert "BroadcastHashJoin" not in wide._jdf.queryExecution().executedPlan().toString()
-    assert wide.filter("found").count() == 300
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        wide = J.lookup(big, small, "key")
+        plan = wide._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning(key" in plan and "_salt" in plan
+        per_task = [r["count"] for r in wide.filter("key = 'hot'").groupBy(F.spark_partition_id()).count().collect()]
+        assert len(per_task) == 4 and max(per_task) <= 2 * sorted(per_task)[1]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert sorted(map(str, wide.collect())) == sorted(map(str, narrow.collect()))
+    assert wide.filter("found").count() == 1301 and wide.count() == len(keys)
 
 
 def test_failed_copies(spark):

@@ -117,3 +117,26 @@ def test_band_layout():
     assert band_layout(0.9, 128) == (BANDS, ROWS)
     bands, rows = band_layout(0.5, 128)
     assert bands * rows <= 128 and (1 / bands) ** (1 / rows) == pytest.approx(0.5, abs=0.1)
+
+
+def test_whole_texts_against_a_walk(spark):
+    """Every bucket computed by hand from all words, then the walk in order of the ids."""
+    import re
+
+    import xxhash
+
+    from vitrine.functions.minhash import PERMUTATIONS, BandHasher, band_layout
+    from vitrine.plans.vector_queries import near_dup_texts
+
+    folder = "/root/testdata/sf0.001"
+    hasher = BandHasher(PERMUTATIONS, *band_layout(0.8), seed=1)
+    taken, want = set(), {}
+    for r in spark.read.parquet(f"{folder}/documents.parquet").orderBy("doc_id").select("doc_id", "text").collect():
+        words = re.findall(r"[^ \t\n\x0b\f\r]+", (r["text"] or "").lower())
+        runs = {" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+        tokens = np.array([xxhash.xxh64_intdigest(w.encode(), 42) for w in runs], np.uint64).view(np.int64)
+        own = set(hasher.combine(lambda p: hasher.permuted(tokens, p).min(), 1)[0].tolist()) if len(tokens) else set()
+        want[r["doc_id"]] = taken.isdisjoint(own)
+        taken |= own if want[r["doc_id"]] else set()
+    found = {r["doc_id"]: r["kept"] for r in near_dup_texts(spark, folder).collect()}
+    assert found == want and 0 < sum(not k for k in want.values()) < len(want) / 2

@@ -55,6 +55,20 @@ def test_landing_keeps_the_last_page(spark, tmp_path):
     assert {p.name for p in (tmp_path / "p").glob("page_range=*")} == {"page_range=0", "page_range=2"}
 
 
+def test_landing_adds_to_what_is_there(spark, tmp_path):
+    path, schema = str(tmp_path / "p"), "page int, item int, html string, n int"
+    land_pages(spark.createDataFrame([(1, 0, "a", 9), (2, 0, "b", 1), (2500, 0, "far", 1), (None, 0, "no page", 1)], schema), path, "n")
+    files = {f.name for f in (tmp_path / "p" / "page_range=2").iterdir()}
+    land_pages(spark.createDataFrame([(1, 0, "again", 1), (1, 1, "other item", 1), (5000, 0, "c", 1)], schema), path, "n")
+    land_pages(spark.createDataFrame([(None, 0, "no page again", 1)], schema).withColumn("extra", F.lit("x")), path, "n")
+    land_pages(spark.createDataFrame([], schema), path, "n")
+    back = spark.read.option("mergeSchema", True).parquet(path).collect()
+    assert sorted(((r["page"], r["item"], r["html"], r["extra"]) for r in back), key=str) == sorted(
+        [(1, 0, "again", None), (1, 1, "other item", None), (2, 0, "b", None), (2500, 0, "far", None), (5000, 0, "c", None),
+         (None, 0, "no page again", "x")], key=str)
+    assert {f.name for f in (tmp_path / "p" / "page_range=2").iterdir()} == files
+
+
 def test_rejects(spark, tmp_path):
     df = spark.range(3).withColumn("reason", F.lit("missing_id"))
     for mode, expected in (("overwrite", 3), ("append", 6), ("overwrite", 3)):

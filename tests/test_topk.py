@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from vitrine.operators import ivf
 from vitrine.operators import topk as K
 from vitrine.operators.validate import compile_filter
 
@@ -182,15 +183,65 @@ def test_batch_distances_of_any_size(spark, monkeypatch, scale, shift, block_byt
         assert [(r["id"], r["score"]) for r in single] == [(r["id"], r["score"]) for r in mine]
 
 
-def test_blocks_meet_in_one_job(spark, corpus, monkeypatch):
-    monkeypatch.setattr(K, "BLOCK_BYTES", 400)
+def test_index_rows_move_alike_for_any_number_of_blocks(spark, corpus, monkeypatch):
     monkeypatch.setattr(K, "PART_BYTES", 10_000)
     index, vectors = corpus
-    df = spark.createDataFrame([(i, vectors[i].tolist()) for i in range(40)], "query_id int, query array<double>")
-    rows = K.topk_batch(index, df, 3)
-    assert rows._jdf.queryExecution().executedPlan().toString().count("FlatMapCoGroupsInArrow") == 1
-    best = {r["query_id"]: r["id"] for r in rows.filter("rank = 1").collect()}
-    assert best == {i: i for i in range(40)}
+    df = spark.createDataFrame([(i, vectors[i].tolist()) for i in range(300)], "query_id int, query array<double>")
+    moved = []
+    inner = K.search_visits
+
+    def counted(rows, visits, *rest):
+        moved.append((rows.count(), visits.count()))
+        return inner(rows, visits, *rest)
+
+    monkeypatch.setattr(K, "search_visits", counted)
+    results = []
+    for block_bytes in (40_000, 700):  # one block of queries, and some 60 of them
+        monkeypatch.setattr(K, "BLOCK_BYTES", block_bytes)
+        results.append(sorted(map(tuple, K.topk_batch(index, df, 3, by_cells=True).collect())))
+    assert results[0] == results[1] and len(results[0]) == 900
+    assert moved[:2] == moved[2:] and {m[0] for m in moved} == {400} and moved[0][1] == 300
+
+
+def test_cells_far_away_are_not_visited(spark, monkeypatch):
+    """Clustered vectors: a query visits its own cluster and little else."""
+    rng = np.random.default_rng(1)
+    centers = rng.normal(size=(12, 8)) * 100
+    vectors = np.vstack([c + rng.normal(size=(60, 8)) for c in centers])
+    index = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "id long, embedding array<double>")
+    df = spark.createDataFrame([(i, vectors[i].tolist()) for i in range(0, 720, 9)], "query_id int, query array<double>")
+    visits = []
+    inner = K.search_visits
+    monkeypatch.setattr(K, "search_visits", lambda rows, v, *rest: (visits.append(v.count()), inner(rows, v, *rest))[1])
+    found = K.topk_batch(index, df, 5, "euclidean", by_cells=True).collect()
+    for q in range(0, 720, 9):
+        assert [r["id"] for r in sorted(found, key=lambda r: r["rank"]) if r["query_id"] == q] == brute(vectors, vectors[q], 5, "euclidean")
+    assert visits[0] == 80 and visits[1] < 80 * 4
+
+
+@pytest.mark.parametrize("metric", ["cosine", "euclidean"])
+def test_inverted_file(spark, corpus, tmp_path, metric):
+    index, vectors = corpus
+    file = ivf.build(index, str(tmp_path / "f"), 16, metric, recall=0.95)
+    assert file.rows.count() == 403 and 1 <= file.probes <= 16
+    df = spark.createDataFrame([(i, vectors[i].tolist()) for i in range(0, 400, 5)], "query_id int, query array<double>")
+    found = ivf.search_batch(file, df, 10).collect()
+    exact = {(r["query_id"], r["id"]) for r in K.topk_batch(index, df, 10, metric).collect()}
+    assert len(exact & {(r["query_id"], r["id"]) for r in found}) >= 0.9 * len(exact)
+    one = ivf.search(file, vectors[0].tolist(), 10)
+    assert {r["id"] for r in one.collect()} == {r["id"] for r in found if r["query_id"] == 0}
+    plan = ivf.search(file, vectors[0].tolist(), 10, probes=2)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [cell" in plan and "hash" not in plan.split("PartitionFilters")[1].split("ReadSchema")[0]
+    everything = ivf.search(file, vectors[7].tolist(), 10, probes=16).collect()
+    assert [r["id"] for r in everything] == brute(vectors if metric == "cosine" else with_origin(vectors), vectors[7], 10, metric)
+    assert ivf.search(file, [0.0] * 3, 5).collect() == [] == ivf.search_batch(file, df.limit(0), 5).collect()
+
+
+def test_inverted_file_of_nothing(spark, tmp_path):
+    empty = spark.createDataFrame([(1, None), (2, [])], "id long, embedding array<double>")
+    for n, index in enumerate((empty, empty.limit(0))):
+        file = ivf.build(index, str(tmp_path / str(n)))
+        assert ivf.search(file, [1.0], 5).collect() == []
 
 
 def test_empty_lists_and_own_names_in_filters(spark):

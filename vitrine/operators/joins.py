@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from vitrine.session import stage, stored_bytes
 
@@ -14,13 +15,18 @@ HOT_SHARE = 0.0001
 HOT_BYTES = 32 * 1024 * 1024
 # Below this row count a key is never worth separate treatment.
 HOT_FLOOR = 100_000
+SALT, SALTS = "_salt", "_salts"
 
 
 def hot_keys(df: DataFrame, key: str) -> DataFrame:
-    """Keys holding more than ``HOT_SHARE`` of the rows: a bounded set, safe to broadcast."""
+    """Keys holding more than ``HOT_SHARE`` of the rows: a bounded set, safe to broadcast.
+
+    ``salts`` says over how many parts a key is to be dealt so that none exceeds that share, in
+    all at most ``2 / HOT_SHARE``.
+    """
     limit = max(HOT_FLOOR, df.agg(F.count(key)).first()[0] * HOT_SHARE)
     counts = df.filter(F.col(key).isNotNull()).groupBy(key).count()
-    return counts.filter(F.col("count") > limit).select(key)
+    return counts.filter(F.col("count") > limit).select(key, F.ceil(F.col("count") / limit).cast("long").alias("salts"))
 
 
 def lookup(big: DataFrame, small: DataFrame, key: str, unique: bool = False) -> DataFrame:
@@ -28,7 +34,8 @@ def lookup(big: DataFrame, small: DataFrame, key: str, unique: bool = False) ->
 
     A repeated key raises; ``unique`` says that there is none and spares the check. Rows of hot
     keys meet their match by broadcast and are not shuffled, if those matches are small as
-    stored; nor are rows without a key. The shuffle join, which Spark turns into a broadcast where
+    stored, and are dealt over salts otherwise, for each of which the match is repeated. Rows
+    without a key are not shuffled. The shuffle join, which Spark turns into a broadcast where
     ``small`` is small, serves the rest, where no key is large. ``big`` is read once per
     branch, so give it a stored table.
     """
@@ -42,13 +49,25 @@ def lookup(big: DataFrame, small: DataFrame, key: str, unique: bool = False) ->
     columns = [F.col(c) for c in [*big.columns, *values]] + [found]
     large = big.limit(HOT_FLOOR + 1).count() > HOT_FLOOR
     keys = hot_keys(big, key).collect() if large else []
-    hot = stage(flagged.join(F.broadcast(big.sparkSession.createDataFrame(keys, small.select(key).schema)), key), "hot") if keys else None
-    if hot is None or stored_bytes(hot) > HOT_BYTES:
+    if not keys:
         return big.join(flagged, key, "left").select(*columns)
+    names = big.sparkSession.createDataFrame([(r[key], r["salts"]) for r in keys], _salted_schema(small, key))
+    hot = stage(flagged.join(F.broadcast(names), key), "hot")
     is_hot = F.col(key).isin([r[key] for r in keys])
-    spared = big.filter(F.coalesce(is_hot, F.lit(True))).join(F.broadcast(hot), key, "left")
-    cold = big.filter(~is_hot).join(flagged, key, "left")
-    return spared.select(*columns).unionByName(cold.select(*columns))
+    cold = big.filter(~is_hot).join(flagged, key, "left").select(*columns)
+    if stored_bytes(hot) <= HOT_BYTES:
+        spared = big.filter(F.coalesce(is_hot, F.lit(True))).join(F.broadcast(hot.drop(SALTS)), key, "left")
+        return spared.select(*columns).unionByName(cold)
+    # wide matches are repeated once for each salt of their key instead, and rows dealt over the salts
+    repeated = hot.withColumn(SALT, F.explode(F.sequence(F.lit(0).cast("long"), F.col(SALTS) - 1))).drop(SALTS)
+    dealt = big.filter(is_hot).join(F.broadcast(names), key).withColumn(SALT, F.monotonically_increasing_id() % F.col(SALTS))
+    salted = dealt.join(repeated.hint("shuffle_hash"), [key, SALT], "left").select(*columns)
+    lost = big.filter(F.col(key).isNull()).select(*big.columns, *(F.lit(None).cast(small.schema[c].dataType).alias(c) for c in values), F.lit(False).alias("found"))
+    return salted.unionByName(cold).unionByName(lost)
+
+
+def _salted_schema(small: DataFrame, key: str) -> StructType:
+    return StructType([StructField(key, small.schema[key].dataType), StructField(SALTS, LongType())])
 
 
 def rewrite_urls(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -10,14 +10,16 @@ from pyspark.ml.feature import BucketedRandomProjectionLSH
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from vitrine.functions.vectors import l2_normalize, matrix, pair_cosine, pair_distance, score
+from vitrine.operators.cells import MAX_CELLS, assigned, train
 from vitrine.operators.validate import compile_filter
 from vitrine.session import stage
 
 # Query vectors held by one task at a time; more are searched block by block.
 BLOCK_BYTES = 8 * 1024 * 1024
-# Vectors of the index that meet one block of queries, where there are several blocks.
+# Vectors of a cell that one task holds while queries pass.
 PART_BYTES = 64 * 1024 * 1024
 # Score cells a task computes in one matrix product, and elements it takes for exact scores at once.
 _CELLS = 4_000_000
@@ -165,27 +167,123 @@ class _BlockSearch:
             )
 
 
-def _found_by_blocks(rows: DataFrame, queries: DataFrame, n_blocks: int, k: int, metric: str, out: str) -> DataFrame:
-    """Every block of queries meets every part of the index in a task of its own, in one job."""
-    dim = F.coalesce(F.size("embedding"), F.lit(0)).cast("long")
-    size = rows.agg(F.coalesce(F.sum(dim * 8 + 64), F.lit(0)).alias("bytes")).first()["bytes"]
-    n_parts = 2 * (-(-size // PART_BYTES) or 1)
-    asked = queries.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(n_blocks))).withColumn(
-        "part", F.explode(F.expr(f"sequence(0L, {n_parts - 1}L)"))
+def _search_sorted(k: int, metric: str, kinds: tuple[pa.DataType, pa.DataType]):
+    """Search groups of rows that come one after the other: a part of a cell, then its queries.
+
+    The part is held, at most ``PART_BYTES`` as a rule; queries pass through in blocks.
+    """
+    id_type, query_type = kinds
+    schema = pa.schema([("query_id", query_type), ("id", id_type), ("score", pa.float64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, held, asked, size = None, [], [], 0
+
+        def found() -> Iterator[pa.RecordBatch]:
+            if not held or not asked:
+                return
+            block = pa.Table.from_batches(asked)
+            search = _BlockSearch(matrix(block["vector"].combine_chunks()), block["query_id"].combine_chunks(), k, metric)
+            for batch in search.run(held):
+                yield pa.RecordBatch.from_arrays(batch.columns, schema=schema)
+
+        for batch in batches:
+            cell, part, kind = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+            turn = np.flatnonzero(np.r_[True, (cell[1:] != cell[:-1]) | (part[1:] != part[:-1]) | (kind[1:] != kind[:-1])])
+            for s, e in zip(turn, np.r_[turn[1:], len(batch)]):
+                if group != (cell[s], part[s]):
+                    yield from found()
+                    group, held, asked, size = (cell[s], part[s]), [], [], 0
+                rows = batch.slice(s, e - s)
+                if kind[s] == 0:
+                    held.append(rows.select(["id", "vector"]))
+                    continue
+                asked.append(rows.select(["query_id", "vector"]))
+                size += asked[-1].nbytes
+                if size > BLOCK_BYTES:
+                    yield from found()
+                    asked, size = [], 0
+        yield from found()
+
+    return run
+
+
+def search_visits(rows: DataFrame, visits: DataFrame, k: int, metric: str) -> DataFrame:
+    """``(query_id, id, score)``: the ``k`` best of every cell for the queries that visit it.
+
+    ``rows`` is ``(id, embedding, cell)``, ``visits`` is ``(query_id, query, cell)``. Rows are
+    shuffled once however many queries there are. A cell above ``PART_BYTES`` is split into
+    parts, and only its visits are repeated for them.
+    """
+    size = (F.coalesce(F.size("embedding"), F.lit(0)).cast("long") * 8 + 64).alias("bytes")
+    sizes = rows.groupBy("cell").agg(F.sum(size).alias("bytes"))
+    parts = stage(sizes.select("cell", F.ceil(F.col("bytes") / PART_BYTES).cast("long").alias("parts")), "cell-parts")
+    held = rows.join(F.broadcast(parts), "cell").select(
+        "cell", F.pmod(F.xxhash64("id"), "parts").alias("part"), F.lit(0).alias("kind"), "id", "embedding", F.lit(None).alias("query_id")
     )
-    held = rows.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(n_parts))).withColumn(
-        "block", F.explode(F.expr(f"sequence(0L, {n_blocks - 1}L)"))
+    asked = visits.join(F.broadcast(parts), "cell").select(
+        "cell", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.lit(1).alias("kind"),
+        F.lit(None).alias("id"), "query", "query_id",
     )
+    id_type, query_type = rows.schema["id"].dataType, visits.schema["query_id"].dataType
+    columns = ["cell", "part", "kind", F.col("id").cast(id_type).alias("id"), F.col("embedding").cast("array<double>").alias("vector"),
+               F.col("query_id").cast(query_type).alias("query_id")]
+    asked = asked.withColumnRenamed("query", "embedding")
+    both = held.select(columns).unionByName(asked.select(columns)).repartition("cell", "part").sortWithinPartitions("cell", "part", "kind")
+    out = f"query_id {query_type.simpleString()}, id {id_type.simpleString()}, score double"
+    return both.mapInArrow(_search_sorted(k, metric, (to_arrow_type(id_type), to_arrow_type(query_type))), out)
+
+
+def ranked(found: DataFrame, k: int, metric: str) -> DataFrame:
+    """The ``k`` best of every query, ties to the smaller id: ``(query_id, rank, id, score)``."""
+    per_query = Window.partitionBy("query_id").orderBy(_nearest_first(metric), F.col("id"))
+    numbered = found.withColumn("rank", F.row_number().over(per_query)).filter(F.col("rank") <= k)
+    return numbered.select("query_id", "rank", "id", "score")
+
+
+def _apart(score: Column, metric: str) -> Column:
+    """The distance between the compared vectors that a score stands for."""
+    return F.sqrt(F.greatest(2 - 2 * score, F.lit(0.0))) if metric == "cosine" else score
 
-    def search(block: pa.Table, part: pa.Table) -> pa.Table:
-        schema = pa.schema([("query_id", block["query_id"].type), ("id", part["id"].type), ("score", pa.float64())])
-        if not len(block) or not len(part):
-            return schema.empty_table()
-        found = _BlockSearch(matrix(block["query"].combine_chunks()), block["query_id"].combine_chunks(), k, metric)
-        return pa.Table.from_batches(list(found.run(part.select(["id", "embedding"]).to_batches())), schema)
 
-    pairs = asked.groupBy("block", "part").cogroup(held.groupBy("block", "part"))
-    return pairs.applyInArrow(search, out)
+def _found_by_cells(rows: DataFrame, queries: DataFrame, k: int, metric: str) -> DataFrame:
+    """Exact search of many queries: pivots, then only cells that can still hold a result.
+
+    Every query first visits the cell of its nearest pivot. Its k-th best there is no nearer than
+    its k-th best at all, so other cells matter only if the triangle inequality lets
+    them hold something as near. The index moves twice, whatever the number of queries.
+    """
+    size = rows.agg(F.coalesce(F.sum(F.coalesce(F.size("embedding"), F.lit(0)).cast("long") * 8 + 64), F.lit(0)).alias("bytes")).first()["bytes"]
+    pivots = train(queries.withColumnRenamed("query", "embedding"), "embedding", 1, metric, 0)
+    wide = rows.filter(F.size("embedding") == pivots.width) if pivots is not None else rows.limit(0)
+    pivots = train(wide, "embedding", min(MAX_CELLS, max(16, -(-size // (PART_BYTES // 4)))), metric) if pivots is not None else None
+    id_type, query_type = (d.schema[c].dataType.simpleString() for d, c in ((rows, "id"), (queries, "query_id")))
+    if pivots is None:
+        return rows.sparkSession.createDataFrame([], f"query_id {query_type}, id {id_type}, score double")
+    placed = stage(assigned(wide, "embedding", pivots).filter("cell IS NOT NULL"), "cells")
+    home = stage(assigned(queries, "query", pivots).filter("cell IS NOT NULL").drop("reach"), "homes")
+    radius = np.full(len(pivots.points), -np.inf)
+    for cell, reach in placed.groupBy("cell").agg(F.max("reach")).collect():
+        radius[cell] = reach
+    near = stage(search_visits(placed.drop("reach"), home, k, metric), "home-results")
+    bars = near.groupBy("query_id").agg(F.count("*").alias("n"), F.max(_apart(F.col("score"), metric)).alias("bar"))
+    bars = bars.select("query_id", F.when(F.col("n") >= k, F.col("bar")).alias("bar"))
+    asked = home.join(bars, "query_id", "left").select("query_id", "query", F.col("cell").alias("home"), "bar")
+
+    def visits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            _, m = pivots.usable(batch.column(1))
+            distance, error = pivots.distances(m)
+            bar = batch.column(3).fill_null(np.inf).to_numpy(zero_copy_only=False)[:, None]
+            # a score of the k-th is rounded too
+            open_to = distance - error - radius[None, :] <= bar + 1e-7 * (1 + bar)
+            open_to &= np.isfinite(radius)[None, :]
+            open_to[np.arange(len(m)), batch.column(2).to_numpy()] = False
+            q, cell = np.nonzero(open_to)
+            picked = batch.select([0, 1]).take(pa.array(q))
+            yield pa.RecordBatch.from_arrays([*picked.columns, pa.array(cell, pa.int64())], names=["query_id", "query", "cell"])
+
+    visited = stage(asked.mapInArrow(visits, f"query_id {query_type}, query array<double>, cell long"), "visits")
+    return near.unionByName(search_visits(placed.drop("reach"), visited, k, metric))
 
 
 def topk_batch(
@@ -196,13 +294,14 @@ def topk_batch(
     conditions: Mapping | None = None,
     id_col: str = "id",
     vec_col: str = "embedding",
+    by_cells: bool | None = None,
 ) -> DataFrame:
     """O-47: the ``k`` nearest entries to each of many vectors: ``(query_id, rank, id, score)``.
 
     ``queries`` has ``(query_id, query)``, ids unique and vectors of one length. Up to
     ``BLOCK_BYTES`` of queries go to every task, which multiplies them with its rows and keeps
-    ``k`` per query, so the index is neither shuffled nor read twice. More queries form blocks
-    that meet the parts of the index in one shuffle. Both give the same rows.
+    ``k`` per query, so the index is neither shuffled nor read twice. More queries visit the cells of
+    the index that can hold a result of theirs. Both give the same rows; ``by_cells`` chooses.
     """
     if metric not in ("cosine", "euclidean"):
         raise ValueError(f"unknown metric {metric!r}")
@@ -214,21 +313,19 @@ def topk_batch(
     size = queries.agg(
         F.coalesce(F.sum(F.size("query").cast("long") * 8 + 64), F.lit(0)).alias("bytes")
     ).first()["bytes"]
-    out = (
-        f"query_id {queries.schema['query_id'].dataType.simpleString()}, "
-        f"id {rows.schema['id'].dataType.simpleString()}, score double"
-    )
-    n_blocks = -(-size // BLOCK_BYTES) or 1
-    if n_blocks == 1:
+    if by_cells is None:
+        by_cells = size > BLOCK_BYTES
+    if not by_cells:
+        out = (
+            f"query_id {queries.schema['query_id'].dataType.simpleString()}, "
+            f"id {rows.schema['id'].dataType.simpleString()}, score double"
+        )
         block = queries.toArrow()
         search = _BlockSearch(matrix(block["query"].combine_chunks()), block["query_id"].combine_chunks(), k, metric)
         found = rows.mapInArrow(search.run, out)
     else:
-        # Twice the minimum, so that an uneven hash still keeps every block within bounds.
-        found = _found_by_blocks(rows, queries, 2 * n_blocks, k, metric, out)
-    per_query = Window.partitionBy("query_id").orderBy(_nearest_first(metric), F.col("id"))
-    ranked = found.withColumn("rank", F.row_number().over(per_query)).filter(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", "id", "score")
+        found = _found_by_cells(rows, queries, k, metric)
+    return ranked(found, k, metric)
 
 
 def topk_ann(

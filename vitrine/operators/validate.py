@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from vitrine.functions.dynamic import kind
@@ -76,6 +76,22 @@ def count_by(df: DataFrame, status: Column) -> DataFrame:
     return df.groupBy(status.alias("status")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def write_judged(judged: DataFrame, path: str) -> dict[str, int]:
+    """O-41: write rows with their ``reason`` and return how many there are of each, ``good`` for none.
+
+    Rows go to ``rejected=false`` and ``rejected=true`` below ``path``. The counts are observed
+    where the rows are written, so one job does it all; reasons are those of the vocabulary, and any
+    other is counted as ``other``.
+    """
+    counted = Observation()
+    known = [F.count_if(F.col("reason") == r).alias(r) for r in REASONS]
+    strange = F.count_if(~F.col("reason").isin(REASONS)).alias("other")
+    rows = judged.withColumn("rejected", F.col("reason").isNotNull())
+    rows = rows.observe(counted, F.count_if(F.col("reason").isNull()).alias("good"), *known, strange)
+    rows.write.partitionBy("rejected").parquet(path)
+    return {name: n for name, n in counted.get.items()}
+
+
 _COMPARE = {
     "$eq": lambda c, v: c == v,
     "$ne": lambda c, v: c != v,

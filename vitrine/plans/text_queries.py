@@ -9,7 +9,7 @@ from vitrine.functions import text as X
 from vitrine.operators.keyed import keep_first, keep_last, upsert
 from vitrine.operators.numbering import with_batch_no, with_line_no
 from vitrine.operators.partitioning import spread_small
-from vitrine.operators.validate import count_by
+from vitrine.operators.validate import count_by, write_judged
 from vitrine.plans.flows import check_lines
 from vitrine.plans.registry import query, table
 from vitrine.session import scratch_path, stage
@@ -267,6 +267,23 @@ def land_raw_pages(spark, sf):
     return spark.read.parquet(path).select("page", "item", "html")
 
 
+@query(
+    """
+    SELECT user_id AS page, event_type AS item, props AS html FROM events
+    QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id % 2 DESC, event_id DESC) = 1
+    """
+)
+def land_twice(spark, sf):
+    """Events of even ids, then those of odd ids on top."""
+    events = table(spark, sf, "events").select(
+        F.col("user_id").alias("page"), F.col("event_type").alias("item"), F.col("props").alias("html"), "event_id"
+    )
+    path = scratch_path(spark, "landed-twice")
+    for odd in (0, 1):
+        land_pages(events.filter(F.col("event_id") % 2 == odd), path, "event_id")
+    return spark.read.parquet(path).select("page", "item", "html")
+
+
 def document_lines(spark, sf):
     """Every document as a numbered catalogue line; labels and language decide what is wrong."""
     docs, labels = spread_small(table(spark, sf, "documents")), table(spark, sf, "labels")
@@ -332,6 +349,13 @@ def run_counts(spark, sf):
     return count_by(checked, outcome)
 
 
+@query(f"SELECT coalesce(reason, 'good') AS status, count(*) AS n FROM ({REASON_SQL}) GROUP BY 1")
+def run_counts_written(spark, sf):
+    """Counts observed by the one job that writes good rows and rejects."""
+    counts = write_judged(check_lines(document_lines(spark, sf)), scratch_path(spark, "judged"))
+    return spark.createDataFrame(sorted(counts.items()), "status string, n long").filter("n > 0")
+
+
 @query(
     """
     WITH base AS (SELECT * FROM events WHERE event_type <> 'purchase'

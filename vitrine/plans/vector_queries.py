@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from vitrine.functions import vectors as V
 from vitrine.functions.dynamic import text_field
+from vitrine.functions.minhash import band_keys, band_layout
 from vitrine.operators.joins import attach_embedding
 from vitrine.operators.neardup import drop_near_dups, signature_buckets
+from vitrine.operators import ivf
 from vitrine.operators import topk as K
 from vitrine.operators.vectors import embed, fan_out, vec_mean
 from vitrine.plans.flows import (
@@ -275,6 +277,32 @@ def topk_batch_euclid_offset(spark, sf):
     return _moved_batch(spark, sf, lambda x: x + 1e6, 1.0)
 
 
+def _hundredths(spark, sf) -> DataFrame:
+    return _embeddings(spark, sf).filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+
+
+@query(
+    f"""WITH {_SQL_BASE}, s AS (
+        SELECT a.vec_id AS query_id, e.vec_id AS id, list_cosine_similarity(e.v, a.v) AS score FROM e a, e WHERE a.vec_id % 100 = 0)
+    SELECT query_id, CAST(rank AS INTEGER) AS rank, id, round(score, 6) AS score FROM (
+        SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s) WHERE rank <= 5"""
+)
+def topk_pivots(spark, sf):
+    """Every hundredth vector against all of them, by pivots and bounds."""
+    found = K.topk_batch(_embeddings(spark, sf), _hundredths(spark, sf), 5, id_col="vec_id", by_cells=True)
+    return found.withColumn("score", F.round("score", 6))
+
+
+@query("SELECT count(*) AS n_queries, true AS enough FROM embeddings WHERE vec_id % 100 = 0")
+def ivf_recall(spark, sf):
+    """Whether an inverted file finds at least 0.9 of the exact ten of every hundredth vector."""
+    index, asked = _embeddings(spark, sf), _hundredths(spark, sf)
+    file = ivf.build(index, scratch_path(spark, "ivf"), id_col="vec_id")
+    found = ivf.search_batch(file, asked, 10).select("query_id", "id", F.lit(1.0).alias("hit"))
+    exact = K.topk_batch(index, asked, 10, id_col="vec_id").join(found, ["query_id", "id"], "left")
+    return exact.agg(F.countDistinct("query_id").alias("n_queries"), (F.avg(F.coalesce("hit", F.lit(0.0))) >= 0.9).alias("enough"))
+
+
 @query()
 def topk_ann(spark, sf):
     found = K.topk_ann(_embeddings(spark, sf), _label_mean(spark, sf), 10, id_col="vec_id")
@@ -370,30 +398,28 @@ def near_dup_drop(spark, sf):
     )
 
 
-_ENDS = """[left(text, 30), right(text, 30), substr(text, 101, 30), lang || n_chars // 100]"""
+SHINGLE, SIMILAR = 5, 0.8
 
 
-@query(
-    f"""WITH RECURSIVE d AS (
-        SELECT doc_id, {_ENDS} AS b, row_number() OVER (ORDER BY doc_id) AS n FROM documents),
-    walk(n, taken, kept) AS (
-        SELECT 0::BIGINT, []::VARCHAR[], false
-        UNION ALL
-        SELECT d.n, CASE WHEN list_has_any(taken, b) THEN taken ELSE list_concat(taken, b) END,
-               NOT list_has_any(taken, b)
-        FROM walk JOIN d ON d.n = walk.n + 1)
-    SELECT doc_id, kept FROM walk JOIN d USING (n)"""
-)
-def near_dup_documents(spark, sf):
-    """The greedy walk where buckets overlap in part, decided by rounds alone."""
-    text = F.col("text")
-    ends = (
-        F.expr("left(text, 30)"),
-        F.expr("right(text, 30)"),
-        F.substring(text, 101, 30),
-        F.concat("lang", F.floor(F.col("n_chars") / 100).cast("string")),
-    )
-    docs = table(spark, sf, "documents").select("doc_id", F.array(*(F.xxhash64(e) for e in ends)).alias("buckets"))
+def text_buckets(text: str):
+    """Band keys over all runs of five words of a whole text, or the one run of fewer; null without words."""
+    words = F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(r"\S+"), F.lit(0))
+
+    def runs(w):
+        starts = F.sequence(F.lit(1), F.greatest(F.size(w) - (SHINGLE - 1), F.lit(1)))
+        found = F.transform(starts, lambda i: F.xxhash64(F.concat_ws(" ", F.slice(w, i, SHINGLE))))
+        return F.when(F.size(w) > 0, F.array_distinct(found))
+
+    # as a variable of a lambda, the list of words is made once and not for every run
+    tokens = F.transform(F.array(words), runs)[0]
+    bands, rows = band_layout(SIMILAR)
+    return band_keys(tokens, bands=bands, rows=rows)
+
+
+@query()
+def near_dup_texts(spark, sf):
+    """The greedy walk over whole texts, decided by rounds alone."""
+    docs = table(spark, sf, "documents").select("doc_id", text_buckets("text").alias("buckets"))
     kept, dropped = drop_near_dups(stage(docs, "signed"), "doc_id", F.col("buckets"), tail_rows=0)
     return kept.select("doc_id", F.lit(True).alias("kept")).unionByName(
         dropped.select("doc_id", F.lit(False).alias("kept"))

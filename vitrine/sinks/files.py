@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vitrine.operators.keyed import keep_last
+from vitrine.session import list_children, stage
 
 
 def write_records(df: DataFrame, path: str, mode: str = "append", ascii: bool = False) -> None:
@@ -39,14 +40,27 @@ def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def land_pages(df: DataFrame, path: str, order: str, pages_per_folder: int = 1000) -> None:
-    """O-10: raw pages keyed by (page, item), the last one by ``order`` wins.
+    """O-10: raw pages keyed by (page, item), the last one by ``order`` wins, added to those landed before.
 
-    Folders hold ranges of pages, so their number stays far below the number of pages.
+    Folders hold ranges of pages, so their number stays far below the number of pages. Only
+    folders that get a page are written anew, with the pages they held; a page that is landed
+    again replaces the earlier one, whatever its ``order``. The merged folders are staged first,
+    so a run that fails can be repeated.
     """
-    latest = keep_last(df, ["page", "item"], order)
+    spark = df.sparkSession
     folder = F.floor(F.col("page") / pages_per_folder).cast("long")
-    ranged = latest.withColumn("page_range", folder).hint("rebalance", "page_range")
-    ranged.write.mode("overwrite").partitionBy("page_range").parquet(path)
+    fresh = keep_last(df, ["page", "item"], order).withColumn("page_range", folder)
+    if list_children(spark, path):
+        fresh = stage(fresh, "landing")
+        touched = [r["page_range"] for r in fresh.select("page_range").distinct().collect()]
+        before = spark.read.parquet(path).withColumn("page_range", F.col("page_range").cast("long"))
+        hit = F.col("page_range").isin([t for t in touched if t is not None])
+        before = before.filter(hit | F.col("page_range").isNull() if None in touched else hit)
+        replaced = fresh.select(F.col("page").alias("_page"), F.col("item").alias("_item"))
+        same = F.col("page").eqNullSafe(F.col("_page")) & F.col("item").eqNullSafe(F.col("_item"))
+        fresh = stage(before.join(replaced, same, "left_anti").unionByName(fresh, allowMissingColumns=True), "landing")
+    ranged = fresh.hint("rebalance", "page_range").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    ranged.partitionBy("page_range").parquet(path)
 
 
 def write_rejects(df: DataFrame, path: str, mode: str = "overwrite") -> None:
