@@ -401,8 +401,8 @@ def near_dup_drop(spark, sf):
 SHINGLE, SIMILAR = 5, 0.8
 
 
-def text_buckets(text: str):
-    """Band keys over all runs of five words of a whole text, or the one run of fewer; null without words."""
+def word_runs(text: str):
+    """Hashes of all runs of five words of a whole text, or the one run of fewer; null without words."""
     words = F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(r"\S+"), F.lit(0))
 
     def runs(w):
@@ -411,16 +411,16 @@ def text_buckets(text: str):
         return F.when(F.size(w) > 0, F.array_distinct(found))
 
     # as a variable of a lambda, the list of words is made once and not for every run
-    tokens = F.transform(F.array(words), runs)[0]
-    bands, rows = band_layout(SIMILAR)
-    return band_keys(tokens, bands=bands, rows=rows)
+    return F.transform(F.array(words), runs)[0]
 
 
 @query()
 def near_dup_texts(spark, sf):
     """The greedy walk over whole texts, decided by rounds alone."""
-    docs = table(spark, sf, "documents").select("doc_id", text_buckets("text").alias("buckets"))
-    kept, dropped = drop_near_dups(stage(docs, "signed"), "doc_id", F.col("buckets"), tail_rows=0)
+    bands, rows = band_layout(SIMILAR)
+    runs = stage(table(spark, sf, "documents").select("doc_id", word_runs("text").alias("runs")), "runs")
+    docs = stage(runs.select("doc_id", band_keys(F.col("runs"), bands=bands, rows=rows).alias("buckets")), "signed")
+    kept, dropped = drop_near_dups(docs, "doc_id", F.col("buckets"), tail_rows=0)
     return kept.select("doc_id", F.lit(True).alias("kept")).unionByName(
         dropped.select("doc_id", F.lit(False).alias("kept"))
     )
