@@ -10,6 +10,9 @@ time, which counts the pairs in side-major order, so that the highest count of a
 known when its pairs end. A second pass over the same runs streams every record's contribution
 back to its document.
 
+A single space between two characters that are no white space begins a token of either kind, so
+texts are cut there and every distinct unit is encoded and aligned once by a task.
+
 A part's runs are dealt to groups of bounded bytes, so that an id that a third of all links
 share is counted and streamed by many tasks, each of which holds its runs compressed.
 """
@@ -19,8 +22,10 @@ from __future__ import annotations
 import hashlib
 import heapq
 import os
+import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -38,10 +43,13 @@ RUN_LINKS = 1_500_000
 #: Records of a frame, and bytes of compressed runs that one task merges.
 FRAME = 1 << 14
 GROUP_BYTES = 32 << 20
-#: Bytes of text encoded at once; a longer text is encoded alone.
-SLICE = 1 << 19
+#: Characters of text aligned at once; a longer text is aligned alone.
+SLICE = 1 << 21
+#: Units encoded as one line; units, and their characters, that a task remembers before it starts anew.
+LINE, REMEMBERED, REMEMBERED_CHARS = 50, 500_000, 16 << 20
 
 _SPACE = "▁"
+_CUT, _WIDE = re.compile(r"(?<=\S) (?=\S)"), re.compile(r"\s\s")
 
 
 def _byte_of() -> dict[str, int]:
@@ -78,16 +86,19 @@ class Tokenizers:
         bytes_b = []
         for i in range(self.n_b):
             piece = self._b.id_to_piece(i)
+            if _SPACE in piece.lstrip(_SPACE):
+                raise ValueError(f"piece {i} has a space behind another character, so texts have no safe cuts")
             bytes_b.append(bytes([int(piece[3:5], 16)]) if self._b.is_byte(i) else piece.replace(_SPACE, " ").encode())
         self._bytes = [pa.array(b, pa.binary()) for b in (bytes_a, bytes_b)]
         self._sizes = [np.array([len(b) for b in s], np.int64) for s in (bytes_a, bytes_b)]
         self._top = max(self.n_a, self.n_b)
         self._texts = pa.array([f"{i}{mark}".encode() for mark in ",|;" for i in range(self._top)], pa.binary())
 
-    def encode(self, texts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        """Ids of every text by both, the text behind a space for the first."""
-        ids_a = [e.ids for e in self._a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
-        return ids_a, self._b.encode(texts, num_threads=1)
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts by both, one text after the other, each behind a space for the first."""
+        found = self._a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False), self._b.encode(texts, num_threads=1)
+        sides = [e.ids for e in found[0]], found[1]
+        return tuple(np.fromiter(chain.from_iterable(side), np.int64) for side in sides)
 
     def spelled(self, side: int, ids: np.ndarray) -> bytes:
         """The joined bytes of tokens."""
@@ -115,39 +126,42 @@ def tokenizers(path_a: str, path_b: str) -> Tokenizers:
     return Tokenizers(path_a, path_b)
 
 
-class Aligned:
-    """The alignment of several texts, as flat arrays; texts that do not spell out are empty."""
+class Encoded:
+    """The alignment of several units, as flat arrays; units that do not spell out are empty."""
 
-    def __init__(self, own: Tokenizers, texts: list[str]) -> None:
+    def __init__(self, own: Tokenizers, units: list[str]) -> None:
         self._own = own
-        asked = [i for i, t in enumerate(texts) if t]
-        ids = own.encode([texts[i] for i in asked]) if asked else ([], [])
-        want = [b" " + texts[i].encode() for i in asked]
-        flat = [np.array([i for one in side for i in one], np.int64) for side in ids]
-        if any(own.spelled(s, flat[s]) != b"".join(want) for s in (0, 1)):
-            good = [k for k in range(len(asked)) if all(own.spelled(s, np.array(ids[s][k], np.int64)) == want[k] for s in (0, 1))]
-            asked, want = [asked[k] for k in good], [want[k] for k in good]
-            ids = tuple([side[k] for k in good] for side in ids)
-            flat = [np.array([i for one in side for i in one], np.int64) for side in ids]
-        n = len(texts)
-        self.n_a, self.n_b = np.zeros(n, np.int64), np.zeros(n, np.int64)
-        self.n_a[asked], self.n_b[asked] = [len(i) for i in ids[0]], [len(i) for i in ids[1]]
-        self.a, self.b = flat
-        size = np.zeros(n, np.int64)
-        size[asked] = [len(w) for w in want]
-        text_ends = np.cumsum(size)
+        n = len(units)
+        sizes = np.array([len(u.encode()) + 1 for u in units], np.int64)
+        # units that white space does not border are encoded as lines, which are cut between them
+        whole = [i for i, u in enumerate(units) if not (u[0].isspace() or u[-1].isspace())]
+        lines = [" ".join([units[i] for i in whole[k : k + LINE]]) for k in range(0, len(whole), LINE)]
+        ids = own.encode(lines)
+        if any(own.spelled(s, ids[s]) != "".join([" " + t for t in lines]).encode() for s in (0, 1)):
+            whole, ids = [], own.encode([])
+        parts, order = [ids], list(whole)
+        for i in sorted(set(range(n)) - set(whole)):
+            one = own.encode([units[i]])
+            if all(own.spelled(s, one[s]) == b" " + units[i].encode() for s in (0, 1)):
+                parts.append(one)
+                order.append(i)
+        self.a, self.b = (np.concatenate([p[s] for p in parts]) for s in (0, 1))
+        #: units in the order of the arrays, and the bytes behind each
+        self.order = np.array(order, np.int64)
+        unit_ends = np.cumsum(sizes[self.order])
         self._ends = own.ends(0, self.a), own.ends(1, self.b)
-        self._cuts = np.intersect1d(*self._ends, assume_unique=True)
-        seams = np.union1d(*self._ends)
+        seams = np.sort(np.concatenate(self._ends), kind="stable")
+        twice = np.r_[seams[1:] == seams[:-1], False] if len(seams) else np.zeros(0, bool)
+        self._cuts = seams[twice]
+        seams = seams[~twice]
         #: one link for each stretch between neighbouring token ends: the tokens it lies in
         self.link_a = self.a[np.searchsorted(self._ends[0], seams)]
         self.link_b = self.b[np.searchsorted(self._ends[1], seams)]
-        self.link_text = np.searchsorted(text_ends, seams)
-        self.n_groups = np.bincount(np.searchsorted(text_ends, self._cuts), minlength=n)
-        self.n_links = np.bincount(self.link_text, minlength=n)
+        count = [np.bincount(np.searchsorted(unit_ends, e), minlength=len(order)) for e in (*self._ends, self._cuts, seams)]
+        self.n_a, self.n_b, self.n_groups, self.n_links = count
 
     def groups(self) -> list[bytes]:
-        """``a1,a2|b1;a3|b2,b3`` of every text."""
+        """``a1,a2|b1;a3|b2,b3;`` of every unit, in the order of the arrays."""
         n_a, n_b = len(self.a), len(self.b)
         group_a, group_b = (np.searchsorted(self._cuts, e) for e in self._ends)
         last_a, last_b = (np.isin(e, self._cuts, assume_unique=True) for e in self._ends)
@@ -160,8 +174,98 @@ class Aligned:
         marks[place_a[last_a]], marks[place_b[last_b]] = 1, 2
         data, ends = self._own.written(order, marks)
         stops = np.concatenate([[0], np.cumsum(self.n_a + self.n_b)])
-        bounds = np.concatenate([[0], ends])[stops]
-        return [data[s : max(s, e - 1)] for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
+        bounds = np.concatenate([[0], ends])[stops].tolist()
+        return [data[s:e] for s, e in zip(bounds, bounds[1:])]
+
+
+class _Places(dict):
+    """Numbers of units, given out as new ones are asked for."""
+
+    def __missing__(self, unit: str) -> int:
+        place = self[unit] = len(self)
+        return place
+
+
+class Units:
+    """Alignments of the units that a task has met."""
+
+    def __init__(self, own: Tokenizers) -> None:
+        self._own = own
+        self._forget()
+
+    def _forget(self) -> None:
+        self._at = _Places()
+        self._chars = 0
+        self.n_a = self.n_b = self.n_groups = self.n_links = self.first_link = np.zeros(0, np.int64)
+        self.link_a = self.link_b = np.zeros(0, np.int64)
+        self.texts = pa.array([], pa.large_binary())
+
+    def _learn(self, units: list[str]) -> None:
+        found = Encoded(self._own, units)
+        self._chars += sum(map(len, units))
+        before = len(self.link_a)
+        self.link_a, self.link_b = np.r_[self.link_a, found.link_a], np.r_[self.link_b, found.link_b]
+
+        def placed(values: np.ndarray) -> np.ndarray:
+            out = np.zeros(len(units), np.int64)
+            out[found.order] = values
+            return out
+
+        for name in ("n_a", "n_b", "n_groups", "n_links"):
+            setattr(self, name, np.r_[getattr(self, name), placed(getattr(found, name))])
+        self.first_link = np.r_[self.first_link, placed(np.cumsum(found.n_links) - found.n_links + before)]
+        texts = [b""] * len(units)
+        for i, text in zip(found.order.tolist(), found.groups()):
+            texts[i] = text
+        self.texts = pa.concat_arrays([self.texts, pa.array(texts, pa.large_binary())])
+
+    def align(self, texts: list[str]) -> Aligned:
+        # the mark that pieces use for a space cannot be spelled, so such a text has no tokens
+        units = [_units(t) if t and _SPACE not in t else [] for t in texts]
+        if len(self._at) > REMEMBERED or self._chars > REMEMBERED_CHARS:
+            self._forget()
+        known = len(self._at)
+        counts = np.array([len(u) for u in units], np.int64)
+        places = np.fromiter(map(self._at.__getitem__, chain.from_iterable(units)), np.int64, int(counts.sum()))
+        if len(self._at) > known:
+            self._learn(list(islice(self._at, known, None)))
+        return Aligned(self, places, counts)
+
+
+def _units(text: str) -> list[str]:
+    if _WIDE.search(text) or text[0].isspace() or text[-1].isspace():
+        return _CUT.split(text)
+    return text.split(" ")
+
+
+class Aligned:
+    """The alignment of several texts out of those of their units."""
+
+    def __init__(self, known: Units, places: np.ndarray, counts: np.ndarray) -> None:
+        n = len(counts)
+        owner = np.repeat(np.arange(n), counts)
+        lost = np.zeros(n, bool)
+        lost[owner[known.n_a[places] == 0]] = True
+        if lost.any():
+            stay = ~lost[owner]
+            places, owner = places[stay], owner[stay]
+        totals = np.zeros((4, n), np.int64)
+        for total, own in zip(totals, (known.n_a, known.n_b, known.n_groups, known.n_links)):
+            np.add.at(total, owner, own[places])
+        self.n_a, self.n_b, self.n_groups, self.n_links = totals
+        links = known.n_links[places]
+        starts = known.first_link[places]
+        at = np.arange(int(links.sum())) + np.repeat(starts - (np.cumsum(links) - links), links)
+        self.link_a, self.link_b, self.link_text = known.link_a[at], known.link_b[at], np.repeat(owner, links)
+        self._texts, self._first = known.texts.take(pa.array(places)), np.searchsorted(owner, np.arange(n + 1))
+
+    def groups(self) -> list[bytes]:
+        """``a1,a2|b1;a3|b2,b3`` of every text."""
+        if not len(self._texts):
+            return [b""] * len(self.n_a)
+        bounds = np.frombuffer(self._texts.buffers()[1], np.int64)[self._first].tolist()
+        data = self._texts.buffers()[2]
+        return [bytes(memoryview(data)[s : max(s, e - 1)]) for s, e in zip(bounds, bounds[1:])]
 
 
 def _slices(texts: list[str]) -> Iterator[tuple[int, int]]:
@@ -236,7 +340,7 @@ def _spill(path_a: str, path_b: str, id_type: pa.DataType):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = tokenizers(path_a, path_b)
-        spill = Spill(own.n_a, own.n_b)
+        known, spill = Units(own), Spill(own.n_a, own.n_b)
         row = base = TaskContext.get().partitionId() << 40
 
         def stored() -> pa.RecordBatch:
@@ -250,7 +354,7 @@ def _spill(path_a: str, path_b: str, id_type: pa.DataType):
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
             for s, e in _slices(texts):
-                found = Aligned(own, texts[s:e])
+                found = known.align(texts[s:e])
                 digests = [hashlib.sha256(g).hexdigest() if n else "" for g, n in zip(found.groups(), found.n_a)]
                 yield batch_of(
                     batch.column(0).slice(s, e - s), n_a=found.n_a, n_b=found.n_b, n_groups=found.n_groups,
@@ -401,11 +505,11 @@ def group_texts(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
     """``doc_id, groups``: the aligned groups of every text as ``a1,a2|b1;a3|b2,b3``, '' without tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = tokenizers(path_a, path_b)
+        known = Units(tokenizers(path_a, path_b))
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
             for s, e in _slices(texts):
-                found = pa.array(Aligned(own, texts[s:e]).groups(), pa.binary()).cast(pa.string())
+                found = pa.array(known.align(texts[s:e]).groups(), pa.binary()).cast(pa.string())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(s, e - s), found], names=["doc_id", "groups"])
 
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
