@@ -181,13 +181,15 @@ def _candidates(size: int, below, own):
 
 @dataclass
 class Trie:
-    """A double array: state ``s`` goes with code ``c`` to ``base[s] + c`` if ``check`` there is ``s``.
+    """A double array: state ``s`` goes with digit ``d`` to ``base[s] + d`` if ``check`` there is ``s``.
 
-    Codes are the places of words in ``alphabet``, from 1. ``roots`` has the state of each
-    language, ``accepts`` the number of the phrase that ends in a state, or -1.
+    A word is two digits of its place in ``alphabet``, from 1, so that no state has more than
+    ``radix`` children. ``roots`` has the state of each language, ``accepts`` the number of the
+    phrase that ends in a state, or -1.
     """
 
     alphabet: np.ndarray
+    radix: int
     roots: dict[str, int]
     base: np.ndarray
     check: np.ndarray
@@ -195,85 +197,117 @@ class Trie:
     langs: list[str]
     words: np.ndarray
 
-    def codes(self, words: np.ndarray) -> np.ndarray:
-        """Codes of words, 0 for those the trie does not have and for breaks."""
+    def digits(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Both digits of words, 0 for those the trie does not have and for breaks."""
         place = np.minimum(np.searchsorted(self.alphabet, words), len(self.alphabet) - 1)
-        return np.where(self.alphabet[place] == words, place + 1, 0)
+        known = self.alphabet[place] == words
+        return np.where(known, place // self.radix + 1, 0), np.where(known, place % self.radix + 1, 0)
 
-    def step(self, states: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    def step(self, states: np.ndarray, digits: np.ndarray) -> np.ndarray:
         """The states that follow, -1 where none does."""
-        to = self.base[states] + codes
-        return np.where((codes > 0) & (self.check[to] == states), to, -1)
+        to = self.base[states] + digits
+        return np.where((digits > 0) & (self.check[to] == states), to, -1)
 
-    def accepted(self, lang: str, words: np.ndarray) -> np.ndarray:
-        """States in which phrases end, one for each occurrence; all positions step together."""
+    def accepted(self, lang: str, words: np.ndarray, at: np.ndarray | None = None) -> np.ndarray:
+        """States in which phrases end, one for each occurrence; all positions ``at`` step together."""
         size = self.words.shape[1]
         root = self.roots.get(lang)
         if root is None or len(words) < size:
             return np.zeros(0, np.int64)
-        codes = self.codes(words)
-        at = np.flatnonzero(codes[: len(words) - size + 1])
-        states = np.full(len(at), root)
+        at = np.arange(len(words) - size + 1) if at is None else at
+        states = np.full(len(at), root, np.int64)
         for k in range(size):
-            states = self.step(states, codes[at + k])
+            first, second = self.digits(words[at + k])
+            states = self.step(states, first)
+            states = np.where(states >= 0, self.step(np.maximum(states, 0), second), -1)
             alive = states >= 0
             at, states = at[alive], states[alive]
         return states
 
 
+#: Random places that a state with several children tries before it is put behind all others.
+_TRIES = 6
+
+
 def build_trie(langs: list[str], words: np.ndarray, seed: int = 0) -> Trie:
     """The trie of distinct phrases, given as rows of word hashes with their languages.
 
-    States with several children look for a base at random in an array a quarter full, those
-    with most children first; the others take the places that stay free.
+    States with several children, those with most first, look for a free place at random, then
+    behind all others; states with one child take the places that stay free.
     """
     n, size = words.shape
     alphabet = np.unique(words)
-    codes = np.searchsorted(alphabet, words) + 1
+    places = np.searchsorted(alphabet, words)
+    radix = int(np.ceil(np.sqrt(len(alphabet)))) + 1
     names = sorted(set(langs))
     roots = {name: i for i, name in enumerate(names)}
-    room, span = len(names) + 4 * n * size, len(alphabet) + 1
-    base, check = np.zeros(room + 2 * span, np.int64), np.full(room + 2 * span, -1, np.int64)
+    span = radix + 2
+    room = tail = len(names) + 2 * n
     used = np.zeros(room + span, bool)
     used[: len(names)] = True
+    moves = []
     rng = np.random.default_rng(seed)
     states = np.array([roots[x] for x in langs], np.int64)
-    for k in range(size):
-        edges, at = np.unique(states * span + codes[:, k], return_inverse=True)
+    for k in range(2 * size):
+        digit = (places[:, k // 2] // radix if k % 2 == 0 else places[:, k // 2] % radix) + 1
+        edges, at = np.unique(states * span + digit, return_inverse=True)
         state, code = edges // span, edges % span
         start = np.flatnonzero(np.r_[True, state[1:] != state[:-1]])
         many = np.diff(np.r_[start, len(edges)])
         to = np.full(len(edges), -1, np.int64)
         for i in np.argsort(-many, kind="stable")[: int((many > 1).sum())]:
-            steps = code[start[i] : start[i] + many[i]] - code[start[i]]
-            while used[places := steps + rng.integers(room)].any():
-                pass
-            used[places] = True
-            to[start[i] : start[i] + many[i]] = places
+            s, e = start[i], start[i] + many[i]
+            steps = code[s:e] - code[s]
+            for slot in rng.integers(room, size=_TRIES).tolist() if many[i] < 32 else ():
+                if not used[steps + slot].any():
+                    break
+            else:
+                slot = tail
+                tail += int(steps[-1]) + 1
+                if tail + span > len(used):
+                    used = np.r_[used, np.zeros(len(used) + span, bool)]
+            to[s:e] = steps + slot
+            used[to[s:e]] = True
         single = start[many == 1]
-        to[single] = np.flatnonzero(~used[:room])[: len(single)]
-        used[to[single]] = True
-        base[state], check[to] = to - code, state
+        free = np.flatnonzero(~used[:tail])[: len(single)]
+        if len(free) < len(single):
+            more = len(single) - len(free)
+            free = np.r_[free, np.arange(tail, tail + more)]
+            tail += more
+            used = np.r_[used, np.zeros(max(0, tail + span - len(used)), bool)]
+        to[single] = free
+        used[free] = True
+        moves.append((state, to, code))
         states = to[at]
-    accepts = np.full(len(base), -1, np.int64)
+    base, check = np.zeros(tail + 2 * span, np.int32), np.full(tail + 2 * span, -1, np.int32)
+    for state, to, code in moves:
+        base[state], check[to] = to - code, state
+    accepts = np.full(len(base), -1, np.int32)
     accepts[states] = np.arange(n)
-    return Trie(alphabet, roots, base, check, accepts, langs, words)
+    return Trie(alphabet, radix, roots, base, check, accepts, langs, words)
+
 
+def _counts(trie, shard: int, shards: int):
+    """How often each phrase of the trie occurs in a task's texts.
 
-def _counts(trie):
-    """How often each phrase of the trie occurs in a task's texts."""
+    Only positions whose phrase belongs to the trie's shard by its hash step through it.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = trie.value
+        size = own.words.shape[1]
         total = np.zeros(len(own.base), np.int64)
         for lang, words in _texts(batches):
-            total += np.bincount(own.accepted(lang, words), minlength=len(total))
+            hashes = phrase_hashes(lang, words, size).view(np.int64)
+            at = np.flatnonzero(_whole(words, size) & (hashes % shards == shard))
+            state, n = np.unique(own.accepted(lang, words, at), return_counts=True)
+            total[state] += n
         state = np.flatnonzero(total)
         place = own.accepts[state]
         words = own.words[place].view(np.int64)
-        columns = [pa.array(np.ascontiguousarray(words[:, k])) for k in range(words.shape[1])]
+        columns = [pa.array(np.ascontiguousarray(words[:, k])) for k in range(size)]
         lang = pa.array([own.langs[i] for i in place.tolist()], pa.string())
-        yield pa.RecordBatch.from_arrays([lang, *columns, pa.array(total[state])], names=["lang", *(f"w{k}" for k in range(words.shape[1])), "f"])
+        yield pa.RecordBatch.from_arrays([lang, *columns, pa.array(total[state])], names=["lang", *(f"w{k}" for k in range(size)), "f"])
 
     return run
 
@@ -366,7 +400,7 @@ def _counted(texts: DataFrame, candidates: DataFrame, size: int, least: int) ->
             continue
         words = np.stack([rows[c].to_numpy().view(np.uint64) for c in columns], 1)
         trie = spark.sparkContext.broadcast(build_trie(rows["lang"].to_pylist(), words))
-        sums = texts.mapInArrow(_counts(trie), schema).groupBy("lang", *columns).agg(F.sum("f").alias("f"))
+        sums = texts.mapInArrow(_counts(trie, i, shards), schema).groupBy("lang", *columns).agg(F.sum("f").alias("f"))
         parts.append(stage(sums.filter(F.col("f") >= least), "phrases"))
         trie.destroy()
     return reduce(DataFrame.union, parts) if parts else spark.createDataFrame([], schema)
