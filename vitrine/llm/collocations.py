@@ -258,7 +258,7 @@ def build_trie(langs: list[str], words: np.ndarray, seed: int = 0) -> Trie:
         for i in np.argsort(-many, kind="stable")[: int((many > 1).sum())]:
             s, e = start[i], start[i] + many[i]
             steps = code[s:e] - code[s]
-            for slot in rng.integers(room, size=_TRIES).tolist() if many[i] < 32 else ():
+            for slot in rng.integers(room - span, size=_TRIES).tolist() if many[i] < 32 and room > span else ():
                 if not used[steps + slot].any():
                     break
             else:
