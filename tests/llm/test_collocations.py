@@ -66,7 +66,7 @@ def test_phrases(spark, monkeypatch, least, longest, contained, trie):
 
 def test_small_batches_and_bitmaps(spark, monkeypatch):
     """Few buckets and early flushes change no result."""
-    for name, value in (("BATCH_WORDS", 500), ("REMEMBERED", 5)):
+    for name, value in (("BATCH_WORDS", 500),):
         monkeypatch.setattr(module, name, value)
     rows = sample(9)
     assert sorted(map(tuple, collocations(spark.createDataFrame(rows, SCHEMA).repartition(3), 4).collect())) == sorted(by_hand(rows, 4))
@@ -106,3 +106,13 @@ def test_trie_counts(phrases, text):
         states = trie.accepted(lang, words)
         want = Counter(p for p in phrases for i in range(len(text) - 1) if p[0] == lang and p[1:] == tuple(text[i : i + 2]))
         assert Counter(phrases[i] for i in trie.accepts[states].tolist()) == want
+
+
+def test_sequences_of_any_texts():
+    texts = [b"", b"A b\tc.d", b"!!", b" lone ", b"", "é\x0bÉ".encode(), b"x" * 3000 + b" a", b"b"]
+    words, sequences = module.word_sequences(texts)
+    spelled = {h: words.data[s:e] for h, s, e in zip(words.hashes.tolist(), words.starts.tolist(), words.ends.tolist())}
+    assert len(spelled) == len(set(spelled.values())) == 8
+    shown = [[spelled.get(h, b".") for h in sequence.tolist()] for sequence in sequences]
+    assert shown == [[b"."], [b"a", b"b", b"c", b".", b"d", b"."], [b".", b".", b"."], [b"lone", b"."], [b"."],
+                     ["é".encode(), b".", "É".encode(), b"."], [b"x" * 3000, b"a", b"."], [b"b", b"."]]

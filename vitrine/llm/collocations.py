@@ -16,7 +16,6 @@ are chosen per part before they meet.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
@@ -27,62 +26,74 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vitrine.llm.rolling import LOWER, chunks, mix, raw_texts
+from vitrine.llm.rolling import Words, chunks, find_words, mix, raw_texts
 from vitrine.session import stage
 
 LEAST, LONGEST, CONTAINED = 10, 3, 50
 #: Candidates of one trie, and bits of a bitmap at most (16 MiB); both are broadcast.
 TRIE_PHRASES, MAX_BITS = 1_000_000, 27
-#: Words that a task remembers, and words it counts before it sends the counts.
-REMEMBERED = 400_000
+#: Words that a task counts before it sends the counts.
 BATCH_WORDS = 2_000_000
 
-_TOKEN = re.compile(rb"[^ \t.,;:!?\n-\r]+|[.,;:!?\n-\r]")
-_BREAKS = frozenset(b".,;:!?\n\x0b\x0c\r")
+_BREAKS = b".,;:!?\n\x0b\x0c\r"
+_BREAK = np.zeros(256, bool)
+_BREAK[list(_BREAKS)] = True
+_WORD = ~_BREAK
+_WORD[list(b" \t")] = False
 _NONE = "und"
 
 
-class _Hashes(dict):
-    """Hashes of the words met so far; a break is 0."""
-
-    def __missing__(self, word: bytes) -> int:
-        found = self[word] = 0 if len(word) == 1 and word[0] in _BREAKS else xxhash.xxh64_intdigest(word) or 1
-        return found
+def word_sequences(texts: list[bytes]) -> tuple[Words, list[np.ndarray]]:
+    """The words of texts, and each text as hashes of its words in order; a break is 0, and one ends a text."""
+    words = find_words(texts, _WORD, lower=True)
+    words.hashes[words.hashes == 0] = 1
+    raw = np.frombuffer(words.data, np.uint8)
+    begins = _BREAK[raw]
+    begins[words.starts] = True
+    places = np.r_[np.flatnonzero(begins), len(raw)]
+    sequence = np.zeros(len(places), np.uint64)
+    sequence[:-1][_WORD[raw[places[:-1]]]] = words.hashes
+    # the line end between two texts is the break that ends the first
+    ends = np.cumsum([len(t) + 1 for t in texts])
+    return words, np.split(sequence, np.searchsorted(places, ends[:-1]))
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sequences of hashes by language (with ``words``) and counts of words (with ``word``)."""
-    known, held, total = _Hashes(), {}, 0
+    held, spelled, total = {}, [], 0
     names = ["lang", "words", "hash", "word", "n"]
     kinds = [pa.string(), pa.binary(), pa.int64(), pa.string(), pa.int64()]
 
     def counted() -> Iterator[pa.RecordBatch]:
-        texts = {h: w for w, h in known.items()}
+        if not total:
+            return
+        every, first = np.unique(np.concatenate([h for h, _ in spelled]), return_index=True)
+        texts = [w for _, words in spelled for w in words]
         for lang, parts in held.items():
             hashes, n = np.unique(np.concatenate(parts), return_counts=True)
-            word = pa.array([texts[h] for h in hashes.tolist()], pa.binary()).cast(pa.string())
+            word = pa.array([texts[i] for i in first[np.searchsorted(every, hashes)].tolist()], pa.binary()).cast(pa.string())
             columns = [pa.array([lang] * len(hashes), pa.string()), pa.nulls(len(hashes), pa.binary()), pa.array(hashes.view(np.int64)), word]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(n.astype(np.int64))], names=names)
 
     for batch in batches:
         langs, texts = batch.column(0).to_pylist(), raw_texts(batch.column(1))
         for s, e in chunks(texts):
+            found, sequences = word_sequences(texts[s:e])
             own: dict[str, list] = {}
-            for lang, text in zip(langs[s:e], texts[s:e]):
-                found = _TOKEN.findall(text.translate(LOWER))
-                found.append(b".")
-                own.setdefault(_NONE if lang is None else lang, []).append(np.fromiter(map(known.__getitem__, found), np.uint64, len(found)))
+            for lang, sequence in zip(langs[s:e], sequences):
+                own.setdefault(_NONE if lang is None else lang, []).append(sequence)
             packed = {lang: np.concatenate(parts) for lang, parts in own.items()}
             values = [list(packed), [w.tobytes() for w in packed.values()], *[[None] * len(packed)] * 3]
             yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds)], names=names)
             for lang, words in packed.items():
                 held.setdefault(lang, []).append(words[words != 0])
-                total += len(words)
-            if total >= BATCH_WORDS or len(known) > REMEMBERED:
+            hashes, first = np.unique(found.hashes, return_index=True)
+            spans = zip(found.starts[first].tolist(), found.ends[first].tolist())
+            spelled.append((hashes, [found.data[i:j] for i, j in spans]))
+            total += len(found.hashes)
+            if total >= BATCH_WORDS:
                 yield from counted()
-                held, total = {}, 0
-                if len(known) > REMEMBERED:
-                    known.clear()
+                held, spelled, total = {}, [], 0
     yield from counted()
 
 
@@ -216,12 +227,12 @@ class Trie:
             return np.zeros(0, np.int64)
         at = np.arange(len(words) - size + 1) if at is None else at
         states = np.full(len(at), root, np.int64)
+        digits = self.digits(words)
         for k in range(size):
-            first, second = self.digits(words[at + k])
-            states = self.step(states, first)
-            states = np.where(states >= 0, self.step(np.maximum(states, 0), second), -1)
-            alive = states >= 0
-            at, states = at[alive], states[alive]
+            for digit in digits:
+                states = self.step(states, digit[at + k])
+                alive = states >= 0
+                at, states = at[alive], states[alive]
         return states
 
 
@@ -297,11 +308,18 @@ def _counts(trie, shard: int, shards: int):
         own = trie.value
         size = own.words.shape[1]
         total = np.zeros(len(own.base), np.int64)
+        held, n = [], 0
         for lang, words in _texts(batches):
-            hashes = phrase_hashes(lang, words, size).view(np.int64)
-            at = np.flatnonzero(_whole(words, size) & (hashes % shards == shard))
-            state, n = np.unique(own.accepted(lang, words, at), return_counts=True)
-            total[state] += n
+            inside = _whole(words, size)
+            if shards > 1:
+                inside &= phrase_hashes(lang, words, size).view(np.int64) % shards == shard
+            held.append(own.accepted(lang, words, np.flatnonzero(inside)))
+            n += len(held[-1])
+            if n >= len(total):
+                total += np.bincount(np.concatenate(held), minlength=len(total))
+                held, n = [], 0
+        if held:
+            total += np.bincount(np.concatenate(held), minlength=len(total))
         state = np.flatnonzero(total)
         place = own.accepts[state]
         words = own.words[place].view(np.int64)
