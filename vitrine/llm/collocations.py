@@ -17,13 +17,14 @@ are chosen per part before they meet.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vitrine.llm.rolling import Words, chunks, find_words, mix, raw_texts
@@ -31,9 +32,10 @@ from vitrine.session import stage
 
 LEAST, LONGEST, CONTAINED = 10, 3, 50
 #: Candidates of one trie, and bits of a bitmap at most (16 MiB); both are broadcast.
-TRIE_PHRASES, MAX_BITS = 1_000_000, 27
-#: Words that a task counts before it sends the counts.
+TRIE_PHRASES, MAX_BITS = 500_000, 27
+#: Words that a task counts before it sends the counts, and rows that it sends at once.
 BATCH_WORDS = 2_000_000
+SENT_ROWS = 1 << 16
 
 _BREAKS = b".,;:!?\n\x0b\x0c\r"
 _BREAK = np.zeros(256, bool)
@@ -43,6 +45,13 @@ _WORD[list(b" \t")] = False
 _NONE = "und"
 
 
+def _sliced(columns: list[pa.Array], names: list[str]) -> Iterator[pa.RecordBatch]:
+    """Rows in batches of bounded size, as Spark holds each batch outside its heap."""
+    whole = pa.RecordBatch.from_arrays(columns, names=names)
+    for start in range(0, len(whole), SENT_ROWS):
+        yield whole.slice(start, SENT_ROWS)
+
+
 def word_sequences(texts: list[bytes]) -> tuple[Words, list[np.ndarray]]:
     """The words of texts, and each text as hashes of its words in order; a break is 0, and one ends a text."""
     words = find_words(texts, _WORD, lower=True)
@@ -73,7 +82,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             hashes, n = np.unique(np.concatenate(parts), return_counts=True)
             word = pa.array([texts[i] for i in first[np.searchsorted(every, hashes)].tolist()], pa.binary()).cast(pa.string())
             columns = [pa.array([lang] * len(hashes), pa.string()), pa.nulls(len(hashes), pa.binary()), pa.array(hashes.view(np.int64)), word]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(n.astype(np.int64))], names=names)
+            yield from _sliced([*columns, pa.array(n.astype(np.int64))], names)
 
     for batch in batches:
         langs, texts = batch.column(0).to_pylist(), raw_texts(batch.column(1))
@@ -146,18 +155,18 @@ def _buckets(size: int, below, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, total = [], 0
 
-        def sent() -> pa.RecordBatch:
-            bucket, n = np.unique(np.concatenate(held) if held else np.zeros(0, np.int64), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(bucket.astype(np.int32)), pa.array(n.astype(np.int64))], names=["bucket", "n"])
+        def sent() -> Iterator[pa.RecordBatch]:
+            bucket, n = np.unique(np.concatenate(held) if held else np.zeros(0, np.int32), return_counts=True)
+            yield from _sliced([pa.array(bucket.astype(np.int32)), pa.array(n.astype(np.int64))], ["bucket", "n"])
 
         for lang, words in _texts(batches):
             _, hashes = _open(lang, words, size, below.value)
             held.append((hashes & np.uint64((1 << bits) - 1)).astype(np.int32))
             total += len(hashes)
-            if total >= 4 * BATCH_WORDS:
-                yield sent()
+            if total >= BATCH_WORDS:
+                yield from sent()
                 held, total = [], 0
-        yield sent()
+        yield from sent()
 
     return run
 
@@ -174,7 +183,7 @@ def _candidates(size: int, below, own):
                 hashes, first = np.unique(np.concatenate([p[0] for p in parts]), return_index=True)
                 words = np.concatenate([p[1] for p in parts])[first].view(np.int64)
                 columns = [pa.array(np.ascontiguousarray(words[:, k])) for k in range(size)]
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(first), pa.string()), pa.array(hashes.view(np.int64)), *columns], names=names)
+                yield from _sliced([pa.array([lang] * len(first), pa.string()), pa.array(hashes.view(np.int64)), *columns], names)
 
         for lang, words in _texts(batches):
             at, hashes = _open(lang, words, size, below.value)
@@ -182,7 +191,7 @@ def _candidates(size: int, below, own):
             at, hashes = at[stay], hashes[stay]
             held.setdefault(lang, []).append((hashes, words[at[:, None] + np.arange(size)]))
             total += len(at)
-            if total >= BATCH_WORDS:
+            if total >= BATCH_WORDS // 4:
                 yield from sent()
                 held, total = {}, 0
         yield from sent()
@@ -307,25 +316,24 @@ def _counts(trie, shard: int, shards: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = trie.value
         size = own.words.shape[1]
-        total = np.zeros(len(own.base), np.int64)
+        total = np.zeros(len(own.words), np.int64)
         held, n = [], 0
         for lang, words in _texts(batches):
             inside = _whole(words, size)
             if shards > 1:
                 inside &= phrase_hashes(lang, words, size).view(np.int64) % shards == shard
-            held.append(own.accepted(lang, words, np.flatnonzero(inside)))
+            held.append(own.accepts[own.accepted(lang, words, np.flatnonzero(inside))])
             n += len(held[-1])
-            if n >= len(total):
+            if n >= BATCH_WORDS:
                 total += np.bincount(np.concatenate(held), minlength=len(total))
                 held, n = [], 0
         if held:
             total += np.bincount(np.concatenate(held), minlength=len(total))
-        state = np.flatnonzero(total)
-        place = own.accepts[state]
+        place = np.flatnonzero(total)
         words = own.words[place].view(np.int64)
         columns = [pa.array(np.ascontiguousarray(words[:, k])) for k in range(size)]
         lang = pa.array([own.langs[i] for i in place.tolist()], pa.string())
-        yield pa.RecordBatch.from_arrays([lang, *columns, pa.array(total[state])], names=["lang", *(f"w{k}" for k in range(size)), "f"])
+        yield from _sliced([lang, *columns, pa.array(total[place])], ["lang", *(f"w{k}" for k in range(size)), "f"])
 
     return run
 
@@ -372,6 +380,22 @@ def _hashed(size: int, bits: int):
     return run
 
 
+#: Rows of an Arrow batch, which Spark holds outside its heap: texts, and sequences of up to half a megabyte of text.
+TEXT_ROWS, SEQUENCE_ROWS = 1_000, 16
+
+
+@contextmanager
+def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
+    """What is run inside gets Arrow batches of at most so many rows."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def _columns(size: int, first: int = 0) -> list[str]:
     return [f"w{k}" for k in range(first, first + size)]
 
@@ -384,7 +408,8 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    read = stage(rows.mapInArrow(_read, "lang string, words binary, hash long, word string, n long"), "read")
+    with arrow_rows(spark, TEXT_ROWS):
+        read = stage(rows.mapInArrow(_read, "lang string, words binary, hash long, word string, n long"), "read")
     texts = read.filter("words IS NOT NULL").select("lang", "words")
     words = stage(read.filter("hash IS NOT NULL").groupBy("lang", "hash").agg(F.first("word").alias("word"), F.sum("n").alias("n")), "words")
     total = words.agg(F.sum("n")).first()[0] or 0
@@ -396,9 +421,12 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST
         hashed = found[-1].select("lang", *_columns(size - 1)).mapInArrow(_hashed(size - 1, bits), "bucket int").distinct()
         below = spark.sparkContext.broadcast(bitmap(hashed, bits))
         counted = texts.mapInArrow(_buckets(size, below, bits), "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
-        own = spark.sparkContext.broadcast(bitmap(counted.filter(F.col("n") >= least), bits))
+        with arrow_rows(spark, SEQUENCE_ROWS):
+            crowded = stage(counted.filter(F.col("n") >= least).select("bucket"), "crowded")
+        own = spark.sparkContext.broadcast(bitmap(crowded, bits))
         schema = ", ".join(["lang string", "phrase long", *(f"{c} long" for c in _columns(size))])
-        candidates = stage(texts.mapInArrow(_candidates(size, below, own), schema).distinct(), "candidates")
+        with arrow_rows(spark, SEQUENCE_ROWS):
+            candidates = stage(texts.mapInArrow(_candidates(size, below, own), schema).distinct(), "candidates")
         found.append(_counted(texts, candidates, size, least))
         below.destroy()
         own.destroy()
@@ -419,7 +447,8 @@ def _counted(texts: DataFrame, candidates: DataFrame, size: int, least: int) ->
         words = np.stack([rows[c].to_numpy().view(np.uint64) for c in columns], 1)
         trie = spark.sparkContext.broadcast(build_trie(rows["lang"].to_pylist(), words))
         sums = texts.mapInArrow(_counts(trie, i, shards), schema).groupBy("lang", *columns).agg(F.sum("f").alias("f"))
-        parts.append(stage(sums.filter(F.col("f") >= least), "phrases"))
+        with arrow_rows(spark, SEQUENCE_ROWS):
+            parts.append(stage(sums.filter(F.col("f") >= least), "phrases"))
         trie.destroy()
     return reduce(DataFrame.union, parts) if parts else spark.createDataFrame([], schema)
 
