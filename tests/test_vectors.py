@@ -1,10 +1,13 @@
+import uuid
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from vitrine.functions import vectors as V
+from vitrine.operators import joins as J
 from vitrine.operators.validate import validate, vector_rules
-from vitrine.operators.vectors import embed, fan_out, vec_mean
+from vitrine.operators.vectors import embed, embed_distinct, fan_out, vec_mean
 
 PAIR = "a array<float>, b array<float>"
 
@@ -92,6 +95,52 @@ def test_embed_failures_stay_on_their_row(spark):
     assert len(rows) == len(texts)
 
 
+def counted(folder):
+    """``picky``, with a file for each call that holds the number of its values."""
+    make_picky = picky()
+
+    def make_model():
+        model = make_picky()
+
+        def run(texts, variants):
+            with open(f"{folder}/{uuid.uuid4().hex}", "w") as file:
+                file.write(str(len(texts)))
+            return model(texts, variants)
+
+        return run
+
+    return make_model
+
+
+def test_one_bad_value_costs_few_calls(spark, tmp_path):
+    texts = ["x" * (i % 7) for i in range(128)]
+    texts[77] = "boom"
+    df = spark.createDataFrame(list(enumerate(texts)), "n int, t string").coalesce(1)
+    rows = embed(df, "t", counted(tmp_path), 2, batch_size=128).collect()
+    assert [r["n"] for r in rows if r["embedding"] is None] == [77] and len(rows) == 128
+    calls = [int(f.read_text()) for f in tmp_path.iterdir()]
+    # small inputs are dealt over the cores, so the batch may have come in parts
+    assert len(calls) <= 15 + spark.sparkContext.defaultParallelism and calls.count(1) >= 1
+
+
+@pytest.mark.parametrize("hot_floor", [J.HOT_FLOOR, 50])
+def test_distinct_values_are_embedded_once(spark, tmp_path, monkeypatch, hot_floor):
+    monkeypatch.setattr(J, "HOT_FLOOR", hot_floor)
+    texts = ["hot"] * 300 + [f"text {i}" for i in range(150)] * 2 + [None, None, "", "boom", "none", "boom"]
+    rows = [(i, t, "found", i) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "n int, t string, found string, embedding int")
+    found = embed_distinct(df, "t", counted(tmp_path), 2, variants=2).collect()
+    want = {r["n"]: r["embedding"] for r in embed(df.drop("embedding"), "t", picky(), 2, variants=2).collect()}
+    assert {r["n"]: r["embedding"] for r in found} == want and len(found) == len(texts)
+    assert all((r["t"], r["found"]) == (texts[r["n"]], "found") for r in found) and found[0].__fields__ == ["n", "t", "found", "embedding"]
+    # 155 distinct values in two variants, and the halves of batches with one of the two that fail
+    assert sum(int(f.read_text()) for f in tmp_path.iterdir()) < 2 * 2 * 155 * 3
+
+
+def test_distinct_of_no_rows(spark):
+    assert embed_distinct(spark.createDataFrame([], "t string"), "t", picky(), 2).collect() == []
+
+
 def test_embed_wrong_dimension_is_null(spark):
     df = spark.createDataFrame([("abc",)], "t string")
     assert embed(df, "t", picky(), 3).first()["embedding"] is None

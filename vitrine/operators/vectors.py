@@ -11,7 +11,9 @@ from pyspark.ml.model_cache import ModelCache
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vitrine.operators.joins import lookup
 from vitrine.operators.partitioning import spread_small
+from vitrine.session import stage
 
 BATCH_SIZE = 128
 
@@ -91,7 +93,8 @@ def embed(
     ``make_model`` loads the model, once per Python worker. The model takes a list of
     values and a list of variant numbers and returns one vector or None per value. With
     ``variants`` above 1 every value is embedded that often and the vectors are averaged
-    in place, so no shuffle is needed; one failed variant makes the result NULL.
+    in place, so no shuffle is needed; one failed variant makes the result NULL. A batch that
+    fails is halved until the bad values are alone, so one of 128 costs 15 calls at most.
     """
     model_key = uuid.uuid4()
 
@@ -102,17 +105,14 @@ def embed(
             model = make_model()
             ModelCache.add(model_key, model)
 
-        def one(value, variant):
-            try:
-                return model([value], [variant])[0]
-            except Exception:  # a bad value must not take its batch down
-                return None
-
         def chunk_vectors(values, variant):
             try:
                 return model(values, [variant] * len(values))
-            except Exception:
-                return [one(value, variant) for value in values]
+            except Exception:  # a bad value must not take its batch down
+                if len(values) == 1:
+                    return [None]
+                half = len(values) // 2
+                return [*chunk_vectors(values[:half], variant), *chunk_vectors(values[half:], variant)]
 
         for series in batches:
             results = []
@@ -125,6 +125,30 @@ def embed(
     return spread_small(df).withColumn(out, run(F.col(col)))
 
 
+def embed_distinct(
+    df: DataFrame,
+    col: str,
+    make_model: Callable[[], Callable],
+    dim: int,
+    variants: int = 1,
+    out: str = "embedding",
+    batch_size: int = BATCH_SIZE,
+) -> DataFrame:
+    """O-51 by content: :func:`embed` where every distinct string or binary value is embedded once.
+
+    Values are known by their SHA-256 digest; their vectors are stored and joined back by
+    :func:`lookup`, so rows of a hot value are spread out. NULL is a value like any other. Take
+    it where values repeat: rows move twice, which costs more than a cheap model does.
+    """
+    row, digest = "_row", "_digest"
+    hashed = F.coalesce(F.sha2(F.col(col).cast("binary"), 256), F.lit(""))
+    whole = F.struct(*(F.col(f"`{c}`") for c in df.columns if c != out))
+    rows = stage(df.select(whole.alias(row), F.col(col).alias("_value"), hashed.alias(digest)), "digests")
+    values = rows.groupBy(digest).agg(F.first("_value").alias("_value"))
+    vectors = stage(embed(values, "_value", make_model, dim, variants, out, batch_size).select(digest, out), "embedded")
+    return lookup(rows.drop("_value"), vectors, digest, unique=True).select(f"{row}.*", out)
+
+
 def _mean_or_none(vectors, dim: int):
     if any(v is None or len(v) != dim for v in vectors):
         return None

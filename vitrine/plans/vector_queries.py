@@ -12,7 +12,7 @@ from vitrine.operators.joins import attach_embedding
 from vitrine.operators.neardup import drop_near_dups, signature_buckets
 from vitrine.operators import ivf
 from vitrine.operators import topk as K
-from vitrine.operators.vectors import embed, fan_out, vec_mean
+from vitrine.operators.vectors import embed, embed_distinct, fan_out, vec_mean
 from vitrine.plans.flows import (
     full_entries,
     indexed_per_batch,
@@ -359,16 +359,25 @@ _TOKEN_COUNTS = """tokens AS (
         GROUP BY doc_id)"""
 
 
-@query(
-    f"""WITH {_TOKEN_COUNTS}
+_EMBEDDED = f"""WITH {_TOKEN_COUNTS}
     SELECT doc_id, {_fixed("list_transform(t, lambda x: x * 2.5::DOUBLE)")} AS vector FROM text_vectors"""
-)
+
+
+@query(_EMBEDDED)
 def embed_hash(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text")
     embedded = embed(docs, "text", hashing_model, DIM, variants=4)
     return embedded.select("doc_id", fixed_point(F.col("embedding")).alias("vector"))
 
 
+@query(_EMBEDDED)
+def embed_by_content(spark, sf):
+    """Copies of a text are embedded once."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    embedded = embed_distinct(docs, "text", hashing_model, DIM, variants=4)
+    return embedded.select("doc_id", fixed_point(F.col("embedding")).alias("vector"))
+
+
 def _with_copies(spark, sf) -> DataFrame:
     """Every vector and a scaled copy of it under a later id."""
     originals = _embeddings(spark, sf).select(
