@@ -24,7 +24,8 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+import zstandard
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vitrine.llm.rolling import Words, chunks, find_words, mix, raw_texts
@@ -68,7 +69,7 @@ def word_sequences(texts: list[bytes]) -> tuple[Words, list[np.ndarray]]:
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sequences of hashes by language (with ``words``) and counts of words (with ``word``)."""
+    """Sequences of hashes by language (with ``words``, compressed) and counts of words (with ``word``)."""
     held, spelled, total = {}, [], 0
     names = ["lang", "words", "hash", "word", "n"]
     kinds = [pa.string(), pa.binary(), pa.int64(), pa.string(), pa.int64()]
@@ -92,7 +93,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for lang, sequence in zip(langs[s:e], sequences):
                 own.setdefault(_NONE if lang is None else lang, []).append(sequence)
             packed = {lang: np.concatenate(parts) for lang, parts in own.items()}
-            values = [list(packed), [w.tobytes() for w in packed.values()], *[[None] * len(packed)] * 3]
+            values = [list(packed), [zstandard.compress(w.tobytes(), 1) for w in packed.values()], *[[None] * len(packed)] * 3]
             yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds)], names=names)
             for lang, words in packed.items():
                 held.setdefault(lang, []).append(words[words != 0])
@@ -146,44 +147,94 @@ def _open(lang: str, words: np.ndarray, size: int, below: np.ndarray) -> tuple[n
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, np.ndarray]]:
     for batch in batches:
         for lang, words in zip(batch.column(0).to_pylist(), batch.column(1)):
-            yield lang, np.frombuffer(words.as_buffer(), np.uint64)
+            yield lang, np.frombuffer(zstandard.decompress(words.as_buffer()), np.uint64)
 
 
-def _buckets(size: int, below, bits: int):
-    """How many phrases fall into each bucket."""
+#: Numbers whose counts travel as one row, as powers of two: buckets of phrases, and phrases of a trie.
+BUCKET_BLOCK, PHRASE_BLOCK = 16, 12
+#: Blocks whose sums one task holds at most.
+HELD_BLOCKS = 32
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, total = [], 0
 
-        def sent() -> Iterator[pa.RecordBatch]:
-            bucket, n = np.unique(np.concatenate(held) if held else np.zeros(0, np.int32), return_counts=True)
-            yield from _sliced([pa.array(bucket.astype(np.int32)), pa.array(n.astype(np.int64))], ["bucket", "n"])
+def pack_counts(places: np.ndarray, counts: np.ndarray) -> bytes:
+    """Ascending places below 2 ** 16 and their counts, as gaps and counts byte by byte, compressed."""
+    columns = np.diff(places, prepend=0).astype("<u2"), counts.astype("<u8")
+    return zstandard.compress(b"".join(c.view(np.uint8).reshape(len(c), -1).T.tobytes() for c in columns), 1)
+
+
+def unpack_counts(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    raw = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(10, -1)
+    gaps, counts = (np.ascontiguousarray(raw[rows].T).view(kind)[:, 0] for rows, kind in ((slice(2), "<u2"), (slice(2, 10), "<u8")))
+    return np.cumsum(gaps, dtype=np.int64), counts.astype(np.int64)
 
+
+def _block_rows(numbers: np.ndarray, counts: np.ndarray, power: int) -> Iterator[pa.RecordBatch]:
+    """Counts of ascending numbers as ``block, counts`` rows."""
+    numbers = numbers.astype(np.int64)
+    blocks, start = np.unique(numbers >> power, return_index=True)
+    ends = np.r_[start[1:], len(numbers)]
+    packed = [pack_counts(numbers[s:e] & ((1 << power) - 1), counts[s:e]) for s, e in zip(start.tolist(), ends.tolist())]
+    yield from _sliced([pa.array(blocks.astype(np.int32)), pa.array(packed, pa.binary())], ["block", "counts"])
+
+
+def _block_sums(batches: Iterator[pa.RecordBatch], power: int, most: int | None = None) -> Iterator[tuple[int, np.ndarray]]:
+    """Counts by place of each block in a task, added up row by row; with ``most`` no sum goes beyond it."""
+    held: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for block, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            places, counts = unpack_counts(data)
+            if block not in held:
+                held[block] = np.zeros(1 << power, np.int64 if most is None else np.int32)
+            total = held[block][places] + counts
+            held[block][places] = total if most is None else np.minimum(total, most)
+    yield from held.items()
+
+
+def _by_block(rows: DataFrame, blocks: int) -> DataFrame:
+    """Rows of counts dealt so that a task meets all of a block, and few blocks."""
+    usual = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(min(blocks, max(-(-blocks // HELD_BLOCKS), usual)), "block")
+
+
+def _bucket_rows(held: list[np.ndarray], most: int) -> Iterator[pa.RecordBatch]:
+    """Counts of buckets, none beyond ``most``."""
+    if held:
+        bucket, n = np.unique(np.concatenate(held), return_counts=True)
+        yield from _block_rows(bucket, np.minimum(n, most), BUCKET_BLOCK)
+
+
+def _buckets(size: int, below, bits: int, least: int):
+    """How many phrases fall into each bucket, as far as ``least``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, total = [], 0
         for lang, words in _texts(batches):
             _, hashes = _open(lang, words, size, below.value)
             held.append((hashes & np.uint64((1 << bits) - 1)).astype(np.int32))
             total += len(hashes)
             if total >= BATCH_WORDS:
-                yield from sent()
+                yield from _bucket_rows(held, least)
                 held, total = [], 0
-        yield from sent()
+        yield from _bucket_rows(held, least)
 
     return run
 
 
 def _candidates(size: int, below, own):
     """The phrases that may be frequent, distinct within a batch of a task."""
-    names = ["lang", "phrase", *(f"w{k}" for k in range(size))]
+    names = ["lang", *(f"w{k}" for k in range(size))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, total = {}, 0
 
         def sent() -> Iterator[pa.RecordBatch]:
             for lang, parts in held.items():
-                hashes, first = np.unique(np.concatenate([p[0] for p in parts]), return_index=True)
+                _, first = np.unique(np.concatenate([p[0] for p in parts]), return_index=True)
                 words = np.concatenate([p[1] for p in parts])[first].view(np.int64)
+                # equal words side by side are cheaper to send
+                words = words[np.argsort(words[:, 0], kind="stable")]
                 columns = [pa.array(np.ascontiguousarray(words[:, k])) for k in range(size)]
-                yield from _sliced([pa.array([lang] * len(first), pa.string()), pa.array(hashes.view(np.int64)), *columns], names)
+                yield from _sliced([pa.array([lang] * len(first), pa.string()), *columns], names)
 
         for lang, words in _texts(batches):
             at, hashes = _open(lang, words, size, below.value)
@@ -307,10 +358,20 @@ def build_trie(langs: list[str], words: np.ndarray, seed: int = 0) -> Trie:
     return Trie(alphabet, radix, roots, base, check, accepts, langs, words)
 
 
+def _shard(words: list[np.ndarray], shards: int) -> np.ndarray:
+    """Which trie has a phrase, by the hashes of its words; ``_shard_column`` says the same of a row."""
+    return reduce(np.bitwise_xor, [w.view(np.int64) >> (7 * k) for k, w in enumerate(words)]) % shards
+
+
+def _shard_column(size: int, shards: int) -> Column:
+    mixed = reduce(Column.bitwiseXOR, [F.shiftright(f"w{k}", 7 * k) for k in range(size)])
+    return F.pmod(mixed, F.lit(shards))
+
+
 def _counts(trie, shard: int, shards: int):
-    """How often each phrase of the trie occurs in a task's texts.
+    """How often each phrase of the trie occurs in a task's texts, by its number.
 
-    Only positions whose phrase belongs to the trie's shard by its hash step through it.
+    Only positions whose phrase belongs to the trie's shard step through it.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -319,10 +380,10 @@ def _counts(trie, shard: int, shards: int):
         total = np.zeros(len(own.words), np.int64)
         held, n = [], 0
         for lang, words in _texts(batches):
-            inside = _whole(words, size)
+            at = np.flatnonzero(_whole(words, size))
             if shards > 1:
-                inside &= phrase_hashes(lang, words, size).view(np.int64) % shards == shard
-            held.append(own.accepts[own.accepted(lang, words, np.flatnonzero(inside))])
+                at = at[_shard([words[at + k] for k in range(size)], shards) == shard]
+            held.append(own.accepts[own.accepted(lang, words, at)])
             n += len(held[-1])
             if n >= BATCH_WORDS:
                 total += np.bincount(np.concatenate(held), minlength=len(total))
@@ -330,33 +391,46 @@ def _counts(trie, shard: int, shards: int):
         if held:
             total += np.bincount(np.concatenate(held), minlength=len(total))
         place = np.flatnonzero(total)
-        words = own.words[place].view(np.int64)
-        columns = [pa.array(np.ascontiguousarray(words[:, k])) for k in range(size)]
-        lang = pa.array([own.langs[i] for i in place.tolist()], pa.string())
-        yield from _sliced([lang, *columns, pa.array(total[place])], ["lang", *(f"w{k}" for k in range(size)), "f"])
+        yield from _block_rows(place, total[place], PHRASE_BLOCK)
 
     return run
 
 
-def _packed_bits(table: pa.Table) -> pa.Table:
-    """One block of a bitmap from the places of its bits."""
-    bits = np.zeros(1 << _BLOCK, bool)
-    bits[table["place"].to_numpy()] = True
-    return pa.table({"block": table["block"].slice(0, 1), "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
+def _frequent(trie, least: int):
+    """The phrases whose counts reach ``least`` in all, from ``block, counts`` rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = trie.value
+        size = own.words.shape[1]
+        for block, total in _block_sums(batches, PHRASE_BLOCK):
+            place = np.flatnonzero(total >= least)
+            number = place + (block << PHRASE_BLOCK)
+            words = own.words[number].view(np.int64)
+            columns = [pa.array(np.ascontiguousarray(words[:, k])) for k in range(size)]
+            lang = pa.array([own.langs[i] for i in number.tolist()], pa.string())
+            yield pa.RecordBatch.from_arrays([lang, *columns, pa.array(total[place])], names=["lang", *_columns(size), "f"])
+
+    return run
 
 
-#: Bits of a bitmap that are packed together, as a power of two.
-_BLOCK = 16
+def _crowded(least: int):
+    """The places of a block whose counts reach ``least``, as bits."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, total in _block_sums(batches, BUCKET_BLOCK, least):
+            bits = np.packbits(total >= least, bitorder="little").tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([bits], pa.binary())], names=["block", "bits"])
+
+    return run
 
 
-def bitmap(buckets: DataFrame, bits: int) -> np.ndarray:
-    """The bitmap of ``bucket`` numbers: at most ``2 ** MAX_BITS`` bits, packed in tasks by blocks."""
-    placed = buckets.select(F.expr(f"cast(shiftright(bucket, {_BLOCK}) as int)").alias("block"), F.col("bucket").bitwiseAND((1 << _BLOCK) - 1).cast("int").alias("place"))
-    packed = placed.groupBy("block").applyInArrow(_packed_bits, "block int, bits binary").collect()
+def bitmap(counts: DataFrame, bits: int, least: int) -> np.ndarray:
+    """Buckets that reach ``least``, from ``block, counts`` rows: at most ``2 ** MAX_BITS`` bits, packed in tasks."""
+    packed = _by_block(counts, 1 << (bits - BUCKET_BLOCK)).mapInArrow(_crowded(least), "block int, bits binary").collect()
     out = np.zeros(1 << (bits - 3), np.uint8)
     for row in packed:
-        at = row["block"] << (_BLOCK - 3)
-        out[at : at + (1 << (_BLOCK - 3))] = np.frombuffer(row["bits"], np.uint8)
+        at = row["block"] << (BUCKET_BLOCK - 3)
+        out[at : at + (1 << (BUCKET_BLOCK - 3))] = np.frombuffer(row["bits"], np.uint8)
     return out
 
 
@@ -375,7 +449,7 @@ def _hashed(size: int, bits: int):
                 for w in words:
                     total = _mixed(total, w[own])
                 bucket[own] = (total & np.uint64((1 << bits) - 1)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(bucket.astype(np.int32))], names=["bucket"])
+            yield from _bucket_rows([bucket] if len(bucket) else [], 1)
 
     return run
 
@@ -414,17 +488,15 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST
     words = stage(read.filter("hash IS NOT NULL").groupBy("lang", "hash").agg(F.first("word").alias("word"), F.sum("n").alias("n")), "words")
     total = words.agg(F.sum("n")).first()[0] or 0
     # about four phrases to a bucket, so that few buckets reach the least count by chance
-    bits = min(MAX_BITS, max(_BLOCK, (total // 4).bit_length()))
+    bits = min(MAX_BITS, max(BUCKET_BLOCK, (total // 4).bit_length()))
     found = [words.filter(F.col("n") >= least).select("lang", F.col("hash").alias("w0"), F.col("n").alias("f"))]
-    below = None
+    blocks = "block int, counts binary"
     for size in range(2, longest + 1):
-        hashed = found[-1].select("lang", *_columns(size - 1)).mapInArrow(_hashed(size - 1, bits), "bucket int").distinct()
-        below = spark.sparkContext.broadcast(bitmap(hashed, bits))
-        counted = texts.mapInArrow(_buckets(size, below, bits), "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+        hashed = found[-1].select("lang", *_columns(size - 1)).mapInArrow(_hashed(size - 1, bits), blocks)
+        below = spark.sparkContext.broadcast(bitmap(hashed, bits, 1))
         with arrow_rows(spark, SEQUENCE_ROWS):
-            crowded = stage(counted.filter(F.col("n") >= least).select("bucket"), "crowded")
-        own = spark.sparkContext.broadcast(bitmap(crowded, bits))
-        schema = ", ".join(["lang string", "phrase long", *(f"{c} long" for c in _columns(size))])
+            own = spark.sparkContext.broadcast(bitmap(texts.mapInArrow(_buckets(size, below, bits, least), blocks), bits, least))
+        schema = ", ".join(["lang string", *(f"{c} long" for c in _columns(size))])
         with arrow_rows(spark, SEQUENCE_ROWS):
             candidates = stage(texts.mapInArrow(_candidates(size, below, own), schema).distinct(), "candidates")
         found.append(_counted(texts, candidates, size, least))
@@ -438,7 +510,7 @@ def _counted(texts: DataFrame, candidates: DataFrame, size: int, least: int) ->
     spark, columns = texts.sparkSession, _columns(size)
     schema = ", ".join(["lang string", *(f"{c} long" for c in columns), "f long"])
     shards = -(-candidates.count() // TRIE_PHRASES) or 1
-    shard = F.pmod("phrase", F.lit(shards))
+    shard = _shard_column(size, shards)
     parts = []
     for i in range(shards):
         rows = candidates.filter(shard == i).select("lang", *columns).toArrow()
@@ -446,9 +518,9 @@ def _counted(texts: DataFrame, candidates: DataFrame, size: int, least: int) ->
             continue
         words = np.stack([rows[c].to_numpy().view(np.uint64) for c in columns], 1)
         trie = spark.sparkContext.broadcast(build_trie(rows["lang"].to_pylist(), words))
-        sums = texts.mapInArrow(_counts(trie, i, shards), schema).groupBy("lang", *columns).agg(F.sum("f").alias("f"))
         with arrow_rows(spark, SEQUENCE_ROWS):
-            parts.append(stage(sums.filter(F.col("f") >= least), "phrases"))
+            counts = texts.mapInArrow(_counts(trie, i, shards), "block int, counts binary")
+            parts.append(stage(_by_block(counts, -(-len(words) >> PHRASE_BLOCK)).mapInArrow(_frequent(trie, least), schema), "phrases"))
         trie.destroy()
     return reduce(DataFrame.union, parts) if parts else spark.createDataFrame([], schema)
 
