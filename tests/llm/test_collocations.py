@@ -108,6 +108,29 @@ def test_trie_counts(phrases, text):
         assert Counter(phrases[i] for i in trie.accepts[states].tolist()) == want
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.dictionaries(st.integers(0, 65_535), st.integers(1, 2**62), min_size=1))
+def test_counts_travel_unchanged(counts):
+    places = np.array(sorted(counts), np.int64)
+    found = module.unpack_counts(module.pack_counts(places, np.array([counts[p] for p in places.tolist()], np.int64)))
+    assert dict(zip(*map(np.ndarray.tolist, found))) == counts
+
+
+def test_sums_of_blocks():
+    """Blocks add up over rows and tasks; with a bound no sum goes beyond it."""
+    rows = [(np.array([3, 70_000]), np.array([4, 9])), (np.array([3, 5]), np.array([8, 1]))]
+    batches = [b for numbers, counts in rows for b in module._block_rows(numbers, counts, 16)]
+    for most, want in ((None, 12), (10, 10)):
+        sums = dict(module._block_sums(iter(batches), 16, most))
+        assert (sorted(sums), sums[0][3], sums[0][5], sums[1][70_000 - 65_536], sums[0].sum()) == ([0, 1], want, 1, 9, want + 1)
+
+
+@given(st.lists(st.tuples(st.integers(0, 3), st.integers(0, 3)), min_size=1, max_size=40), st.integers(1, 3))
+def test_distinct_rows(rows, cuts):
+    parts = [p for p in np.array_split(np.array(rows, np.uint64), cuts)]
+    assert list(map(tuple, module.distinct_rows(parts).tolist())) == sorted(set(rows))
+
+
 def test_sequences_of_any_texts():
     texts = [b"", b"A b\tc.d", b"!!", b" lone ", b"", "é\x0bÉ".encode(), b"x" * 3000 + b" a", b"b"]
     words, sequences = module.word_sequences(texts)

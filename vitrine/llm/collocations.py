@@ -220,21 +220,27 @@ def _buckets(size: int, below, bits: int, least: int):
     return run
 
 
-def _candidates(size: int, below, own):
-    """The phrases that may be frequent, distinct within a batch of a task."""
-    names = ["lang", *(f"w{k}" for k in range(size))]
+#: Words of the corpus for each range of phrase hashes whose candidates one task makes distinct.
+RANGE_WORDS = 1 << 24
+
+
+def _candidates(size: int, below, own, ranges: int):
+    """The phrases that may be frequent, distinct within a batch of a task: columns of a range of hashes as one row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, total = {}, 0
 
         def sent() -> Iterator[pa.RecordBatch]:
             for lang, parts in held.items():
-                _, first = np.unique(np.concatenate([p[0] for p in parts]), return_index=True)
-                words = np.concatenate([p[1] for p in parts])[first].view(np.int64)
-                # equal words side by side are cheaper to send
-                words = words[np.argsort(words[:, 0], kind="stable")]
-                columns = [pa.array(np.ascontiguousarray(words[:, k])) for k in range(size)]
-                yield from _sliced([pa.array([lang] * len(first), pa.string()), *columns], names)
+                hashes, first = np.unique(np.concatenate([p[0] for p in parts]), return_index=True)
+                words = np.concatenate([p[1] for p in parts])[first]
+                part = ((hashes >> np.uint64(32)) % np.uint64(ranges)).astype(np.int32)
+                # equal words side by side compress
+                order = np.lexsort((words[:, 0], part))
+                words, part = words[order], part[order]
+                parts_of, start = np.unique(part, return_index=True)
+                packed = [zstandard.compress(w.T.tobytes(), 1) for w in np.split(words, start[1:])] if len(part) else []
+                yield from _sliced([pa.array([lang] * len(packed), pa.string()), pa.array(parts_of), pa.array(packed, pa.binary())], ["lang", "part", "phrases"])
 
         for lang, words in _texts(batches):
             at, hashes = _open(lang, words, size, below.value)
@@ -250,6 +256,33 @@ def _candidates(size: int, below, own):
     return run
 
 
+def distinct_rows(parts: list[np.ndarray]) -> np.ndarray:
+    rows = np.concatenate(parts)
+    rows = rows[np.lexsort(rows.T[::-1])]
+    return rows[np.r_[True, (rows[1:] != rows[:-1]).any(1)][: len(rows)]]
+
+
+def _distinct(size: int):
+    """The distinct candidates of the ranges a task has, with their words side by side."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, list[np.ndarray]] = {}
+        kept = fresh = 0
+        for batch in batches:
+            for lang, data in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
+                held.setdefault(lang, []).append(np.frombuffer(zstandard.decompress(data), np.uint64).reshape(size, -1).T)
+                fresh += len(held[lang][-1])
+                if fresh > max(kept, BATCH_WORDS // 4):
+                    held = {lang: [distinct_rows(parts)] for lang, parts in held.items()}
+                    kept, fresh = sum(len(parts[0]) for parts in held.values()), 0
+        for lang, parts in held.items():
+            words = distinct_rows(parts).view(np.int64)
+            columns = [pa.array(np.ascontiguousarray(words[:, k])) for k in range(size)]
+            yield from _sliced([pa.array([lang] * len(words), pa.string()), *columns], ["lang", *_columns(size)])
+
+    return run
+
+
 @dataclass
 class Trie:
     """A double array: state ``s`` goes with digit ``d`` to ``base[s] + d`` if ``check`` there is ``s``.
@@ -491,6 +524,7 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST
     bits = min(MAX_BITS, max(BUCKET_BLOCK, (total // 4).bit_length()))
     found = [words.filter(F.col("n") >= least).select("lang", F.col("hash").alias("w0"), F.col("n").alias("f"))]
     blocks = "block int, counts binary"
+    ranges = max(-(-total // RANGE_WORDS), min(int(spark.conf.get("spark.sql.shuffle.partitions")), 64))
     for size in range(2, longest + 1):
         hashed = found[-1].select("lang", *_columns(size - 1)).mapInArrow(_hashed(size - 1, bits), blocks)
         below = spark.sparkContext.broadcast(bitmap(hashed, bits, 1))
@@ -498,7 +532,8 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST
             own = spark.sparkContext.broadcast(bitmap(texts.mapInArrow(_buckets(size, below, bits, least), blocks), bits, least))
         schema = ", ".join(["lang string", *(f"{c} long" for c in _columns(size))])
         with arrow_rows(spark, SEQUENCE_ROWS):
-            candidates = stage(texts.mapInArrow(_candidates(size, below, own), schema).distinct(), "candidates")
+            packed = texts.mapInArrow(_candidates(size, below, own, ranges), "lang string, part int, phrases binary")
+            candidates = stage(packed.repartition(ranges, "part").mapInArrow(_distinct(size), schema), "candidates")
         found.append(_counted(texts, candidates, size, least))
         below.destroy()
         own.destroy()
