@@ -203,6 +203,51 @@ def test_index_rows_move_alike_for_any_number_of_blocks(spark, corpus, monkeypat
     assert moved[:2] == moved[2:] and {m[0] for m in moved} == {400} and moved[0][1] == 300
 
 
+@pytest.mark.parametrize("metric", ["cosine", "euclidean"])
+@pytest.mark.parametrize("cells", [K._CELLS, 200])
+def test_many_queries_of_a_small_index_stay_where_they_are(spark, corpus, monkeypatch, metric, cells):
+    index, vectors = corpus
+    queries = np.random.default_rng(4).normal(size=(90, 16))
+    queries[:20] = vectors[:20]
+    odd = [(90, [0.0] * 16), (91, [float("nan")] * 16), (92, None), (93, [None] * 16), (None, [1.0] * 16), (94, [2.0])]
+    df = spark.createDataFrame([*((i, q.tolist()) for i, q in enumerate(queries)), *odd], "query_id int, query array<double>").repartition(3)
+    monkeypatch.setattr(K, "BLOCK_BYTES", 10_000)  # less than the queries, and an eighth of it more than the index
+    monkeypatch.setattr(K, "_CELLS", cells)
+    with monkeypatch.context() as patched:
+        patched.setattr(K, "search_visits", lambda *_: pytest.fail("queries moved"))
+        result = K.topk_batch(index, df, 6, metric)
+        plan = result._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange") == 1 and "Exchange" not in plan.split("MapInArrow")[1]
+        found = sorted(map(tuple, result.collect()))
+    all_vectors = vectors if metric == "cosine" else with_origin(vectors)
+    for i, q in enumerate(queries):
+        assert [r[2] for r in found if r[0] == i] == brute(all_vectors, q, 6, metric)
+    # the only vector of length one is the only result of the query of that length
+    assert [r for r in found if r[0] == 94] == [(94, 1, 402, 1.0)]
+    assert not [r for r in found if r[0] in (91, 92, 93, None)]
+    assert len([r for r in found if r[0] == 90]) == (0 if metric == "cosine" else 6)
+    by_cells = sorted(map(tuple, K.topk_batch(index, df, 6, metric, by_cells=True).collect()))
+    assert [r for r in found if r[0] != 94] == by_cells
+    assert K.topk_batch(index.limit(0), df, 3, metric).count() == 0
+
+
+def test_cosines_that_single_precision_cannot_tell_apart(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=32)
+    vectors = base + rng.normal(size=(300, 32)) * 1e-6
+    queries = base + rng.normal(size=(40, 32)) * 1e-6
+    index = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "id long, embedding array<double>")
+    df = spark.createDataFrame([(i, q.tolist()) for i, q in enumerate(queries)], "query_id int, query array<double>")
+    results = []
+    for block_bytes, by_cells in ((K.BLOCK_BYTES, None), (12_000, None), (12_000, True)):
+        monkeypatch.setattr(K, "BLOCK_BYTES", block_bytes)
+        results.append(sorted(map(tuple, K.topk_batch(index, df, 4, by_cells=by_cells).collect())))
+    assert results[0] == results[1] == results[2]
+    for i, q in enumerate(queries[:5]):
+        single = [(r["id"], r["score"]) for r in K.topk(index, q.tolist(), 4).collect()]
+        assert [(r[2], r[3]) for r in results[0] if r[0] == i] == single
+
+
 def test_cells_far_away_are_not_visited(spark, monkeypatch):
     """Clustered vectors: a query visits its own cluster and little else."""
     rng = np.random.default_rng(1)

@@ -1,3 +1,4 @@
+import hashlib
 import uuid
 
 import numpy as np
@@ -8,6 +9,7 @@ from vitrine.functions import vectors as V
 from vitrine.operators import joins as J
 from vitrine.operators.validate import validate, vector_rules
 from vitrine.operators.vectors import embed, embed_distinct, fan_out, vec_mean
+from vitrine.plans.vector_queries import hashing_model
 
 PAIR = "a array<float>, b array<float>"
 
@@ -123,6 +125,30 @@ def test_one_bad_value_costs_few_calls(spark, tmp_path):
     assert len(calls) <= 15 + spark.sparkContext.defaultParallelism and calls.count(1) >= 1
 
 
+def test_a_filter_on_the_vectors_runs_the_model_once(spark, tmp_path):
+    texts = ["x" * (i % 7) for i in range(60)] + ["none"]
+    df = spark.createDataFrame(list(enumerate(texts)), "n int, t string")
+    embedded = embed(df, "t", counted(tmp_path), 2, variants=4, out="mean")
+    unit = embedded.select("n", V.l2_normalize(F.col("mean")).alias("unit"))
+    rows = unit.filter("n IS NOT NULL AND unit IS NOT NULL").collect()
+    assert sorted(r["n"] for r in rows) == list(range(60))
+    assert sum(int(f.read_text()) for f in tmp_path.iterdir()) == 4 * 61
+
+
+def test_hashing_model_splits_at_its_own_white_space():
+    model = hashing_model()
+    texts = ["a b\u00a0c\x0bd \t\r\f\n a", "", " ", "\u2003x y"]
+    tokens = [["a", "b\u00a0c\x0bd", "a"], [], [], ["\u2003x", "y"]]
+    for variant in range(3):
+        for found, words in zip(model(texts, [variant] * 4), tokens):
+            want = [0.0] * 64
+            for word in words:
+                want[int(hashlib.md5(word.encode()).hexdigest()[:4], 16) % 64] += 1.0 + variant
+            assert list(found) == want
+    with pytest.raises(Exception):
+        model(["a", None], [0, 0])
+
+
 @pytest.mark.parametrize("hot_floor", [J.HOT_FLOOR, 50])
 def test_distinct_values_are_embedded_once(spark, tmp_path, monkeypatch, hot_floor):
     monkeypatch.setattr(J, "HOT_FLOOR", hot_floor)

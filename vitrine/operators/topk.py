@@ -19,6 +19,8 @@ from vitrine.session import stage
 
 # Query vectors held by one task at a time; more are searched block by block.
 BLOCK_BYTES = 8 * 1024 * 1024
+# An index of at most so many blocks is held by every task while its share of more queries passes.
+HELD_BLOCKS = 8
 # Vectors of a cell that one task holds while queries pass.
 PART_BYTES = 64 * 1024 * 1024
 # Score cells a task computes in one matrix product, and elements it takes for exact scores at once.
@@ -75,6 +77,7 @@ class _BlockSearch:
     the two vectors. Cells that may still enter their query's best ``k`` within that bound
     are scored again pair by pair, by the formula of the single search, and only those exact
     scores are compared, ties going to the smaller id. Higher is nearer for both metrics inside.
+    Cosines are multiplied in single precision, the bound being that of its rounding.
     """
 
     def __init__(self, queries: np.ndarray, query_ids: pa.Array, k: int, metric: str):
@@ -84,11 +87,22 @@ class _BlockSearch:
         self.queries, self.squares = queries[usable], squares[usable]
         self.query_ids = query_ids.filter(pa.array(usable))
         self.k, self.metric = k, metric
-        self.unit = 4 * (self.width + 8) * np.finfo(float).eps
+        precision = np.float32 if metric == "cosine" else np.float64
+        self.unit = 4 * (self.width + 8) * float(np.finfo(precision).eps)
+        if metric == "cosine":
+            self.left = (self.queries / np.sqrt(self.squares)[:, None]).astype(precision)
         self.best = (np.empty(0, np.int64), None, np.empty(0))
         self.bar = np.full(len(self.queries), -np.inf)  # exact score of the k-th best so far
 
-    def prepare(self, m: np.ndarray, ids: np.ndarray):
+    def prepare(self, batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Vectors of a batch that can have a score, the squares of their lengths, and their ids."""
+        ids, vectors = batch.column(0), batch.column(1)
+        width = pa.compute.list_value_length(vectors).fill_null(-1).to_numpy(zero_copy_only=False)
+        fits = pa.array(width == self.width)
+        ids = ids.filter(fits).to_numpy(zero_copy_only=False)
+        if ids.dtype == object:
+            ids = ids.astype(str)
+        m = matrix(vectors.filter(fits))
         squares = np.square(m).sum(axis=1)
         usable = np.isfinite(squares) & ((squares > 0) | (self.metric != "cosine"))
         return m[usable], squares[usable], ids[usable]
@@ -96,8 +110,8 @@ class _BlockSearch:
     def rough(self, m: np.ndarray, squares: np.ndarray):
         """Cells in the order of nearness, the error of each, and the bar on the same scale."""
         if self.metric == "cosine":
-            left = self.queries / np.sqrt(self.squares)[:, None]
-            cells = left @ (m / np.sqrt(squares)[:, None]).T
+            right = (m / np.sqrt(squares)[:, None]).astype(self.left.dtype)
+            cells = self.left @ right.T
             return cells, np.full((1, 1), self.unit), self.bar
         cells = 2 * (self.queries @ m.T) - squares[None, :] - self.squares[:, None]
         error = self.unit * (squares[None, :] + self.squares[:, None])
@@ -117,7 +131,10 @@ class _BlockSearch:
                 least = np.nan_to_num(cells[sure] - (error if error.shape[0] == 1 else error[sure]), nan=-np.inf)
                 bar = bar.copy()
                 bar[sure] = np.partition(least, -self.k, axis=1)[:, -self.k]
-            q, column = np.nonzero(~(cells + error < bar[:, None]))
+            if self.metric == "cosine":  # never undefined, and one error for all
+                q, column = np.nonzero(cells >= (bar - self.unit).astype(cells.dtype)[:, None])
+            else:
+                q, column = np.nonzero(~(cells + error < bar[:, None]))
         if not len(q):
             return
         step = max(1, _CELLS // max(1, self.width))
@@ -130,31 +147,36 @@ class _BlockSearch:
 
     def merge(self, q, ids, values) -> None:
         held_q, held_ids, held_values = self.best
+        rest = None
         if held_ids is not None:
-            q, values = np.concatenate([held_q, q]), np.concatenate([held_values, values])
-            ids = np.concatenate([held_ids, ids])
+            met = np.zeros(len(self.bar), bool)
+            met[q] = True
+            again = met[held_q]
+            rest = held_q[~again], held_ids[~again], held_values[~again]
+            q, values = np.concatenate([held_q[again], q]), np.concatenate([held_values[again], values])
+            ids = np.concatenate([held_ids[again], ids])
         order = np.lexsort((ids, -values, q))
         q, ids, values = q[order], ids[order], values[order]
         place = np.arange(len(q)) - np.searchsorted(q, q, side="left")
         keep = place < self.k
-        self.best = q[keep], ids[keep], values[keep]
+        best = q[keep], ids[keep], values[keep]
+        self.best = best if rest is None else tuple(np.concatenate(pair) for pair in zip(rest, best))
         full = place == self.k - 1
         self.bar[q[full]] = values[full]
 
     def run(self, batches):
-        step = max(1, _CELLS // max(1, len(self.bar)))
         id_type = None
         for batch in batches:
-            ids_arrow, vectors = batch.column(0), batch.column(1)
-            id_type = ids_arrow.type
-            width = pa.compute.list_value_length(vectors).fill_null(-1).to_numpy()
-            fits = pa.array(width == self.width)
-            ids = ids_arrow.filter(fits).to_numpy(zero_copy_only=False)
-            if ids.dtype == object:
-                ids = ids.astype(str)
-            m, squares, ids = self.prepare(matrix(vectors.filter(fits)), ids)
-            for s in range(0, len(m) if len(self.bar) else 0, step):
-                self.offer(m[s : s + step], squares[s : s + step], ids[s : s + step])
+            id_type = batch.column(0).type
+            self.offer_all(*self.prepare(batch))
+        yield from self.results(id_type)
+
+    def offer_all(self, m: np.ndarray, squares: np.ndarray, ids: np.ndarray) -> None:
+        step = max(1, _CELLS // max(1, len(self.bar)))
+        for s in range(0, len(m) if len(self.bar) else 0, step):
+            self.offer(m[s : s + step], squares[s : s + step], ids[s : s + step])
+
+    def results(self, id_type: pa.DataType | None) -> Iterator[pa.RecordBatch]:
         q, ids, values = self.best
         if ids is not None and len(q):
             yield pa.RecordBatch.from_arrays(
@@ -167,6 +189,32 @@ class _BlockSearch:
             )
 
 
+def _found_in_held(index: pa.Table, k: int, metric: str):
+    """Search a held index for the queries of every batch, ``(query_id, query)``; nothing is shuffled.
+
+    Queries come in squares of score cells, and a query is searched among the vectors of its length.
+    """
+    id_type = index.schema.field(0).type
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, prepared = index.combine_chunks().to_batches(), {}
+        for batch in batches:
+            lengths = pa.compute.list_value_length(batch.column(1)).to_numpy(zero_copy_only=False)
+            for width in np.unique(lengths[lengths > 0]):
+                fits = batch.filter(pa.array(lengths == width))
+                step = max(1, min(int(_CELLS**0.5), BLOCK_BYTES // (8 * int(width))))
+                for s in range(0, len(fits), step):
+                    part = fits.slice(s, step)
+                    search = _BlockSearch(matrix(part.column(1)), part.column(0), k, metric)
+                    if width not in prepared:
+                        prepared[width] = [search.prepare(b) for b in held]
+                    for piece in prepared[width]:
+                        search.offer_all(*piece)
+                    yield from search.results(id_type)
+
+    return run
+
+
 def _search_sorted(k: int, metric: str, kinds: tuple[pa.DataType, pa.DataType]):
     """Search groups of rows that come one after the other: a part of a cell, then its queries.
 
@@ -207,6 +255,11 @@ def _search_sorted(k: int, metric: str, kinds: tuple[pa.DataType, pa.DataType]):
     return run
 
 
+def _vector_bytes(rows: DataFrame, column: str) -> int:
+    size = F.sum(F.coalesce(F.size(column), F.lit(0)).cast("long") * 8 + 64)
+    return rows.agg(F.coalesce(size, F.lit(0)).alias("bytes")).first()["bytes"]
+
+
 def search_visits(rows: DataFrame, visits: DataFrame, k: int, metric: str) -> DataFrame:
     """``(query_id, id, score)``: the ``k`` best of every cell for the queries that visit it.
 
@@ -252,7 +305,7 @@ def _found_by_cells(rows: DataFrame, queries: DataFrame, k: int, metric: str) ->
     its k-th best at all, so other cells matter only if the triangle inequality lets
     them hold something as near. The index moves twice, whatever the number of queries.
     """
-    size = rows.agg(F.coalesce(F.sum(F.coalesce(F.size("embedding"), F.lit(0)).cast("long") * 8 + 64), F.lit(0)).alias("bytes")).first()["bytes"]
+    size = _vector_bytes(rows, "embedding")
     pivots = train(queries.withColumnRenamed("query", "embedding"), "embedding", 1, metric, 0)
     wide = rows.filter(F.size("embedding") == pivots.width) if pivots is not None else rows.limit(0)
     pivots = train(wide, "embedding", min(MAX_CELLS, max(16, -(-size // (PART_BYTES // 4)))), metric) if pivots is not None else None
@@ -300,8 +353,10 @@ def topk_batch(
 
     ``queries`` has ``(query_id, query)``, ids unique and vectors of one length. Up to
     ``BLOCK_BYTES`` of queries go to every task, which multiplies them with its rows and keeps
-    ``k`` per query, so the index is neither shuffled nor read twice. More queries visit the cells of
-    the index that can hold a result of theirs. Both give the same rows; ``by_cells`` chooses.
+    ``k`` per query, so the index is neither shuffled nor read twice. With more queries, an index
+    of up to ``HELD_BLOCKS`` such blocks after the conditions goes to every task, and the queries stay
+    where they are; beyond that, they visit the cells of the index that can hold a result of theirs.
+    All give the same rows; ``by_cells`` chooses cells or a block of queries.
     """
     if metric not in ("cosine", "euclidean"):
         raise ValueError(f"unknown metric {metric!r}")
@@ -310,16 +365,19 @@ def topk_batch(
     )
     queries = queries.select("query_id", F.col("query").cast("array<double>").alias("query"))
     queries = stage(queries.filter("query_id IS NOT NULL AND query IS NOT NULL"), "queries")
-    size = queries.agg(
-        F.coalesce(F.sum(F.size("query").cast("long") * 8 + 64), F.lit(0)).alias("bytes")
-    ).first()["bytes"]
+    out = (
+        f"query_id {queries.schema['query_id'].dataType.simpleString()}, "
+        f"id {rows.schema['id'].dataType.simpleString()}, score double"
+    )
+    held = False
     if by_cells is None:
-        by_cells = size > BLOCK_BYTES
-    if not by_cells:
-        out = (
-            f"query_id {queries.schema['query_id'].dataType.simpleString()}, "
-            f"id {rows.schema['id'].dataType.simpleString()}, score double"
-        )
+        by_cells = _vector_bytes(queries, "query") > BLOCK_BYTES
+        if by_cells:
+            rows = stage(rows, "rows")
+            held = _vector_bytes(rows, "embedding") <= HELD_BLOCKS * BLOCK_BYTES
+    if held:
+        found = queries.mapInArrow(_found_in_held(rows.filter("embedding IS NOT NULL").toArrow(), k, metric), out)
+    elif not by_cells:
         block = queries.toArrow()
         search = _BlockSearch(matrix(block["query"].combine_chunks()), block["query_id"].combine_chunks(), k, metric)
         found = rows.mapInArrow(search.run, out)

@@ -94,7 +94,8 @@ def embed(
     values and a list of variant numbers and returns one vector or None per value. With
     ``variants`` above 1 every value is embedded that often and the vectors are averaged
     in place, so no shuffle is needed; one failed variant makes the result NULL. A batch that
-    fails is halved until the bad values are alone, so one of 128 costs 15 calls at most.
+    fails is halved until the bad values are alone, so one of 128 costs 15 calls at most. A filter
+    on the vectors stays behind the model, as one moved before it would run the model once more.
     """
     model_key = uuid.uuid4()
 
@@ -122,7 +123,8 @@ def embed(
                 results.extend(_mean_or_none(vectors, dim) for vectors in zip(*runs))
             yield pd.Series(results, index=series.index, dtype=object)
 
-    return spread_small(df).withColumn(out, run(F.col(col)))
+    # a deterministic function would be copied into filters and repeated where its result is read twice
+    return spread_small(df).withColumn(out, run.asNondeterministic()(F.col(col)))
 
 
 def embed_distinct(

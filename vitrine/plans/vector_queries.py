@@ -12,7 +12,7 @@ from vitrine.operators.joins import attach_embedding
 from vitrine.operators.neardup import drop_near_dups, signature_buckets
 from vitrine.operators import ivf
 from vitrine.operators import topk as K
-from vitrine.operators.vectors import embed, embed_distinct, fan_out, vec_mean
+from vitrine.operators.vectors import BATCH_SIZE, embed, embed_distinct, fan_out, vec_mean
 from vitrine.plans.flows import (
     full_entries,
     indexed_per_batch,
@@ -331,19 +331,23 @@ def hashing_model():
     import re
     from functools import lru_cache
 
+    import numpy as np
+
     @lru_cache(maxsize=100_000)
     def bucket(token):
-        return int(hashlib.md5(token.encode()).hexdigest()[:4], 16) % DIM
+        return int(hashlib.md5(token).hexdigest()[:4], 16) % DIM
+
+    # variants of a text come one batch after the other; its words are counted for the first
+    @lru_cache(maxsize=2 * BATCH_SIZE)
+    def counted(text):
+        raw = text.encode()
+        # a vertical tab, unlike the other white space of bytes, belongs to a token
+        tokens = raw.split() if b"\v" not in raw else [t for t in re.split(rb"[ \t\n\r\f]+", raw) if t]
+        found = np.fromiter(map(bucket, tokens), np.int64, len(tokens))
+        return np.bincount(found, minlength=DIM).astype(np.float64)
 
     def run(texts, variants):
-        vectors = []
-        for text, variant in zip(texts, variants):
-            counts = [0.0] * DIM
-            for token in re.split(r"[ \t\n\r\f]+", text):
-                if token:
-                    counts[bucket(token)] += 1.0 + variant
-            vectors.append(counts)
-        return vectors
+        return [counted(text) * (1.0 + variant) for text, variant in zip(texts, variants)]
 
     return run
 
