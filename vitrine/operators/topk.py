@@ -126,15 +126,17 @@ class _BlockSearch:
     def offer(self, m: np.ndarray, squares: np.ndarray, ids: np.ndarray) -> None:
         with np.errstate(over="ignore", invalid="ignore"):
             cells, error, bar = self.rough(m, squares)
+            cosine = self.metric == "cosine"  # never undefined, and one error holds for all
             sure = np.isneginf(self.bar)
             if sure.any() and cells.shape[1] > self.k:
-                least = np.nan_to_num(cells[sure] - (error if error.shape[0] == 1 else error[sure]), nan=-np.inf)
+                least = cells[sure] if cosine else np.nan_to_num(cells[sure] - error[sure], nan=-np.inf)
                 bar = bar.copy()
-                bar[sure] = np.partition(least, -self.k, axis=1)[:, -self.k]
-            if self.metric == "cosine":  # never undefined, and one error for all
-                q, column = np.nonzero(cells >= (bar - self.unit).astype(cells.dtype)[:, None])
+                bar[sure] = np.partition(least, -self.k, axis=1)[:, -self.k] - (error[0, 0] if cosine else 0)
+            if cosine:
+                near = cells >= (bar - error[0, 0]).astype(cells.dtype)[:, None]
             else:
-                q, column = np.nonzero(~(cells + error < bar[:, None]))
+                near = ~(cells + error < bar[:, None])
+            q, column = np.divmod(np.flatnonzero(near), cells.shape[1])
         if not len(q):
             return
         step = max(1, _CELLS // max(1, self.width))
