@@ -4,12 +4,14 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from vitrine.llm import collocations as module
 from vitrine.llm.collocations import best_of_each, build_trie, collocations, frequent_phrases
+from vitrine.session import stage
 
 SCHEMA = "doc_id long, text string, lang string"
 TEXTS = ["the New York times.the new\tyork post", "a b c a b c a b c", "of the of the of the", "", None, "x;y:z!w?v", "é è é è", "tick\rtock tick tock",
@@ -139,3 +141,73 @@ def test_sequences_of_any_texts():
     shown = [[spelled.get(h, b".") for h in sequence.tolist()] for sequence in sequences]
     assert shown == [[b"."], [b"a", b"b", b"c", b".", b"d", b"."], [b".", b".", b"."], [b"lone", b"."], [b"."],
                      ["é".encode(), b".", "É".encode(), b"."], [b"x" * 3000, b"a", b"."], [b"b", b"."]]
+
+
+def test_passes_do_not_grow_with_the_candidates(spark, monkeypatch):
+    """However many tries the candidates of a level need, a level reads the texts twice and is written once."""
+    rows, found = sample(3), {}
+    for trie in (1_000_000, 30):
+        monkeypatch.setattr(module, "TRIE_PHRASES", trie)
+        labels = []
+        monkeypatch.setattr(module, "stage", lambda df, label, labels=labels: labels.append(label) or stage(df, label))
+        phrases = frequent_phrases(spark.createDataFrame(rows, SCHEMA).repartition(2), 2)[1]
+        found[trie] = labels, [sorted(map(tuple, f.collect())) for f in phrases[1:]]
+    assert found[30] == found[1_000_000]
+    assert found[30][0].count("phrases") == 2 and all(len(f) > 60 for f in found[30][1])
+
+
+def test_bits_are_of_whole_hashes():
+    """Hashes that share a place of the bitmap are counted apart, over rows and tasks."""
+    bits, power, least = 16, 3, 3
+    rng = np.random.default_rng(1)
+    hashes = rng.integers(2**63, size=500).astype(np.uint64)
+    alike = (hashes[:1] & np.uint64(0xFFFF)) | (np.arange(1, 9, dtype=np.uint64) << np.uint64(20))
+    batches = [np.r_[hashes, alike, hashes[:20]], hashes[:30]]
+    rows = []
+    for batch in batches:
+        monkey = pytest.MonkeyPatch()
+        monkey.setattr(module, "_texts", lambda _, batch=batch: [("en", batch)])
+        monkey.setattr(module, "_open", lambda lang, words, size, below: (None, words))
+        below = type("Held", (), {"value": None})
+        for sent in module._phrase_counts(2, below, bits, power, least)(iter([])):
+            rows += zip(sent.column(0).to_pylist(), sent.column(1).to_pylist())
+        monkey.undo()
+    rows.sort(key=lambda row: row[0])
+    sent = pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["part", "counts"])
+    out = np.zeros(1 << 13, np.uint8)
+    for block in module._crowded_hashes(bits, power, least)(iter([sent])):
+        out[block.column(0)[0].as_py() << 10 :][: 1 << 10] = np.frombuffer(block.column(1)[0].as_py(), np.uint8)
+    assert module._set(out, hashes[:20]).all() and not module._set(out, np.r_[hashes[20:], alike]).any()
+
+
+@given(st.lists(st.tuples(st.integers(1, 9), st.integers(1, 9), st.integers(1, 2**32 - 1)), min_size=1, max_size=40))
+def test_phrases_travel_unchanged(rows):
+    words, counts = np.array([r[:2] for r in rows], np.uint64).reshape(-1, 2), np.array([r[2] for r in rows], np.int64)
+    found = module.unpack_phrases(module.pack_phrases(words, counts), 2)
+    assert (found[0] == words).all() and found[1].tolist() == counts.tolist()
+
+
+DEALT = st.tuples(st.sampled_from(["de", "en"]), st.integers(1, 5), st.integers(1, 5), st.integers(1, 99))
+
+
+@settings(max_examples=30, deadline=None)
+@given(st.lists(st.lists(DEALT, min_size=1), min_size=1, max_size=5), st.integers(1, 12))
+def test_counts_of_dealt_phrases(batches, trie):
+    """Rows of candidates add up, in one trie or in several."""
+    rows, want = [], Counter()
+    for batch in batches:
+        batch = sorted(batch)
+        langs = sorted({r[0] for r in batch})
+        packed = module.pack_phrases(np.array([r[1:3] for r in batch], np.uint64), np.array([r[3] for r in batch]))
+        rows.append((0, langs, [sum(r[0] == lang for r in batch) for lang in langs], packed))
+        for lang, one, two, n in batch:
+            want[lang, one, two] += n
+    found = [((t.langs[i], *t.words[i].tolist()), n) for t, total in module.count_phrases(rows, 2, trie) for i, n in enumerate(total.tolist())]
+    assert len(found) == len(want) and dict(found) == want
+
+
+def test_languages_are_ranked_in_parts(spark):
+    """What arrives by language is dealt anew before it is ranked."""
+    rows = spark.createDataFrame([("en", "a", 5, 1)], "lang string, phrase string, score long, a long").repartition(3, "lang")
+    plan = best_of_each(rows, 5)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(lang" in plan and "part#" in [line for line in plan.splitlines() if "hashpartitioning(lang" in line][1]

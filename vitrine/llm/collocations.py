@@ -2,12 +2,13 @@
 
 Texts become sequences of word hashes, in which a break stands between pieces. Phrases are
 counted level by level, as in Apriori: a phrase can only be frequent if the phrases of one word
-less in it are. Which phrases may be frequent is told by bitmaps of bounded size (a bucket
-counts all phrases that hash into it, so it never misses one), the candidates they let through
-are made distinct, and double-array tries of a bounded number of them are broadcast, one after
-the other. In every task all text positions step through the trie together: a level is one
-addition, one look-up and one comparison for all positions still on a path. The numbers of
-accepting states are added up over the tasks.
+less in it are. Which phrases may be frequent is told by bitmaps of bounded size: counts of whole
+phrase hashes are added up by ranges, and a hash that reaches the least count sets its bit, so
+none is missed. The candidates the bitmap lets through are dealt by ranges of hashes with their
+counts in a batch. The task of a range makes them distinct, builds double-array tries of a bounded
+number of them, and lets all phrases dealt to it step through a trie together: a level is one
+addition, one look-up and one comparison for all phrases still on a path. So a level reads the
+texts twice, however many phrases are frequent.
 
 No task gathers a language, a word or a phrase: words are counted by partial aggregation,
 candidates are dealt to tries by the hash of the whole phrase, and the best phrases of a language
@@ -20,6 +21,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass
 from functools import reduce
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -29,11 +31,14 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vitrine.llm.rolling import Words, chunks, find_words, mix, raw_texts
+from vitrine.llm.tables import few_rows
 from vitrine.session import stage
 
 LEAST, LONGEST, CONTAINED = 10, 3, 50
-#: Candidates of one trie, and bits of a bitmap at most (16 MiB); both are broadcast.
+#: Candidates of one trie, and bits of a bitmap at most (16 MiB), which is broadcast.
 TRIE_PHRASES, MAX_BITS = 500_000, 27
+#: Bits of a line of a bitmap, as a power of two.
+LINE_BITS = 9
 #: Words that a task counts before it sends the counts, and rows that it sends at once.
 BATCH_WORDS = 2_000_000
 SENT_ROWS = 1 << 16
@@ -130,18 +135,26 @@ def _whole(words: np.ndarray, size: int) -> np.ndarray:
     return reduce(np.logical_and, [inside[k : k + n] for k in range(size)]) if n else np.zeros(0, bool)
 
 
+def _places(hashes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The two bits of hashes in a bitmap of ``2 ** bits``, both in one line."""
+    at = hashes & np.uint64((1 << bits) - 1)
+    return at, (at >> np.uint64(LINE_BITS) << np.uint64(LINE_BITS)) | (hashes >> np.uint64(64 - LINE_BITS))
+
+
 def _set(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     """Whether the bits of hashes are set."""
-    at = hashes & np.uint64(len(bits) * 8 - 1)
-    return (bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+    one, other = ((bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+                  for at in _places(hashes, len(bits).bit_length() + 2))
+    return one & other
 
 
 def _open(lang: str, words: np.ndarray, size: int, below: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Positions and hashes of the phrases whose parts of one word less may all be frequent."""
-    likely = _set(below, phrase_hashes(lang, words, size - 1))
+    shorter = phrase_hashes(lang, words, size - 1)
+    likely = _set(below, shorter)
     n = max(len(words) - size + 1, 0)
     at = np.flatnonzero(_whole(words, size) & likely[:n] & likely[1 : n + 1]) if n else np.zeros(0, np.int64)
-    return at, phrase_hashes(lang, words, size)[at]
+    return at, _mixed(shorter[at], words[at + (size - 1)])
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, np.ndarray]]:
@@ -150,22 +163,22 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, np.ndarray]
             yield lang, np.frombuffer(zstandard.decompress(words.as_buffer()), np.uint64)
 
 
-#: Numbers whose counts travel as one row, as powers of two: buckets of phrases, and phrases of a trie.
-BUCKET_BLOCK, PHRASE_BLOCK = 16, 12
+#: Buckets of phrases whose counts travel as one row, as a power of two.
+BUCKET_BLOCK = 16
 #: Blocks whose sums one task holds at most.
 HELD_BLOCKS = 32
 
 
 def pack_counts(places: np.ndarray, counts: np.ndarray) -> bytes:
-    """Ascending places below 2 ** 16 and their counts, as gaps and counts byte by byte, compressed."""
-    columns = np.diff(places, prepend=0).astype("<u2"), counts.astype("<u8")
+    """Ascending numbers of up to 64 bits and their counts, as gaps and counts byte by byte, compressed."""
+    columns = np.diff(places.astype("<u8"), prepend=np.uint64(0)), counts.astype("<u8")
     return zstandard.compress(b"".join(c.view(np.uint8).reshape(len(c), -1).T.tobytes() for c in columns), 1)
 
 
 def unpack_counts(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    raw = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(10, -1)
-    gaps, counts = (np.ascontiguousarray(raw[rows].T).view(kind)[:, 0] for rows, kind in ((slice(2), "<u2"), (slice(2, 10), "<u8")))
-    return np.cumsum(gaps, dtype=np.int64), counts.astype(np.int64)
+    raw = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(16, -1)
+    gaps, counts = (np.ascontiguousarray(raw[rows].T).view("<u8")[:, 0] for rows in (slice(8), slice(8, 16)))
+    return np.cumsum(gaps, dtype=np.uint64), counts.astype(np.int64)
 
 
 def _block_rows(numbers: np.ndarray, counts: np.ndarray, power: int) -> Iterator[pa.RecordBatch]:
@@ -203,44 +216,128 @@ def _bucket_rows(held: list[np.ndarray], most: int) -> Iterator[pa.RecordBatch]:
         yield from _block_rows(bucket, np.minimum(n, most), BUCKET_BLOCK)
 
 
-def _buckets(size: int, below, bits: int, least: int):
-    """How many phrases fall into each bucket, as far as ``least``."""
+def _counted_runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values of ascending ``keys`` and how many there are of each."""
+    start = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]][: len(keys)])
+    return keys[start], np.diff(np.r_[start, len(keys)])
+
+
+def _turned(hashes: np.ndarray, bits: int) -> np.ndarray:
+    """Hashes with the bits that tell the place in a bitmap put first, so that their order is that of the places."""
+    return (hashes << np.uint64(64 - bits)) | (hashes >> np.uint64(bits))
+
+
+def _phrase_counts(size: int, below, bits: int, power: int, most: int):
+    """How many phrases of a task have each hash, as far as ``most``; those of one of ``2 ** power`` slices of the bitmap as one row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, total = [], 0
+
+        def sent() -> Iterator[pa.RecordBatch]:
+            keys, n = _counted_runs(np.sort(np.concatenate(held)))
+            own, start = np.unique(keys >> np.uint64(64 - power), return_index=True)
+            ends = np.r_[start[1:], len(keys)]
+            packed = [pack_counts(keys[s:e], np.minimum(n[s:e], most)) for s, e in zip(start.tolist(), ends.tolist())]
+            yield from _sliced([pa.array(own.astype(np.int32)), pa.array(packed, pa.binary())], ["part", "counts"])
+
         for lang, words in _texts(batches):
             _, hashes = _open(lang, words, size, below.value)
-            held.append((hashes & np.uint64((1 << bits) - 1)).astype(np.int32))
+            held.append(_turned(hashes, bits))
             total += len(hashes)
             if total >= BATCH_WORDS:
-                yield from _bucket_rows(held, least)
+                yield from sent()
                 held, total = [], 0
-        yield from _bucket_rows(held, least)
+        if held:
+            yield from sent()
 
     return run
 
 
-#: Words of the corpus for each range of phrase hashes whose candidates one task makes distinct.
-RANGE_WORDS = 1 << 24
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Iterator[tuple]]]:
+    """The rows of a task by their first column, which is in order."""
+    rows = (row for batch in batches for row in zip(*(column.to_pylist() for column in batch.columns)))
+    return groupby(rows, key=lambda row: row[0])
+
+
+def _by_part(rows: DataFrame, tasks: int) -> DataFrame:
+    """Rows dealt so that a task meets all of a part, one part after the other."""
+    return rows.repartition(tasks, "part").sortWithinPartitions("part")
+
 
+def sum_counts(held: list[tuple[np.ndarray, np.ndarray]], most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys and the sums of their counts, as far as ``most``."""
+    keys, counts = (np.concatenate(columns) for columns in zip(*held))
+    order = np.argsort(keys)
+    keys, n = _counted_runs(keys[order])
+    start = np.cumsum(n) - n
+    return keys, np.minimum(np.add.reduceat(counts[order], start), most) if len(keys) else counts
 
-def _candidates(size: int, below, own, ranges: int):
-    """The phrases that may be frequent, distinct within a batch of a task: columns of a range of hashes as one row."""
+
+def _crowded_hashes(bits: int, power: int, least: int):
+    """The slices of the bitmap a task has: the bits of hashes whose counts reach ``least``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, rows in _parts(batches):
+            held, kept, fresh = [], 0, 0
+            for _, data in rows:
+                held.append(unpack_counts(data))
+                fresh += len(held[-1][0])
+                if fresh > max(kept, BATCH_WORDS // 4):
+                    held = [sum_counts(held, least)]
+                    kept, fresh = len(held[0][0]), 0
+            keys, counts = sum_counts(held, least)
+            marks = np.zeros(1 << (bits - power), bool)
+            for place in _places(_turned(keys[counts >= least], 64 - bits), bits):
+                marks[place & np.uint64(len(marks) - 1)] = True
+            packed = np.packbits(marks, bitorder="little").tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([packed], pa.binary())], names=["block", "bits"])
+
+    return run
+
+
+#: Words of the corpus for each task that counts phrases; it has two parts of them on average.
+RANGE_WORDS = 1 << 23
+
+
+def pack_phrases(words: np.ndarray, counts: np.ndarray) -> bytes:
+    """Rows of word hashes and their counts below 2 ** 32, column by column and counts byte by byte, compressed."""
+    return zstandard.compress(words.T.tobytes() + counts.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+
+
+def unpack_phrases(data: bytes, size: int) -> tuple[np.ndarray, np.ndarray]:
+    raw = zstandard.decompress(data)
+    n = len(raw) // (8 * size + 4)
+    counts = np.frombuffer(raw, np.uint8, offset=8 * size * n).reshape(4, -1)
+    return np.frombuffer(raw, np.uint64, size * n).reshape(size, -1).T, np.ascontiguousarray(counts.T).view("<u4")[:, 0].astype(np.int64)
+
+
+def _candidates(size: int, below, own, parts: int):
+    """The phrases that may be frequent, distinct within a batch of a task, and their counts there; those of a part as one row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, total = {}, 0
 
         def sent() -> Iterator[pa.RecordBatch]:
-            for lang, parts in held.items():
-                hashes, first = np.unique(np.concatenate([p[0] for p in parts]), return_index=True)
-                words = np.concatenate([p[1] for p in parts])[first]
-                part = ((hashes >> np.uint64(32)) % np.uint64(ranges)).astype(np.int32)
-                # equal words side by side compress
-                order = np.lexsort((words[:, 0], part))
-                words, part = words[order], part[order]
-                parts_of, start = np.unique(part, return_index=True)
-                packed = [zstandard.compress(w.T.tobytes(), 1) for w in np.split(words, start[1:])] if len(part) else []
-                yield from _sliced([pa.array([lang] * len(packed), pa.string()), pa.array(parts_of), pa.array(packed, pa.binary())], ["lang", "part", "phrases"])
+            found = []
+            for number, pieces in enumerate(held.values()):
+                hashes, first, n = np.unique(np.concatenate([p[0] for p in pieces]), return_index=True, return_counts=True)
+                words = np.concatenate([p[1] for p in pieces])[first]
+                part = ((hashes >> np.uint64(32)) % np.uint64(parts)).astype(np.int32)
+                found.append((part, np.full(len(part), number), words, n))
+            part, lang, words, n = (np.concatenate(columns) for columns in zip(*found))
+            # equal words side by side compress
+            order = np.lexsort((words[:, 0], lang, part))
+            part, lang, words, n = part[order], lang[order], words[order], n[order]
+            own_parts, start = np.unique(part, return_index=True)
+            names = np.array(list(held), object)
+            langs, sizes, packed = [], [], []
+            for s, e in zip(start.tolist(), np.r_[start[1:], len(part)].tolist()):
+                numbers, many = _counted_runs(lang[s:e])
+                langs.append(names[numbers].tolist())
+                sizes.append(many.tolist())
+                packed.append(pack_phrases(words[s:e], n[s:e]))
+            columns = [pa.array(own_parts), pa.array(langs, pa.list_(pa.string())), pa.array(sizes, pa.list_(pa.int32())), pa.array(packed, pa.binary())]
+            yield from _sliced(columns, ["part", "langs", "sizes", "phrases"])
 
         for lang, words in _texts(batches):
             at, hashes = _open(lang, words, size, below.value)
@@ -248,10 +345,11 @@ def _candidates(size: int, below, own, ranges: int):
             at, hashes = at[stay], hashes[stay]
             held.setdefault(lang, []).append((hashes, words[at[:, None] + np.arange(size)]))
             total += len(at)
-            if total >= BATCH_WORDS // 4:
+            if total >= BATCH_WORDS // 2:
                 yield from sent()
                 held, total = {}, 0
-        yield from sent()
+        if held:
+            yield from sent()
 
     return run
 
@@ -262,25 +360,26 @@ def distinct_rows(parts: list[np.ndarray]) -> np.ndarray:
     return rows[np.r_[True, (rows[1:] != rows[:-1]).any(1)][: len(rows)]]
 
 
-def _distinct(size: int):
-    """The distinct candidates of the ranges a task has, with their words side by side."""
+def _by_lang(row: tuple, size: int) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
+    """The phrases of a row of candidates and their counts, language by language."""
+    words, counts = unpack_phrases(row[3], size)
+    ends = np.cumsum(row[2])[:-1]
+    yield from zip(row[1], np.split(words, ends), np.split(counts, ends))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, list[np.ndarray]] = {}
-        kept = fresh = 0
-        for batch in batches:
-            for lang, data in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
-                held.setdefault(lang, []).append(np.frombuffer(zstandard.decompress(data), np.uint64).reshape(size, -1).T)
-                fresh += len(held[lang][-1])
-                if fresh > max(kept, BATCH_WORDS // 4):
-                    held = {lang: [distinct_rows(parts)] for lang, parts in held.items()}
-                    kept, fresh = sum(len(parts[0]) for parts in held.values()), 0
-        for lang, parts in held.items():
-            words = distinct_rows(parts).view(np.int64)
-            columns = [pa.array(np.ascontiguousarray(words[:, k])) for k in range(size)]
-            yield from _sliced([pa.array([lang] * len(words), pa.string()), *columns], ["lang", *_columns(size)])
 
-    return run
+def distinct_phrases(rows: list[tuple], size: int) -> tuple[list[str], np.ndarray]:
+    """The languages and words of the distinct phrases of rows of candidates."""
+    held: dict[str, list[np.ndarray]] = {}
+    kept = fresh = 0
+    for row in rows:
+        for lang, words, _ in _by_lang(row, size):
+            held.setdefault(lang, []).append(words)
+            fresh += len(words)
+        if fresh > max(kept, BATCH_WORDS // 4):
+            held = {lang: [distinct_rows(parts)] for lang, parts in held.items()}
+            kept, fresh = sum(len(parts[0]) for parts in held.values()), 0
+    found = {lang: distinct_rows(parts) for lang, parts in held.items()}
+    return [lang for lang, words in found.items() for _ in range(len(words))], np.concatenate(list(found.values()))
 
 
 @dataclass
@@ -391,57 +490,44 @@ def build_trie(langs: list[str], words: np.ndarray, seed: int = 0) -> Trie:
     return Trie(alphabet, radix, roots, base, check, accepts, langs, words)
 
 
-def _shard(words: list[np.ndarray], shards: int) -> np.ndarray:
-    """Which trie has a phrase, by the hashes of its words; ``_shard_column`` says the same of a row."""
-    return reduce(np.bitwise_xor, [w.view(np.int64) >> (7 * k) for k, w in enumerate(words)]) % shards
+def _shard(words: np.ndarray, shards: int) -> np.ndarray:
+    """Which trie has a phrase, by the hashes of its words."""
+    return reduce(np.bitwise_xor, [w.view(np.int64) >> (7 * k) for k, w in enumerate(np.ascontiguousarray(words.T))]) % shards
 
 
-def _shard_column(size: int, shards: int) -> Column:
-    mixed = reduce(Column.bitwiseXOR, [F.shiftright(f"w{k}", 7 * k) for k in range(size)])
-    return F.pmod(mixed, F.lit(shards))
+def count_phrases(rows: list[tuple], size: int, most: int) -> Iterator[tuple[Trie, np.ndarray]]:
+    """Tries of about ``most`` phrases each, one after the other, that have all phrases of rows of candidates.
 
-
-def _counts(trie, shard: int, shards: int):
-    """How often each phrase of the trie occurs in a task's texts, by its number.
-
-    Only positions whose phrase belongs to the trie's shard step through it.
+    With each come the sums of the counts by the numbers of its phrases.
     """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = trie.value
-        size = own.words.shape[1]
-        total = np.zeros(len(own.words), np.int64)
-        held, n = [], 0
-        for lang, words in _texts(batches):
-            at = np.flatnonzero(_whole(words, size))
-            if shards > 1:
-                at = at[_shard([words[at + k] for k in range(size)], shards) == shard]
-            held.append(own.accepts[own.accepted(lang, words, at)])
-            n += len(held[-1])
-            if n >= BATCH_WORDS:
-                total += np.bincount(np.concatenate(held), minlength=len(total))
-                held, n = [], 0
-        if held:
-            total += np.bincount(np.concatenate(held), minlength=len(total))
-        place = np.flatnonzero(total)
-        yield from _block_rows(place, total[place], PHRASE_BLOCK)
-
-    return run
+    langs, phrases = distinct_phrases(rows, size)
+    shards = -(-len(phrases) // most) or 1
+    shard = _shard(phrases, shards)
+    for i in range(shards):
+        own = np.flatnonzero(shard == i)
+        if not len(own):
+            continue
+        trie = build_trie([langs[k] for k in own.tolist()], phrases[own])
+        total = np.zeros(len(own), np.int64)
+        for row in rows:
+            for lang, words, counts in _by_lang(row, size):
+                mine = np.flatnonzero(_shard(words, shards) == i)
+                states = trie.accepted(lang, words[mine].reshape(-1), np.arange(len(mine)) * size)
+                np.add.at(total, trie.accepts[states], counts[mine])
+        yield trie, total
 
 
-def _frequent(trie, least: int):
-    """The phrases whose counts reach ``least`` in all, from ``block, counts`` rows."""
+def _frequent(size: int, least: int, most: int):
+    """The phrases whose counts reach ``least`` in all, from the rows of candidates a task has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = trie.value
-        size = own.words.shape[1]
-        for block, total in _block_sums(batches, PHRASE_BLOCK):
-            place = np.flatnonzero(total >= least)
-            number = place + (block << PHRASE_BLOCK)
-            words = own.words[number].view(np.int64)
-            columns = [pa.array(np.ascontiguousarray(words[:, k])) for k in range(size)]
-            lang = pa.array([own.langs[i] for i in number.tolist()], pa.string())
-            yield pa.RecordBatch.from_arrays([lang, *columns, pa.array(total[place])], names=["lang", *_columns(size), "f"])
+        for _, rows in _parts(batches):
+            for trie, total in count_phrases(list(rows), size, most):
+                number = np.flatnonzero(total >= least)
+                words = trie.words[number].view(np.int64)
+                columns = [pa.array(np.ascontiguousarray(words[:, k])) for k in range(size)]
+                lang = pa.array([trie.langs[i] for i in number.tolist()], pa.string())
+                yield from _sliced([lang, *columns, pa.array(total[number])], ["lang", *_columns(size), "f"])
 
     return run
 
@@ -459,11 +545,15 @@ def _crowded(least: int):
 
 def bitmap(counts: DataFrame, bits: int, least: int) -> np.ndarray:
     """Buckets that reach ``least``, from ``block, counts`` rows: at most ``2 ** MAX_BITS`` bits, packed in tasks."""
-    packed = _by_block(counts, 1 << (bits - BUCKET_BLOCK)).mapInArrow(_crowded(least), "block int, bits binary").collect()
+    return _joined(_by_block(counts, 1 << (bits - BUCKET_BLOCK)).mapInArrow(_crowded(least), "block int, bits binary"), bits)
+
+
+def _joined(blocks: DataFrame, bits: int) -> np.ndarray:
+    """The bitmap whose blocks of one size are rows."""
     out = np.zeros(1 << (bits - 3), np.uint8)
-    for row in packed:
-        at = row["block"] << (BUCKET_BLOCK - 3)
-        out[at : at + (1 << (BUCKET_BLOCK - 3))] = np.frombuffer(row["bits"], np.uint8)
+    for row in blocks.collect():
+        own = np.frombuffer(row["bits"], np.uint8)
+        out[row["block"] * len(own) : (row["block"] + 1) * len(own)] = own
     return out
 
 
@@ -475,14 +565,14 @@ def _hashed(size: int, bits: int):
             langs = batch.column(0).dictionary_encode()
             names, lang = langs.dictionary.to_pylist(), langs.indices.to_numpy()
             words = [batch.column(1 + k).to_numpy().view(np.uint64) for k in range(size)]
-            bucket = np.zeros(len(lang), np.int64)
+            bucket = np.zeros((2, len(lang)), np.int64)
             for i, name in enumerate(names):
                 own = lang == i
                 total = np.full(int(own.sum()), _seed(name), np.uint64)
                 for w in words:
                     total = _mixed(total, w[own])
-                bucket[own] = (total & np.uint64((1 << bits) - 1)).astype(np.int64)
-            yield from _bucket_rows([bucket] if len(bucket) else [], 1)
+                bucket[:, own] = _places(total, bits)
+            yield from _bucket_rows([bucket.reshape(-1)] if bucket.size else [], 1)
 
     return run
 
@@ -520,46 +610,27 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST
     texts = read.filter("words IS NOT NULL").select("lang", "words")
     words = stage(read.filter("hash IS NOT NULL").groupBy("lang", "hash").agg(F.first("word").alias("word"), F.sum("n").alias("n")), "words")
     total = words.agg(F.sum("n")).first()[0] or 0
-    # about four phrases to a bucket, so that few buckets reach the least count by chance
     bits = min(MAX_BITS, max(BUCKET_BLOCK, (total // 4).bit_length()))
     found = [words.filter(F.col("n") >= least).select("lang", F.col("hash").alias("w0"), F.col("n").alias("f"))]
-    blocks = "block int, counts binary"
-    ranges = max(-(-total // RANGE_WORDS), min(int(spark.conf.get("spark.sql.shuffle.partitions")), 64))
+    tasks = max(-(-total // RANGE_WORDS), min(int(spark.conf.get("spark.sql.shuffle.partitions")), 64))
+    power = min((2 * tasks - 1).bit_length(), bits - LINE_BITS)
+    hashed = found[0].select("lang", "w0").mapInArrow(_hashed(1, bits), "block int, counts binary")
+    below = spark.sparkContext.broadcast(bitmap(hashed, bits, 1))
     for size in range(2, longest + 1):
-        hashed = found[-1].select("lang", *_columns(size - 1)).mapInArrow(_hashed(size - 1, bits), blocks)
-        below = spark.sparkContext.broadcast(bitmap(hashed, bits, 1))
-        with arrow_rows(spark, SEQUENCE_ROWS):
-            own = spark.sparkContext.broadcast(bitmap(texts.mapInArrow(_buckets(size, below, bits, least), blocks), bits, least))
-        schema = ", ".join(["lang string", *(f"{c} long" for c in _columns(size))])
+        schema = ", ".join(["lang string", *(f"{c} long" for c in _columns(size)), "f long"])
         with arrow_rows(spark, SEQUENCE_ROWS):
-            packed = texts.mapInArrow(_candidates(size, below, own, ranges), "lang string, part int, phrases binary")
-            candidates = stage(packed.repartition(ranges, "part").mapInArrow(_distinct(size), schema), "candidates")
-        found.append(_counted(texts, candidates, size, least))
+            counts = texts.mapInArrow(_phrase_counts(size, below, bits, power, least), "part int, counts binary")
+            crowded = _by_part(counts, tasks).mapInArrow(_crowded_hashes(bits, power, least), "block int, bits binary")
+            own = spark.sparkContext.broadcast(_joined(crowded, bits))
+            packed = texts.mapInArrow(_candidates(size, below, own, 2 * tasks), "part int, langs array<string>, sizes array<int>, phrases binary")
+            found.append(stage(_by_part(packed, tasks).mapInArrow(_frequent(size, least, TRIE_PHRASES), schema), "phrases"))
         below.destroy()
-        own.destroy()
+        # the bits of frequent phrases: what is open one level up
+        below = own
+    below.destroy()
     return words, found
 
 
-def _counted(texts: DataFrame, candidates: DataFrame, size: int, least: int) -> DataFrame:
-    """Frequent ones among the candidates: a trie of bounded size after the other is counted."""
-    spark, columns = texts.sparkSession, _columns(size)
-    schema = ", ".join(["lang string", *(f"{c} long" for c in columns), "f long"])
-    shards = -(-candidates.count() // TRIE_PHRASES) or 1
-    shard = _shard_column(size, shards)
-    parts = []
-    for i in range(shards):
-        rows = candidates.filter(shard == i).select("lang", *columns).toArrow()
-        if not len(rows):
-            continue
-        words = np.stack([rows[c].to_numpy().view(np.uint64) for c in columns], 1)
-        trie = spark.sparkContext.broadcast(build_trie(rows["lang"].to_pylist(), words))
-        with arrow_rows(spark, SEQUENCE_ROWS):
-            counts = texts.mapInArrow(_counts(trie, i, shards), "block int, counts binary")
-            parts.append(stage(_by_block(counts, -(-len(words) >> PHRASE_BLOCK)).mapInArrow(_frequent(trie, least), schema), "phrases"))
-        trie.destroy()
-    return reduce(DataFrame.union, parts) if parts else spark.createDataFrame([], schema)
-
-
 def _named(table: DataFrame, size: int, first: int, count: str) -> DataFrame:
     """A table of phrases under the names of the words from ``first`` on."""
     return table.toDF("lang", *_columns(size, first), count)
@@ -578,7 +649,7 @@ def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, co
     """
     words, found = frequent_phrases(docs, least, longest)
     spelled = words.select("lang", "hash", "word")
-    totals = words.groupBy("lang").agg(F.sum("n").alias("n"))
+    totals = few_rows(stage(words.groupBy("lang").agg(F.sum("n").alias("n")), "totals"))
     wide = "cast({} as decimal(19, 0))".format
     parts = []
     for size in range(2, longest + 1):
@@ -607,10 +678,10 @@ def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, co
 def best_of_each(found: DataFrame, limit: int) -> DataFrame:
     """The first ``limit`` of each language by score, count and phrase, with their ``rank``.
 
-    Languages are cut to ``limit`` in parts first, so no task sorts all of a language.
+    Languages are cut to ``limit`` in parts first, so no task sorts all of a language, however ``found`` is dealt.
     """
     order = [F.col("score").desc(), F.col("a").desc(), F.col("phrase")]
     part = F.pmod(F.xxhash64("phrase"), F.lit(64))
     rank = F.row_number().over(Window.partitionBy("lang", "part").orderBy(*order))
-    few = found.withColumn("part", part).withColumn("rank", rank).filter(F.col("rank") <= limit).drop("part")
+    few = found.withColumn("part", part).repartition("lang", "part").withColumn("rank", rank).filter(F.col("rank") <= limit).drop("part")
     return few.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)).cast("long")).filter(F.col("rank") <= limit)
